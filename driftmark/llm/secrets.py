@@ -141,17 +141,20 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
     """``text`` with every union of overlapping spans replaced by ``mark``."""
     piece = "struct<start:int,end:int>"
-    merged = F.aggregate(
-        found,
-        F.array().cast(f"array<{piece}>"),
-        lambda acc, s: F.when(
-            F.coalesce(F.try_element_at(acc, F.lit(-1))["end"] >= s["start"], F.lit(False)),
-            F.array_append(F.slice(acc, 1, F.size(acc) - 1), F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], s["end"]).alias("end"))),
-        ).otherwise(F.array_append(acc, F.struct(s["start"].alias("start"), s["end"].alias("end")))),
-    )
+
+    def merge(spans: Column) -> Column:
+        def add(acc: Column, s: Column) -> Column:
+            last = F.try_element_at(acc, F.lit(-1))
+            longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+            return F.when(F.coalesce(last["end"] >= s["start"], F.lit(False)), F.array_append(F.slice(acc, 1, F.size(acc) - 1), longer)).otherwise(
+                F.array_append(acc, F.struct(s["start"].alias("start"), s["end"].alias("end")))
+            )
+
+        return F.aggregate(spans, F.array().cast(f"array<{piece}>"), add)
 
     def rebuild(m: Column) -> Column:
-        heads = F.transform(m, lambda s, i: F.concat(F.substring(text, F.coalesce(F.get(m, i - 1)["end"], F.lit(0)) + 1, s["start"] - F.coalesce(F.get(m, i - 1)["end"], F.lit(0))), F.lit(mark)))
+        before = lambda i: F.coalesce(F.get(m, i - 1)["end"], F.lit(0))
+        heads = F.transform(m, lambda s, i: F.concat(F.substring(text, before(i) + 1, s["start"] - before(i)), F.lit(mark)))
         return F.concat(F.array_join(heads, ""), F.substring(text, F.try_element_at(m, F.lit(-1))["end"] + 1, F.length(text)))
 
-    return F.when(F.coalesce(F.size(found), F.lit(0)) <= 0, text).otherwise(let(merged, rebuild))
+    return let(found, lambda spans: F.when(F.coalesce(F.size(spans), F.lit(0)) <= 0, text).otherwise(let(merge(spans), rebuild)))
