@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm import minhash, packing, quality, secrets, toxicity, url_filter
+from driftmark.llm import ann, chat, minhash, packing, quality, secrets, sentencepiece_fst, toxicity, url_filter, warc
 
+#: A public vocabulary; any other file of the kind will do.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -21,14 +23,36 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_fst.round_trip(docs, PIECE_MODEL).select("doc_id", "n_tokens", "ids", "same")
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return ann.search(ann.build(vectors), queries)
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, [("user", said), ("assistant", said)])], "conv_id long, messages array<struct<role:string,content:string>>")
+    turns = chat.canonical(table(spark, sf_dir, "conversations")).unionByName(chat.canonical(extra))
+    return chat.read_chat(chat.format_chat(turns))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), path="doc_id"))
 
@@ -46,8 +70,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_url_filters": op3_url_filters,
+    "op4_warc": op4_warc,
     "op5_minhash": op5_minhash,
+    "op6_ann": op6_ann,
+    "op7_chat": op7_chat,
     "op8_secrets": op8_secrets,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
