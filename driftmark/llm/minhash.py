@@ -43,7 +43,7 @@ from driftmark.llm.common import BROADCAST_BYTES, let, text_of, words_of, writte
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 48, 8
+BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
 #: Regions of a strip: rank 0 to 1/64, then doubling up to 1, then one a unit.
 FIRST = 2.0**-6
@@ -64,14 +64,31 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
-def regions(upto: float):
-    """(number, from, width) of the regions in order, until one starts at ``upto`` or later."""
-    at, k, width = 0.0, 0, FIRST
-    while at < upto:
-        yield k, at, width
-        at += width
-        width = at if at < 1 else 1.0
-        k += 1
+#: Regions of doubling rank below 1: (from, width).
+STEPS = [(0.0, FIRST)] + [(FIRST * 2**k, FIRST * 2**k) for k in range(6)]
+
+
+def _counts(width: float) -> np.ndarray:
+    """Poisson's distribution function for a region's width."""
+    return np.exp(-width) * np.cumsum(np.cumprod(np.r_[1.0, width / np.arange(1, 16)]))
+
+
+def _throw(key: np.ndarray, element: np.ndarray, base: np.ndarray, region: np.ndarray, start: np.ndarray, width: float, coordinates: int) -> None:
+    """Throw the darts of one region of each element; ``base`` is where its text's coordinates begin."""
+    seed = mix(element + (region.astype(np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    table = _counts(width)
+    u = _unit(seed)
+    at = np.flatnonzero(u > table[0])
+    for j in range(1, 16):
+        if not len(at):
+            break
+        dart = mix(seed[at] + np.uint64((0xD1B54A32D192ED03 * j) & 0xFFFFFFFFFFFFFFFF))
+        # one hash gives the coordinate (high bits), the rank within the region (low bits) and a name
+        place = base[at] + ((dart >> np.uint64(40)) * np.uint64(coordinates) >> np.uint64(24)).astype(np.int64)
+        rank = (start if np.isscalar(start) else start[at]) + width * ((dart & np.uint64(0xFFFFFFFFFF)).astype(np.float64) * 2.0**-40)
+        # positive doubles sort like their bits; bits of the seed settle ties
+        np.minimum.at(key, place, (rank.view(np.uint64) & ~np.uint64(0xFFFF)) | (seed[at] & np.uint64(0xFFFF)))
+        at = at[u[at] > table[j]]
 
 
 def signatures(elements: np.ndarray, owner: np.ndarray, n: int, coordinates: int = COORDINATES) -> np.ndarray:
@@ -84,39 +101,34 @@ def signatures(elements: np.ndarray, owner: np.ndarray, n: int, coordinates: int
     """
     weight = np.bincount(owner, minlength=n)
     key = np.full(n * coordinates, ~np.uint64(0))
-    by_weight = np.argsort(weight[owner], kind="stable")  # light texts look furthest
-    elements, owner = elements[by_weight], owner[by_weight]
     done = np.zeros(n)
     want = np.where(weight > 0, coordinates * (np.log(coordinates) + 1) / np.maximum(weight, 1), 0.0)
-    while len(elements) and (want > done).any():
-        from_, upto = done[owner], want[owner]
-        for k, start, width in regions(float(upto.max())):
-            live = int(np.searchsorted(-upto, -start, side="left"))  # those with upto > start
-            if not live:
-                break
-            new = np.flatnonzero(from_[:live] <= start)
-            if not len(new):
+    while len(elements):
+        for k, (start, width) in enumerate(STEPS):
+            look = (done <= start) & (want > start)
+            if look.all():
+                e, o = elements, owner
+            elif look.any():
+                live = look[owner]
+                e, o = elements[live], owner[live]
+            else:
                 continue
-            seed = mix(elements[new] + np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) & 0xFFFFFFFFFFFFFFFF))
-            # Poisson-many darts: the distribution function of the region's width, inverted
-            table = np.exp(-width) * np.cumsum(np.cumprod(np.r_[1.0, width / np.arange(1, 12)]))
-            u = _unit(seed)
-            hit = np.flatnonzero(u > table[0])
-            count = np.searchsorted(table, u[hit], side="left")
-            for j in range(int(count.max(initial=0))):
-                at = hit[count > j]
-                dart = mix(seed[at] + np.uint64((0xD1B54A32D192ED03 * (j + 1)) & 0xFFFFFFFFFFFFFFFF))
-                place = owner[new[at]] * coordinates + (dart % np.uint64(coordinates)).astype(np.int64)
-                rank = start + width * _unit(mix(dart ^ np.uint64(0xA0761D6478BD642F)))
-                # positive doubles sort like their bits; the dart's own bits settle ties
-                np.minimum.at(key, place, (rank.view(np.uint64) & ~np.uint64(0xFFFFFF)) | (dart >> np.uint64(40)))
+            _throw(key, e, o * coordinates, np.full(1, k), start, width, coordinates)
+        # beyond rank 1 each unit is a region: all of a text's regions at once
+        low, high = np.maximum(np.ceil(done), 1), np.ceil(want)
+        many = np.maximum(high - low, 0).astype(np.int64)[owner]
+        heavy = np.flatnonzero(many)
+        for at in range(0, len(heavy), 20_000):
+            some = heavy[at : at + 20_000]
+            times = many[some]
+            which = np.repeat(some, times)
+            unit = low[owner[which]] + np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+            _throw(key, elements[which], owner[which] * coordinates, unit + len(STEPS), unit, 1.0, coordinates)
         done = want
         empty = (key.reshape(n, coordinates) == ~np.uint64(0)).any(axis=1) & (weight > 0)
         want = np.where(empty, 2 * done, done)
         keep = empty[owner]
         elements, owner = elements[keep], owner[keep]
-        order = np.argsort(-want[owner], kind="stable")
-        elements, owner = elements[order], owner[order]
     return key.reshape(n, coordinates)
 
 
