@@ -1,4 +1,505 @@
-"""Every query by name, and the SQL that gives the same rows."""
+"""Every query by name, and the SQL that gives the same rows.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+The tables stand for the domain: ``events`` is a set of trajectories (run: user,
+bead: event type, frame: place in time, score: value), ``embeddings`` holds
+per-atom vectors and, in its first components, points in space, ``lineitem`` a
+descriptor matrix, ``orders`` score and error pairs, ``labels`` a binary truth.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from driftmark.functions import geometry as G
+from driftmark.operators import aggregate, evaluation, false_alarm, models, onset, perturb, select
+from driftmark.schema import flagged, time_ps
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+W, S, FRACTION, LEVEL = 10, 5, 0.5, 60.0
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(c) -> Column:
+    return F.round(c, 6)
+
+
+def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(run, bead, frame, step, score) of events."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_type").alias("bead"), "ts", F.col("event_id").alias("step"), F.col("value").alias("score"))
+    return e.withColumn("frame", (F.row_number().over(Window.partitionBy("run").orderBy("ts", "step")) - 1).cast("long"))
+
+
+TRAJECTORY = "t as (select user_id as run, event_type as bead, event_id as step, value as score, row_number() over (partition by user_id order by ts, event_id) - 1 as frame from events)"
+
+
+def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per run (event type) and day (frame): users are the beads, their first values the scores."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("run"), F.to_date("ts").alias("day"), "event_id", "user_id", "value")
+    days = e.select("run", "day").distinct().withColumn("frame", (F.row_number().over(Window.partitionBy("run").orderBy("day")) - 1).cast("long"))
+    first = e.groupBy("run", "day", F.col("user_id").alias("bead")).agg(F.min_by("value", "event_id").alias("score"))
+    return first.join(F.broadcast(days), ["run", "day"]).select("run", "bead", "frame", F.datediff("day", F.lit("2000-01-01")).cast("long").alias("step"), "score")
+
+
+DAILY = """
+e as (select event_type as run, cast(ts as date) as day, event_id, user_id, value from events),
+days as (select run, day, row_number() over (partition by run order by day) - 1 as frame from (select distinct run, day from e)),
+d as (select e.run, user_id as bead, frame, date_diff('day', date '2000-01-01', day) as step, arg_min(value, event_id) as score from e join days using (run, day) group by all),
+steps as (select run, frame, min(step) as step, max(score) as bead_max, quantile_cont(score, 0.95) as bead_p95, sum(case when score > 60 then 1 else 0 end) / cast(count(*) as double) as bead_frac_ood, avg(score) as centroid_score from d group by run, frame)
+"""
+
+
+def daily_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = daily(spark, sf_dir)
+    centre = d.groupBy("run", "frame").agg(F.avg("score").alias("score"))
+    return aggregate.with_centroid(aggregate.per_step(d, LEVEL), centre, 50.0)
+
+
+def windows_sql(signals: str, fires: str, source: str = "t") -> str:
+    return f"""
+w as (select run, frame, step, count(*) over o as n, {signals} from {source} window o as (partition by run order by frame rows between current row and {W - 1} following)),
+f as (select run, min(frame) as frame from w where n = {W} and frame % {S} = 0 and {fires} group by run)
+"""
+
+
+# --- thresholds and aggregates ------------------------------------------------
+
+
+@query("select round(quantile_cont(value, 0.95), 6) as threshold from events")
+def threshold_percentile(spark, sf):
+    return table(spark, sf, "events").agg(r6(F.percentile("value", F.lit(0.95))).alias("threshold"))
+
+
+@query("select round(quantile_cont(value, 0.99), 6) as bead, round(quantile_cont(value, 0.95), 6) as centroid from events")
+def threshold_tracks(spark, sf):
+    return table(spark, sf, "events").agg(r6(F.percentile("value", F.lit(0.99))).alias("bead"), r6(F.percentile("value", F.lit(0.95))).alias("centroid"))
+
+
+@query(f"with {DAILY} select run, frame, cast(step as bigint) as step, round(bead_max, 6) as bead_max, round(bead_p95, 6) as bead_p95, round(bead_frac_ood, 6) as bead_frac_ood, round(centroid_score, 6) as centroid_score, centroid_score > 50 as centroid_ood from steps")
+def flag_fraction_by_step(spark, sf):
+    return daily_steps(spark, sf).select("run", "frame", "step", *[r6(c).alias(c) for c in ("bead_max", "bead_p95", "bead_frac_ood", "centroid_score")], "centroid_ood")
+
+
+@query("select round(avg(value), 6) as mean, round(median(value), 6) as median, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99, round(max(value), 6) as max, round(avg(case when value > 60 then 1.0 else 0.0 end), 6) as frac_ood from events")
+def score_summary(spark, sf):
+    out = aggregate.summary(table(spark, sf, "events").withColumnRenamed("value", "score"), LEVEL)
+    return out.select(*[r6(c).alias(c) for c in out.columns])
+
+
+@query(f"with {TRAJECTORY} select run, cast(min(frame) as bigint) as first_frame, arg_min(step, frame) as first_step, arg_min(bead, frame) as first_anomaly_bead_idx from t where score > 60 group by run")
+def first_flag_per_run(spark, sf):
+    return aggregate.first_flag(trajectory(spark, sf), LEVEL)
+
+
+@query(f"with {TRAJECTORY} select run, frame, step, score > 60 as ood, round(step * cast(0.2 as double) * 50 / 1000, 6) as time_ps from t where frame >= 10 and frame < 20")
+def scan_range(spark, sf):
+    t = trajectory(spark, sf).where("frame >= 10 and frame < 20")
+    return t.select("run", "frame", "step", flagged(F.col("score"), LEVEL).alias("ood"), r6(time_ps(F.col("step"), 0.2, 50)).alias("time_ps"))
+
+
+@query(f"with {TRAJECTORY}, c as (select run, bead, count(*) as n from t group by run, bead) select run, cast(min(n) as bigint) as n_frames_used, cast(count(*) as bigint) as n_beads, min(n) < max(n) as truncated_to_common_range, cast(sum(n) - min(n) * count(*) as bigint) as n_frames_dropped from c group by run")
+def frame_report(spark, sf):
+    return aggregate.frame_report(trajectory(spark, sf)).drop("frame_counts")
+
+
+def _bead_frames(spark, sf):
+    t = trajectory(spark, sf).drop("frame")
+    return t.withColumn("frame", (F.row_number().over(Window.partitionBy("run", "bead").orderBy("ts", "step")) - 1).cast("long"))
+
+
+BEADS = "b as (select user_id as run, event_type as bead, event_id as step, value as score, row_number() over (partition by user_id, event_type order by ts, event_id) - 1 as frame from events)"
+
+
+@query(f"with {BEADS}, c as (select run, bead, count(*) as n from b group by run, bead), m as (select run, min(n) as n_used from c group by run) select b.run, bead, cast(frame as bigint) as frame, step from b join m on b.run = m.run where frame < n_used")
+def trim_common_range(spark, sf):
+    return aggregate.trim_common(_bead_frames(spark, sf)).select("run", "bead", "frame", "step")
+
+
+@query(f"with {BEADS} select run, cast(frame as bigint) as frame, cast(count(distinct step) as bigint) as n_steps, arg_min(bead, step) as bead from b group by run, frame having count(distinct step) > 1")
+def step_alignment_check(spark, sf):
+    return _bead_frames(spark, sf).groupBy("run", "frame").agg(F.count_distinct("step").alias("n_steps"), F.min_by("bead", "step").alias("bead")).where("n_steps > 1")
+
+
+@query(f"with {DAILY}, emb as (select run, step, max(score) as emb_bead_max, sum(case when score > 70 then 1 else 0 end) / cast(count(*) as double) as emb_bead_frac_ood from d where step % 2 = 0 group by run, step) select steps.run, steps.frame, cast(steps.step as bigint) as step, round(emb_bead_max, 6) as emb_bead_max, round(emb_bead_frac_ood, 6) as emb_bead_frac_ood from steps left join emb on steps.run = emb.run and steps.step = emb.step")
+def embedding_left_join(spark, sf):
+    d = daily(spark, sf)
+    some = d.where("step % 2 = 0")
+    out = aggregate.with_embedding(aggregate.per_step(d, LEVEL), some, some.groupBy("run", "step").agg(F.avg("score").alias("score")), 70.0)
+    return out.select("run", "frame", "step", r6("emb_bead_max").alias("emb_bead_max"), r6("emb_bead_frac_ood").alias("emb_bead_frac_ood"))
+
+
+# --- windows -------------------------------------------------------------------
+
+
+@query(f"with {TRAJECTORY}, {windows_sql('sum(case when score > 60 then 1.0 else 0.0 end) over o as x', f'x >= {FRACTION * W} - 1e-9')} select f.run, cast(f.frame as bigint) as frame, t.step from f join t on f.run = t.run and f.frame = t.frame")
+def onset_persistent(spark, sf):
+    return onset.windowed_onset(trajectory(spark, sf), {"x": flagged(F.col("score"), LEVEL)}, W, S, FRACTION)
+
+
+@query(f"with {DAILY}, {windows_sql('sum(case when centroid_score > 50 then 1.0 else 0.0 end) over o as x', f'x >= {FRACTION * W} - 1e-9', 'steps')} select f.run, cast(f.frame as bigint) as frame, cast(s.step as bigint) as step from f join steps s on f.run = s.run and f.frame = s.frame")
+def onset_centroid(spark, sf):
+    return onset.windowed_onset(daily_steps(spark, sf), {"x": F.col("centroid_ood")}, W, S, FRACTION)
+
+
+@query(f"with {TRAJECTORY}, {windows_sql('sum(case when score > 60 then 1.0 else 0.0 end) over o as x, sum(case when score > 30 then 1.0 else 0.0 end) over o as y', f'x >= {FRACTION * W} - 1e-9 and y >= {FRACTION * W} - 1e-9')} select f.run, cast(f.frame as bigint) as frame, t.step from f join t on f.run = t.run and f.frame = t.frame")
+def onset_collective(spark, sf):
+    return onset.windowed_onset(trajectory(spark, sf), {"x": flagged(F.col("score"), LEVEL), "y": flagged(F.col("score"), 30.0)}, W, S, FRACTION)
+
+
+@query(f"with {TRAJECTORY}, s as (select run, row_number() over (partition by run order by frame) - 1 as frame, frame as at, step, score from t where step % 3 <> 0), {windows_sql('sum(case when score > 60 then 1.0 else 0.0 end) over o as x', f'x >= {FRACTION * W} - 1e-9', 's')} select f.run, cast(s.at as bigint) as frame, s.step from f join s on f.run = s.run and f.frame = s.frame")
+def onset_sparse_subset(spark, sf):
+    signal = F.when(F.col("step") % 3 != 0, flagged(F.col("score"), LEVEL).cast("double"))
+    return onset.sparse_onset(trajectory(spark, sf), signal, W, S, FRACTION)
+
+
+@query(f"""with {DAILY}, {windows_sql('sum(bead_frac_ood) over o as x, sum(case when centroid_score > 50 then 1.0 else 0.0 end) over o as y', 'true', 'steps')},
+k as (select run, min(case when x >= 2 - 1e-9 then frame end) as p, min(case when y >= 2 - 1e-9 then frame end) as c, min(case when x >= 2 - 1e-9 and y >= 2 - 1e-9 then frame end) as b from w where n = {W} and frame % {S} = 0 group by run),
+r as (select run, min(case when bead_frac_ood > 0 then frame end) as a from steps group by run)
+select r.run, cast(a as bigint) as first_bead_anomaly_frame, cast(p as bigint) as persistent_bead_anomaly_frame, cast(c as bigint) as centroid_anomaly_frame, cast(b as bigint) as collective_anomaly_frame from r left join k on r.run = k.run""")
+def onset_table(spark, sf):
+    out = onset.detect(daily_steps(spark, sf), W, S, 0.2)
+    return out.select("run", *[f"{k}_frame" for k in ("first_bead_anomaly", "persistent_bead_anomaly", "centroid_anomaly", "collective_anomaly")])
+
+
+@query(f"with {TRAJECTORY} select run, cast(case when count(*) < {W} then 0 else (count(*) - {W}) // {S} + 1 end as bigint) as n_windows from t group by run")
+def window_count(spark, sf):
+    return trajectory(spark, sf).groupBy("run").agg(F.count("*").alias("n")).select("run", onset.window_count(F.col("n"), W, S).cast("long").alias("n_windows"))
+
+
+LAG = "m as (select run, frame, score - avg(score) over (partition by run) as d from {src}), l as (select run, d, lead(d) over (partition by run order by frame) as a from m), rho as (select run, count(*) as n, avg(d * a) / nullif(avg(d * d), 0) as raw from l group by run), cut as (select run, case when n < 3 or raw is null then 0.0 else greatest(0.0, least(0.99, raw)) end as rho from rho)"
+
+
+@query(f"with {TRAJECTORY}, {LAG.format(src='t')} select run, round(rho, 6) as rho from cut")
+def lag1_autocorrelation(spark, sf):
+    return aggregate.lag1_autocorrelation(trajectory(spark, sf), "score").select("run", r6("rho").alias("rho"))
+
+
+STABLE = "st as (select run, frame, score from (select *, greatest(3, floor(count(*) over (partition by run) * cast(0.5 as double))) as n0 from t) where frame < n0)"
+
+
+@query(f"with {TRAJECTORY}, {STABLE}, {LAG.format(src='st')} select run, round(rho, 6) as rho from cut")
+def stable_segment_autocorrelation(spark, sf):
+    return aggregate.lag1_autocorrelation(aggregate.stable_segment(trajectory(spark, sf), 0.5), "score").select("run", r6("rho").alias("rho"))
+
+
+@query(f"with {TRAJECTORY}, {LAG.format(src='t')} select run, cast(greatest(1, round_even(round(500 * (1 - rho) / (1 + rho), 6), 0)) as bigint) as trials from cut")
+def effective_trials(spark, sf):
+    rho = F.col("rho")
+    return aggregate.lag1_autocorrelation(trajectory(spark, sf), "score").select("run", F.greatest(F.lit(1), F.bround(r6(F.lit(500.0) * (1 - rho) / (1 + rho)), 0)).cast("long").alias("trials"))
+
+
+CASES = ((500, 0.0, 0.2), (500, 0.4, 0.06), (500, 0.37, 0.0565), (100, 0.0, 0.1), (10, 0.0, 0.5))
+TAIL = "case when m <= 0 then 1.0 else (select sum(exp(lgamma(trials + 1) - lgamma(k + 1) - lgamma(trials - k + 1) + k * ln(0.05) + (trials - k) * ln(0.95))) from generate_series(1, 500) g(k) where k >= m and k <= trials) end"
+
+
+@query(f"with c as (select * from (values {', '.join(f'({w}, cast({r} as double), cast({f} as double))' for w, r, f in CASES)}) v(w, rho, f)), n as (select *, greatest(1, cast(round_even(w * (1 - rho) / (1 + rho), 0) as bigint)) as trials from c), p as (select *, least(greatest(cast(ceil(f * trials - 1e-9) as bigint), 1), trials) as m from n) select cast(w as bigint) as w, rho, f as fraction, cast(trials as bigint) as trials, cast(m as bigint) as needed, round(least(1.0, 100 * {TAIL}), 9) as bound from p")
+def false_alarm_bound(spark, sf):
+    rows = []
+    for w, rho, f in CASES:
+        n = false_alarm.effective_trials(w, rho)
+        rows.append((w, rho, f, n, false_alarm.flags_needed(f, n), round(false_alarm.false_alarm_bound(0.05, w, f, 100, rho), 9)))
+    return spark.createDataFrame(rows, "w long, rho double, fraction double, trials long, needed long, bound double")
+
+
+@query(f"with c as (select * from (values {', '.join(f'({w}, cast({r} as double))' for w, r, _ in CASES[:4])}) v(w, rho)), n as (select *, greatest(1, cast(round_even(w * (1 - rho) / (1 + rho), 0) as bigint)) as trials from c), p as (select n.*, m.m from n, generate_series(1, 500) m(m) where m <= trials), q as (select *, least(1.0, 100 * {TAIL}) as bound from p), b as (select w, rho, trials, min(m) as m from q where bound <= 0.01 group by all) select cast(w as bigint) as w, rho, cast(m as bigint) as needed, round(m / cast(trials as double), 9) as fraction from b")
+def budget_fraction(spark, sf):
+    rows = []
+    for w, rho, _ in CASES[:4]:
+        f, _ = false_alarm.loosest_fraction(0.01, 0.05, w, 100, rho)
+        rows.append((w, rho, round(f * false_alarm.effective_trials(w, rho)), round(f, 9)))
+    return spark.createDataFrame(rows, "w long, rho double, needed long, fraction double")
+
+
+# --- evaluation ------------------------------------------------------------------
+
+
+def labelled(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.col("n_chars").cast("double").alias("score"))
+    return d.join(table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+
+
+LABELLED = "x as (select cast(n_chars as double) as score, quality as label from documents join labels using (doc_id))"
+
+
+@query("select round(value, 6) as threshold from (select value, row_number() over (order by value desc) as k, count(*) over () as n from events) where k = least(greatest(cast(ceil((n + 1) * cast(0.05 as double)) as bigint), 1), n)")
+def conformal_threshold(spark, sf):
+    value = evaluation.conformal_threshold(table(spark, sf, "events"), 0.05, "value")
+    return spark.createDataFrame([(round(value, 6),)], "threshold double")
+
+
+@query(f"""with {LABELLED}, g as (select score, sum(label) as pos, sum(1 - label) as neg from x group by score),
+c as (select *, sum(pos) over (order by score desc) as tp, sum(neg) over (order by score desc) as fp from g)
+select round(sum(pos * (0.5 * neg) + neg * (tp - pos)) / (sum(pos) * sum(neg)), 6) as auroc, round(sum(pos * tp / cast(tp + fp as double)) / sum(pos), 6) as average_precision from c""")
+def auroc_average_precision(spark, sf):
+    out = evaluation.separation(labelled(spark, sf))
+    return out.select(*[r6(c).alias(c) for c in out.columns])
+
+
+@query(f"with {LABELLED}, n as (select score, row_number() over (order by score desc) as k, count(*) over () as m from x where label = 1), h as (select score as t from n where k = least(greatest(cast(ceil((m + 1) * cast(0.05 as double)) as bigint), 1), m)) select round(avg(case when score > t then 1.0 else 0.0 end), 6) as detection_rate, cast(count(*) as bigint) as n_abnormal from x, h where label = 0")
+def detection_rate(spark, sf):
+    x = labelled(spark, sf)
+    m = evaluation.detection_metrics(x.where("label = 1"), x.where("label = 0"), 0.05)
+    return spark.createDataFrame([(round(m["detection_rate"], 6), m["n_abnormal"])], "detection_rate double, n_abnormal long")
+
+
+ORDERS = "o as (select o_orderkey as frame, o_totalprice as score, cast(o_custkey as double) as error from orders)"
+
+
+def pairs(spark, sf):
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("frame"), F.col("o_totalprice").alias("score"), F.col("o_custkey").cast("double").alias("error"))
+
+
+@query(f"with {ORDERS}, r as (select *, rank() over (order by score) + (count(*) over (partition by score) - 1) / cast(2 as double) as rx, rank() over (order by error) + (count(*) over (partition by error) - 1) / cast(2 as double) as ry from o) select cast(count(*) as bigint) as n, round(corr(rx, ry), 6) as spearman, round(corr(score, error), 6) as pearson from r")
+def spearman_pearson(spark, sf):
+    m = evaluation.correlation(pairs(spark, sf), "score", "error")
+    return spark.createDataFrame([(m["n"], round(m["spearman"], 6), round(m["pearson"], 6))], "n long, spearman double, pearson double")
+
+
+@query(f"with {ORDERS}, b as (select *, ntile(10) over (order by score, frame) - 1 as bin from o) select cast(bin as int) as bin, cast(count(*) as bigint) as n, round(min(score), 6) as score_min, round(max(score), 6) as score_max, round(avg(error), 6) as error_mean, round(median(error), 6) as error_median, round(quantile_cont(error, 0.95), 6) as error_p95 from b group by bin")
+def error_deciles(spark, sf):
+    out = evaluation.error_bins(pairs(spark, sf), 10)
+    return out.select("bin", "n", *[r6(c).alias(c) for c in out.columns[2:]])
+
+
+@query(f"with {ORDERS}, q as (select quantile_cont(score, [0.2, 0.4, 0.6, 0.8]) as e from o), d as (select case when score >= e[4] then 4 when score >= e[3] then 3 when score >= e[2] then 2 when score >= e[1] then 1 else 0 end as bin, score from o, q) select cast(bin as int) as bin, cast(count(*) as bigint) as n, round(min(score), 6) as score_min, round(max(score), 6) as score_max from d group by bin")
+def bin_edges_digitise(spark, sf):
+    o = pairs(spark, sf)
+    edges = evaluation.bin_edges(o, 5)
+    return o.groupBy(evaluation.digitise(F.col("score"), edges).alias("bin")).agg(F.count("*").alias("n"), r6(F.min("score")).alias("score_min"), r6(F.max("score")).alias("score_max"))
+
+
+@query(f"with b as (select o_orderkey as frame, cast(o_orderkey % 7 as int) as bin from orders), n as (select bin, frame, row_number() over (partition by bin order by frame) as k from b) select bin, cast(count(*) as bigint) as n from n where k <= 5 group by bin")
+def stratified_sample(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("frame"), (F.col("o_orderkey") % 7).cast("int").alias("bin"))
+    return select.stratified(o, 5).groupBy("bin").agg(F.count("*").alias("n"))
+
+
+@query(f"with {TRAJECTORY} select run, cast(sum(case when frame % 2 = 0 then 1 else 0 end) as bigint) as calibration, cast(sum(case when frame % 2 = 0 then 0 else 1 end) as bigint) as evaluation from t group by run")
+def strided_split(spark, sf):
+    a, b = select.strided_split(trajectory(spark, sf), 0.5)
+    n = a.groupBy("run").agg(F.count("*").alias("calibration")).join(b.groupBy("run").agg(F.count("*").alias("evaluation")), "run", "full")
+    return n.select("run", F.coalesce("calibration", F.lit(0)).cast("long").alias("calibration"), F.coalesce("evaluation", F.lit(0)).cast("long").alias("evaluation"))
+
+
+# --- models ----------------------------------------------------------------------
+
+
+@query("select cast(i as int) as i, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as std from (select unnest(embedding)::double as v, generate_subscripts(embedding, 1) - 1 as i from embeddings) group by i")
+def standardise_moments(spark, sf):
+    n, mean, gram = models.moments(table(spark, sf, "embeddings").select(F.col("embedding").cast("array<double>").alias("features")))
+    rows = [(i, round(float(m), 6), round(float((g / n) ** 0.5), 6)) for i, (m, g) in enumerate(zip(mean, gram.diagonal(), strict=True))]
+    return spark.createDataFrame(rows, "i int, mean double, std double")
+
+
+@query("with e as (select embedding::double[] as v from embeddings), p as (select i.i, j.j, v[i.i + 1] as x, v[j.j + 1] as y from e, generate_series(0, 7) i(i), generate_series(0, 7) j(j)) select cast(i as int) as i, cast(j as int) as j, round(covar_samp(x, y), 6) as cov from p group by i, j")
+def covariance_matrix(spark, sf):
+    n, _, gram = models.moments(table(spark, sf, "embeddings").select(F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("features")))
+    return spark.createDataFrame([(i, j, round(float(gram[i, j]) / (n - 1), 6)) for i in range(8) for j in range(8)], "i int, j int, cov double")
+
+
+@query()
+def pca_explained_variance(spark, sf):
+    pca = models.ScalerPCA.fit(table(spark, sf, "embeddings").select(F.col("embedding").cast("array<double>").alias("features")), 0.95)
+    return spark.createDataFrame([(i, round(float(r), 6)) for i, r in enumerate(pca.ratio)], "component int, ratio double")
+
+
+LINE = "select l_orderkey, l_partkey, l_linenumber, l_quantity::double as x, l_extendedprice / 1000 as y from lineitem"
+MAHA = "sqrt(greatest(0, (syy * dx * dx - 2 * sxy * dx * dy + sxx * dy * dy) / (sxx * syy - sxy * sxy)))"
+
+
+@query(f"with l as ({LINE}), f as (select avg(x) as mx, avg(y) as my, var_samp(x) + 1e-8 as sxx, var_samp(y) + 1e-8 as syy, covar_samp(x, y) as sxy from l where l_orderkey % 2 = 0), s as (select l.*, x - mx as dx, y - my as dy, sxx, syy, sxy from l, f) select l_orderkey, l_partkey, l_linenumber, round({MAHA}, 5) as score from s")
+def mahalanobis_2d(spark, sf):
+    x = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.array(F.col("l_quantity").cast("double"), F.col("l_extendedprice") / 1000).alias("reduced"))
+    model = models.Mahalanobis.fit(x.where("l_orderkey % 2 = 0"))
+    return model.score(x).select("l_orderkey", "l_partkey", "l_linenumber", F.round("score", 5).alias("score"))
+
+
+EMB2 = "v as (select vec_id, label as atom, embedding[1]::double as x, embedding[2]::double as y from embeddings)"
+
+
+def _atoms(spark, sf):
+    return table(spark, sf, "embeddings").select(F.lit("r").alias("run"), F.lit(0).alias("bead"), F.col("vec_id").alias("step"), F.col("label").alias("atom"), F.slice(F.col("embedding").cast("array<double>"), 1, 2).alias("features"))
+
+
+@query(f"with {EMB2}, f as (select atom, avg(x) as mx, avg(y) as my, var_samp(x) + 1e-8 as sxx, var_samp(y) + 1e-8 as syy, covar_samp(x, y) as sxy from v group by atom), s as (select vec_id, v.atom, x - mx as dx, y - my as dy, sxx, syy, sxy from v join f on v.atom = f.atom) select vec_id, atom, round({MAHA}, 5) as score from s")
+def mahalanobis_per_atom(spark, sf):
+    x = _atoms(spark, sf)
+    return models.PerAtom.fit(x).score_atoms(x).select(F.col("step").alias("vec_id"), "atom", F.round("score", 5).alias("score"))
+
+
+@query(f"with {EMB2}, f as (select atom, avg(x) as mx, avg(y) as my, var_samp(x) + 1e-8 as sxx, var_samp(y) + 1e-8 as syy, covar_samp(x, y) as sxy from v group by atom), s as (select vec_id // 10 as step, x - mx as dx, y - my as dy, sxx, syy, sxy from v join f on v.atom = f.atom) select step, round(max({MAHA}), 5) as score from s group by step")
+def max_over_atoms(spark, sf):
+    x = _atoms(spark, sf)
+    return models.PerAtom.fit(x).score(x.withColumn("step", F.floor(F.col("step") / 10).cast("long"))).select("step", F.round("score", 5).alias("score"))
+
+
+# --- geometry: four points of an embedding's first twelve components -----------------
+
+
+def _points(spark, sf):
+    v = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    return v.select("vec_id", *[F.slice("e", 3 * k + 1, 3).alias(f"p{k}") for k in range(5)])
+
+
+POINTS = "e as (select vec_id, embedding::double[] as v from embeddings), p as (select vec_id, " + ", ".join(f"v[{3 * k + i + 1}] as {c}{k}" for k in range(5) for i, c in enumerate("xyz")) + " from e)"
+
+
+def _norm_sql(a: int, b: int) -> str:
+    return "sqrt(" + " + ".join(f"({c}{a} - {c}{b}) ** 2" for c in "xyz") + ")"
+
+
+@query(f"with {POINTS} select vec_id, round({_norm_sql(0, 1)}, 6) as d01, round({_norm_sql(1, 2)}, 6) as d12, round({_norm_sql(2, 3)}, 6) as d23 from p")
+def bond_lengths(spark, sf):
+    return _points(spark, sf).select("vec_id", *[r6(G.distance(F.col(f"p{i}"), F.col(f"p{i + 1}"))).alias(f"d{i}{i + 1}") for i in range(3)])
+
+
+@query(f"with {POINTS} select vec_id, round(acos(greatest(-1, least(1, ((x0 - x1) * (x2 - x1) + (y0 - y1) * (y2 - y1) + (z0 - z1) * (z2 - z1)) / ({_norm_sql(0, 1)} * {_norm_sql(2, 1)} + 1e-12)))), 6) as angle from p")
+def bond_angles(spark, sf):
+    return _points(spark, sf).select("vec_id", r6(G.angle(F.col("p0"), F.col("p1"), F.col("p2"))).alias("angle"))
+
+
+DIHEDRAL = f"""{POINTS}, b as (select vec_id, x0 - x1 as ax, y0 - y1 as ay, z0 - z1 as az, (x2 - x1) / ({_norm_sql(2, 1)} + 1e-12) as hx, (y2 - y1) / ({_norm_sql(2, 1)} + 1e-12) as hy, (z2 - z1) / ({_norm_sql(2, 1)} + 1e-12) as hz, x3 - x2 as cx, y3 - y2 as cy, z3 - z2 as cz from p),
+s as (select *, ax * hx + ay * hy + az * hz as da, cx * hx + cy * hy + cz * hz as dc from b),
+q as (select vec_id, hx, hy, hz, ax - da * hx as vx, ay - da * hy as vy, az - da * hz as vz, cx - dc * hx as wx, cy - dc * hy as wy, cz - dc * hz as wz from s),
+t as (select vec_id, atan2((hy * vz - hz * vy) * wx + (hz * vx - hx * vz) * wy + (hx * vy - hy * vx) * wz, vx * wx + vy * wy + vz * wz) as d from q)"""
+
+
+@query(f"with {DIHEDRAL} select vec_id, round(sin(d), 6) as sine, round(cos(d), 6) as cosine, round(degrees(d), 5) as degrees from t")
+def dihedrals(spark, sf):
+    d = _points(spark, sf).select("vec_id", G.dihedral(*[F.col(f"p{i}") for i in range(4)]).alias("d"))
+    return d.select("vec_id", r6(F.sin("d")).alias("sine"), r6(F.cos("d")).alias("cosine"), F.round(F.degrees("d"), 5).alias("degrees"))
+
+
+@query(f"with {DIHEDRAL}, h as (select least(cast(floor((degrees(d) + 180) / 30) as bigint), 11) as bin, count(*) as n from t group by 1) select g.bin, g.bin * 30.0::double - 180 as angle_low, g.bin * 30.0::double - 150 as angle_high, g.bin * 30.0::double - 165 as angle_centre, coalesce(n, 0) as train_count, n is not null as visited from generate_series(0, 11) g(bin) left join h on g.bin = h.bin")
+def torsion_histogram(spark, sf):
+    d = _points(spark, sf).select(F.degrees(G.dihedral(*[F.col(f"p{i}") for i in range(4)])).alias("degrees"))
+    return perturb.histogram(d, F.col("degrees"))
+
+
+RINGED = "c as (select vec_id, v.k, v.x - avg(v.x) over w as x, v.y - avg(v.y) over w as y, v.z - avg(v.z) over w as z from (select vec_id, k, e.v[3 * k + 1] as x, e.v[3 * k + 2] as y, e.v[3 * k + 3] as z from e, generate_series(0, 4) g(k)) v window w as (partition by vec_id)), m as (select vec_id, sum(x * x) as xx, sum(y * y) as yy, sum(z * z) as zz, sum(x * y) as xy, sum(x * z) as xz, sum(y * z) as yz from c group by vec_id), q as (select *, (xx + yy + zz) / 3 as q from m), s as (select *, sqrt(((xx - q) ** 2 + (yy - q) ** 2 + (zz - q) ** 2 + 2 * (xy * xy + xz * xz + yz * yz)) / 6) as p from q), d as (select *, greatest(-1, least(1, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * p * p * p))) as r from s)"
+
+
+@query(f"with {POINTS}, {RINGED} select vec_id, round(sqrt(greatest(0, q + 2 * p * cos(acos(r) / 3 + 2 * pi() / 3)) / 5), 5) as planarity from d")
+def planarity(spark, sf):
+    p = _points(spark, sf)
+    mean = [sum((F.col(f"p{k}")[i] for k in range(1, 5)), F.col("p0")[i]) / 5.0 for i in range(3)]
+    c = p.select("vec_id", *[(F.col(f"p{k}")[i] - mean[i]).alias(f"c{k}{i}") for k in range(5) for i in range(3)])
+    gram = lambda a, b: sum((F.col(f"c{k}{a}") * F.col(f"c{k}{b}") for k in range(1, 5)), F.col(f"c0{a}") * F.col(f"c0{b}"))
+    g = c.select("vec_id", *[gram(a, b).alias(n) for n, a, b in (("xx", 0, 0), ("yy", 1, 1), ("zz", 2, 2), ("xy", 0, 1), ("xz", 0, 2), ("yz", 1, 2))])
+    least = G.eigen_planarity(*[F.col(n) for n in ("xx", "yy", "zz", "xy", "xz", "yz")])
+    return g.select("vec_id", F.round(F.sqrt(F.greatest(F.lit(0.0), least) / 5.0), 5).alias("planarity"))
+
+
+PAIRS = "x as (select vec_id, i.i, j.j, sqrt((v[3 * i.i + 1] - v[3 * j.j + 1]) ** 2 + (v[3 * i.i + 2] - v[3 * j.j + 2]) ** 2 + (v[3 * i.i + 3] - v[3 * j.j + 3]) ** 2) as d from e, generate_series(0, 4) i(i), generate_series(0, 4) j(j) where i.i < j.j)"
+
+
+def _pair_table(spark, sf):
+    from driftmark.operators.chemistry import pair_distances
+
+    p = _points(spark, sf).select("vec_id", F.array(*[f"p{k}" for k in range(5)]).alias("positions"))
+    return lambda chosen: p.select("vec_id", F.explode(pair_distances(F.col("positions"), chosen)).alias("s")).select("vec_id", "s.*")
+
+
+@query(f"with {POINTS}, {PAIRS} select vec_id, cast(i as int) as i, cast(j as int) as j, round(d, 6) as d from x where j - i > 1 and d < 0.2")
+def close_contacts(spark, sf):
+    far = [(i, j) for i in range(5) for j in range(i + 2, 5)]
+    return _pair_table(spark, sf)(far).where("d < 0.2").select("vec_id", "i", "j", r6("d").alias("d"))
+
+
+@query(f"with {POINTS}, {PAIRS} select vec_id, cast(i as int) as i, cast(j as int) as j, round(d, 6) as d from x where j - i = 1 and d > 0.5")
+def broken_bonds(spark, sf):
+    return _pair_table(spark, sf)([(i, i + 1) for i in range(4)]).where("d > 0.5").select("vec_id", "i", "j", r6("d").alias("d"))
+
+
+@query(f"with {POINTS}, {PAIRS}, f as (select vec_id, max(case when (j - i = 1 and d > 0.5) or (j - i > 1 and d < 0.2) then 1.0 else 0.0 end) as flag from x group by vec_id) select round(avg(flag), 6) as flag_rate from f")
+def chem_flag_rate(spark, sf):
+    pairs_ = [(i, j) for i in range(5) for j in range(i + 1, 5)]
+    x = _pair_table(spark, sf)(pairs_).withColumn("bad", F.expr("(j - i = 1 and d > 0.5) or (j - i > 1 and d < 0.2)"))
+    return x.groupBy("vec_id").agg(F.max(F.col("bad").cast("double")).alias("f")).agg(r6(F.avg("f")).alias("flag_rate"))
+
+
+PAIRED = "a as (select vec_id, embedding::double[] as v from embeddings), z as (select a.vec_id, g.k, b.v[g.k] - a.v[g.k] as d from a join a b on b.vec_id = a.vec_id + 1, generate_series(1, 12) g(k)), n as (select vec_id, (k - 1) // 3 as atom, sqrt(sum(d * d)) as r from z group by all), x as (select vec_id, max(r) as m from n group by vec_id)"
+
+
+@query(f"with {PAIRED} select z.vec_id, round(avg(abs(d)), 6) as mae, round(sqrt(avg(d * d)), 6) as rmse, round(any_value(x.m), 6) as max from z join x on z.vec_id = x.vec_id group by z.vec_id")
+def force_error(spark, sf):
+    p = _points(spark, sf).select("vec_id", F.array("p0", "p1", "p2", "p3").alias("f"))
+    pred = p.select((F.col("vec_id") - 1).alias("vec_id"), F.col("f").alias("pred"))
+    both = p.join(pred, "vec_id")
+    return both.select("vec_id", *[r6(evaluation.force_error(F.col("f"), F.col("pred"), m)).alias(m) for m in ("mae", "rmse", "max")])
+
+
+@query("select vec_id, round(embedding[1]::double * 51.4221, 5) as fx from embeddings")
+def unit_conversion(spark, sf):
+    p = _points(spark, sf).select("vec_id", G.scaled(F.array("p0")).alias("f"))
+    return p.select("vec_id", F.round(F.col("f")[0][0], 5).alias("fx"))
+
+
+@query("select o_orderkey, cast(o_orderkey % 1000 as bigint) as step, printf('%.6f 0.000000 0.000000 %.6f %.6f 0.000000 0.000000 0.000000 %.6f', 10.0 + o_orderkey % 7, (12.0 * cos(radians(60.0 + o_orderkey % 3)))::double, (12.0 * sin(radians(60.0 + o_orderkey % 3)))::double, 14.0) as lattice from orders")
+def cell_lattice(spark, sf):
+    comment = F.format_string("# CELL(abcABC): %.1f 12.0 14.0 90.0 90.0 %.1f Step: %d Bead: 0", F.lit(10.0) + F.col("o_orderkey") % 7, F.lit(60.0) + F.col("o_orderkey") % 3, F.col("o_orderkey") % 1000)
+    o = table(spark, sf, "orders").select("o_orderkey", comment.alias("comment"))
+    tidy = F.regexp_replace(G.lattice(G.cell_of(F.col("comment"))), "-0.000000", "0.000000")
+    return o.select("o_orderkey", F.regexp_extract("comment", r"Step:\s*(\d+)", 1).cast("long").alias("step"), tidy.alias("lattice"))
+
+
+# --- selection and graphs --------------------------------------------------------------
+
+
+@query("select vec_id, round(sqrt(((embedding[1]::double - 0.1) ** 2 + (embedding[2]::double - 0.2) ** 2) / 0.09::double + ((embedding[3]::double - 0.3) ** 2 + (embedding[4]::double - 0.4) ** 2) / 0.25::double), 6) as distance from embeddings where ((embedding[1]::double - 0.1) ** 2 + (embedding[2]::double - 0.2) ** 2) / 0.09::double + ((embedding[3]::double - 0.3) ** 2 + (embedding[4]::double - 0.4) ** 2) / 0.25::double <= 1")
+def ellipse_filter(spark, sf):
+    v = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    d = v.select("vec_id", select.ellipse_distance(F.col("e"), [0.1, 0.2, 0.3, 0.4], [0.3, 0.5]).alias("distance"))
+    return d.where("distance <= 1").select("vec_id", r6("distance").alias("distance"))
+
+
+@query("with recursive v as (select vec_id, embedding::double[] as e from embeddings), d as (select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as d from v), r as (select 0 as rank, arg_max(struct_pack(vec_id, e), struct_pack(d := d, n := -vec_id)) as pick, list(struct_pack(vec_id, d)) as ds from d union all select rank + 1, (select arg_max(struct_pack(vec_id := q.vec_id, e := q.e), struct_pack(d := q.d, n := -q.vec_id)) from (select v.vec_id, v.e, least(u.d, sqrt(list_sum(list_transform(list_zip(v.e, r.pick.e), lambda x: (x[1] - x[2]) ** 2)))) as d from (select unnest(r.ds) as u) join v on v.vec_id = u.vec_id) q), (select list(struct_pack(vec_id := v.vec_id, d := least(u.d, sqrt(list_sum(list_transform(list_zip(v.e, r.pick.e), lambda x: (x[1] - x[2]) ** 2)))))) from (select unnest(r.ds) as u) join v on v.vec_id = u.vec_id) from r where rank < 9) select cast(rank as int) as rank, pick.vec_id as frame from r")
+def farthest_points(spark, sf):
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame"), F.col("embedding").cast("array<double>").alias("features"))
+    return select.farthest_points(v, [0.0] * 64, 10)
+
+
+@query("with recursive g as (select n_nationkey as a, n_regionkey + 100 as b from nation union all select n_regionkey + 100, n_nationkey from nation), r as (select a as node, a as reach, 0 as depth from (select distinct a from g) union all select r.node, g.b, depth + 1 from r join g on g.a = r.reach where depth < 2) select cast(node as bigint) as node, cast(min(reach) as bigint) as component from r group by node")
+def connected_components(spark, sf):
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("a"), (F.col("n_regionkey") + 100).cast("long").alias("b"))
+    n.createOrReplaceTempView("driftmark_edges")
+    return spark.sql("""
+        with recursive g as (select a, b from driftmark_edges union all select b, a from driftmark_edges),
+        r as (select a as node, a as reach, 0 as depth from (select distinct a from g)
+              union all select r.node, g.b, depth + 1 from r join g on g.a = r.reach where depth < 2)
+        select node, min(reach) as component from r group by node""")
+
+
+@query("select cast(l_linenumber as int) as magnitude, round(avg(case when l_returnflag = 'A' then case when l_quantity > 25 then 1.0 else 0.0 end end), 6) as A, round(avg(case when l_returnflag = 'N' then case when l_quantity > 25 then 1.0 else 0.0 end end), 6) as N, round(avg(case when l_returnflag = 'R' then case when l_quantity > 25 then 1.0 else 0.0 end end), 6) as R from lineitem group by l_linenumber")
+def distortion_pivot(spark, sf):
+    x = table(spark, sf, "lineitem").select(F.col("l_linenumber").cast("int").alias("magnitude"), "l_returnflag", (F.col("l_quantity") > 25).cast("double").alias("hit"))
+    return x.groupBy("magnitude").pivot("l_returnflag", ["A", "N", "R"]).agg(F.round(F.avg("hit"), 6))
+
+
+@query(f"with {TRAJECTORY} select run, cast(frame as bigint) as frame, step from t where frame in (0, 3, 7, 20)")
+def frame_semi_join(spark, sf):
+    t = trajectory(spark, sf)
+    return t.join(F.broadcast(spark.createDataFrame([(0,), (3,), (7,), (20,)], "frame long")), "frame", "left_semi").select("run", "frame", "step")
+
+
+@query(f"with {DAILY} select cast(count(distinct run) as bigint) as runs, round(avg(case when bead_frac_ood >= 0.2 then bead_max end), 6) as dense_mean, round(avg(case when bead_frac_ood < 0.2 then bead_max end), 6) as sparse_mean from steps")
+def slice_means(spark, sf):
+    s = daily_steps(spark, sf)
+    return s.agg(F.count_distinct("run").alias("runs"), r6(F.avg(F.when(F.col("bead_frac_ood") >= 0.2, F.col("bead_max")))).alias("dense_mean"), r6(F.avg(F.when(F.col("bead_frac_ood") < 0.2, F.col("bead_max")))).alias("sparse_mean"))
