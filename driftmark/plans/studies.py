@@ -20,7 +20,7 @@ STRETCHES = (0.05, 0.1, 0.2, 0.3, 0.5, 0.8)
 TORSION_BINS = 12
 
 
-def benchmark(spark: SparkSession, config: dict, alpha: float | None = None, split: float = 0.5, seed: int = 42) -> tuple[DataFrame, dict]:
+def benchmark(spark: SparkSession, config: dict, alpha: float | None = None, split: float = 0.5, seed: int = 42, least_fragment: int = 3) -> tuple[DataFrame, dict]:
     """Detection by kind and size of distortion: all settings are made and scored in one pass."""
     fitted = detect.fit(spark, config)
     alpha = 1 - config["threshold"]["percentile"] / 100 if alpha is None else alpha
@@ -31,7 +31,7 @@ def benchmark(spark: SparkSession, config: dict, alpha: float | None = None, spl
     normal = fitted.score(calibration).select("score").persist()
     threshold = evaluation.conformal_threshold(normal, alpha)
     train = xyz.read_extxyz(spark, config["reference"]["train"])
-    quad, coverage = perturb.gap_rich_dihedral(train, fitted.topo, TORSION_BINS)
+    quad, coverage = perturb.gap_rich_dihedral(train, fitted.topo, TORSION_BINS, least_fragment)
     slices = coverage.orderBy("bin").collect()
     settings = [("rattle", s) for s in RATTLES] + [("stretch", d) for d in STRETCHES] + [("torsion_scan", r.angle_centre, quad) for r in slices]
     made = perturb.distorted(rest, fitted.topo, settings, seed).persist()
