@@ -14,12 +14,13 @@ at least ``threshold``:
 
 1. texts with equal words collapse to the smallest id before anything else, so
    copies cost one partial aggregation, however many there are;
-2. bands of coordinates make buckets. In each bucket of two or more one member
-   leads, a star instead of all pairs, and each other member's similarity
-   to the leader is computed exactly, from all shingles of both;
-3. members that are still in another class than some co-member get a new leader,
-   until each bucket is one class or has no members left to lead: no
-   link between classes that banding found is lost;
+2. bands of coordinates make buckets. In each bucket of two or more the member
+   that meets most others leads, a star instead of all pairs, and each other
+   member's similarity to the leader is computed exactly, from all shingles of both;
+3. in buckets of more than one class, members that share too few shingles with
+   anything to be similar are let go, one by one; the others get new leaders until
+   each bucket is one class or all have led: no link between classes that
+   banding found is lost;
 4. components come from label passing with pointer jumping. Links, labels and
    shingles stay distributed; every table between rounds is in the shared folder.
 
@@ -246,6 +247,28 @@ def _links(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame
     return pairs.join(x, "a").join(y, "b").where(near).select("a", "b")
 
 
+def _reach(common: Column, sizes: Column, threshold: float) -> Column:
+    """Whether sets of ``sizes`` together can be similar enough with ``common`` elements in common."""
+    return (1 + threshold) * common + 1e-6 >= threshold * sizes
+
+
+def _able(members: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
+    """Members (band, node, rank) that some co-member could still be similar to, with size and core.
+
+    A shingle that no other member text holds cannot be shared, so the others,
+    the core, bound what a text can have in common with any of them. In a group
+    of copies with edits of their own, this rules out the remote ones one by one,
+    without a look at pairs, and loses no link.
+    """
+    some = members.select("node").distinct()
+    tokens = shingles.join(some, "node").select("node", F.explode("s").alias("t"))
+    alone = tokens.groupBy("t").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    sizes = shingles.join(some, "node").select("node", F.size("s").alias("size")).join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("core"))
+    sized = written(members.join(written(sizes, "sizes"), "node"), "sized")
+    least = sized.groupBy("band").agg(F.min("size").alias("least"))
+    return sized.join(least, "band").where(_reach(F.col("core"), F.col("size") + F.col("least"), threshold)).drop("least")
+
+
 def classes(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
     """Distinct texts (node, k1, k2, id: the smallest) and (node, label) of those that are not alone."""
     keyed = _keyed(df, text)
@@ -256,8 +279,13 @@ def classes(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, wei
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     filed = nodes.select("node", F.explode("bands").alias("band"))
     lot = F.xxhash64("band", "node")
-    heads = written(filed.groupBy("band").agg(F.min(F.struct(lot.alias("lot"), "node"))["node"].alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head"), "heads")
-    members = written(filed.join(heads, "band").select("band", "node", (F.col("node") == F.col("head")).alias("led"), "head"), "members")
+    shared = written(filed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    members = written(filed.join(shared, "band"), "members")
+    # the text that meets most others leads: in a group of edited copies that is the one nearest to their origin
+    met = members.groupBy("node").agg(F.sum("n").alias("met"))
+    members = written(members.join(met, "node").select("band", "node", F.struct("met", lot.alias("lot"), "node").alias("rank")), "members")
+    heads = written(members.groupBy("band").agg(F.max("rank")["node"].alias("head")), "heads")
+    members = written(members.join(heads, "band").select("band", "node", "rank", (F.col("node") == F.col("head")).alias("led"), "head"), "members")
     asked = members.select("node").distinct().join(nodes.select("node", "k1", "k2"), "node")
     asked = written(asked, "asked")
     if asked.count() * 48 <= BROADCAST_BYTES:
@@ -267,23 +295,27 @@ def classes(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, wei
     shingles = written(shingles, "shingles")
     links = written(_links(members.where("not led").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), shingles, threshold), "links")
     labels = components(links)
-    members, leaders = members.select("band", "node", "led"), 1
+    # what is left: buckets that hold more than one class, without the leaders, who have met all others
+    now = members.join(labels, "node", "left").select("band", "node", "rank", "led", F.coalesce("label", "node").alias("label"))
+    mixed = written(now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band"), "mixed")
+    members = written(now.where("not led").join(mixed, "band").select("band", "node", "rank"), "members")
+    members = written(_able(members, shingles, threshold), "members")
+    leaders = 1
     while True:
         leaders *= 2
-        now = members.join(labels, "node", "left").select("band", "node", "led", F.coalesce("label", "node").alias("label"))
-        lot = F.xxhash64("band", "node", F.lit(leaders))
-        free = F.when(~F.col("led"), F.struct(lot.alias("lot"), "node"))
-        mixed = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(free)["node"].alias("head"), F.sum((~F.col("led")).cast("long")).alias("n")).where("low < high and n > 1").select("band", "head", "n")
+        now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("rank")["node"].alias("head"), F.count("*").alias("n")).where("low < high").select("band", "head", "n")
         if (mixed := written(mixed, "mixed")).isEmpty():
             break
         chosen = (F.col("node") == F.col("head")) | (F.pmod(F.xxhash64("band", "node", F.lit(leaders)), F.col("n")) < leaders)
-        now = written(now.where("not led").join(mixed, "band").select("band", "node", "label", chosen.alias("leads")), "members")
-        heads = now.where("leads").select("band", F.col("node").alias("b"), F.col("label").alias("lb"))
-        pairs = now.join(heads, "band").where("label <> lb and (not leads or node < b)").select(F.col("node").alias("a"), "b").distinct()
+        now = written(now.join(mixed, "band").select("band", "node", "rank", "size", "core", "label", chosen.alias("leads")), "members")
+        heads = now.where("leads").select("band", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("sb"), F.col("core").alias("cb"))
+        able = _reach(F.least("core", "cb"), F.col("size") + F.col("sb"), threshold)
+        pairs = now.join(heads, "band").where((F.col("label") != F.col("lb")) & (~F.col("leads") | (F.col("node") < F.col("b"))) & able).select(F.col("node").alias("a"), "b").distinct()
         more = _links(pairs, shingles, threshold)
         links = written(links.union(more), "links")
         labels = components(links)
-        members = now.select("band", "node", F.col("leads").alias("led"))
+        members = now.where("not leads").select("band", "node", "rank", "size", "core")
     return nodes.select("node", "k1", "k2", "id"), labels
 
 
