@@ -44,7 +44,7 @@ KNOWN_WORDS = 600_000
 
 @dataclass(frozen=True)
 class Config:
-    sample: int = 2000  # labelled rows of each class
+    sample: int = 1200  # labelled rows of each class
     landmarks: int = 64
     shortest: int = 5
     longest: int = 9
@@ -197,7 +197,8 @@ class Sentences:
 
 def choose_landmarks(toxic: list[str], clean: list[str], config: Config) -> list[str]:
     """Strings that cover the toxic sentences and keep off the clean ones, greedily."""
-    sides = [[{normalise(w) for w in sentence_words(t)} for t in side] for side in (toxic, clean)]
+    one = {}  # a word is held once, however many sentences have it
+    sides = [[{one.setdefault(n, n) for n in map(normalise, sentence_words(t))} for t in side] for side in (toxic, clean)]
     df = [Counter(w for s in side for w in s if len(w) >= 5) for side in sides]
     nt, nc = max(1, len(toxic)), max(1, len(clean))
     telling = [w for w, n in df[0].items() if n / nt > 4 * (df[1][w] / nc) and (n >= 2 or len(w) >= config.shortest)]
@@ -210,6 +211,7 @@ def choose_landmarks(toxic: list[str], clean: list[str], config: Config) -> list
     for w in telling:
         for c in cuts(w):
             held[c] |= by_word[w]
+    by_word.clear()
     least = 2 if nt < 200 else 3
     held = defaultdict(set, {c: d for c, d in held.items() if len(d) >= least})
     bad: Counter = Counter()
@@ -254,7 +256,9 @@ def train(texts: list[str], labels: list[int], config: Config = Config()) -> Mod
     marks = choose_landmarks(toxic, clean, config)
     if not marks:
         return Model(rate=float(np.mean(labels)))
-    x = Sentences(marks).features(texts)
+    reader = Sentences(marks)
+    x = np.concatenate([reader.features(texts[at : at + 100]) for at in range(0, len(texts), 100)])
+    del reader
     # Nyström: features K(., Z) K(Z, Z)^(-1/2)
     among = Kernel(marks)
     gram = np.eye(len(marks))
