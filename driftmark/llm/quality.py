@@ -117,7 +117,8 @@ def quality(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
         (F.length(t) - F.length(F.regexp_replace(t, SYMBOLS + "+", ""))).cast("long").alias("n_symbols"),
         F.regexp_count(t, F.lit(r"!![\x20\x09-\x0D]")).cast("long").alias("n_shout"),
         measures(t).alias("__m"),
-    ).select(*[F.col(f"`{c}`") for c in held.columns], "n_symbols", "n_shout", "__m.*")
+        F.monotonically_increasing_id().alias("__row"),
+    ).select(*[F.col(f"`{c}`") for c in held.columns], "n_symbols", "n_shout", "__m.*", "__row")
     n, base = F.greatest(F.col("n_words"), F.lit(1)), (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     ratio = {
         "n_words": F.col("n_words").cast("double"),
@@ -136,4 +137,6 @@ def quality(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
             bad = bad | (ratio[r.measure] > r.high)
         failed.append(F.when(bad, F.lit(r.name)))
     m = m.withColumns({"base_failed": base, "failed_rules": F.array_compact(F.array(*failed))})
-    return m.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    # a filter on ``kept`` must not be pushed below the measures, which it would compute once for each mention;
+    # Spark pushes nothing through a projection that numbers rows, and keeps that one as long as it is used
+    return m.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0) & (F.col("__row") >= 0)).drop("__row")
