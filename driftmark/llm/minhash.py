@@ -17,10 +17,11 @@ at least ``threshold``:
 2. bands of coordinates make buckets. In each bucket of two or more the member
    that meets most others leads, a star instead of all pairs, and each other
    member's similarity to the leader is computed exactly, from all shingles of both;
-3. in buckets of more than one class, members that share too few shingles with
-   anything to be similar are let go, one by one; the others get new leaders until
-   each bucket is one class or all have led: no link between classes that
-   banding found is lost;
+3. in buckets of more than one class, shingles that few of the members hold name
+   the pairs that could be similar, and members that need such shingles are done.
+   Of the others, those outside their bucket's largest class lead, ever more at a
+   time, until each bucket is one class: no link between classes that banding
+   found is lost;
 4. components come from label passing with pointer jumping. Links, labels and
    shingles stay distributed; every table between rounds is in the shared folder.
 
@@ -50,6 +51,8 @@ COORDINATES = BANDS * ROWS
 FIRST = 2.0**-6
 #: Up to so many links, one bounded task finds the components; beyond, label passing does.
 SMALL_LINKS = 200_000
+#: A shingle of at most so many texts is rare.
+RARE = 12
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -252,21 +255,39 @@ def _reach(common: Column, sizes: Column, threshold: float) -> Column:
     return (1 + threshold) * common + 1e-6 >= threshold * sizes
 
 
-def _able(members: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
-    """Members (band, node, rank) that some co-member could still be similar to, with size and core.
+def _rare(members: DataFrame, labels: DataFrame, shingles: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b) that rare shingles speak for, and (node, size, common) of the members' texts.
 
-    A shingle that no other member text holds cannot be shared, so the others,
-    the core, bound what a text can have in common with any of them. In a group
-    of copies with edits of their own, this rules out the remote ones one by one,
-    without a look at pairs, and loses no link.
+    A shingle of 2 to ``RARE`` member texts is rare, one of more is common. Two texts
+    have at most the rare shingles that they are seen to share and the fewer of
+    their common ones in common. Pairs of different classes that share a rare
+    shingle and stay within that bound are listed; a pair that shares none can
+    only be similar if the common shingles of both suffice.
     """
-    some = members.select("node").distinct()
-    tokens = shingles.join(some, "node").select("node", F.explode("s").alias("t"))
-    alone = tokens.groupBy("t").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    sizes = shingles.join(some, "node").select("node", F.size("s").alias("size")).join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("core"))
-    sized = written(members.join(written(sizes, "sizes"), "node"), "sized")
+    some = members.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    some = written(some.join(shingles, "node").select("node", "label", F.size("s").alias("size"), "s"), "some")
+    tokens = some.select("node", "label", "size", F.explode("s").alias("t"))
+    seen = tokens.groupBy("t").agg(F.count("*").alias("c"), F.min("node").alias("node"))
+    seen = written(seen.where(F.col("c") <= RARE), "seen")
+    held = tokens.join(seen.where("c > 1").select("t"), "t").groupBy("t").agg(F.collect_list(F.struct("node", "label", "size")).alias("held"))
+    held = written(held, "held")  # at most RARE texts a shingle
+    few = seen.where("c = 1").groupBy("node").agg(F.count("*").alias("few")).union(held.select(F.explode("held.node").alias("node")).groupBy("node").agg(F.count("*").alias("few")))
+    few = few.groupBy("node").agg(F.sum("few").alias("few"))
+    sizes = written(some.select("node", "size").join(few, "node", "left").select("node", "size", (F.col("size") - F.coalesce("few", F.lit(0))).alias("common")), "sizes")
+    couples = F.flatten(F.transform("held", lambda x: F.transform(F.filter("held", lambda y: (y["node"] > x["node"]) & (y["label"] != x["label"])), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), (x["size"] + y["size"]).alias("sizes")))))
+    met = held.select(F.explode(couples).alias("p")).groupBy("p.a", "p.b", "p.sizes").agg(F.count("*").alias("n"))
+    of = lambda name: sizes.select(F.col("node").alias(name), F.col("common").alias(f"c{name}"))
+    pairs = met.join(of("a"), "a").join(of("b"), "b").where(_reach(F.col("n") + F.least("ca", "cb"), F.col("sizes"), threshold))
+    return pairs.select("a", "b"), sizes
+
+
+def _stubborn(members: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """Members (band, node, size, common) whose common shingles alone could make them similar to a co-member."""
+    sized = written(members.join(sizes, "node"), "sized")
     least = sized.groupBy("band").agg(F.min("size").alias("least"))
-    return sized.join(least, "band").where(_reach(F.col("core"), F.col("size") + F.col("least"), threshold)).drop("least")
+    # what is similar to a text is not smaller than its share of it
+    smallest = F.greatest(F.col("least"), F.ceil(threshold * F.col("size") - 1e-6))
+    return sized.join(least, "band").where(_reach(F.col("common"), F.col("size") + smallest, threshold)).drop("least")
 
 
 def classes(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -296,26 +317,30 @@ def classes(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, wei
     links = written(_links(members.where("not led").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), shingles, threshold), "links")
     labels = components(links)
     # what is left: buckets that hold more than one class, without the leaders, who have met all others
-    now = members.join(labels, "node", "left").select("band", "node", "rank", "led", F.coalesce("label", "node").alias("label"))
+    now = members.join(labels, "node", "left").select("band", "node", "led", F.coalesce("label", "node").alias("label"))
     mixed = written(now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band"), "mixed")
-    members = written(now.where("not led").join(mixed, "band").select("band", "node", "rank"), "members")
-    members = written(_able(members, shingles, threshold), "members")
+    members = written(now.where("not led").join(mixed, "band").select("band", "node"), "members")
+    pairs, sizes = _rare(members, labels, shingles, threshold)
+    links = written(links.union(_links(pairs, shingles, threshold)), "links")
+    labels = components(links)
+    members = written(_stubborn(members, sizes, threshold), "members")
     leaders = 1
     while True:
-        leaders *= 2
+        leaders *= 4
         now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("rank")["node"].alias("head"), F.count("*").alias("n")).where("low < high").select("band", "head", "n")
-        if (mixed := written(mixed, "mixed")).isEmpty():
+        # the largest class of a bucket has nothing to ask of itself: only members of the others lead
+        each = now.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"))
+        mixed = written(each.where("n > most.n").select("band", F.col("most.label").alias("most"), (F.col("n") - F.col("most.n")).alias("n")), "mixed")
+        if mixed.isEmpty():
             break
-        chosen = (F.col("node") == F.col("head")) | (F.pmod(F.xxhash64("band", "node", F.lit(leaders)), F.col("n")) < leaders)
-        now = written(now.join(mixed, "band").select("band", "node", "rank", "size", "core", "label", chosen.alias("leads")), "members")
-        heads = now.where("leads").select("band", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("sb"), F.col("core").alias("cb"))
-        able = _reach(F.least("core", "cb"), F.col("size") + F.col("sb"), threshold)
+        chosen = (F.col("label") != F.col("most")) & (F.pmod(F.xxhash64("band", "node", F.lit(leaders)), F.col("n")) < leaders)
+        now = written(now.join(mixed, "band").select("band", "node", "size", "common", "label", chosen.alias("leads")), "members")
+        heads = now.where("leads").select("band", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("sb"), F.col("common").alias("cb"))
+        able = _reach(F.least("common", "cb"), F.col("size") + F.col("sb"), threshold)
         pairs = now.join(heads, "band").where((F.col("label") != F.col("lb")) & (~F.col("leads") | (F.col("node") < F.col("b"))) & able).select(F.col("node").alias("a"), "b").distinct()
-        more = _links(pairs, shingles, threshold)
-        links = written(links.union(more), "links")
+        links = written(links.union(_links(pairs, shingles, threshold)), "links")
         labels = components(links)
-        members = now.where("not leads").select("band", "node", "rank", "size", "core")
+        members = now.where("not leads").select("band", "node", "size", "common")
     return nodes.select("node", "k1", "k2", "id"), labels
 
 
