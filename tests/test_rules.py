@@ -116,7 +116,7 @@ def test_p_values_against_integration():
 def test_autocorrelation(spark):
     rng, x = np.random.default_rng(1), [0.0]
     for e in rng.normal(size=4000):
-        x.append(0.7 * x[-1] + e)
+        x.append(float(0.7 * x[-1] + e))
     df = spark.createDataFrame([("a", k, v) for k, v in enumerate(x)] + [("b", 0, 1.0), ("b", 1, float("nan"))], "run string, frame long, centroid_score double")
     got = {r.run: r.rho for r in aggregate.lag1_autocorrelation(df).collect()}
     d = np.array(x) - np.mean(x)
