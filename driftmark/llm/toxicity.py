@@ -3,7 +3,7 @@
 A sentence is compared with a landmark string by the best of its words, where
 a word scores the gap-weighted subsequence kernel (order ``ORDER``, decay
 ``DECAY``) between it and the landmark, divided by the landmark's kernel with
-itself and cut at 1. Gaps and inserted characters only shrink the value, and
+itself, cut at 1, and dropped below ``LEAST``. Gaps and inserted characters only shrink the value, and
 whatever surrounds the landmark in the word costs nothing. Letters set apart
 by spaces are joined first, and signs within a word are left out.
 Nyström's map turns the kernel values at the landmarks into features, on which
@@ -29,6 +29,7 @@ import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ORDER, DECAY = 3, 0.5
-LEAST = 0.55
+#: Kernel values below are chance meetings of letters; two inserted characters or a replaced one in a five-letter insult stay above.
+LEAST = 0.3
 CHUNK, OVERLAP = 24, 12
 KNOWN_WORDS = 600_000
 
@@ -116,27 +118,67 @@ def string_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     raise AssertionError
 
 
-def _pairs(codes: np.ndarray, apart: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit masks of the letter pairs of each row: adjacent ones, and with ``apart`` those with a letter between."""
-    masks = [np.zeros(len(codes), np.uint64), np.zeros(len(codes), np.uint64)]
-    c = codes.astype(np.uint64)
-    for step in (1, 2)[: 1 + apart]:
-        x, y = c[:, :-step], c[:, step:]
-        for k, (p, q) in enumerate(((31, 7), (5, 13))):
-            bit = np.left_shift(np.uint64(1), (x * np.uint64(p) + y * np.uint64(q)) % np.uint64(63))
-            masks[k] |= np.bitwise_or.reduce(np.where(y != 0, bit, np.uint64(0)), axis=1)
-    return masks[0], masks[1]
-
-
 class Kernel:
-    """Kernel values of words at the landmarks, thresholded at ``LEAST``."""
+    """Kernel values of words at the landmarks, those from ``LEAST`` on."""
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
-        self.width = max(map(len, landmarks), default=1)
-        self.codes = _codes(landmarks, self.width)
+        self.codes = _codes(landmarks, max(map(len, landmarks), default=1))
         self.own = string_kernel(self.codes, self.codes) if landmarks else np.zeros(0, np.float32)
-        self.bits = _pairs(self.codes, False) if landmarks else None
+        # each triple of letters in its order that a landmark holds, with the landmarks' weights over their own values
+        self.letters = np.unique(self.codes[self.codes > 0])
+        self.base = len(self.letters) + 1
+        weights: dict[int, Counter] = defaultdict(Counter)
+        for z, mark in enumerate(landmarks):
+            c = self._places(_codes([mark], len(mark)))[0].tolist()
+            for i, j, k in combinations(range(len(c)), ORDER):
+                weights[(c[i] * self.base + c[j]) * self.base + c[k]][z] += DECAY ** (k - i + 1) / float(self.own[z])
+        self.row = np.full(self.base**ORDER, -1, np.int32)
+        self.table = np.zeros((len(weights), len(landmarks)), np.float32)
+        for n, (triple, by) in enumerate(weights.items()):
+            self.row[triple] = n
+            for z, v in by.items():
+                self.table[n, z] = v
+        # the most that a triple can add to any one landmark
+        self.most = np.r_[self.table.max(axis=1, initial=0), np.float32(0)][self.row].astype(np.float32)
+        self.pair = (self.row.reshape(self.base**2, self.base) >= 0).any(axis=1)
+
+    def _places(self, codes: np.ndarray) -> np.ndarray:
+        """The letters' places among those of the landmarks; 0 for any other."""
+        if not len(self.letters):
+            return np.zeros(codes.shape, np.int32)
+        at = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
+        return np.where(self.letters[at] == codes, at + 1, 0).astype(np.int32)
+
+    def values(self, codes: np.ndarray) -> np.ndarray:
+        """The kernel of each row of ``codes`` with each landmark over the landmark's own, nothing left out."""
+        c = self._places(codes)
+        out = np.zeros((len(c), len(self.landmarks)), np.float32)
+        width = c.shape[1]
+        decay = DECAY ** np.arange(width + 2)
+        for i, j in combinations(range(width - 1), 2):
+            two = c[:, i] * self.base + c[:, j]
+            rows = np.flatnonzero(self.pair[two])
+            if len(rows):
+                met = self.row[two[rows, None] * self.base + c[rows, j + 1 :]]
+                r, k = np.nonzero(met >= 0)
+                if len(r):
+                    step = self.table[met[r, k]] * decay[k + j + 1 - i + 1].astype(np.float32)[:, None]
+                    first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+                    out[rows[r[first]]] += np.add.reduceat(step, first, axis=0)
+        return out
+
+    def bounds(self, codes: np.ndarray) -> np.ndarray:
+        """What none of a row's values exceeds: every triple counted at the landmark it adds most to."""
+        c = self._places(codes)
+        out = np.zeros(len(c), np.float32)
+        for i, j in combinations(range(c.shape[1] - 1), 2):
+            two = c[:, i] * self.base + c[:, j]
+            rows = np.flatnonzero(self.pair[two])
+            if len(rows):
+                decay = (DECAY ** np.arange(j + 2 - i, c.shape[1] + 1 - i)).astype(np.float32)
+                out[rows] += self.most[two[rows, None] * self.base + c[rows, j + 1 :]] @ decay
+        return out
 
     def words(self, words: list[str]) -> dict[int, dict[int, float]]:
         """{word's place: {landmark: value}} for the words that reach any landmark."""
@@ -153,20 +195,14 @@ class Kernel:
         for k, w in enumerate(parts):
             groups[8 if len(w) <= 8 else 12 if len(w) <= 12 else 16 if len(w) <= 16 else CHUNK].append(k)
         for width, all_places in groups.items():
-            for at in range(0, len(all_places), 50_000):
-                places = all_places[at : at + 50_000]
+            for at in range(0, len(all_places), 10_000):
+                places = all_places[at : at + 10_000]
                 codes = _codes([parts[k] for k in places], width)
-                lack = [~bits for bits in _pairs(codes, True)]
-                for z in range(len(self.landmarks)):
-                    # a word that lacks two of the landmark's letter pairs, even with a letter between, scores 0
-                    rows = np.flatnonzero(np.bitwise_count(lack[0] & self.bits[0][z]) <= 1)
-                    rows = rows[np.bitwise_count(lack[1][rows] & self.bits[1][z]) <= 1]
-                    if len(rows):
-                        n = len(self.landmarks[z])
-                        value = string_kernel(codes[rows], np.broadcast_to(self.codes[z, :n], (len(rows), n))) / self.own[z]
-                        for r in np.flatnonzero(value >= LEAST):
-                            w = owner[places[rows[r]]]
-                            found[w][z] = max(found[w].get(z, 0.0), min(1.0, float(value[r])))
+                rows = np.flatnonzero(self.bounds(codes) >= LEAST - 1e-4)
+                value = self.values(codes[rows])
+                for r, z in zip(*map(np.ndarray.tolist, np.nonzero(value >= LEAST)), strict=True):
+                    w = owner[places[rows[r]]]
+                    found[w][z] = max(found[w].get(z, 0.0), min(1.0, float(value[r, z])))
         return found
 
 

@@ -208,3 +208,33 @@ def test_packing_query(spark, docs, empty):
     for b in {r.bin_id for r in rows}:
         texts = [by[r.doc_id] for r in rows if r.bin_id == b and by[r.doc_id]]
         assert len(texts) == len(set(texts))
+
+
+def test_toxicity_kernel_leaves_no_word_out():
+    rng = np.random.default_rng(2)
+    marks = ["<idiot>", "<trash>", "<clown>", "pathetic", "<loser>"]
+    words = ["<idxixot>", "<mxorxon>", "<txraxsh>", "<cxloxwn>", "<lxosxer>", "<id1ot>", "<tr4sh>", "<>", "<aaaaaa>", "<trashtrash>"]
+    words += ["<" + "".join(rng.choice(list("idotrashclwnpe"), int(rng.integers(3, 13)))) + ">" for _ in range(400)]
+    kernel = toxicity.Kernel(marks)
+    found = kernel.words(words)
+    for z, mark in enumerate(marks):
+        b = np.repeat(toxicity._codes([mark], len(mark)), len(words), axis=0)
+        want = toxicity.string_kernel(toxicity._codes(words, 16), b) / kernel.own[z]
+        for i, v in enumerate(want):
+            if len(words[i]) >= 5 and abs(v - toxicity.LEAST) > 1e-4:
+                assert abs(found.get(i, {}).get(z, 0.0) - (min(1.0, v) if v > toxicity.LEAST else 0.0)) < 1e-4, (words[i], mark)
+    assert all(z in found[i] for i, z in ((0, 0), (2, 1), (3, 2), (4, 4), (5, 0), (6, 1)))
+
+
+def test_toxicity_tolerates_two_inserted_and_one_replaced():
+    rng = np.random.default_rng(1)
+    plain = ["".join(rng.choice(["th", "er", "on", "an", "re", "he"], 3)) for _ in range(300)]
+    say = lambda *extra: " ".join([*rng.choice(plain, 30), *extra])
+    insults = ["idiot", "trash", "clown", "loser"]
+    texts = [say(*rng.choice(insults, 3)) for _ in range(80)] + [say() for _ in range(160)]
+    model = toxicity.train(texts, [1] * 80 + [0] * 160)
+    p = lambda *t: model.probability(toxicity.Sentences(model.landmarks).features(list(t)))
+    clean = p(*[say() for _ in range(40)])
+    assert (clean < 0.5).all()
+    for altered in (("idxixot", "txraxsh", "cxloxwn", "lxosxer"), ("id1ot", "tr4sh", "cl0wn", "lo5er")):
+        assert p(say(*altered))[0] > max(0.5, clean.max())
