@@ -314,6 +314,13 @@ def covariance_matrix(spark, sf):
     return spark.createDataFrame([(i, j, round(float(gram[i, j]) / (n - 1), 6)) for i in range(8) for j in range(8)], "i int, j int, cov double")
 
 
+@query()
+def covariance_matrix_all(spark, sf):
+    """Every pair of components; ``covariance_matrix`` is the block of the first 8, as its SQL has it."""
+    n, _, gram = models.moments(table(spark, sf, "embeddings").select(F.col("embedding").cast("array<double>").alias("features")))
+    return spark.createDataFrame([(i, j, round(float(v) / (n - 1), 6)) for i, row in enumerate(gram) for j, v in enumerate(row)], "i int, j int, cov double")
+
+
 @query()
 def pca_explained_variance(spark, sf):
     pca = models.ScalerPCA.fit(table(spark, sf, "embeddings").select(F.col("embedding").cast("array<double>").alias("features")), 0.95)

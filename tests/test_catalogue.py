@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -41,3 +42,11 @@ def test_entry_has_rows(spark):
 def test_explained_variance_falls(spark, sf):
     ratio = [r.ratio for r in catalogue.QUERIES["pca_explained_variance"](spark, sf).orderBy("component").collect()]
     assert ratio == sorted(ratio, reverse=True) and 0.95 <= sum(ratio) + 1e-4 <= 1.0001
+
+
+def test_covariance_of_all_components(spark, sf):
+    x = np.array([r.embedding for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("embedding").collect()], float)
+    got = {(r.i, r.j): r.cov for r in catalogue.QUERIES["covariance_matrix_all"](spark, sf).collect()}
+    want = np.cov(x, rowvar=False)
+    assert len(got) == x.shape[1] ** 2 and all(abs(got[i, j] - v) < 2e-6 for (i, j), v in np.ndenumerate(want))
+    assert all(got[r.i, r.j] == r.cov for r in catalogue.QUERIES["covariance_matrix"](spark, sf).collect())
