@@ -355,6 +355,18 @@ def near_duplicates(df: DataFrame, text: str = "text", threshold: float = THRESH
     )
 
 
+def with_cluster(df: DataFrame, columns: list[Column], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``columns`` of each row of ``df`` and ``cluster``: one number for each near-duplicate class, the least word hash in it; null without words."""
+    nodes, labels = classes(df, text, threshold)
+    named = nodes.join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("label"))
+    least = named.groupBy("label").agg(F.min("k1").alias("cluster"))
+    named = written(named.join(least, "label").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "cluster"), "clusters")
+    h = F.transform(words_of(text_of(df, text)), lambda w: F.xxhash64(w))
+    rows = df.select(*columns, h.alias("__h"))
+    rows = rows.withColumns({"__k1": F.when(F.size("__h") > 0, F.xxhash64("__h")), "__k2": F.when(F.size("__h") > 0, F.xxhash64(F.lit(7), "__h", F.size("__h")))}).drop("__h")
+    return rows.join(named, ["__k1", "__k2"], "left").drop("__k1", "__k2")
+
+
 def deduplicate(df: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``df`` with one row of each class left: that of the smallest id; texts without words all stay."""
     nodes, labels = classes(df, text, threshold)

@@ -8,7 +8,8 @@ residual until a compatible bin is found or a new one is opened.
 
 Documents are dealt to shards by a hash of their id and rank, so neither a hot
 source nor a large cluster lands in one task, and only ids, sizes and keys are
-shuffled, never texts. The number of shards follows the number of documents;
+shuffled, never texts. The clusters of documents are the near-duplicate classes
+of ``minhash``. The number of shards follows the number of documents;
 bins never cross shards.
 
 Edge cases: a document longer than a bin fills whole bins of its own and its
@@ -26,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftmark.llm.common import text_of
+from driftmark.llm import minhash
+from driftmark.llm.common import text_of, written
 
 CAPACITY = 16384
 SHARD_ROWS = 8192
@@ -152,6 +154,8 @@ def pack(df: DataFrame, doc_id: Column, size: Column, source: Column, cluster: C
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Documents by the bytes of their texts; equal texts are one cluster."""
+    """Documents by the bytes of their texts; near duplicates are one cluster, and so are equal texts without words."""
     t = text_of(docs)
-    return pack(docs, docs["doc_id"], F.octet_length(t), docs["source"], F.when(F.length(t) > 0, F.xxhash64(t)), capacity)
+    columns = [docs["doc_id"].alias("doc_id"), F.octet_length(t).alias("size"), docs["source"].alias("source"), F.when(F.length(t) > 0, F.xxhash64(t)).alias("equal")]
+    rows = written(minhash.with_cluster(docs, columns), "clustered")
+    return pack(rows, rows["doc_id"], rows["size"], rows["source"], F.coalesce(rows["cluster"], rows["equal"]), capacity)

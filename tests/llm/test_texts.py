@@ -238,3 +238,12 @@ def test_toxicity_tolerates_two_inserted_and_one_replaced():
     assert (clean < 0.5).all()
     for altered in (("idxixot", "txraxsh", "cxloxwn", "lxosxer"), ("id1ot", "tr4sh", "cl0wn", "lo5er")):
         assert p(say(*altered))[0] > max(0.5, clean.max())
+
+
+def test_packing_keeps_near_copies_apart(spark):
+    base = [f"t{i}" for i in range(60)]
+    texts = [" ".join([*base[:k], f"e{k}", *base[k + 1 :]]) for k in (0, 59)] + [" ".join(base), "  ".join(base), "one two", "one  two"]
+    df = spark.createDataFrame([(i, t, f"s{i}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    rows = packing.pack_documents(df).collect()
+    by = {r.doc_id: r.bin_id for r in rows}
+    assert len(rows) == len(texts) and len({by[i] for i in range(4)}) == 4 and by[4] != by[5]
