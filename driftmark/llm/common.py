@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space that separates words: space and the ASCII controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -28,7 +29,38 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def text_of(df: DataFrame, name: str = "text") -> Column:
-    return F.coalesce(df[name].cast("string"), F.lit(""))
+    return F.coalesce(column(df, name).cast("string"), F.lit(""))
+
+
+def column(df: DataFrame, name: str) -> Column:
+    """A column by its whole name, whatever signs the name holds."""
+    return df[f"`{name.replace('`', '``')}`"]
+
+
+def columns(df: DataFrame, names: list[str] | None = None) -> list[Column]:
+    return [column(df, c) for c in (df.columns if names is None else names)]
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns, lengthened until ``df`` has none like them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def mapped(rows: DataFrame, function, *added: T.StructField) -> DataFrame:
+    """``rows`` without their last column, and the columns that ``function`` of Arrow batches puts there.
+
+    Columns travel under names of their place: a map over batches can't resolve names with dots.
+    """
+    names = rows.columns[:-1]
+    safe = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
+    out = safe.mapInArrow(function, T.StructType([*safe.schema.fields[:-1], *added]))
+    return out.toDF(*names, *[f.name for f in added])
 
 
 def words_of(text: Column) -> Column:

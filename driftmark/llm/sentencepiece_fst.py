@@ -37,6 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftmark.llm.common import column, columns, free, mapped
+
 MARK = "▁"
 KNOWN_CUTS = 500_000
 PAIR_SLOTS = 1 << 21
@@ -283,23 +285,21 @@ def _decoder(model: tuple):
 
 def encode(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     """``df`` with ``ids``."""
-    rows = df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() != "ids"], df[f"`{text}`"].cast("string").alias("__text"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
-    return rows.mapInArrow(_encoder(read_model(model_path)), schema)
+    rows = df.select(*columns(df, [c for c in df.columns if c.lower() != "ids"]), column(df, text).cast("string").alias(free(df, "text")[0]))
+    return mapped(rows, _encoder(read_model(model_path)), T.StructField("ids", T.ArrayType(T.IntegerType(), False)))
 
 
 def decode(df: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
     """``df`` with ``decoded``."""
-    rows = df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() != "decoded"], df[f"`{ids}`"].cast("array<int>").alias("__ids"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("decoded", T.StringType())])
-    return rows.mapInArrow(_decoder(read_model(model_path)), schema)
+    rows = df.select(*columns(df, [c for c in df.columns if c.lower() != "decoded"]), column(df, ids).cast("array<int>").alias(free(df, "ids")[0]))
+    return mapped(rows, _decoder(read_model(model_path)), T.StructField("decoded", T.StringType()))
 
 
 def round_trip(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     """``df`` without the text, with ``ids``, ``n_tokens`` and whether decoding gives the text back."""
     model = read_model(model_path)
     held = [c for c in df.columns if c.lower() not in ("ids", "n_tokens", "same", text.lower())]
-    rows = df.select(*[df[f"`{c}`"] for c in held], df[f"`{text}`"].cast("string").alias("__text"))
+    rows = df.select(*columns(df, held), column(df, text).cast("string").alias(free(df, "text")[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst, encoder = _lexicon(model), _encoder(model)
@@ -312,5 +312,5 @@ def round_trip(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
                 same = [None if t is None else fst.decode(values[a:b]) == t.replace(MARK, " ") for a, b, t in zip(offsets[:-1], offsets[1:], texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(same, pa.bool_())], names=[*part.schema.names, "same"])
 
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("same", T.BooleanType())])
-    return rows.mapInArrow(run, schema).withColumn("n_tokens", F.size("ids"))
+    out = mapped(rows, run, T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("same", T.BooleanType()))
+    return out.withColumn("n_tokens", F.size("ids"))
