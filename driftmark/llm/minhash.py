@@ -1,13 +1,20 @@
 """Near duplicates: dart-throwing weighted MinHash, banding, exact verification.
 
-A text is a set (or, weighted, a multiset) of five-word shingles. Each shingle
+A text is a multiset of five-word shingles (or, with ``weighted=False``, a set);
+a shingle's weight is how often the text holds it. Each shingle
 owns a Poisson process of darts on the plane of weight and rank, fixed by
 hashes of the shingle alone: unit-wide strips of weight, each cut into regions
 of doubling rank that hold Poisson-many darts. A text throws the darts of its
 elements' weights, each dart falls on one of ``COORDINATES`` coordinates, and
 the earliest of each coordinate is kept. A long text looks at few regions of
 each shingle, so its cost is about one hash a shingle. Two texts agree on a
-coordinate with the probability of their (weighted) Jaccard similarity.
+coordinate with the probability of their weighted Jaccard similarity, and that
+same similarity, over all strips of both texts, decides each link.
+
+Texts are read once, in Arrow batches: words are cut and hashed in arrays over
+the bytes, and what later steps need of a row (its id, two hashes of all its
+words, its bands) is written. Only texts that meet another are read again, one
+copy each.
 
 Classes are the connected components of the texts linked by a similarity of
 at least ``threshold``:
@@ -16,7 +23,7 @@ at least ``threshold``:
    copies cost one partial aggregation, however many there are;
 2. bands of coordinates make buckets. In each bucket of two or more the member
    that meets most others leads, a star instead of all pairs, and each other
-   member's similarity to the leader is computed exactly, from all shingles of both;
+   member's similarity to the leader is computed exactly, from all strips of both;
 3. in buckets of more than one class, shingles that few of the members hold name
    the pairs that could be similar, and members that need such shingles are done.
    Of the others, those outside their bucket's largest class lead, ever more at a
@@ -29,7 +36,8 @@ Edge cases: a null or blank text has no words and is a class of its own; a text
 of one to four words is one shingle, so only copies meet it; rows that repeat an
 id are all kept, in the class of their text; rows of null id are compared too
 (the class of copies is the smallest id there is, null if there is none);
-extra columns are not read, except by ``deduplicate``, which passes all through.
+extra columns are not read, except by ``deduplicate``, which passes all through,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -38,10 +46,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from driftmark.llm.common import BROADCAST_BYTES, let, text_of, words_of, written
+from driftmark.llm.common import BROADCAST_BYTES, column, free, mapped, text_of, written
+from driftmark.llm.common import columns as columns_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -136,8 +147,75 @@ def signatures(elements: np.ndarray, owner: np.ndarray, n: int, coordinates: int
     return key.reshape(n, coordinates)
 
 
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_PLACES = 64
+_BYTES = mix(np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(_PLACES, 256)
+#: Bytes of text whose words are hashed at a time.
+PIECE = 2 << 20
+
+
+def _piece_hashes(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first bytes of the words of ``data``; a word ends at white space and before each of ``begins``."""
+    gap = _SPACE[data]
+    first = np.empty(len(data), bool)
+    first[:1] = True
+    first[1:] = gap[:-1]
+    first[begins] = True
+    first &= ~gap
+    at = np.flatnonzero(~gap)
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts
+    head = np.flatnonzero(first[at])
+    size = np.diff(np.r_[head, len(at)])
+    place = at - np.repeat(starts, size)
+    term = _BYTES[place & (_PLACES - 1), data[at]]
+    if size.max() > _PLACES:
+        term ^= (place >> 6).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return mix(np.add.reduceat(term, head) + size.astype(np.uint64)), starts
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, and where each text's words begin."""
+    texts = texts.fill_null("")
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = texts.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    hashes, starts, at = [], [], 0
+    while at < len(data):
+        to = min(len(data), at + PIECE)
+        while to < len(data) and not _SPACE[data[to]]:  # a piece ends where a word does
+            to += 1
+        lo, hi = np.searchsorted(offsets, [at, to])
+        h, first = _piece_hashes(data[at:to], offsets[lo:hi] - at)
+        hashes.append(h)
+        starts.append(first + at)
+        at = to
+    starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.searchsorted(starts, offsets)
+
+
+def text_keys(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each text's whole sequence of words."""
+    size = np.diff(offsets)
+    place = (np.arange(len(hashes)) - np.repeat(offsets[:-1], size)).astype(np.uint64)
+    out = []
+    for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        total = np.r_[np.uint64(0), np.cumsum(mix(hashes + place * np.uint64(odd)), dtype=np.uint64)]
+        out.append(mix(total[offsets[1:]] - total[offsets[:-1]] + size.astype(np.uint64) * np.uint64(odd)).view(np.int64))
+    return out[0], out[1]
+
+
 def shingle_hashes(hashes: np.ndarray, offsets: np.ndarray, weighted: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Elements and owners of texts given as runs of word hashes."""
+    """Elements and owners of texts given as runs of word hashes.
+
+    Weighted, the n-th strip of a shingle's weight is an element of its own, so a
+    text has as many elements as shingles and none twice.
+    """
     size = np.diff(offsets)
     n = len(size)
     h = mix(hashes.view(np.uint64))
@@ -149,16 +227,22 @@ def shingle_hashes(hashes: np.ndarray, offsets: np.ndarray, weighted: bool = Fal
     owner = owner_of_word[starts]
     e = np.zeros(len(starts), np.uint64)
     for j in range(SHINGLE):
-        inside = j < span[owner]
         nxt = mix(e * np.uint64(0x9E3779B97F4A7C15) + h[np.minimum(starts + j, total - 1)] + np.uint64(j + 1)) if total else e
-        e = np.where(inside, nxt, e)
-    if weighted and len(e):  # the strip of each repeat of a shingle is an element of its own
-        order = np.lexsort((e, owner))
-        same = np.r_[False, (e[order][1:] == e[order][:-1]) & (owner[order][1:] == owner[order][:-1])]
-        run = np.arange(len(e)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(e))))
-        strip = np.empty(len(e), np.uint64)
-        strip[order] = run.astype(np.uint64)
-        e = np.where(strip > 0, mix(e + strip * np.uint64(0xC2B2AE3D27D4EB4F)), e)
+        e = nxt if (span >= SHINGLE).all() else np.where(j < span[owner], nxt, e)
+    if weighted and len(e):
+        key = mix(e + owner.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        order = np.sort(key)
+        twice = np.unique(order[1:][order[1:] == order[:-1]])
+        if len(twice):
+            near = np.minimum(np.searchsorted(twice, key), len(twice) - 1)
+            some = np.flatnonzero(twice[near] == key)
+            rank = np.lexsort((some, key[some]))
+            k = key[some][rank]
+            same = np.r_[False, k[1:] == k[:-1]]
+            run = np.arange(len(k)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(k))))
+            strip = np.empty(len(k), np.uint64)
+            strip[rank] = run.astype(np.uint64)
+            e[some] = np.where(strip > 0, mix(e[some] + strip * np.uint64(0xC2B2AE3D27D4EB4F)), e[some])
     return e, owner
 
 
@@ -169,41 +253,65 @@ def band_hashes(key: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nda
     return mix(out + np.arange(1, bands + 1, dtype=np.uint64)).view(np.int64)
 
 
+def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``PIECE`` bytes; a longer text is a run of its own."""
+    size = np.cumsum(np.r_[0, pc.binary_length(texts.fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64)])
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, min(len(texts), at + 4000, int(np.searchsorted(size, size[at] + PIECE, side="right")) - 1))
+        yield at, to
+        at = to
+
+
+def _lists(values: np.ndarray, count: np.ndarray, null: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), pa.array(values), mask=pa.array(null))
+
+
 def _sign(weighted: bool):
+    """The last column, a text, gives k1, k2 and bands: null for texts without words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = batch.column(batch.num_columns - 1)
-            offsets = np.asarray(words.offsets, np.int64)
-            values = np.asarray(words.values)
-            at = 0
-            while at < batch.num_rows:  # about a quarter of a million words at a time
-                to = max(at + 1, min(batch.num_rows, at + 2000, int(np.searchsorted(offsets, offsets[at] + 250_000, side="right")) - 1))
-                own = offsets[at : to + 1]
-                e, owner = shingle_hashes(values[own[0] : own[-1]], own - own[0], weighted)
-                bands = band_hashes(signatures(e, owner, to - at))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, to - at) for c in batch.columns[:-1]), lists], names=[*batch.schema.names[:-1], "bands"])
-                at = to
+            texts = batch.column(batch.num_columns - 1)
+            for at, to in _parts(texts):
+                h, offsets = word_hashes(texts.slice(at, to - at))
+                k1, k2 = text_keys(h, offsets)
+                e, owner = shingle_hashes(h, offsets, weighted)
+                null = np.diff(offsets) == 0
+                bands = band_hashes(signatures(e, owner, to - at))[~null]
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.slice(at, to - at) for c in batch.columns[:-1]), pa.array(k1, mask=null), pa.array(k2, mask=null), _lists(bands.reshape(-1), np.where(null, 0, BANDS), null)],
+                    names=[*batch.schema.names[:-1], "k1", "k2", "bands"],
+                )
 
     return run
 
 
-def _keyed(df: DataFrame, text: str) -> DataFrame:
-    """id, the word hashes, and two hashes of all words; null keys for texts without words."""
-    return df.select(df["doc_id"].cast("long").alias("id"), F.transform(words_of(text_of(df, text)), lambda w: F.xxhash64(w)).alias("h")).select(
-        "id", F.when(F.size("h") > 0, F.xxhash64("h")).alias("k1"), F.when(F.size("h") > 0, F.xxhash64(F.lit(7), "h", F.size("h"))).alias("k2"), "h"
-    )
+def _elements(weighted: bool):
+    """The last column, a text, gives k1, k2 and the elements that similarity counts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            for at, to in _parts(texts):
+                h, offsets = word_hashes(texts.slice(at, to - at))
+                k1, k2 = text_keys(h, offsets)
+                e, owner = shingle_hashes(h, offsets, weighted)
+                if not weighted and len(e):
+                    order = np.lexsort((e, owner))
+                    e, owner = e[order], owner[order]
+                    new = np.r_[True, (e[1:] != e[:-1]) | (owner[1:] != owner[:-1])]
+                    e, owner = e[new], owner[new]
+                null = np.diff(offsets) == 0
+                lists = _lists(e.view(np.int64), np.bincount(owner, minlength=to - at), null)
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, to - at) for c in batch.columns[:-1]), pa.array(k1, mask=null), pa.array(k2, mask=null), lists], names=[*batch.schema.names[:-1], "k1", "k2", "s"])
 
-def _shingles(h: Column) -> Column:
-    """The distinct shingles of word hashes, in SQL."""
-    pairs = lambda x, y, apart: F.zip_with(x, F.slice(y, apart + 1, F.size(y)), lambda a, b: F.xxhash64(a, b))
+    return run
 
-    def of(w: Column) -> Column:
-        five = let(pairs(w, w, 1), lambda two: let(pairs(two, two, 2), lambda four: F.slice(pairs(four, w, 4), 1, F.size(w) - (SHINGLE - 1))))
-        return F.when(F.size(w) < SHINGLE, F.array(F.xxhash64(w))).otherwise(F.array_distinct(five))
 
-    return let(h, of)
+def _mapped(rows: DataFrame, function, last: str) -> DataFrame:
+    """``rows``, whose last column is a text, with k1, k2 and the list ``last`` instead of it."""
+    return mapped(rows, function, T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField(last, T.ArrayType(T.LongType())))
 
 
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +350,7 @@ def components(links: DataFrame, small: int = SMALL_LINKS) -> DataFrame:
 
 
 def _links(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar enough, from all shingles of both."""
+    """The pairs (a, b) that are similar enough, from all elements of both."""
     x, y = shingles.select(F.col("node").alias("a"), F.col("s").alias("x")), shingles.select(F.col("node").alias("b"), F.col("s").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     # sizes alone rule out most unlike pairs before any set is built
@@ -290,13 +398,13 @@ def _stubborn(members: DataFrame, sizes: DataFrame, threshold: float) -> DataFra
     return sized.join(least, "band").where(_reach(F.col("common"), F.col("size") + smallest, threshold)).drop("least")
 
 
-def classes(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, weighted: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Distinct texts (node, k1, k2, id: the smallest) and (node, label) of those that are not alone."""
-    keyed = _keyed(df, text)
-    schema = "id long, k1 long, k2 long, bands array<long>"
-    signed = keyed.where("k1 is not null").select("id", "k1", "k2", "h").mapInArrow(_sign(weighted), schema)
+def classes(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, weighted: bool = True, carry: list[Column] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (carry, id, k1, k2), distinct texts (node, k1, k2, id: the smallest, n: their rows) and (node, label) of those that are not alone."""
+    number = column(df, "doc_id").cast("long").alias("id")
+    signed = _mapped(df.select(*(carry or []), number, text_of(df, text).alias("text")), _sign(weighted), "bands")
+    signed = written(signed, "signed")
     # equal texts have equal bands: any of them will do
-    nodes = signed.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
+    nodes = signed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("bands").alias("bands"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     filed = nodes.select("node", F.explode("bands").alias("band"))
     lot = F.xxhash64("band", "node")
@@ -307,12 +415,14 @@ def classes(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, wei
     members = written(members.join(met, "node").select("band", "node", F.struct("met", lot.alias("lot"), "node").alias("rank")), "members")
     heads = written(members.groupBy("band").agg(F.max("rank")["node"].alias("head")), "heads")
     members = written(members.join(heads, "band").select("band", "node", "rank", (F.col("node") == F.col("head")).alias("led"), "head"), "members")
-    asked = members.select("node").distinct().join(nodes.select("node", "k1", "k2"), "node")
+    asked = members.select("node").distinct().join(nodes.select("node", "k1", "k2", "id"), "node")
     asked = written(asked, "asked")
-    if asked.count() * 48 <= BROADCAST_BYTES:
-        asked = F.broadcast(asked)
-    # one copy of each text is enough; copies meet in the partial aggregation
-    shingles = keyed.join(asked, ["k1", "k2"]).select("node", _shingles(F.col("h")).alias("s")).groupBy("node").agg(F.first("s").alias("s"))
+    hint = F.broadcast if asked.count() * 64 <= BROADCAST_BYTES else lambda x: x
+    # one copy of each text is read again, by its smallest id; other texts of that id fall to the keys
+    reread = df.select(number, text_of(df, text).alias("text"))
+    ids = asked.select(F.col("id").alias("asked")).distinct()
+    reread = reread.join(hint(ids), F.col("id").eqNullSafe(F.col("asked")), "left_semi").select("text")
+    shingles = _mapped(reread, _elements(weighted), "s").join(hint(asked.select("node", "k1", "k2")), ["k1", "k2"]).groupBy("node").agg(F.first("s").alias("s"))
     shingles = written(shingles, "shingles")
     links = written(_links(members.where("not led").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), shingles, threshold), "links")
     labels = components(links)
@@ -341,41 +451,72 @@ def classes(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, wei
         links = written(links.union(_links(pairs, shingles, threshold)), "links")
         labels = components(links)
         members = now.where("not leads").select("band", "node", "size", "common")
-    return nodes.select("node", "k1", "k2", "id"), labels
+    return signed.drop("bands"), nodes.select("node", "k1", "k2", "id", "n"), labels
 
 
-def near_duplicates(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
+def _named(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, k1, k2, id) of the texts that are not alone: copied ones, or linked ones."""
+    return nodes.join(labels, "node", "left").where("label is not null or n > 1").select("k1", "k2", "id", F.coalesce("label", "node").alias("label"))
+
+
+def near_duplicates(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, weighted: bool = True) -> DataFrame:
     """One row for each row of ``df``: doc_id, class_id (the class's smallest id), class_texts (its distinct texts)."""
-    nodes, labels = classes(df, text, threshold, weighted)
-    named = nodes.join(labels, "node", "left").select("k1", "k2", "id", F.coalesce("label", "node").alias("label"))
+    signed, nodes, labels = classes(df, text, threshold, weighted)
+    named = written(_named(nodes, labels), "named")
     least = named.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("class_texts"))
     named = written(named.join(least, "label").select("k1", "k2", "class_id", "class_texts"), "classes")
-    return _keyed(df, text).select("id", "k1", "k2").join(named, ["k1", "k2"], "left").select(
-        F.col("id").alias("doc_id"), F.when(F.col("k1").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_texts", F.lit(1).cast("long")).alias("class_texts")
+    alone = F.col("class_texts").isNull()
+    return signed.join(named, ["k1", "k2"], "left").select(
+        F.col("id").alias("doc_id"), F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_texts", F.lit(1).cast("long")).alias("class_texts")
     )
 
 
-def with_cluster(df: DataFrame, columns: list[Column], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``columns`` of each row of ``df`` and ``cluster``: one number for each near-duplicate class, the least word hash in it; null without words."""
-    nodes, labels = classes(df, text, threshold)
-    named = nodes.join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("label"))
+def with_cluster(df: DataFrame, columns: list[Column], text: str = "text", threshold: float = THRESHOLD, weighted: bool = True) -> DataFrame:
+    """``columns`` of each row of ``df`` and ``cluster``: one number for each near-duplicate class, the least word hash in it; null without words.
+
+    The columns ride along when the texts are read, and may not be called id, k1, k2, bands or cluster.
+    """
+    signed, nodes, labels = classes(df, text, threshold, weighted, columns)
+    named = written(_named(nodes, labels), "named")
     least = named.groupBy("label").agg(F.min("k1").alias("cluster"))
-    named = written(named.join(least, "label").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "cluster"), "clusters")
-    h = F.transform(words_of(text_of(df, text)), lambda w: F.xxhash64(w))
-    rows = df.select(*columns, h.alias("__h"))
-    rows = rows.withColumns({"__k1": F.when(F.size("__h") > 0, F.xxhash64("__h")), "__k2": F.when(F.size("__h") > 0, F.xxhash64(F.lit(7), "__h", F.size("__h")))}).drop("__h")
-    return rows.join(named, ["__k1", "__k2"], "left").drop("__k1", "__k2")
+    named = written(named.join(least, "label").select("k1", "k2", "cluster"), "clusters")
+    out = signed.join(named, ["k1", "k2"], "left").withColumn("cluster", F.coalesce("cluster", "k1"))
+    return out.drop("id", "k1", "k2")
+
 
+def deduplicate(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, weighted: bool = True) -> DataFrame:
+    """``df`` with one row of each class left: that of the smallest id; texts without words all stay.
 
-def deduplicate(df: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``df`` with one row of each class left: that of the smallest id; texts without words all stay."""
-    nodes, labels = classes(df, text, threshold)
+    A row whose id no other row has is found by its id alone. Ids that rows share
+    (and null) say too little; of those rows the texts are hashed again.
+    """
+    signed, nodes, labels = classes(df, text, threshold, weighted)
     named = nodes.join(labels, "node", "left").select("k1", "k2", "id", F.coalesce("label", "node").alias("label"))
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")
-    kept = named.groupBy("label").agg(F.min(order).alias("best")).select("best.*")
-    kept = written(kept.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.coalesce("id", F.lit(0)).alias("__id"), F.col("none").alias("__none")), "kept")
-    rows = df.withColumns({"__h": F.transform(words_of(text_of(df, text)), lambda w: F.xxhash64(w)), "__id": F.coalesce(df["doc_id"].cast("long"), F.lit(0)), "__none": df["doc_id"].isNull()})
-    rows = rows.withColumns({"__k1": F.when(F.size("__h") > 0, F.xxhash64("__h")), "__k2": F.when(F.size("__h") > 0, F.xxhash64(F.lit(7), "__h", F.size("__h")))}).drop("__h")
-    keys = ["__k1", "__k2", "__id", "__none"]
-    left = rows.join(kept, keys, "left_semi").dropDuplicates(keys)
-    return left.unionByName(rows.where("__k1 is null")).select(*[F.col(f"`{c}`") for c in df.columns])
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2"))
+    kept = written(named.groupBy("label").agg(best.alias("best")).select("best.id", "best.k1", "best.k2"), "kept")
+    shared = written(signed.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").select("id"), "shared")
+    lone = kept.select("id").unionByName(signed.where("k1 is null").select("id")).where("id is not null").join(shared, "id", "left_anti")
+    lone = written(lone.select(F.col("id").alias("kept_id")), "lone")
+    hint = F.broadcast if lone.count() * 16 <= BROADCAST_BYTES else lambda x: x
+    number = column(df, "doc_id").cast("long")
+    out = df.join(hint(lone), number == F.col("kept_id"), "left_semi")
+    if shared.isEmpty():
+        return out
+    place, k1, k2, held, t = free(df, "place", "k1", "k2", "held", "text_again")
+    rows = df.join(shared.select(F.col("id").alias("shared_id")), number.eqNullSafe(F.col("shared_id")), "left_semi")
+    rows = rows.select(*columns_of(rows), column(rows, "doc_id").cast("long").alias(place), text_of(rows, text).alias(t))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            for at, to in _parts(texts):
+                h, offsets = word_hashes(texts.slice(at, to - at))
+                null = np.diff(offsets) == 0
+                keys = [pa.array(k, mask=null) for k in text_keys(h, offsets)]
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, to - at) for c in batch.columns[:-1]), *keys], names=[*batch.schema.names[:-1], k1, k2])
+
+    rows = mapped(rows, again, T.StructField(k1, T.LongType()), T.StructField(k2, T.LongType()))
+    wanted = kept.select(F.col("id").alias(held), F.col("k1").alias(k1 + "w"), F.col("k2").alias(k2 + "w"))
+    same = (F.col(k1) == F.col(k1 + "w")) & (F.col(k2) == F.col(k2 + "w")) & F.col(place).eqNullSafe(F.col(held))
+    chosen = rows.join(wanted, same, "left_semi").dropDuplicates([k1, k2, place]).unionByName(rows.where(F.col(k1).isNull()))
+    return out.unionByName(chosen.select(*columns_of(chosen, df.columns)))

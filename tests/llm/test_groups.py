@@ -14,8 +14,13 @@ from driftmark.llm import ann, chat, minhash, queries, url_filter, warc
 
 
 def shingles(text):
-    w = (text or "").split()
-    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    """The strips of a text's multiset of shingles."""
+    w, seen, out = (text or "").split(), collections.Counter(), set()
+    for i in range(max(1, len(w) - 4)) if w else ():
+        g = tuple(w[i : i + 5])
+        out.add((g, seen[g]))
+        seen[g] += 1
+    return out
 
 
 def true_classes(rows):
