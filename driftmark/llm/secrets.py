@@ -6,10 +6,14 @@ pairs that the ledger lacks, and joins the findings back to all paths that
 hold the blob. Spans are found by regular expressions in SQL functions alone:
 the texts between and inside the matches give the positions.
 
+Long texts: no rule has a loop over groups that can recurse, and lists of
+matches are folded ``BLOCK`` at a time, so a text of millions of matches costs
+little more than its length.
+
 Edge cases: a null text counts as empty and has no spans; repeated rows and
 copies share one blob; a null path is a path like any other; columns other
-than path and text are not read. Positions count code points, ends are
-exclusive.
+than path and text are not read (``redacted`` passes them through, whatever
+their names). Positions count code points, ends are exclusive.
 """
 
 from __future__ import annotations
@@ -20,9 +24,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm.common import fresh_path, let, text_of
+from driftmark.llm.common import BROADCAST_BYTES, column, columns, free, fresh_path, let, text_of
 
 SPAN = "struct<start:int,rank:int,end:int,kind:string>"
+#: Matches folded at a time: appending to a list copies it.
+BLOCK = 512
 FINDINGS = f"blob string, rule_version string, spans array<{SPAN}>"
 
 
@@ -42,7 +48,7 @@ BASE_RULES = (
     SecretRule("hex", r"[0-9a-f]{24,}"),
 )
 MORE_RULES = (
-    SecretRule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    SecretRule("private_key", r"-----BEGIN (?:(?!PRIVATE KEY-----)[A-Z]+ )*+PRIVATE KEY-----"),
     SecretRule("forge_token", r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36,}"),
     SecretRule("chat_token", r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}"),
     SecretRule("signed_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
@@ -55,15 +61,19 @@ def rule_version(rules: tuple[SecretRule, ...] = RULES) -> str:
     return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
 
 
+def _blocks(items: Column, of) -> Column:
+    """``of`` each run of ``BLOCK`` items of a list that is not empty."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda b: of(F.slice(items, b * BLOCK + 1, F.lit(BLOCK))))
+
+
 def _spans_of(text: Column, rule: SecretRule, rank: int) -> Column:
     """The rule's spans, in order of their starts."""
     none = F.array().cast(f"array<{SPAN}>")
 
-    def found(hits: Column) -> Column:
-        values = F.regexp_extract_all(text, F.lit(rule.pattern), rule.group) if rule.group else hits
-        steps = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), hits.alias("hit"), values.alias("value"))
-        walk = F.aggregate(
-            F.slice(steps, 1, F.size(hits)),
+    def walk(steps: Column) -> Column:
+        """How far a run of matches reaches, and its spans, counted from its own start."""
+        return F.aggregate(
+            steps,
             F.struct(F.lit(0).alias("at"), none.alias("spans")),
             lambda acc, s: let(
                 acc["at"] + F.length(s["gap"]),
@@ -75,9 +85,17 @@ def _spans_of(text: Column, rule: SecretRule, rank: int) -> Column:
                     ).otherwise(acc["spans"]).alias("spans"),
                 ),
             ),
-            lambda acc: acc["spans"],
         )
-        return F.when(F.size(hits) == 0, none).otherwise(walk)
+
+    def joined(blocks: Column) -> Column:
+        begins = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: F.array_append(acc, F.element_at(acc, -1) + b["at"]))
+        shift = lambda s, by: F.struct((s["start"] + by).alias("start"), s["rank"].alias("rank"), (s["end"] + by).alias("end"), s["kind"].alias("kind"))
+        return F.flatten(F.zip_with(blocks, F.slice(begins, F.lit(1), F.size(blocks)), lambda b, by: F.transform(b["spans"], lambda s: shift(s, by))))
+
+    def found(hits: Column) -> Column:
+        values = F.regexp_extract_all(text, F.lit(rule.pattern), rule.group) if rule.group else hits
+        steps = F.slice(F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), hits.alias("hit"), values.alias("value")), F.lit(1), F.size(hits))
+        return F.when(F.size(hits) == 0, none).otherwise(let(steps, lambda s: let(_blocks(s, walk), joined)))
 
     return let(F.regexp_extract_all(text, F.lit(rule.pattern), 0), found)
 
@@ -95,20 +113,39 @@ def scan(df: DataFrame, path: str = "path", text: str = "text", ledger: str | No
     atomic append, so a scan that dies leaves the ledger as it was.
     """
     spark = df.sparkSession
-    version = rule_version(rules)
     t = text_of(df, text)
-    rows = df.select(df[f"`{path}`"], F.sha2(t.cast("binary"), 256).alias("blob"), t.alias("__text"))
+    rows = df.select(column(df, path).alias("path"), F.sha2(t.cast("binary"), 256).alias("blob"), t.alias("text"))
+    found = _findings(rows.select("blob", "text"), spark, ledger, rules)
+    out = rows.select("path", "blob").join(found, "blob", "left")
+    return out.select(F.col("path").alias(path), "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
+
+
+def _findings(rows: DataFrame, spark: SparkSession, ledger: str | None, rules: tuple[SecretRule, ...]) -> DataFrame:
+    """(blob, spans) of the blobs of ``rows`` (blob, text) that have any, after their unseen ones are in the ledger."""
+    version = rule_version(rules)
     known = read_ledger(spark, ledger)
     # copies meet in the partial aggregation, before the shuffle
-    blobs = rows.groupBy("blob").agg(F.any_value("__text").alias("__text"))
+    blobs = rows.groupBy("blob").agg(F.any_value("text").alias("text"))
     if known is not None:
         blobs = blobs.join(known.where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
-    news = blobs.select("blob", F.lit(version).alias("rule_version"), spans(F.col("__text"), rules).alias("spans"))
+    news = blobs.select("blob", F.lit(version).alias("rule_version"), spans(F.col("text"), rules).alias("spans"))
     ledger = ledger or fresh_path(spark, "ledger")
     news.write.mode("append").parquet(ledger)
-    found = read_ledger(spark, ledger).where((F.col("rule_version") == version) & (F.size("spans") > 0)).select("blob", "spans").dropDuplicates(["blob"])
-    keys = rows.select(path, "blob")
-    return keys.join(found, "blob", "left").select(path, "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
+    found = read_ledger(spark, ledger).where((F.col("rule_version") == version) & (F.size("spans") > 0)).select("blob", "spans")
+    n, total = found.agg(F.count("*"), F.sum(F.size("spans"))).first()
+    found = found.dropDuplicates(["blob"])
+    return F.broadcast(found) if 120 * n + 64 * (total or 0) <= BROADCAST_BYTES else found
+
+
+def redacted(df: DataFrame, text: str = "text", ledger: str | None = None, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
+    """``df`` with the secrets of ``text`` cut out, found through the ledger; a null text stays null."""
+    t = text_of(df, text)
+    blob, held = free(df, "blob", "spans")
+    rows = df.select(*columns(df), F.sha2(t.cast("binary"), 256).alias(blob))
+    found = _findings(rows.select(F.col(blob).alias("blob"), text_of(rows, text).alias("text")), df.sparkSession, ledger, rules)
+    rows = rows.join(found.select(F.col("blob").alias(blob), F.col("spans").alias(held)), blob, "left")
+    clean = F.when(F.col(held).isNull(), column(rows, text)).otherwise(redact(text_of(rows, text), F.col(held))).alias(text)
+    return rows.select(*[clean if c == text else column(rows, c) for c in df.columns])
 
 
 def read_ledger(spark: SparkSession, ledger: str | None) -> DataFrame | None:
@@ -150,11 +187,31 @@ def redact(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
                 F.array_append(acc, F.struct(s["start"].alias("start"), s["end"].alias("end")))
             )
 
-        return F.aggregate(spans, F.array().cast(f"array<{piece}>"), add)
+        def meet(acc: Column, block: Column) -> Column:
+            """A block's pieces lie apart; the first of them may lie within reach of the last piece before."""
+            last = F.try_element_at(acc, F.lit(-1))
+            within = F.filter(block, lambda p: F.coalesce(p["start"] <= last["end"], F.lit(False)))
+            longer = lambda w: F.struct(last["start"].alias("start"), F.greatest(last["end"], F.try_element_at(w, F.lit(-1))["end"]).alias("end"))
+            return let(within, lambda w: F.when(F.size(w) == 0, F.concat(acc, block)).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer(w)), F.slice(block, F.size(w) + 1, F.size(block)))))
+
+        none = F.array().cast(f"array<{piece}>")
+        return let(_blocks(spans, lambda run: F.aggregate(run, none, add)), lambda blocks: F.aggregate(blocks, none, meet))
 
     def rebuild(m: Column) -> Column:
-        before = lambda i: F.coalesce(F.get(m, i - 1)["end"], F.lit(0))
-        heads = F.transform(m, lambda s, i: F.concat(F.substring(text, before(i) + 1, s["start"] - before(i)), F.lit(mark)))
-        return F.concat(F.array_join(heads, ""), F.substring(text, F.try_element_at(m, F.lit(-1))["end"] + 1, F.length(text)))
+        """The text between the pieces, a block of pieces at a time: finding a place takes time in proportion to what lies before it."""
+
+        def of(run: Column, b: Column) -> Column:
+            base = F.coalesce(F.get(m, b * BLOCK - 1)["end"], F.lit(0))
+
+            def heads(base: Column) -> Column:
+                part = F.substring(text, base + 1, F.element_at(run, -1)["end"] - base)
+                before = lambda i: F.coalesce(F.get(run, i - 1)["end"], base)
+                return let(part, lambda x: F.array_join(F.transform(run, lambda s, i: F.concat(F.substring(x, before(i) - base + 1, s["start"] - before(i)), F.lit(mark))), ""))
+
+            return let(base, heads)
+
+        numbers = F.sequence(F.lit(0), F.floor((F.size(m) - 1) / BLOCK).cast("int"))
+        parts = F.transform(numbers, lambda b: let(F.slice(m, b * BLOCK + 1, F.lit(BLOCK)), lambda run: of(run, b)))
+        return F.concat(F.array_join(parts, ""), F.substring(text, F.try_element_at(m, F.lit(-1))["end"] + 1, F.length(text)))
 
     return let(found, lambda spans: F.when(F.coalesce(F.size(spans), F.lit(0)) <= 0, text).otherwise(let(merge(spans), rebuild)))
