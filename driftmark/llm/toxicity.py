@@ -1,23 +1,38 @@
 """Toxicity: a support vector machine over gap-weighted subsequence kernels.
 
-A sentence is compared with a landmark string by the best of its words, where
-a word scores the gap-weighted subsequence kernel (order ``ORDER``, decay
-``DECAY``) between it and the landmark, divided by the landmark's kernel with
-itself, cut at 1, and dropped below ``LEAST``. Gaps and inserted characters only shrink the value, and
-whatever surrounds the landmark in the word costs nothing. Letters set apart
-by spaces are joined first, and signs within a word are left out.
-Nyström's map turns the kernel values at the landmarks into features, on which
-a linear machine with squared hinge loss is trained.
+Two strings are compared by the subsequences of ``ORDER`` letters they have in
+common, each weighed by ``DECAY`` to the length it spans in both, over the root
+of both strings' kernels with themselves: a value from 0 to 1 that inserted,
+left-out and replaced characters only shrink. A sentence is the set of its parts
+(below), and the kernel of two sentences is the sum, over all pairs of their
+parts, of the strings' value to the power of ``POWER``: a sum of powers of a
+kernel, so a kernel again. Nothing is cut off or skipped: every part of a sentence
+counts with every landmark.
+
+Nyström's map over landmark strings z gives a sentence the features
+K(z, z')^(-1/2) K(., z), and a linear machine with squared hinge loss is trained
+on them, from labelled sentences and from copies of the toxic ones whose telling
+parts have one or two characters inserted or one replaced. Landmarks are strings
+inside words of toxic sentences that tell them from clean ones, chosen greedily
+until each toxic sentence is covered.
+
+The parts of a sentence are the windows of its distinct words in lower case,
+reduced to letters and digits, between a mark of their start and one of their end;
+words of four or more letters set apart by white space are joined and added. A
+word of up to ``CHUNK`` characters is one window; a longer one stands for its
+windows of ``CHUNK``, ``STEP`` apart and one at its end, so what surrounds an
+insult in a word costs little, and no task holds strings of unbounded size.
 
 Training reads a bounded sample of labelled rows (``Config.sample`` a class,
 the first by a hash of the id) and nothing but texts and labels. Scoring is a
-narrow map over whole texts. A word is scored once a worker, and the memory of
-known words is bounded.
-
-Edge cases: a null or empty text has no words and gets the machine's score for
-none; repeated rows score alike; rows without a label, or whose label is
-neither 0 nor 1, are not trained on; with labels of one class only, every score
-is that class's rate (no labels: 0); extra columns pass through, and the
+narrow map over whole texts.
+
+Edge cases: a null or empty text has no parts and gets the machine's score for
+none; a part with fewer than ``ORDER`` characters, marks included, has the value
+0 with everything; repeated rows score alike; rows without a label, or whose
+label is neither 0 nor 1, are not trained on; with labels of one class only, or
+no word that tells the classes apart, every score is the rate of toxic labels
+(no labels: 0); extra columns pass through, whatever their names, and the
 operator's own replace any of the same name.
 """
 
@@ -29,7 +44,6 @@ import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,20 +51,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ORDER, DECAY = 3, 0.5
-#: Kernel values below are chance meetings of letters; two inserted characters or a replaced one in a five-letter insult stay above.
-LEAST = 0.3
-CHUNK, OVERLAP = 24, 12
-KNOWN_WORDS = 600_000
+from driftmark.llm.common import column, columns, free, mapped
+
+ORDER, DECAY, POWER = 4, 0.8, 3
+CHUNK, STEP = 10, 3
+#: Parts whose values a worker remembers; beyond, it starts anew, which changes no score.
+KNOWN_PARTS = 200_000
+#: Strings whose kernels are taken at a time.
+BLOCK = 2048
 
 
 @dataclass(frozen=True)
 class Config:
     sample: int = 1200  # labelled rows of each class
-    landmarks: int = 64
-    shortest: int = 5
-    longest: int = 9
-    cover: int = 4  # landmarks wanted in each toxic sentence
+    landmarks: int = 32
+    shortest: int = 5  # characters of a landmark, marks included
+    longest: int = 10
+    cover: int = 3  # landmarks wanted in each toxic sentence
+    chance: float = 0.01  # words that may pass for telling by chance, in all
+    confusable: int = 2  # parts of clean sentences that join the landmarks for each of them
+    altered: int = 1  # altered copies of each toxic sentence
+    altered_cost: float = 0.2  # what an error on such a copy counts
     penalty: float = 1e-3
 
 
@@ -61,9 +82,10 @@ class Model:
     bias: float = 0.0
     slope: float = 1.0
     shift: float = 0.0
-    rate: float | None = None  # set where there was one class only
+    rate: float | None = None  # set where nothing could be learned
 
     def probability(self, x: np.ndarray) -> np.ndarray:
+        """Of rows of kernel values with the landmarks; the weights hold Nyström's root."""
         if self.rate is not None:
             return np.full(len(x), self.rate)
         return 1 / (1 + np.exp(-np.clip(self.slope * (x @ self.weights + self.bias) + self.shift, -30, 30)))
@@ -90,222 +112,217 @@ def sentence_words(text: str) -> set[str]:
     return words
 
 
+def windows(word: str) -> list[str]:
+    return [word] if len(word) <= CHUNK else [word[s : s + CHUNK] for s in (*range(0, len(word) - CHUNK, STEP), len(word) - CHUNK)]
+
+
+def parts(text: str) -> set[str]:
+    return {x for w in sentence_words(text) for x in windows(normalise(w))}
+
+
 def _codes(words: list[str], width: int) -> np.ndarray:
     out = np.zeros((len(words), width), np.int32)
     for n in {len(w) for w in words}:
         at = [i for i, w in enumerate(words) if len(w) == n]
         if n:
-            out[at, :n] = np.frombuffer("".join(words[i] for i in at).encode("utf-32-le"), np.int32).reshape(len(at), n)
+            out[at, :n] = np.frombuffer("".join(words[i] for i in at).encode("utf-32-le", "surrogatepass"), np.int32).reshape(len(at), n)
     return out
 
 
-def string_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Gap-weighted subsequence kernels of row pairs of code arrays; 0 pads and matches nothing."""
-    n, la = a.shape
-    lb = b.shape[1]
-    same = [[((a[:, i] == b[:, j]) & (a[:, i] != 0)).astype(np.float32) for j in range(lb)] for i in range(la)]
-    prime = np.ones((la + 1, lb + 1, n), np.float32)
-    for order in range(1, ORDER + 1):
-        if order == ORDER:
-            return DECAY**2 * sum((same[i][j] * prime[i, j] for i in range(la) for j in range(lb)), np.zeros(n, np.float32))
-        nxt = np.zeros_like(prime)
-        for i in range(la):
-            run = np.zeros(n, np.float32)
-            for j in range(lb):
-                run = DECAY * run + DECAY**2 * same[i][j] * prime[i, j]
-                nxt[i + 1, j + 1] = DECAY * nxt[i, j + 1] + run
-        prime = nxt
-    raise AssertionError
+def _fold(width: int, other: int, same, shape: tuple) -> np.ndarray:
+    """The subsequence kernel by prefixes of both strings; ``same(i, j)`` tells where letters i and j agree."""
+    zero, one = np.zeros(shape, np.float32), np.ones(shape, np.float32)
+    decay, twice = np.float32(DECAY), np.float32(DECAY**2)
+    rows = [[one] * (other + 1)] + [[zero] * (other + 1) for _ in range(ORDER - 1)]
+    out = np.zeros(shape, np.float32)
+    for i in range(width):
+        run, now = [zero] * ORDER, [[one] * (other + 1)] + [[zero] * (other + 1) for _ in range(ORDER - 1)]
+        for j in range(other):
+            met = same(i, j)
+            out += met * rows[ORDER - 1][j]
+            met = met * twice
+            for k in range(1, ORDER):
+                run[k] = decay * run[k] + met * rows[k - 1][j]
+                now[k][j + 1] = decay * rows[k][j + 1] + run[k]
+        rows = now
+    return out * twice
+
+
+def string_kernel(words: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Kernels of every row of ``words`` with every row of ``marks`` (codes; 0 pads and matches nothing): (marks, words)."""
+    w, z = np.ascontiguousarray(words.T), marks.T
+    return _fold(len(w), len(z), lambda i, j: ((w[i][None, :] == z[j][:, None]) & (w[i] != 0)[None, :]).astype(np.float32), (len(marks), len(words)))
+
+
+def own_kernel(words: np.ndarray) -> np.ndarray:
+    """The kernel of every row with itself."""
+    w = np.ascontiguousarray(words.T)
+    return _fold(len(w), len(w), lambda i, j: ((w[i] == w[j]) & (w[i] != 0)).astype(np.float32), (len(words),))
 
 
 class Kernel:
-    """Kernel values of words at the landmarks, those from ``LEAST`` on."""
+    """Values of strings with the landmarks."""
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
         self.codes = _codes(landmarks, max(map(len, landmarks), default=1))
-        self.own = string_kernel(self.codes, self.codes) if landmarks else np.zeros(0, np.float32)
-        # each triple of letters in its order that a landmark holds, with the landmarks' weights over their own values
-        self.letters = np.unique(self.codes[self.codes > 0])
-        self.base = len(self.letters) + 1
-        weights: dict[int, Counter] = defaultdict(Counter)
-        for z, mark in enumerate(landmarks):
-            c = self._places(_codes([mark], len(mark)))[0].tolist()
-            for i, j, k in combinations(range(len(c)), ORDER):
-                weights[(c[i] * self.base + c[j]) * self.base + c[k]][z] += DECAY ** (k - i + 1) / float(self.own[z])
-        self.row = np.full(self.base**ORDER, -1, np.int32)
-        self.table = np.zeros((len(weights), len(landmarks)), np.float32)
-        for n, (triple, by) in enumerate(weights.items()):
-            self.row[triple] = n
-            for z, v in by.items():
-                self.table[n, z] = v
-        # the most that a triple can add to any one landmark
-        self.most = np.r_[self.table.max(axis=1, initial=0), np.float32(0)][self.row].astype(np.float32)
-        self.pair = (self.row.reshape(self.base**2, self.base) >= 0).any(axis=1)
-
-    def _places(self, codes: np.ndarray) -> np.ndarray:
-        """The letters' places among those of the landmarks; 0 for any other."""
-        if not len(self.letters):
-            return np.zeros(codes.shape, np.int32)
-        at = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
-        return np.where(self.letters[at] == codes, at + 1, 0).astype(np.int32)
-
-    def values(self, codes: np.ndarray) -> np.ndarray:
-        """The kernel of each row of ``codes`` with each landmark over the landmark's own, nothing left out."""
-        c = self._places(codes)
-        out = np.zeros((len(c), len(self.landmarks)), np.float32)
-        width = c.shape[1]
-        decay = DECAY ** np.arange(width + 2)
-        for i, j in combinations(range(width - 1), 2):
-            two = c[:, i] * self.base + c[:, j]
-            rows = np.flatnonzero(self.pair[two])
-            if len(rows):
-                met = self.row[two[rows, None] * self.base + c[rows, j + 1 :]]
-                r, k = np.nonzero(met >= 0)
-                if len(r):
-                    step = self.table[met[r, k]] * decay[k + j + 1 - i + 1].astype(np.float32)[:, None]
-                    first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-                    out[rows[r[first]]] += np.add.reduceat(step, first, axis=0)
-        return out
+        self.own = np.sqrt(own_kernel(self.codes)) if landmarks else np.zeros(0, np.float32)
 
-    def bounds(self, codes: np.ndarray) -> np.ndarray:
-        """What none of a row's values exceeds: every triple counted at the landmark it adds most to."""
-        c = self._places(codes)
-        out = np.zeros(len(c), np.float32)
-        for i, j in combinations(range(c.shape[1] - 1), 2):
-            two = c[:, i] * self.base + c[:, j]
-            rows = np.flatnonzero(self.pair[two])
-            if len(rows):
-                decay = (DECAY ** np.arange(j + 2 - i, c.shape[1] + 1 - i)).astype(np.float32)
-                out[rows] += self.most[two[rows, None] * self.base + c[rows, j + 1 :]] @ decay
-        return out
-
-    def words(self, words: list[str]) -> dict[int, dict[int, float]]:
-        """{word's place: {landmark: value}} for the words that reach any landmark."""
-        found: dict[int, dict[int, float]] = defaultdict(dict)
-        if not words or not self.landmarks:
-            return found
-        parts, owner = [], []
-        for i, w in enumerate(words):
-            if len(w) >= 5:
-                for s in range(0, max(1, len(w) - OVERLAP), CHUNK - OVERLAP) if len(w) > CHUNK else (0,):
-                    parts.append(w[s : s + CHUNK])
-                    owner.append(i)
+    def values(self, words: list[str]) -> np.ndarray:
+        """(words, landmarks), to the power of ``POWER``."""
+        out = np.zeros((len(words), len(self.landmarks)), np.float32)
         groups: dict[int, list[int]] = defaultdict(list)
-        for k, w in enumerate(parts):
-            groups[8 if len(w) <= 8 else 12 if len(w) <= 12 else 16 if len(w) <= 16 else CHUNK].append(k)
-        for width, all_places in groups.items():
-            for at in range(0, len(all_places), 10_000):
-                places = all_places[at : at + 10_000]
-                codes = _codes([parts[k] for k in places], width)
-                rows = np.flatnonzero(self.bounds(codes) >= LEAST - 1e-4)
-                value = self.values(codes[rows])
-                for r, z in zip(*map(np.ndarray.tolist, np.nonzero(value >= LEAST)), strict=True):
-                    w = owner[places[rows[r]]]
-                    found[w][z] = max(found[w].get(z, 0.0), min(1.0, float(value[r, z])))
-        return found
+        for k, w in enumerate(words):
+            if len(w) >= ORDER:
+                groups[max(6, len(w) + len(w) % 2)].append(k)
+        for width, places in groups.items():
+            for at in range(0, len(places), BLOCK):
+                some = places[at : at + BLOCK]
+                codes = _codes([words[k] for k in some], width)
+                own = np.sqrt(own_kernel(codes))
+                value = string_kernel(codes, self.codes) / (np.where(own > 0, own, 1)[None] * np.where(self.own > 0, self.own, 1)[:, None])
+                out[some] = (np.minimum(value, 1) ** POWER).T
+        return out
 
 
 class Sentences:
-    """Features of sentences; remembers the words it has seen, up to a bound."""
+    """Kernel values of sentences with landmarks; remembers the parts it has seen, up to a bound."""
 
     def __init__(self, landmarks: list[str]):
-        self.kernel, self.known, self.hits = Kernel(landmarks), set(), {}
+        self.kernel, self.known, self.held = Kernel(landmarks), {}, np.zeros((0, len(landmarks)), np.float32)
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """For each landmark log(1 + the sum over the distinct words of the value's square)."""
-        sets = [sentence_words(t) for t in texts]
-        if len(self.known) > KNOWN_WORDS:
+        sets = [parts(t) for t in texts]
+        if len(self.known) > KNOWN_PARTS:
             self.known.clear()
-            self.hits.clear()
-        new = set().union(*sets) - self.known if sets else set()
-        raw = list(new)
-        for i, values in self.kernel.words([normalise(w) for w in raw]).items():
-            self.hits[raw[i]] = values
-        self.known |= new
+            self.held = self.held[:0]
+        new = list(set().union(*sets) - self.known.keys()) if sets else []
+        self.known.update(zip(new, range(len(self.held), len(self.held) + len(new)), strict=True))
+        self.held = np.concatenate([self.held, self.kernel.values(new)])
         out = np.zeros((len(texts), len(self.kernel.landmarks)))
         for row, words in enumerate(sets):
-            for w in words & self.hits.keys() if len(words) < len(self.hits) else [w for w in self.hits if w in words]:
-                for z, v in self.hits[w].items():
-                    out[row, z] += v * v
-        return np.log1p(out)
-
-
-def choose_landmarks(toxic: list[str], clean: list[str], config: Config) -> list[str]:
-    """Strings that cover the toxic sentences and keep off the clean ones, greedily."""
-    one = {}  # a word is held once, however many sentences have it
-    sides = [[{one.setdefault(n, n) for n in map(normalise, sentence_words(t))} for t in side] for side in (toxic, clean)]
-    df = [Counter(w for s in side for w in s if len(w) >= 5) for side in sides]
-    nt, nc = max(1, len(toxic)), max(1, len(clean))
-    telling = [w for w, n in df[0].items() if n / nt > 4 * (df[1][w] / nc) and (n >= 2 or len(w) >= config.shortest)]
-    cuts = lambda w: {w[i : i + n] for n in range(config.shortest, config.longest + 1) for i in range(len(w) - n + 1)}
-    held: dict[str, set[int]] = defaultdict(set)
-    by_word = defaultdict(set)
-    for d, s in enumerate(sides[0]):
-        for w in s:
-            by_word[w].add(d)
-    for w in telling:
-        for c in cuts(w):
-            held[c] |= by_word[w]
-    by_word.clear()
-    least = 2 if nt < 200 else 3
-    held = defaultdict(set, {c: d for c, d in held.items() if len(d) >= least})
-    bad: Counter = Counter()
-    for s in sides[1]:
-        bad.update({c for w in s for c in cuts(w) if c in held})
-    inside: Counter = Counter()
-    for s in sides[0]:
-        inside.update({c for w in s for c in cuts(w) if c in held})
-    # a candidate counts every toxic sentence that holds it, inside whatever word
-    score = {}
-    for c in held:
-        p, q = (inside[c] + 0.1) / (nt + 0.2), (bad[c] + 0.1) / (nc + 0.2)
-        if p > 6 * q:
-            score[c] = math.log(p / q)
+            if words:
+                out[row] = self.held[np.sort([self.known[w] for w in words])].sum(0, dtype=np.float64)
+        return out
+
+
+def _ratio(n: int, size: int, against: int, other: int) -> float:
+    """The log-likelihood ratio of two counts being of unlike rates, twice."""
+    both = (n + against) / (size + other)
+    term = lambda k, of, p: k * math.log(k / (of * p)) if k else 0.0
+    return 2 * sum(term(k, of, both) + term(of - k, of, 1 - both) for k, of in ((n, size), (against, other)))
+
+
+def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], config: Config) -> list[str]:
+    """Strings that cover the toxic sentences and keep off the clean ones, greedily.
+
+    A string tells the classes apart if its likelihood ratio stands out of those
+    that so many strings would reach by chance. A chosen one grows by a character
+    as long as nine in ten of its sentences still hold it.
+    """
+    nt, nc, size = max(1, len(toxic)), max(1, len(clean)), config.shortest
+    grams = lambda s: {w[i : i + size] for w in s for i in range(len(w) - size + 1)}
+    seen: Counter = Counter()
+    for s in toxic:
+        seen.update(grams(s))
+    seen = Counter({g: n for g, n in seen.items() if n > 1})
+    against: Counter = Counter()
+    for s in clean:
+        against.update(grams(s) & seen.keys())
+    least = 2 * math.log(len(seen) / config.chance) if seen else 0.0
+    score = {g: math.log((n + 0.1) / (nt + 0.2) * (nc + 0.2) / (against[g] + 0.1)) for g, n in seen.items() if n / nt > against[g] / nc and _ratio(n, nt, against[g], nc) > least}
+    held: dict[str, list[int]] = defaultdict(list)
+    for d, s in enumerate(toxic):
+        for g in grams(s) & score.keys():
+            held[g].append(d)
+    seen.clear()
+    against.clear()
     cover = [0] * len(toxic)
     chosen: list[str] = []
-    gain = lambda c: score[c] * sum(0.5 ** cover[d] for d in held[c])
-    heap = [(-gain(c), -len(c), c) for c in sorted(score, key=lambda c: (-inside[c] * score[c], -len(c), c))[:6000]]
+    gain = lambda g: score[g] * sum(0.5 ** cover[d] for d in held[g])
+    heap = [(-gain(g), g) for g in sorted(score)]
     heapq.heapify(heap)
+    near = lambda a, b: any(a[i : i + size - 1] in b for i in range(2))
     while heap and len(chosen) < config.landmarks and min(cover) < config.cover:
-        _, size, best = heapq.heappop(heap)
-        if any(c in best or best in c for c in chosen):
+        _, best = heapq.heappop(heap)
+        if any(near(best, z) for z in chosen):
             continue
         now = gain(best)  # gains only fall: the first that keeps its place is the largest
-        if heap and (-now, size, best) > heap[0]:
-            heapq.heappush(heap, (-now, size, best))
+        if heap and (-now, best) > heap[0]:
+            heapq.heappush(heap, (-now, best))
             continue
-        if now < score[best] * min(1.0, 0.004 * nt):
+        if now < 0.01 * nt:
             break
-        chosen.append(best)
-        for d in held[best]:
+        holders = held[best]
+        while len(best) < config.longest:
+            longer: Counter = Counter()
+            for d in holders:
+                longer.update({x for w in toxic[d] if best in w for i in range(len(w) - len(best) + 1) if w.startswith(best, i) for x in (w[max(0, i - 1) : i + len(best)], w[i : i + len(best) + 1]) if len(x) > len(best)})
+            x, n = min(longer.items(), key=lambda e: (-e[1], e[0]), default=("", 0))
+            if n < 0.9 * len(holders):
+                break
+            best = x
+        if best not in chosen:
+            chosen.append(best)
+        for d in holders:
             cover[d] += 1
     return chosen
 
 
+def confusable(marks: list[str], clean: list[set[str]], each: int) -> list[str]:
+    """For each landmark the parts that bring clean sentences closest to it, all sentences together."""
+    counts = Counter(w for s in clean for w in s)
+    words = sorted(w for w in counts if not any(z in w for z in marks))
+    out: list[str] = []
+    total = Kernel(marks).values(words) * np.array([counts[w] for w in words], np.float32)[:, None] if words else np.zeros((0, len(marks)))
+    for z in range(len(marks) if len(words) else 0):
+        out += [words[i] for i in np.argsort(-total[:, z], kind="stable")[:each] if words[i] not in out]
+    return out
+
+
+def alter(word: str, rng: np.random.Generator) -> str:
+    """A marked word with one or two letters inserted, or one replaced."""
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    kind = int(rng.integers(3))
+    for _ in range(max(kind, 1)):
+        at = int(rng.integers(2, len(word) - 1))
+        word = word[:at] + letters[int(rng.integers(36))] + word[at + (kind == 0) :]
+    return word
+
+
 def train(texts: list[str], labels: list[int], config: Config = Config()) -> Model:  # noqa: B008
-    y = np.where(np.array(labels) == 1, 1.0, -1.0)
     if len(set(labels)) < 2:
         return Model(rate=float(np.mean(labels)) if labels else 0.0)
-    toxic = [t for t, v in zip(texts, labels, strict=True) if v == 1]
-    clean = [t for t, v in zip(texts, labels, strict=True) if v != 1]
+    one: dict[str, str] = {}  # a word is held once, however many sentences have it
+    sets = [{one.setdefault(w, w) for w in parts(t)} for t in texts]
+    del one
+    toxic = [s for s, v in zip(sets, labels, strict=True) if v == 1]
+    clean = [s for s, v in zip(sets, labels, strict=True) if v != 1]
     marks = choose_landmarks(toxic, clean, config)
     if not marks:
         return Model(rate=float(np.mean(labels)))
-    reader = Sentences(marks)
+    telling = list(marks)
+    marks += confusable(telling, clean, config.confusable)
+    reader, rng = Sentences(marks), np.random.default_rng(5)
     x = np.concatenate([reader.features(texts[at : at + 100]) for at in range(0, len(texts), 100)])
-    del reader
-    # Nyström: features K(., Z) K(Z, Z)^(-1/2)
-    among = Kernel(marks)
-    gram = np.eye(len(marks))
-    for i, values in among.words(marks).items():
-        for z, v in values.items():
-            gram[i, z] = max(gram[i, z], v)
-    gram = (gram + gram.T) / 2
-    value, vector = np.linalg.eigh(gram)
-    root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 0.05))) @ vector.T
+    # altered copies differ from their sentence in the telling parts alone
+    told = [sorted(w for w in s if any(z in w for z in telling)) if v == 1 else [] for s, v in zip(sets, labels, strict=True)]
+    made, said = [], []
+    for hit, row, v in zip(told, x, labels, strict=True):
+        if hit:
+            plain = reader.kernel.values(hit).sum(0, dtype=np.float64)
+            for _ in range(config.altered):
+                made.append(row - plain + reader.kernel.values([alter(w, rng) for w in hit]).sum(0, dtype=np.float64))
+                said.append(1.0 if v == 1 else -1.0)
+    y = np.array([1.0 if v == 1 else -1.0 for v in labels])
+    del reader, sets
+    x, y = np.vstack([x, *([np.array(made)] if made else [])]), np.r_[y, said]
+    gram = Kernel(marks).values(marks).astype(np.float64)
+    value, vector = np.linalg.eigh((gram + gram.T) / 2)
+    root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
     f = np.hstack([x @ root, np.ones((len(x), 1))])
     cost = np.where(y > 0, math.sqrt((y < 0).sum() / (y > 0).sum()), 1.0)
+    cost[len(labels) :] *= config.altered_cost
     w, ridge = np.zeros(f.shape[1]), config.penalty * len(y) * np.eye(f.shape[1])
     ridge[-1, -1] = 1e-9
     for _ in range(50):  # Newton's method on the squared hinge
@@ -331,7 +348,7 @@ def train(texts: list[str], labels: list[int], config: Config = Config()) -> Mod
 
 def fit(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Model:  # noqa: B008
     """Train on labelled rows whose CRC-32 of the id is not divisible by 5."""
-    kept = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
+    kept = labels.select(column(labels, "doc_id").cast("long").alias("doc_id"), column(labels, "toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     kept = kept.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     picked = [kept.where(F.col("toxic") == v).orderBy(order, "doc_id").limit(config.sample).collect() for v in (1, 0)]
@@ -340,14 +357,14 @@ def fit(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Model:
         return Model(rate=0.0)
     # at most 2 * sample ids: a bounded broadcast
     chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
+    rows = docs.select(column(docs, "doc_id").cast("long").alias("doc_id"), column(docs, "text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     return train([r.text or "" for r in rows], [r.toxic for r in rows], config)
 
 
 def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a worker runs many tasks: it keeps what it knows of the words of one model
-        key = (tuple(model.landmarks), KNOWN_WORDS)
+        # a worker runs many tasks: it keeps what it knows of the parts under one model
+        key = tuple(model.landmarks)
         kept = sys.__dict__.setdefault("_driftmark_sentences", {})
         if key not in kept:
             kept.clear()
@@ -367,7 +384,7 @@ def _scorer(model: Model):
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all by default) with ``score`` and ``predicted``."""
     keep = [c for c in keep or docs.columns if c.lower() not in ("score", "predicted")]
-    rows = docs.select(*[docs[f"`{c}`"] for c in keep], docs[f"`{text}`"].cast("string").alias("__text"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())])
-    out = rows.mapInArrow(_scorer(model), schema)
+    (said,) = free(docs, "said")
+    rows = docs.select(*columns(docs, keep), column(docs, text).cast("string").alias(said))
+    out = mapped(rows, _scorer(model), T.StructField("score", T.DoubleType()))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
