@@ -28,10 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmark.llm import minhash
-from driftmark.llm.common import text_of, written
+from driftmark.llm.common import column, text_of, written
 
 CAPACITY = 16384
-SHARD_ROWS = 8192
+SHARD_ROWS = 2048
 SOURCE_LIMIT = 4
 SCHEMA = "doc_id long, part int, bin_id string, position int, offset int, size int, bin_size int"
 
@@ -149,13 +149,14 @@ def pack(df: DataFrame, doc_id: Column, size: Column, source: Column, cluster: C
     n = max(1, -(-rows.select(F.lit(1)).count() // shard_rows))
     # copies of a row have one hash; a salt from the row's place deals them out, and a rerun deals alike
     shard = F.pmod(F.xxhash64("doc_id", "size", "cluster", F.monotonically_increasing_id() % 64), F.lit(n)).cast("int").alias("shard")
-    dealt = rows.select(shard, "doc_id", "size", "source", "cluster").repartition(n, "shard").sortWithinPartitions("shard", "doc_id", "size", "source", "cluster")
+    dealt = rows.select(shard, "doc_id", "size", "source", "cluster").repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "doc_id", "size", "source", "cluster")
     return dealt.mapInArrow(_pack(capacity, source_limit, 4 * shard_rows), SCHEMA)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Documents by the bytes of their texts; near duplicates are one cluster, and so are equal texts without words."""
     t = text_of(docs)
-    columns = [docs["doc_id"].alias("doc_id"), F.octet_length(t).alias("size"), docs["source"].alias("source"), F.when(F.length(t) > 0, F.xxhash64(t)).alias("equal")]
-    rows = written(minhash.with_cluster(docs, columns), "clustered")
-    return pack(rows, rows["doc_id"], rows["size"], rows["source"], F.coalesce(rows["cluster"], rows["equal"]), capacity)
+    columns = [column(docs, "doc_id").alias("doc_id"), F.octet_length(t).alias("size"), column(docs, "source").alias("source"), F.when(F.length(t) > 0, F.xxhash64(t)).alias("equal")]
+    rows = minhash.with_cluster(docs, columns)
+    rows = written(rows.select("doc_id", "size", "source", F.coalesce("cluster", "equal").alias("cluster")), "clustered")
+    return pack(rows, rows["doc_id"], rows["size"], rows["source"], rows["cluster"], capacity)
