@@ -1,4 +1,9 @@
-"""From documents to packed bins: each stage reads what the one before has written."""
+"""From documents to packed bins: each stage reads what the one before has written.
+
+Edge cases, for every stage: an empty table gives an empty one; extra columns pass
+through all stages but the last, whatever their names; null ids, sources and
+languages are values like any other; repeated rows are judged alike.
+"""
 
 from __future__ import annotations
 
@@ -8,38 +13,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmark.llm import minhash, packing, quality, secrets, toxicity
-from driftmark.llm.common import text_of, written
+from driftmark.llm.common import columns, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Toxicity cannot be written in SQL; tests hold the stages against brute force.
+#: Toxicity cannot be written in SQL; the tests hold the other stages against plain Python on what it keeps.
 ORACLE_SQL: str | None = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go. The machine learns from the labels of ``docs``."""
+    """Documents predicted toxic go. The machine learns from the labels of ``docs``.
+
+    A null or empty text has the score of no words and stays unless the labels say
+    that most texts are toxic.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    kept = toxicity.score(docs, model, keep=docs.columns).where("predicted = 0")
+    return kept.select(*columns(kept, docs.columns))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that break a quality rule go."""
-    return quality.quality(docs).where("kept").select(*docs.columns)
+    """Documents that break a quality rule go, null and blank texts among them."""
+    kept = quality.quality(docs).where("kept")
+    return kept.select(*columns(kept, docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays, that of the smallest id."""
+    """One document of each near-duplicate class stays, that of the smallest id (null after all others); texts without words stay."""
     return minhash.deduplicate(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are cut out of the texts; ``n_chars`` follows."""
-    text = secrets.redact(text_of(docs), secrets.spans(text_of(docs)))
-    return docs.withColumn("text", F.when(docs["text"].isNotNull(), text)).withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    """Secrets, found through the ledger, are cut out of the texts; ``n_chars`` follows where there is a text. No document goes."""
+    clean = secrets.redacted(docs)
+    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' places in bins."""
+    """The documents' places in bins; empty texts are placed too, longer ones than a bin in parts."""
     return packing.pack_documents(docs)
 
 
