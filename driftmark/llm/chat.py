@@ -1,21 +1,28 @@
 """Chat layouts: schema fingerprints choose mappings to canonical turns.
 
-The fingerprint of a layout is a hash of its nested field paths. A mapping names
-the paths it reads; a table or a JSON record takes the mapping whose paths'
-fingerprint its own fields contain, the one with the most paths first, so fields
-that no mapping knows do no harm. Canonical turns are rows of conversation,
+The fingerprint of a layout is a hash of those of its nested field paths that any
+mapping reads, so fields that none knows do no harm. A table holds each mapping
+under the fingerprint of its own paths; a layout is looked up in it by its
+fingerprint. A layout that holds the paths of several mappings, whose fingerprint
+is nobody's, takes the one with the most paths, and is filed in the table with
+that answer. Canonical turns are rows of conversation,
 turn, role and text. The template wraps each turn in control strings; those that
 occur inside a role or a text are broken up by an escape that reading takes out
 again. Assistant texts lie under the loss mask.
 
 Rows are dealt by conversation and sorted within their partition, and both
 formatting and reading back stream over them a turn at a time, so a
-conversation of any length needs the memory of one batch.
+conversation of any length needs the memory of one batch. Offsets and hashes run
+through a whole conversation, so one conversation is one task's work.
 
 Edge cases: null roles and texts count as empty; turns are ordered by number
 (nulls first), then role, then text, so ties and repeated rows have one order;
-a null conversation id is a conversation of its own; records of unknown layout
-give no turns, and ``unmatched`` counts them.
+a null conversation id is a conversation of its own. A JSON record is unmatched,
+gives one row with a null role and its raw text, and is counted by ``unmatched``,
+if it is no JSON object (nested beyond the parser's depth included), has an
+unknown layout, or its id or turn is neither null nor a whole number of 64 bits
+(numbers in strings count, 1.5 and booleans don't). In tables such ids and turns
+become null. Half surrogates in JSON texts become U+FFFD.
 """
 
 from __future__ import annotations
@@ -31,6 +38,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftmark.llm.common import column as column_of
+
 TURNS = "conv_id long, turn long, role string, text string"
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
 
@@ -87,10 +96,22 @@ def record_paths(value, head: str = "") -> set[str]:
     return {head}
 
 
-def choose(paths: set[str], mappings: tuple[Mapping, ...] = MAPPINGS) -> Mapping | None:
-    """The mapping with the most paths whose fingerprint these paths contain."""
-    fits = [m for m in mappings if fingerprint(p for p in paths if p in m.paths) == fingerprint(m.paths)]
-    return max(fits, key=lambda m: len(m.paths), default=None)
+class Registry:
+    """Mappings under the fingerprints of the layouts they fit."""
+
+    def __init__(self, mappings: tuple[Mapping, ...] = MAPPINGS):
+        self.mappings = mappings
+        self.known = frozenset(p for m in mappings for p in m.paths)
+        self.table: dict[str, Mapping | None] = {}
+        for m in mappings:
+            self.table.setdefault(fingerprint(m.paths), m)
+
+    def choose(self, paths: set[str]) -> Mapping | None:
+        read = paths & self.known
+        key = fingerprint(read)
+        if key not in self.table:
+            self.table[key] = max((m for m in self.mappings if read.issuperset(m.paths)), key=lambda m: len(m.paths), default=None)
+        return self.table[key]
 
 
 def _role(c: Column) -> Column:
@@ -101,12 +122,13 @@ def _role(c: Column) -> Column:
 
 def canonical(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """The turns of a table of any known layout."""
-    m = choose(schema_paths(df.schema), mappings)
+    m = Registry(mappings).choose(schema_paths(df.schema))
     if m is None:
         raise ValueError(f"no mapping for fields {sorted(schema_paths(df.schema))}")
-    conv, text = F.col(m.conv_id).cast("long").alias("conv_id"), lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    number = lambda name: F.when(F.col(name).cast("double") == F.floor(F.col(name).cast("double")), F.col(name).cast("long")) if isinstance(df.schema[name].dataType, T.FractionalType) else F.col(name).try_cast("long")
+    conv, text = number(m.conv_id).alias("conv_id"), lambda c: F.coalesce(c.cast("string"), F.lit(""))
     if m.order:
-        return df.select(conv, F.col(m.order).cast("long").alias("turn"), _role(F.col(m.role)).alias("role"), text(F.col(m.text)).alias("text"))
+        return df.select(conv, number(m.order).alias("turn"), _role(F.col(m.role)).alias("role"), text(F.col(m.text)).alias("text"))
     if m.messages:
         rows = df.select(conv, F.posexplode(m.messages).alias("turn", "m"))
         return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), _role(F.col("m")[m.role]).alias("role"), text(F.col("m")[m.text]).alias("text"))
@@ -114,37 +136,58 @@ def canonical(df: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFr
     return df.select(conv, F.explode(F.array(*parts)).alias("t")).select("conv_id", "t.*")
 
 
+def whole(x) -> int | None:
+    """A whole number of 64 bits, or null; anything else is an error."""
+    if x is None:
+        return None
+    if isinstance(x, bool) or not isinstance(x, (int, float, str)):
+        raise ValueError(x)
+    n = int(x)  # of a string too; a long one is an error
+    if isinstance(x, float) and n != x or not -(2**63) <= n < 2**63:
+        raise ValueError(x)
+    return n
+
+
+def _said(x) -> str:
+    x = "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
+    try:
+        x.encode()
+    except UnicodeEncodeError:
+        x = x.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return x
+
+
 def record_turns(record: dict, mapping: Mapping) -> list[tuple]:
-    conv = record.get(mapping.conv_id)
-    say = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
-    role = lambda x: ROLES.get(say(x), say(x))
+    conv = whole(record.get(mapping.conv_id))
+    role = lambda x: ROLES.get(_said(x), _said(x))
     if mapping.order:
-        return [(conv, record[mapping.order], role(record[mapping.role]), say(record[mapping.text]))]
+        return [(conv, whole(record[mapping.order]), role(record[mapping.role]), _said(record[mapping.text]))]
     if mapping.messages:
-        return [(conv, i, role(x.get(mapping.role)), say(x.get(mapping.text))) for i, x in enumerate(record[mapping.messages]) if isinstance(x, dict)]
-    return [(conv, i, r, "\n".join(say(record[p]) for p in ps if say(record[p]))) for i, (r, ps) in enumerate(mapping.turns)]
+        return [(conv, i, role(x.get(mapping.role)), _said(x.get(mapping.text))) for i, x in enumerate(record[mapping.messages]) if isinstance(x, dict)]
+    return [(conv, i, r, "\n".join(_said(record[p]) for p in ps if _said(record[p]))) for i, (r, ps) in enumerate(mapping.turns)]
+
+
+def turns_of(raw: str | None, registry: Registry) -> list[tuple]:
+    """The turns of a JSON record, or one row with a null role."""
+    try:
+        record = json.loads(raw or "null")
+        mapping = registry.choose(record_paths(record)) if isinstance(record, dict) else None
+        return record_turns(record, mapping) if mapping else [(None, None, None, raw)]
+    except (ValueError, OverflowError, RecursionError):
+        return [(None, None, None, raw)]
 
 
 def canonical_json(df: DataFrame, column: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """The turns of JSON records that may each have another layout; others give one row with a null role."""
+    """The turns of JSON records that may each have another layout; unmatched ones give one row with a null role."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen: dict[str, Mapping | None] = {}
+        registry = Registry(mappings)
         for batch in batches:
-            rows = []
-            for raw in batch.column(0).to_pylist():
-                try:
-                    record = json.loads(raw or "null")
-                except ValueError:
-                    record = None
-                paths = record_paths(record) if isinstance(record, dict) else {""}
-                key = fingerprint(paths)
-                if key not in chosen:
-                    chosen[key] = choose(paths, mappings)
-                rows += record_turns(record, chosen[key]) if chosen[key] else [(None, None, None, raw)]
+            rows = [t for raw in batch.column(0).to_pylist() for t in turns_of(raw, registry)]
             cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["conv_id", "turn", "role", "text"])
 
-    return df.select(F.col(column).cast("string")).mapInArrow(run, TURNS)
+    return df.select(column_of(df, column).cast("string").alias("record")).mapInArrow(run, TURNS)
 
 
 # --- the template -----------------------------------------------------------

@@ -52,6 +52,15 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def veiled(df: DataFrame, *plain: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with neutral names for all columns but ``plain``, and what gives a result of those rows its old columns back.
+
+    For callers that want rows chosen by an operator, but not its columns.
+    """
+    names = [c if c in plain else f"c{i}" for i, c in enumerate(df.columns)]
+    return df.toDF(*names), lambda out: out.select(*names).toDF(*df.columns)
+
+
 def mapped(rows: DataFrame, function, *added: T.StructField) -> DataFrame:
     """``rows`` without their last column, and the columns that ``function`` of Arrow batches puts there.
 

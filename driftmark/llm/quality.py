@@ -5,7 +5,7 @@ is one narrow stage: no shuffle, no Python on the executors.
 
 Edge cases: a null or blank text has no words, all its measures are 0 and it
 fails the base rule; repeated rows are judged alike; other columns pass through
-unread, and the operator's own columns replace any of the same name.
+unread, whatever their names, and the operator's own columns replace any of the same name.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftmark.llm.common import let, text_of, words_of
+from driftmark.llm.common import columns, free, let, text_of, words_of
 
 WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
@@ -112,13 +112,15 @@ def quality(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
     t = text_of(df, text)
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop", "n_shout", "n_lines", "base_failed", "failed_rules", "kept"]
     held = df.drop(*[c for c in df.columns if c.lower() in own])
+    row, measured = free(df, "row", "measured")
     m = held.select(
-        "*",
+        *columns(held),
         (F.length(t) - F.length(F.regexp_replace(t, SYMBOLS + "+", ""))).cast("long").alias("n_symbols"),
         F.regexp_count(t, F.lit(r"!![\x20\x09-\x0D]")).cast("long").alias("n_shout"),
-        measures(t).alias("__m"),
-        F.monotonically_increasing_id().alias("__row"),
-    ).select(*[F.col(f"`{c}`") for c in held.columns], "n_symbols", "n_shout", "__m.*", "__row")
+        measures(t).alias(measured),
+        F.monotonically_increasing_id().alias(row),
+    )
+    m = m.select(*columns(m, held.columns), "n_symbols", "n_shout", f"{measured}.*", row)
     n, base = F.greatest(F.col("n_words"), F.lit(1)), (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     ratio = {
         "n_words": F.col("n_words").cast("double"),
@@ -139,4 +141,4 @@ def quality(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
     m = m.withColumns({"base_failed": base, "failed_rules": F.array_compact(F.array(*failed))})
     # a filter on ``kept`` must not be pushed below the measures, which it would compute once for each mention;
     # Spark pushes nothing through a projection that numbers rows, and keeps that one as long as it is used
-    return m.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0) & (F.col("__row") >= 0)).drop("__row")
+    return m.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0) & (F.col(row) >= 0)).drop(row)

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from driftmark.llm.common import BROADCAST_BYTES, drop_path, fresh_path, written
 
 LEAST = 100
+SALTS = 32
 FILE_BYTES = 256 << 20
 BLOCK = 1 << 20
 MANIFEST = "path string, records long"
@@ -203,10 +204,15 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "bytes": F.octet_length("payload")})
     twins = rows.where(F.col("bytes") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
     twins = written(twins, "twins")
+    keys = ["digest"]
     if twins.count() * 96 <= BROADCAST_BYTES:
         twins = F.broadcast(twins)
+    else:  # the pages of one payload go to ``SALTS`` tasks
+        keys.append("salt")
+        twins = twins.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    placed = rows.join(twins, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    placed = rows.join(twins, keys, "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
     return written(placed.mapInArrow(_write(folder), MANIFEST), "manifest")
 
 

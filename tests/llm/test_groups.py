@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from driftmark.llm import ann, chat, minhash, queries, url_filter, warc
+from driftmark.llm import ann, chat, minhash, quality, queries, secrets, toxicity, url_filter, warc
 
 
 def shingles(text):
@@ -233,6 +233,100 @@ def test_layouts_by_fingerprint(spark):
         chat.canonical(df)
 
 
+def test_odd_json_records(spark):
+    good = ['{"conv_id": "7", "prompt": "q", "response": "a"}', '{"conv_id": 2.0, "turn": 1, "role": "user", "text": "x"}', '{"conv_id": null, "prompt": "q", "response": null}', '{"conv_id": 3, "prompt": "\\ud83d", "response": "\\ud83d\\ude00"}']
+    deep = '{"conv_id": 1, "prompt": "q", "response": ' + "[" * 100_000 + "]" * 100_000 + "}"
+    bad = [
+        '{"conv_id": "abc", "prompt": "q", "response": "a"}', '{"conv_id": 1.5, "prompt": "q", "response": "a"}', '{"conv_id": true, "prompt": "q", "response": "a"}', '{"conv_id": 99999999999999999999, "prompt": "q", "response": "a"}',
+        '{"conv_id": 1, "turn": "x", "role": "user", "text": "x"}', '{"conv_id": 1e400, "prompt": "q", "response": "a"}', "[1]", "3", "", deep, "[" * 5000,
+    ]
+    out = chat.canonical_json(spark.createDataFrame([(r,) for r in good + bad], "record string"))
+    rows = out.collect()
+    assert sorted(r.text for r in rows if r.role is None) == sorted(bad)
+    said = sorted((str(r.conv_id), r.turn, r.role, r.text) for r in rows if r.role is not None)
+    assert said == sorted([("7", 0, "user", "q"), ("7", 1, "assistant", "a"), ("2", 1, "user", "x"), ("None", 0, "user", "q"), ("None", 1, "assistant", ""), ("3", 0, "user", "\ufffd"), ("3", 1, "assistant", "\U0001f600")])
+    table = spark.createDataFrame([("abc", 0.5, "user", "x"), ("5", 2.0, "user", "y")], "conv_id string, turn double, role string, text string")
+    assert sorted(map(tuple, chat.canonical(table).collect()), key=str) == [(5, 2, "user", "y"), (None, None, "user", "x")]
+
+
+def test_fingerprints_find_mappings():
+    registry = chat.Registry()
+    for m in chat.MAPPINGS:
+        n = len(registry.table)
+        assert registry.choose({*m.paths, "meta.x", "score"}) is m and len(registry.table) == n  # found by its fingerprint alone
+    both = {"conv_id", "prompt", "response", "completion", "system"}
+    assert registry.choose(both).name == "system_prompt" and registry.table[chat.fingerprint(both)].name == "system_prompt"
+    assert registry.choose({"conv_id", "text"}) is None
+
+
+def test_clashing_names_pass_through(spark):
+    names = ["__row", "__m", "row", "measured", "__text", "__url", "url", "said", "key", "best", "patterns", "a.b", "`q`", "k1", "k2", "place", "held", "blob", "__id"]
+    text = " ".join(f"the{i} of" for i in range(30))
+    df = spark.createDataFrame([(1, text, *["http://a.b/en"] * len(names)), (1, text, *["x"] * len(names)), (2, None, *["y"] * len(names))], ["doc_id", "text", *names])
+    for out in (quality.quality(df), url_filter.judge(df), url_filter.judge_joined(df), secrets.redacted(df), minhash.deduplicate(df)):
+        assert out.columns[: len(df.columns)] == df.columns
+        got = collections.Counter(r[-1] for r in out.select(*[F.col(f"`{c.replace('`', '``')}`") for c in names]).collect())
+        assert len(got) >= 2 and sum(got.values()) in (2, 3)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        extra = df.selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "1L as n_chars", "'mine' as kept", "1 as score", "2 as predicted", "3 as `a.b`", "4 as n_words")
+        assert stage(spark, extra, "/root/testdata/sf0.001").columns == extra.columns
+
+
+def plain_quality(text):
+    """The quality verdict, by hand."""
+    import re
+
+    w = re.findall(r"[^\x20\x09-\x0d]+", text or "")
+    seen = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    cover = {k for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for k in range(i, i + 8)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0d]", x)]
+    n = len(w)
+    if n < 20 or 100 * len(cover) > 30 * n:
+        return False
+    values = {
+        "n_words": n, "mean_word_chars": sum(map(len, w)) / n, "symbol_ratio": len(re.findall(r"[#*$%&|<>]", text)) / n, "shout_ratio": len(re.findall(r"!![\x20\x09-\x0d]", text)) / n,
+        "stop_ratio": sum(x.lower() in quality.STOP_WORDS for x in w) / n, "dup_line_ratio": (len(lines) - len(set(lines))) / max(len(lines), 1),
+    }
+    return all((r.low is None or values[r.measure] >= r.low) and (r.high is None or values[r.measure] <= r.high) for r in quality.RULES)
+
+
+def test_pipeline_equals_plain_python(spark, sf):
+    from test_texts import all_spans
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    mild = stages["toxicity"](spark, docs, sf)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    reader = toxicity.Sentences(model.landmarks)
+    rows = docs.collect()
+    kept = [r for r in rows if model.probability(reader.features([r.text or ""]))[0] < 0.5]
+    assert collections.Counter(r.doc_id for r in mild.collect()) == collections.Counter(r.doc_id for r in kept)
+    good = [r for r in kept if plain_quality(r.text)]
+    poor = stages["quality"](spark, mild, sf)
+    assert collections.Counter(r.doc_id for r in poor.collect()) == collections.Counter(r.doc_id for r in good)
+    names = true_classes([(r.doc_id, r.text) for r in good])
+    single = [r for i, r in enumerate(good) if names[i] == r.doc_id]
+    lone = stages["near_duplicates"](spark, poor, sf)
+    assert collections.Counter(r.doc_id for r in lone.collect()) == collections.Counter(r.doc_id for r in single)
+    want = {}
+    for r in single:
+        hidden = sorted((a, e) for a, _, e, _ in all_spans(r.text or ""))
+        out, at, end = [], 0, -1
+        for a, e in hidden:
+            if a > end:
+                out += [r.text[at:a], "[SECRET]"]
+                end = e
+            at = end = max(end, e)
+        want[r.doc_id] = "".join(out) + (r.text or "")[at:]
+    clean = stages["secrets"](spark, lone, sf).collect()
+    assert {r.doc_id: r.text for r in clean} == want and all(r.n_chars == len(r.text) for r in clean) and len(clean) == len(single)
+    packed = corpus_pipeline.run(spark, sf).collect()
+    sizes = collections.Counter()
+    for r in packed:
+        sizes[r.doc_id] += r.size
+    assert sizes == {i: len(t.encode()) for i, t in want.items()}
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns, before = docs.columns, docs.count()
