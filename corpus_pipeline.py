@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmark.llm import minhash, packing, quality, secrets, toxicity
-from driftmark.llm.common import columns, written
+from driftmark.llm.common import veiled, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -28,14 +28,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     that most texts are toxic.
     """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = toxicity.score(docs, model, keep=docs.columns).where("predicted = 0")
-    return kept.select(*columns(kept, docs.columns))
+    safe, back = veiled(docs, "doc_id", "text")
+    return back(toxicity.score(safe, model).where("predicted = 0"))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that break a quality rule go, null and blank texts among them."""
-    kept = quality.quality(docs).where("kept")
-    return kept.select(*columns(kept, docs.columns))
+    safe, back = veiled(docs, "text")
+    return back(quality.quality(safe).where("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
