@@ -28,7 +28,8 @@ at least ``threshold``:
    the pairs that could be similar, and members that need such shingles are done.
    Of the others, those outside their bucket's largest class lead, ever more at a
    time, until each bucket is one class: no link between classes that banding
-   found is lost;
+   found is lost. Sketches of 512 bits rule out most pairs before they are listed,
+   by a bound that holds for every pair;
 4. components come from label passing with pointer jumping. Links, labels and
    shingles stay distributed; every table between rounds is in the shared folder.
 
@@ -64,6 +65,8 @@ FIRST = 2.0**-6
 SMALL_LINKS = 200_000
 #: A shingle of at most so many texts is rare.
 RARE = 12
+#: Words of 64 bits that sketch which elements a text has.
+SKETCH = 8
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -288,7 +291,7 @@ def _sign(weighted: bool):
 
 
 def _elements(weighted: bool):
-    """The last column, a text, gives k1, k2 and the elements that similarity counts."""
+    """The last column, a text, gives k1, k2, the elements that similarity counts, and a sketch of them: the bits that they hash to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,14 +307,17 @@ def _elements(weighted: bool):
                     e, owner = e[new], owner[new]
                 null = np.diff(offsets) == 0
                 lists = _lists(e.view(np.int64), np.bincount(owner, minlength=to - at), null)
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, to - at) for c in batch.columns[:-1]), pa.array(k1, mask=null), pa.array(k2, mask=null), lists], names=[*batch.schema.names[:-1], "k1", "k2", "s"])
+                bits = np.zeros((to - at) * SKETCH, np.uint64)
+                np.bitwise_or.at(bits, owner * SKETCH + (e >> np.uint64(6) & np.uint64(SKETCH - 1)).astype(np.int64), np.uint64(1) << (e & np.uint64(63)))
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, len(bits) + 1, SKETCH), pa.int32()), pa.array(bits.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, to - at) for c in batch.columns[:-1]), pa.array(k1, mask=null), pa.array(k2, mask=null), sketch, lists], names=[*batch.schema.names[:-1], "k1", "k2", "bits", "s"])
 
     return run
 
 
-def _mapped(rows: DataFrame, function, last: str) -> DataFrame:
-    """``rows``, whose last column is a text, with k1, k2 and the list ``last`` instead of it."""
-    return mapped(rows, function, T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField(last, T.ArrayType(T.LongType())))
+def _mapped(rows: DataFrame, function, *lists: str) -> DataFrame:
+    """``rows``, whose last column is a text, with k1, k2 and ``lists`` instead of it."""
+    return mapped(rows, function, T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), *[T.StructField(x, T.ArrayType(T.LongType())) for x in lists])
 
 
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,8 +369,15 @@ def _reach(common: Column, sizes: Column, threshold: float) -> Column:
     return (1 + threshold) * common + 1e-6 >= threshold * sizes
 
 
+def _within(sizes: tuple[Column, Column], bits: tuple[Column, Column], threshold: float) -> Column:
+    """Whether sketches let two texts be similar: an element on a bit that the other lacks is none of the other's."""
+    apart = lambda x, y: sum((F.bit_count(F.get(x, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(i))))) for i in range(SKETCH)), F.lit(0))
+    common = F.least(sizes[0] - apart(*bits), sizes[1] - apart(*bits[::-1]))
+    return _reach(common, sizes[0] + sizes[1], threshold)
+
+
 def _rare(members: DataFrame, labels: DataFrame, shingles: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(a, b) that rare shingles speak for, and (node, size, common) of the members' texts.
+    """(a, b) that rare shingles speak for, and (node, size, bits, common) of the members' texts.
 
     A shingle of 2 to ``RARE`` member texts is rare, one of more is common. Two texts
     have at most the rare shingles that they are seen to share and the fewer of
@@ -373,7 +386,7 @@ def _rare(members: DataFrame, labels: DataFrame, shingles: DataFrame, threshold:
     only be similar if the common shingles of both suffice.
     """
     some = members.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    some = written(some.join(shingles, "node").select("node", "label", F.size("s").alias("size"), "s"), "some")
+    some = written(some.join(shingles, "node").select("node", "label", F.size("s").alias("size"), "bits", "s"), "some")
     tokens = some.select("node", "label", "size", F.explode("s").alias("t"))
     seen = tokens.groupBy("t").agg(F.count("*").alias("c"), F.min("node").alias("node"))
     seen = written(seen.where(F.col("c") <= RARE), "seen")
@@ -381,7 +394,7 @@ def _rare(members: DataFrame, labels: DataFrame, shingles: DataFrame, threshold:
     held = written(held, "held")  # at most RARE texts a shingle
     few = seen.where("c = 1").groupBy("node").agg(F.count("*").alias("few")).union(held.select(F.explode("held.node").alias("node")).groupBy("node").agg(F.count("*").alias("few")))
     few = few.groupBy("node").agg(F.sum("few").alias("few"))
-    sizes = written(some.select("node", "size").join(few, "node", "left").select("node", "size", (F.col("size") - F.coalesce("few", F.lit(0))).alias("common")), "sizes")
+    sizes = written(some.select("node", "size", "bits").join(few, "node", "left").select("node", "size", "bits", (F.col("size") - F.coalesce("few", F.lit(0))).alias("common")), "sizes")
     couples = F.flatten(F.transform("held", lambda x: F.transform(F.filter("held", lambda y: (y["node"] > x["node"]) & (y["label"] != x["label"])), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"), (x["size"] + y["size"]).alias("sizes")))))
     met = held.select(F.explode(couples).alias("p")).groupBy("p.a", "p.b", "p.sizes").agg(F.count("*").alias("n"))
     of = lambda name: sizes.select(F.col("node").alias(name), F.col("common").alias(f"c{name}"))
@@ -390,7 +403,7 @@ def _rare(members: DataFrame, labels: DataFrame, shingles: DataFrame, threshold:
 
 
 def _stubborn(members: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
-    """Members (band, node, size, common) whose common shingles alone could make them similar to a co-member."""
+    """Members (band, node, size, bits, common) whose common shingles alone could make them similar to a co-member."""
     sized = written(members.join(sizes, "node"), "sized")
     least = sized.groupBy("band").agg(F.min("size").alias("least"))
     # what is similar to a text is not smaller than its share of it
@@ -422,7 +435,7 @@ def classes(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, wei
     reread = df.select(number, text_of(df, text).alias("text"))
     ids = asked.select(F.col("id").alias("asked")).distinct()
     reread = reread.join(hint(ids), F.col("id").eqNullSafe(F.col("asked")), "left_semi").select("text")
-    shingles = _mapped(reread, _elements(weighted), "s").join(hint(asked.select("node", "k1", "k2")), ["k1", "k2"]).groupBy("node").agg(F.first("s").alias("s"))
+    shingles = _mapped(reread, _elements(weighted), "bits", "s").join(hint(asked.select("node", "k1", "k2")), ["k1", "k2"]).groupBy("node").agg(F.first("s").alias("s"), F.first("bits").alias("bits"))
     shingles = written(shingles, "shingles")
     links = written(_links(members.where("not led").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), shingles, threshold), "links")
     labels = components(links)
@@ -444,13 +457,13 @@ def classes(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, wei
         if mixed.isEmpty():
             break
         chosen = (F.col("label") != F.col("most")) & (F.pmod(F.xxhash64("band", "node", F.lit(leaders)), F.col("n")) < leaders)
-        now = written(now.join(mixed, "band").select("band", "node", "size", "common", "label", chosen.alias("leads")), "members")
-        heads = now.where("leads").select("band", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("sb"), F.col("common").alias("cb"))
-        able = _reach(F.least("common", "cb"), F.col("size") + F.col("sb"), threshold)
+        now = written(now.join(mixed, "band").select("band", "node", "size", "bits", "common", "label", chosen.alias("leads")), "members")
+        heads = now.where("leads").select("band", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("sb"), F.col("common").alias("cb"), F.col("bits").alias("bb"))
+        able = _reach(F.least("common", "cb"), F.col("size") + F.col("sb"), threshold) & _within((F.col("size"), F.col("sb")), (F.col("bits"), F.col("bb")), threshold)
         pairs = now.join(heads, "band").where((F.col("label") != F.col("lb")) & (~F.col("leads") | (F.col("node") < F.col("b"))) & able).select(F.col("node").alias("a"), "b").distinct()
         links = written(links.union(_links(pairs, shingles, threshold)), "links")
         labels = components(links)
-        members = now.where("not leads").select("band", "node", "size", "common")
+        members = now.where("not leads").select("band", "node", "size", "bits", "common")
     return signed.drop("bands"), nodes.select("node", "k1", "k2", "id", "n"), labels
 
 
