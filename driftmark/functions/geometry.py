@@ -145,6 +145,14 @@ def points(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1, 3) if len(column) else np.zeros((0, 0, 3))
 
 
+def lists(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix, or of (rows, atoms, 3), as an Arrow column of lists."""
+    flat = pa.array(np.ascontiguousarray(x, np.float64).reshape(-1))
+    for width in x.shape[:0:-1]:
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, max(width, 1)) if width else np.zeros(len(x) + 1), pa.int32()), flat)
+    return flat
+
+
 def with_descriptors(frames: DataFrame, topo: Topology, keep: list[str] | None = None) -> DataFrame:
     """``features`` for each frame, a batch at a time; positions are dropped unless kept."""
     keep = keep or [c for c in ("run", "track", "bead", "frame", "step") if c in frames.columns]
@@ -153,6 +161,6 @@ def with_descriptors(frames: DataFrame, topo: Topology, keep: list[str] | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = descriptors(points(batch.column(batch.num_columns - 1)), topo) if batch.num_rows else np.zeros((0, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(x.tolist(), pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "features"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists(x)], names=[*batch.schema.names[:-1], "features"])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("features", T.ArrayType(T.DoubleType()))]))

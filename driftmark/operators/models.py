@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftmark.functions.geometry import lists
+
 
 def matrix(column: pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
@@ -66,7 +68,10 @@ def mapped(df: DataFrame, function, column: str, name: str, kind: T.DataType) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             value = function(matrix(batch.column(batch.num_columns - 1)))
-            value = pa.array(value.tolist() if value.ndim > 1 else value, pa.list_(pa.float64()) if value.ndim > 1 else pa.float64()) if batch.num_rows else pa.array([], pa.list_(pa.float64()) if isinstance(kind, T.ArrayType) else pa.float64())
+            if not batch.num_rows:
+                value = pa.array([], pa.list_(pa.float64()) if isinstance(kind, T.ArrayType) else pa.float64())
+            else:
+                value = lists(value) if value.ndim > 1 else pa.array(value, pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], value], names=[*batch.schema.names[:-1], name])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField(name, kind)]))
@@ -164,10 +169,25 @@ class PerAtom:
 
     @classmethod
     def fit(cls, df: DataFrame, column: str = "features") -> PerAtom:
-        """All atoms in one pass: partial sums by (atom, element), never an atom's rows together."""
-        x = df.select("atom", F.col(column).cast("array<double>").alias("x"))
-        means = {r.atom: r for r in x.select("atom", F.posexplode("x").alias("i", "v")).groupBy("atom", "i").agg(F.avg("v").alias("m")).groupBy("atom").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("m")).collect()}
-        centre = {a: [e.m for e in r.m] for a, r in means.items()}
+        """All atoms in two passes of partial sums in Arrow batches, never an atom's rows together."""
+        x = df.select(F.col("atom").cast("long").alias("atom"), F.col(column).cast("array<double>").alias("x"))
+
+        def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, list] = {}
+            for batch in batches:
+                m, atoms = matrix(batch.column(1)), np.asarray(batch.column(0))
+                for a in np.unique(atoms).tolist():
+                    d = m[atoms == a]
+                    n, t = held.get(a, (0, 0.0))
+                    held[a] = (n + len(d), t + d.sum(0))
+            for a, (n, t) in held.items():
+                yield pa.RecordBatch.from_pydict({"atom": pa.array([a], pa.int64()), "n": [n], "total": [t.tolist()]})
+
+        # one row a task and atom, of one fixed size
+        sums: dict[int, tuple] = {}
+        for r in x.mapInArrow(totals, "atom long, n long, total array<double>").select("atom", "n", F.posexplode("total").alias("k", "v")).groupBy("atom", "k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
+            sums.setdefault(r.atom, {})[r.k] = r.v / r.n
+        centre = {a: [m[k] for k in sorted(m)] for a, m in sums.items()}
 
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[int, list] = {}
@@ -180,7 +200,7 @@ class PerAtom:
             for a, (n, g) in held.items():
                 yield pa.RecordBatch.from_pydict({"atom": pa.array([a], pa.int64()), "n": [n], "gram": [g.ravel().tolist()]})
 
-        parts = x.select(F.col("atom").cast("long").alias("atom"), "x").mapInArrow(partial, "atom long, n long, gram array<double>")
+        parts = x.mapInArrow(partial, "atom long, n long, gram array<double>")
         sums = parts.select("atom", "n", F.posexplode("gram").alias("k", "v")).groupBy("atom", "k").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).groupBy("atom").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("k", "v"))).alias("g"))
         out = {}
         for r in sums.collect():

@@ -71,7 +71,7 @@ def distorted(frames: DataFrame, topo: Topology, settings: list[tuple], seed: in
                     q = rotate(p, topo, size, *more)
                 else:
                     q = set_torsion(p, topo, more[0], size)
-                yield pa.RecordBatch.from_arrays([pa.array([s] * len(q), pa.int32()), batch.column(0), pa.array(q.tolist(), pa.list_(pa.list_(pa.float64())))], names=["setting", "frame", "positions"])
+                yield pa.RecordBatch.from_arrays([pa.array([s] * len(q), pa.int32()), batch.column(0), G.lists(q)], names=["setting", "frame", "positions"])
 
     return rows.mapInArrow(run, "setting int, frame bigint, positions array<array<double>>")
 

@@ -9,8 +9,10 @@ from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftmark.functions import geometry as G
 from driftmark.operators import aggregate, chemistry, false_alarm, models, onset, topology
@@ -29,8 +31,16 @@ class Fitted:
 
     def score(self, frames: DataFrame) -> DataFrame:
         """Scores of frames: one map from positions to a number, with nothing wide in between."""
-        described = G.with_descriptors(frames, self.topo)
-        return self.scorer.score(self.pca.transform(described)).drop("features", "reduced")
+        keep = [c for c in frames.columns if c in ("run", "track", "bead", "frame", "step", "setting")]
+        rows = frames.select(*keep, "positions")
+
+        def run(batches):
+            for batch in batches:
+                p = G.points(batch.column(batch.num_columns - 1))
+                value = pa.array(self.score_array(p)) if len(p) else pa.array([], pa.float64())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], value], names=[*batch.schema.names[:-1], "score"])
+
+        return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
 
     def score_array(self, p: np.ndarray) -> np.ndarray:
         return self.scorer.apply(self.pca.apply(G.descriptors(p, self.topo)))

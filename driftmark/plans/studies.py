@@ -35,7 +35,7 @@ def benchmark(spark: SparkSession, config: dict, alpha: float | None = None, spl
     slices = coverage.orderBy("bin").collect()
     settings = [("rattle", s) for s in RATTLES] + [("stretch", d) for d in STRETCHES] + [("torsion_scan", r.angle_centre, quad) for r in slices]
     made = perturb.distorted(rest, fitted.topo, settings, seed).persist()
-    scored = fitted.scorer.score(fitted.pca.transform(G.with_descriptors(made, fitted.topo, ["setting", "frame"]))).select("setting", "frame", "score").persist()
+    scored = fitted.score(made).select("setting", "frame", "score").persist()
     chem = config["chemistry"]
     flags = chemistry.with_flags(made.withColumn("step", F.col("setting")), fitted.topo, chem["bond_break_cutoff"], chem["close_contact_cutoff"])
     rates = flags.groupBy(F.col("step").alias("setting")).agg(F.avg(((F.size("broken") > 0) | (F.size("close") > 0)).cast("double")).alias("chemistry_flag_rate"))

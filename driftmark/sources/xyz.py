@@ -1,24 +1,35 @@
 """XYZ trajectories as Spark data sources: ``ipi_xyz`` and ``extxyz``, and their writer.
 
-A frame is a count line, a comment line and one line an atom. Planning finds the
-frames of each file once (byte offset, count, comment) and hands tasks runs of
-frames as byte ranges; filters on ``frame`` prune them before anything is read.
-The index may be kept beside the data as Parquet and is valid while the
-file's size and time are unchanged.
+A frame is a count line, a comment line and one line an atom. Files are cut into
+byte ranges; a task finds the first frame that starts in its range by looking for
+a count line that its comment, so many atom lines and another count line follow.
+Frame numbers need the counts of the ranges before, so ``read_ipi`` and
+``read_extxyz`` count the frames of each range in a Spark job first; the driver
+sees one row a range, never the files. The counts may be kept beside the data as
+Parquet and are valid while the file's size and time are unchanged. Filters on
+``frame`` prune ranges, and stop a task at the last frame that is wanted. Without
+counts (``spark.read.format`` alone) each file is one partition.
 
 Options: ``stride`` (step of frame k without a Step: k * stride, 50 by default),
-``run``, ``track``, ``frames_per_partition`` (5000), ``index_dir``, ``positions_only``.
-Paths are a file, a folder or a glob; beads number the sorted matches.
+``run``, ``track``, ``range_bytes`` (64 MiB), ``index_dir``, ``columns`` (those to
+parse of symbols, positions, forces, energy, comment; all by default),
+``positions_only`` (no forces), ``frame_start``, ``frame_end`` and ``frame_stride``
+(a strided scan of [start, end)). Paths are a file, a folder or a glob; beads
+number the sorted matches.
 """
 
 from __future__ import annotations
 
 import glob
+import itertools
+import json
 import os
 import re
+import sys
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +39,9 @@ from driftmark.schema import FRAMES
 
 STEP, BEAD = re.compile(r"Step:\s*(\d+)"), re.compile(r"Bead:\s*(\d+)")
 _PAIR = re.compile(r"""([A-Za-z_][\w\-]*)=(?:"((?:[^"\\]|\\.)*)"|'([^']*)'|\{([^}]*)\}|(\S+))""")
-VECTORS = pa.list_(pa.list_(pa.float64()))
+RANGE_BYTES = 64 << 20
+#: Counts of so many ranges travel as an option; more go through a file in the shared folder.
+INLINE_RANGES = 2000
 
 
 @dataclass
@@ -38,48 +51,144 @@ class Frame:
     comment: str
 
 
-def scan_index(path: str) -> list[Frame]:
-    """All frames of a file in one binary pass; blank lines between frames are skipped."""
-    frames = []
-    with open(path, "rb") as f:
-        while True:
-            at, line = f.tell(), f.readline()
-            if not line:
-                return frames
+def _is_count(line: bytes) -> bool:
+    return line.strip().isdigit()
+
+
+def _synchronised(f, at: int) -> Iterator[tuple[int, bytes]]:
+    """Lines with their offsets, from the first frame that starts at ``at`` or later."""
+
+    def lines(at: int) -> Iterator[tuple[int, bytes]]:
+        while line := f.readline():
+            yield at, line
+            at += len(line)
+
+    if at == 0:
+        f.seek(0)
+        yield from lines(0)
+        return
+    f.seek(at - 1)
+    at += len(f.readline()) - 1
+    rest, held = lines(at), []
+
+    def line(k: int) -> bytes | None:
+        while len(held) <= k:
+            more = next(rest, None)
+            if more is None:
+                return None
+            held.append(more)
+        return held[k][1]
+
+    while (first := line(0)) is not None:
+        if _is_count(first):
+            n = int(first)
+            atoms = all((x := line(k)) is not None and len(x.split()) >= 4 for k in range(2, n + 2))
+            after = n + 2
+            while atoms and (x := line(after)) is not None and not x.strip():
+                after += 1
+            if atoms and ((x := line(after)) is None or _is_count(x)):
+                yield from held
+                yield from rest
+                return
+        held.pop(0)
+
+
+def frames_between(path: str, start: int = 0, end: int | None = None) -> Iterator[tuple[int, int, bytes, list[bytes]]]:
+    """(offset, atoms, comment, atom lines) of the frames that start in [start, end); blank lines between frames are skipped."""
+    with open(path, "rb", buffering=1 << 20) as f:
+        rest, number = _synchronised(f, start), 0
+        for at, line in rest:
+            if end is not None and at >= end:
+                return
             if not line.strip():
                 continue
             try:
                 n = int(line)
             except ValueError:
                 raise ValueError(f"{path}: byte {at} is not an atom count: {line[:40]!r}") from None
-            comment = f.readline()
-            for k in range(n):
-                if not f.readline():
-                    raise ValueError(f"{path}: frame {len(frames)} ends after {k} of {n} atoms")
-            frames.append(Frame(at, n, comment.decode("utf-8", "replace").rstrip("\r\n")))
+            comment = next(rest, (0, b""))[1]
+            atoms = [x for _, x in itertools.islice(rest, n)]
+            if len(atoms) < n:
+                raise ValueError(f"{path}: frame {number} ends after {len(atoms)} of {n} atoms")
+            yield at, n, comment, atoms
+            number += 1
+
+
+def scan_index(path: str) -> list[Frame]:
+    """All frames of one file, in one pass."""
+    return [Frame(at, n, comment.decode("utf-8", "replace").rstrip("\r\n")) for at, n, comment, _ in frames_between(path)]
 
 
-def frame_index(path: str, index_dir: str | None = None) -> list[Frame]:
-    """The index from its sidecar if that is valid, else by a scan; a sidecar that can't be written is no error."""
+@dataclass
+class Range(InputPartition):
+    """The frames of a file that start in [start, end), the first of which is number ``first``; ``count`` -1: not counted."""
+
+    path: str
+    bead: int
+    start: int
+    end: int
+    first: int
+    count: int
+
+
+def _sidecar(path: str, index_dir: str) -> str:
+    return os.path.join(index_dir, os.path.basename(path) + ".frames.parquet")
+
+
+def _known_counts(path: str, size: int, index_dir: str | None) -> list[tuple[int, int, int]] | None:
+    """(start, end, frames) of a file's ranges from its sidecar, if that is valid."""
     if index_dir is None:
-        return scan_index(path)
-    path = os.path.realpath(path)
-    stat, side = os.stat(path), os.path.join(index_dir, os.path.basename(path) + ".frames.parquet")
+        return None
     try:
-        table = pq.read_table(side)
+        table, stat = pq.read_table(_sidecar(path, index_dir)), os.stat(path)
         meta = table.schema.metadata or {}
-        if meta.get(b"path") == path.encode() and int(meta[b"size"]) == stat.st_size and abs(float(meta[b"mtime"]) - stat.st_mtime) < 1:
-            return [Frame(r["offset"], r["n_atoms"], r["comment"]) for r in table.to_pylist()]
-    except (OSError, KeyError, ValueError):
+        if meta.get(b"path") == os.path.realpath(path).encode() and int(meta[b"size"]) == stat.st_size and int(meta[b"range_bytes"]) == size and abs(float(meta[b"mtime"]) - stat.st_mtime) < 1:
+            return [tuple(r.values()) for r in table.to_pylist()]
+    except (OSError, KeyError, ValueError, pa.ArrowException):
         pass
-    frames = scan_index(path)
+    return None
+
+
+def _keep_counts(path: str, counts: list[tuple[int, int, int]], size: int, index_dir: str | None) -> None:
+    """A sidecar that can't be written is no error."""
+    if index_dir is None:
+        return
     try:
         os.makedirs(index_dir, exist_ok=True)
-        table = pa.table({"offset": [f.offset for f in frames], "n_atoms": [f.n_atoms for f in frames], "comment": [f.comment for f in frames]})
-        pq.write_table(table.replace_schema_metadata({"path": path, "size": str(stat.st_size), "mtime": repr(stat.st_mtime)}), side)
+        stat = os.stat(path)
+        table = pa.table({k: pa.array([c[i] for c in counts], pa.int64()) for i, k in enumerate(("start", "end", "frames"))})
+        meta = {"path": os.path.realpath(path), "size": str(stat.st_size), "range_bytes": str(size), "mtime": repr(stat.st_mtime)}
+        pq.write_table(table.replace_schema_metadata(meta), _sidecar(path, index_dir))
     except OSError:
         pass
-    return frames
+
+
+def count_ranges(spark: SparkSession, path: str, size: int = RANGE_BYTES, index_dir: str | None = None) -> list[Range]:
+    """The ranges of all files with their first frames' numbers: counted on the executors, added up on the driver."""
+    files = matches(path)
+    known = [_known_counts(p, size, index_dir) for p in files]
+    asked = [(k, p, at, min(at + size, n)) for k, p in enumerate(files) if known[k] is None for n in [os.stat(p).st_size] for at in range(0, n, size)]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            yield pa.RecordBatch.from_pydict({"file": [r["file"] for r in rows], "start": [r["start"] for r in rows], "end": [r["end"] for r in rows], "frames": [sum(1 for _ in frames_between(r["path"], r["start"], r["end"])) for r in rows]})
+
+    if asked:
+        rows = spark.createDataFrame(asked, "file long, path string, start long, end long").repartition(min(len(asked), 4096))
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for r in rows.mapInArrow(count, "file long, start long, end long, frames long").collect():  # one small row a range
+            found.setdefault(r.file, []).append((r.start, r.end, r.frames))
+        for k, counts in found.items():
+            known[k] = sorted(counts)
+            _keep_counts(files[k], known[k], size, index_dir)
+    out = []
+    for k, p in enumerate(files):
+        first = 0
+        for start, end, n in known[k] or []:
+            out.append(Range(p, k, start, end, first, n))
+            first += n
+    return out
 
 
 def matches(path: str) -> list[str]:
@@ -104,20 +213,25 @@ def columns_of(properties: str) -> list[tuple[str, str, int, int]]:
     return out
 
 
-@dataclass
-class Range(InputPartition):
-    path: str
-    bead: int
-    first: int
-    end: int
-    offset: int
-    mtime: float
+def _vectors(blocks: list[np.ndarray | None]) -> pa.Array:
+    """A column of lists of 3-vectors."""
+    size = [0 if x is None else len(x) for x in blocks]
+    flat = np.concatenate([x.reshape(-1) for x in blocks if x is not None]) if any(size) else np.zeros(0)
+    inner = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 3), pa.int32()), pa.array(flat))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), inner, mask=pa.array([x is None for x in blocks]))
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, extended: bool):
         self.options, self.extended = dict(options), extended
-        self.low, self.high, self.only = 0, None, None
+        self.low, self.high, self.only = int(self.options.get("frame_start", 0)), None, None
+        if "frame_end" in self.options:
+            self.high = int(self.options["frame_end"])
+        self.origin, self.every = self.low, int(self.options.get("frame_stride", 1))
+        wanted = self.options.get("columns")
+        self.parsed = set(wanted.replace(" ", "").split(",")) if wanted else {"symbols", "positions", "forces", "energy", "comment"}
+        if self.options.get("positions_only", "false").lower() == "true":
+            self.parsed -= {"forces"}
 
     def pushFilters(self, filters):
         for f in filters:
@@ -133,73 +247,81 @@ class _Reader(DataSourceReader):
                     self.high = high if self.high is None else min(self.high, high)
             yield f  # Spark still checks each row
 
+    def last(self) -> int:
+        """No frame from here on is wanted."""
+        high = sys.maxsize if self.high is None else self.high
+        return high if self.only is None else min(high, max(self.only, default=-1) + 1)
+
     def wants(self, frame: int) -> bool:
-        return frame >= self.low and (self.high is None or frame < self.high) and (self.only is None or frame in self.only)
+        return frame >= self.low and frame < self.last() and (frame - self.origin) % self.every == 0 and (self.only is None or frame in self.only)
+
+    def some(self, part: Range) -> bool:
+        if part.count < 0:
+            return True
+        if self.only is not None:
+            return any(part.first <= k < part.first + part.count and self.wants(k) for k in self.only)
+        return part.count > 0 and part.first < self.last() and part.first + part.count > self.low
 
     def partitions(self):
-        size, out = int(self.options.get("frames_per_partition", 5000)), []
-        for bead, path in enumerate(matches(self.options["path"])):
-            index = frame_index(path, self.options.get("index_dir"))
-            for first in range(0, len(index), size):
-                end = min(first + size, len(index))
-                if any(self.wants(k) for k in range(first, end)):
-                    out.append(Range(path, bead, first, end, index[first].offset, os.stat(path).st_mtime))
-        return out or [Range("", 0, 0, 0, 0, 0)]
+        told = self.options.get("ranges")
+        if told is None:
+            ranges = [Range(p, k, 0, os.stat(p).st_size, 0, -1) for k, p in enumerate(matches(self.options["path"]))]
+        elif told.startswith("["):
+            ranges = [Range(**r) for r in json.loads(told)]
+        else:
+            ranges = [Range(**r) for r in pq.read_table(told).to_pylist()]
+        return [r for r in ranges if self.some(r)] or [Range("", 0, 0, 0, 0, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        if part.first == part.end:
+        if part.start == part.end:
             return
-        rows = []
-        with open(part.path, "rb") as f:
-            f.seek(part.offset)
-            frame = part.first
-            while frame < part.end:
-                line = f.readline()
-                if not line.strip():
-                    continue
-                n, comment = int(line), f.readline().decode("utf-8", "replace").rstrip("\r\n")
-                atoms = [f.readline() for _ in range(n)]
-                if self.wants(frame):
-                    rows.append(self.row(part, frame, n, comment, atoms))
-                frame += 1
-                if len(rows) >= 512:
-                    yield self.batch(rows)
-                    rows = []
+        rows, stop = [], self.last()
+        for frame, (_, n, comment, atoms) in enumerate(frames_between(part.path, part.start, part.end), part.first):
+            if frame >= stop:
+                break
+            if self.wants(frame):
+                rows.append(self.row(part, frame, n, comment.decode("utf-8", "replace").rstrip("\r\n"), atoms))
+            if len(rows) >= 512:
+                yield self.batch(rows)
+                rows = []
         if rows:
             yield self.batch(rows)
 
     def row(self, part: Range, frame: int, n: int, comment: str, atoms: list[bytes]) -> dict:
-        o = self.options
-        fields = [a.split() for a in atoms]
-        out = {"run": o.get("run", "run"), "track": o.get("track", "bead"), "bead": part.bead, "frame": frame, "n_atoms": n, "comment": comment, "symbols": None, "forces": None, "energy": None}
+        o, parsed = self.options, self.parsed
+        out = {"run": o.get("run", "run"), "track": o.get("track", "bead"), "bead": part.bead, "frame": frame, "n_atoms": n, "comment": comment if "comment" in parsed else None, "symbols": None, "forces": None, "energy": None, "positions": None}
         said = STEP.search(comment)
+        fields = [a.split() for a in atoms] if parsed & {"symbols", "positions", "forces"} else []
+        take = lambda at, k: np.array([a[at : at + k] for a in fields], "S32").astype(np.float64).reshape(n, k)
         if not self.extended:
             # symbols are not looked at: such files are read for their coordinates
-            out["positions"] = [[float(x) for x in a[1:4]] for a in fields]
+            if "positions" in parsed:
+                out["positions"] = take(1, 3)
             out["step"] = int(said[1]) if said else frame * int(o.get("stride", 50))
             return out
         values = comment_values(comment)
-        layout = columns_of(values.get("Properties", "species:S:1:pos:R:3"))
-        take = lambda at, k: [[float(x) for x in a[at : at + k]] for a in fields]
-        for name, _, at, k in layout:
-            if name in ("species", "element"):
-                out["symbols"] = [a[at].decode() for a in fields]
-            elif name in ("pos", "positions"):
-                out["positions"] = take(at, k)
-        by = {name: (at, k) for name, _, at, k in layout}
-        force = next((by[x] for x in ("forces", "force", "ref_forces") if x in by), None)
-        if o.get("positions_only", "false").lower() != "true":
-            out["forces"] = take(*force) if force else [[0.0] * 3 for _ in fields]
-        energy = next((values[x] for x in ("energy", "REF_energy") if x in values), None)
-        out["energy"] = float(energy) if energy is not None else 0.0
+        by = {name: (at, k) for name, _, at, k in columns_of(values.get("Properties", "species:S:1:pos:R:3"))}
+        find = lambda *names: next((by[x] for x in names if x in by), None)
+        species, pos, force = find("species", "element"), find("pos", "positions"), find("forces", "force", "ref_forces")
+        if "symbols" in parsed and species:
+            out["symbols"] = [a[species[0]].decode() for a in fields]
+        if "positions" in parsed and pos:
+            out["positions"] = take(*pos)
+        if "forces" in parsed:
+            out["forces"] = take(*force) if force else np.zeros((n, 3))
+        if "energy" in parsed:
+            energy = next((values[x] for x in ("energy", "REF_energy") if x in values), None)
+            out["energy"] = float(energy) if energy is not None else 0.0
         step = values.get("step", values.get("Step"))
         out["step"] = int(said[1]) if said else int(float(step)) if step is not None else frame
+        if o.get("pimd", "false").lower() == "true":  # such loads number their frames, whatever the comment says
+            out["step"] = frame
         return out
 
     @staticmethod
     def batch(rows: list[dict]) -> pa.RecordBatch:
-        kinds = {"run": pa.string(), "track": pa.string(), "bead": pa.int32(), "frame": pa.int64(), "step": pa.int64(), "n_atoms": pa.int32(), "symbols": pa.list_(pa.string()), "positions": VECTORS, "forces": VECTORS, "energy": pa.float64(), "comment": pa.string()}
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in kinds.items()], names=list(kinds))
+        kinds = {"run": pa.string(), "track": pa.string(), "bead": pa.int32(), "frame": pa.int64(), "step": pa.int64(), "n_atoms": pa.int32(), "symbols": pa.list_(pa.string()), "positions": None, "forces": None, "energy": pa.float64(), "comment": pa.string()}
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) if t is not None else _vectors([r[k] for r in rows]) for k, t in kinds.items()], names=list(kinds))
 
 
 @dataclass
@@ -289,14 +411,24 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
-def read_ipi(spark: SparkSession, path: str, **options) -> DataFrame:
+def _load(spark: SparkSession, kind: str, path: str, options: dict) -> DataFrame:
     register(spark)
-    return spark.read.format("ipi_xyz").options(**{k: str(v) for k, v in options.items()}).load(path)
+    ranges = [asdict(r) for r in count_ranges(spark, path, int(options.pop("range_bytes", RANGE_BYTES)), options.pop("index_dir", None))]
+    if len(ranges) <= INLINE_RANGES:
+        told = json.dumps(ranges)
+    else:
+        root = spark.conf.get("spark.checkpoint.dir", None) or os.path.dirname(matches(path)[0])
+        told = os.path.join(root.removeprefix("file://"), f"ranges-{os.urandom(8).hex()}.parquet")
+        pq.write_table(pa.Table.from_pylist(ranges), told)
+    return spark.read.format(kind).options(ranges=told, **{k: str(v) for k, v in options.items()}).load(path)
+
+
+def read_ipi(spark: SparkSession, path: str, **options) -> DataFrame:
+    return _load(spark, "ipi_xyz", path, options)
 
 
 def read_extxyz(spark: SparkSession, path: str, **options) -> DataFrame:
-    register(spark)
-    return spark.read.format("extxyz").options(**{k: str(v) for k, v in options.items()}).load(path)
+    return _load(spark, "extxyz", path, options)
 
 
 def first_frame(path: str) -> tuple[list[str], list[list[float]]]:
@@ -315,8 +447,6 @@ def select_frames(frames: DataFrame, ids: list[int]) -> DataFrame:
 
 def read_forces_npz(spark: SparkSession, path: str) -> DataFrame:
     """(frame, forces) of a NumPy archive's ``forces``."""
-    import numpy as np
-
     x = np.load(path)["forces"]
     return spark.createDataFrame([(k, f.tolist()) for k, f in enumerate(x)], "frame bigint, forces array<array<double>>")
 

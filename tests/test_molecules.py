@@ -89,7 +89,7 @@ def test_ipi_source(spark, tmp_path):
     text = perturb.ipi_text(walk(7, 1), CHAIN, 1000)
     (tmp_path / "t.pos_00.xyz").write_text(text.replace("5\n#", "\n5\n#", 2))
     (tmp_path / "t.pos_01.xyz").write_text(perturb.ipi_text(walk(5, 2), CHAIN, 1000))
-    df = xyz.read_ipi(spark, str(tmp_path / "t.pos_*.xyz"), frames_per_partition=3, index_dir=str(tmp_path / "ix"))
+    df = xyz.read_ipi(spark, str(tmp_path / "t.pos_*.xyz"), range_bytes=700, index_dir=str(tmp_path / "ix"))
     assert df.count() == 12 and {r.bead for r in df.select("bead").distinct().collect()} == {0, 1}
     rows = xyz.select_frames(df, [2, 6]).orderBy("bead", "frame").collect()
     assert [(r.bead, r.frame, r.step) for r in rows] == [(0, 2, 1100), (0, 6, 1300), (1, 2, 1100)]
@@ -100,6 +100,26 @@ def test_ipi_source(spark, tmp_path):
         xyz.matches(str(tmp_path / "none*"))
 
 
+def test_byte_ranges_find_every_frame(spark, tmp_path):
+    """Whatever the ranges, the frames are those of one pass, also where comments look like counts."""
+    rng, text = np.random.default_rng(3), []
+    for k in range(40):
+        n = 5
+        text += [f"{n}\n", str(n) + "\n" if k % 3 else "\n", *(f"C {x:.4f} {y:.4f} {z:.4f}\n" for x, y, z in rng.normal(size=(n, 3))), "\n" * int(rng.integers(3))]
+    path = tmp_path / "c.xyz"
+    path.write_text("".join(text))
+    whole = xyz.scan_index(str(path))
+    assert len(whole) == 40
+    size = path.stat().st_size
+    for step in (1, 7, 50, 333, 1000, size):
+        at = [f for a in range(0, size, step) for f in xyz.frames_between(str(path), a, min(a + step, size))]
+        assert [f[0] for f in at] == [f.offset for f in whole], step
+    df = xyz.read_ipi(spark, str(path), range_bytes=300, columns="positions", frame_start=3, frame_end=30, frame_stride=4)
+    assert [r.frame for r in df.orderBy("frame").collect()] == list(range(3, 30, 4)) and df.where("comment is not null").count() == 0
+    assert xyz.read_ipi(spark, str(path), range_bytes=300).rdd.getNumPartitions() > 10
+    assert spark.read.format("ipi_xyz").load(str(path)).where("frame in (2, 39)").count() == 2
+
+
 def test_bad_files(tmp_path):
     f = tmp_path / "x.xyz"
     f.write_text("two\nc\nH 0 0 0\n")
