@@ -25,10 +25,15 @@ def track_percentiles(config: dict) -> tuple[float, float]:
     return found
 
 
+def misaligned(scores: DataFrame) -> DataFrame:
+    """(run, frame, n_steps, bead) where beads disagree on a frame's step; the bead is that of the earliest."""
+    steps = scores.groupBy("run", "frame").agg(F.min("step").alias("low"), F.max("step").alias("high"), F.count_distinct("step").alias("n_steps"), F.min_by("bead", "step").alias("bead"))
+    return steps.where("low < high").select("run", "frame", "n_steps", "bead")
+
+
 def check_alignment(scores: DataFrame) -> None:
     """Beads must agree on the step of each frame they share."""
-    used = trim_common(scores)
-    bad = used.groupBy("run", "frame").agg(F.count_distinct("step").alias("n"), F.min_by("bead", "step").alias("bead")).where("n > 1").orderBy("run", "frame").first()
+    bad = misaligned(trim_common(scores)).orderBy("run", "frame").first()
     if bad:
         raise ValueError(f"run {bad.run}: steps differ at frame {bad.frame} (bead {bad.bead})")
 

@@ -93,6 +93,13 @@ def force_error(reference: Column, predicted: Column, metric: str = "mae") -> Co
     raise ValueError(f"metric is 'mae', 'rmse' or 'max', not {metric!r}")
 
 
+def force_magnitudes(frames: DataFrame, column: str = "forces") -> DataFrame:
+    """One row: how many atoms, and the mean and largest length of their vectors."""
+    size = F.transform(column, lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)))
+    per = frames.select(F.size(column).cast("long").alias("n"), F.aggregate(size, F.lit(0.0), lambda s, x: s + x).alias("total"), F.array_max(size).alias("most"))
+    return per.agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean"), F.max("most").alias("max"))
+
+
 def mid_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
     """``df`` with mid-ranks of a column, from counts of its distinct values."""
     counts = df.groupBy(column).agg(F.count("*").alias("__m"))
@@ -158,6 +165,11 @@ def error_bins(df: DataFrame, n_bins: int = 10, order: str = "frame") -> DataFra
     )
 
 
+def bin_report(binned: DataFrame) -> DataFrame:
+    """(bin, n_frames, score_min, score_max) of rows (bin, score)."""
+    return binned.groupBy("bin").agg(F.count("*").alias("n_frames"), F.min("score").alias("score_min"), F.max("score").alias("score_max"))
+
+
 def top_over_bottom(bins: DataFrame) -> float | None:
     n, top, bottom = bins.agg(F.count("*"), F.max_by("error_mean", "bin"), F.min_by("error_mean", "bin")).first()
     return top / bottom if n >= 2 and bottom > 0 else None

@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 import warnings
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def window_count(n_frames: int, window: int, step: int) -> int:
     return 0 if n_frames < window else (n_frames - window) // step + 1
@@ -31,6 +34,12 @@ def effective_trials(window: int, rho: float = 0.0, beads: int = 1) -> int:
     return max(1, round(window * (1 - rho) / (1 + rho) * beads))
 
 
+def trials(rho: Column, window: int, beads: int = 1) -> Column:
+    """The same of a column; halves go to the even number, as in Python."""
+    rho = F.greatest(F.lit(0.0), F.least(F.lit(0.99), rho))
+    return F.greatest(F.lit(1), F.bround(F.round(F.lit(float(window)) * (1 - rho) / (1 + rho) * F.lit(beads), 6), 0)).cast("long")
+
+
 def flags_needed(fraction: float, trials: int) -> int:
     return min(max(math.ceil(fraction * trials - 1e-9), 1), trials)
 

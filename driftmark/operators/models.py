@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftmark.functions.geometry import lists
+from driftmark.functions.geometry import lists, points
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -80,6 +80,17 @@ def mapped(df: DataFrame, function, column: str, name: str, kind: T.DataType) ->
 VECTOR = T.ArrayType(T.DoubleType())
 
 
+def mapped_points(rows: DataFrame, function, name: str) -> DataFrame:
+    """``rows``, whose last column is positions, with ``name`` = function(frames, atoms, 3) instead of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = function(points(batch.column(batch.num_columns - 1))) if batch.num_rows else np.zeros((0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists(x)], names=[*batch.schema.names[:-1], name])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField(name, VECTOR)]))
+
+
 @dataclass
 class ScalerPCA:
     """Population standard deviations (constant columns keep scale 1), then principal components."""

@@ -114,15 +114,15 @@ def select_by_descriptor(frames: DataFrame, topo: Topology, reference, radius: f
     return order.join(near.select("frame", "distance"), "frame").select("rank", "frame", "distance")
 
 
-def stratified(df: DataFrame, n_per_bin: int, seed: int = 42) -> DataFrame:
-    """The same number of rows from each bin, by a hash of (seed, frame); fewer where a bin holds fewer.
+def stratified(df: DataFrame, n_per_bin: int, seed: int = 42, lot: Column | None = None) -> DataFrame:
+    """The same number of rows from each bin, by ``lot`` (a hash of seed and frame), then frame; fewer where a bin holds fewer.
 
     Each task keeps its own first rows of a bin before the shuffle, so a bin of
     any size sends at most ``n_per_bin`` rows a task.
     """
-    lot = F.xxhash64(F.lit(seed), "frame")
+    lot = F.xxhash64(F.lit(seed), "frame") if lot is None else lot
     rows = df.withColumn("__lot", F.struct(lot.alias("lot"), F.col("frame").alias("f")))
-    salted = rows.withColumn("__salt", F.pmod(lot, F.lit(64)))
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64("frame"), F.lit(64)))
     first = Window.partitionBy("bin", "__salt").orderBy("__lot")
     some = salted.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= n_per_bin)
     final = Window.partitionBy("bin").orderBy("__lot")

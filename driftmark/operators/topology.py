@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import math
 import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Covalent radii in angstrom (Cordero and others, 2008).
 RADII = {
@@ -128,12 +132,50 @@ def build(symbols: list[str], positions, nl_mult: float = 1.1, ring_atoms: list[
     bonds = [(i, j) for i in range(n) for j in range(i + 1, n) if math.dist(p[i], p[j]) < nl_mult * (RADII[symbols[i]] + RADII[symbols[j]]) + skin]
     if not bonds:
         raise ValueError(f"no bonds with nl_mult={nl_mult}")
-    topo = Topology(list(symbols), bonds)
-    near = topo.neighbours
+    topo = from_bonds(symbols, bonds, ring_atoms, ring_size)
     if topo.fragments() > 1:
         warnings.warn("the bond graph falls into fragments; coordinates have no periodic images", stacklevel=2)
+    return topo
+
+
+def from_bonds(symbols: list[str], bonds: list[tuple[int, int]], ring_atoms: list[int] | None = None, ring_size: int = 6) -> Topology:
+    """The graph of known bonds (i < j, in order)."""
+    n, topo = len(symbols), Topology(list(symbols), list(bonds))
+    near = topo.neighbours
     topo.angles = list(dict.fromkeys((min(i, k), j, max(i, k)) for j in range(n) for a, i in enumerate(near[j]) for k in near[j][a + 1 :]))
     quads = ((i, j, k, m) for j, k in bonds for i in near[j] if i != k for m in near[k] if m not in (j, i))
     topo.dihedrals = list(dict.fromkeys(min(q, q[::-1]) for q in quads))
     topo.ring = carbon_ring(near, topo.atom_types, ring_size) if ring_atoms is None else checked_ring(ring_atoms, near)
     return topo
+
+
+def graphs(frames: DataFrame, symbols: list[str], nl_mult: float = 1.1, ring_size: int = 6, skin: float = SKIN) -> DataFrame:
+    """(frame, kind, place, atoms) of each frame's own graph: its bonds, angles and dihedrals in order, the
+    ``side`` of each bond (its atoms and how many lie beyond), ``fragments``, the ``balance`` of its most
+    balanced dihedral (null without one) and its ``ring`` (null without one). Frames without bonds have no rows.
+    """
+    def terms(topo: Topology):
+        for kind, items in (("bond", topo.bonds), ("angle", topo.angles), ("dihedral", topo.dihedrals)):
+            yield from ((kind, k, list(x)) for k, x in enumerate(items))
+        yield from (("side", k, [i, j, len(topo.beyond(i, j))]) for k, (i, j) in enumerate(topo.bonds))
+        yield "fragments", 0, [topo.fragments()]
+        # the ring holds no turnable bond; without one, every dihedral counts
+        free = Topology(topo.atom_types, topo.bonds, topo.angles, topo.dihedrals)
+        yield "balance", 0, [max(n for _, n in free.rotatable())] if free.dihedrals else None
+        yield "ring", 0, topo.ring or None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for frame, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with warnings.catch_warnings():
+                    warnings.simplefilter("ignore")
+                    try:
+                        topo = build(symbols, p, nl_mult, None, ring_size, skin)
+                    except ValueError:
+                        continue
+                rows += [(frame, *t) for t in terms(topo)]
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int32())), strict=True)], names=["frame", "kind", "place", "atoms"])
+
+    return frames.select(F.col("frame").cast("long").alias("frame"), "positions").mapInArrow(run, "frame long, kind string, place int, atoms array<int>")

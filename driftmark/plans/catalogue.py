@@ -1,4 +1,4 @@
-"""Every query by name, and the SQL that gives the same rows.
+"""Every query by name, and the SQL that gives the same rows; those of molecules are in ``catalogue_geometry``.
 
 The tables stand for the domain: ``events`` is a set of trajectories (run: user,
 bead: event type, frame: place in time, score: value), ``embeddings`` holds
@@ -8,40 +8,20 @@ descriptor matrix, ``orders`` score and error pairs, ``labels`` a binary truth.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftmark.functions import geometry as G
 from driftmark.operators import aggregate, evaluation, false_alarm, models, onset, perturb, select
+from driftmark.plans import studies
+from driftmark.plans.registry import ORACLE_SQL, QUERIES, query, r6, table
 from driftmark.schema import flagged, time_ps
+from driftmark.sources import xyz
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
 W, S, FRACTION, LEVEL = 10, 5, 0.5, 60.0
 
 
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def r6(c) -> Column:
-    return F.round(c, 6)
-
-
-def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trajectory(spark, sf_dir) -> DataFrame:
     """(run, bead, frame, step, score) of events."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_type").alias("bead"), "ts", F.col("event_id").alias("step"), F.col("value").alias("score"))
     return e.withColumn("frame", (F.row_number().over(Window.partitionBy("run").orderBy("ts", "step")) - 1).cast("long"))
@@ -50,7 +30,7 @@ def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRAJECTORY = "t as (select user_id as run, event_type as bead, event_id as step, value as score, row_number() over (partition by user_id order by ts, event_id) - 1 as frame from events)"
 
 
-def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+def daily(spark, sf_dir) -> DataFrame:
     """Per run (event type) and day (frame): users are the beads, their first values the scores."""
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("run"), F.to_date("ts").alias("day"), "event_id", "user_id", "value")
     days = e.select("run", "day").distinct().withColumn("frame", (F.row_number().over(Window.partitionBy("run").orderBy("day")) - 1).cast("long"))
@@ -66,7 +46,7 @@ steps as (select run, frame, min(step) as step, max(score) as bead_max, quantile
 """
 
 
-def daily_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def daily_steps(spark, sf_dir) -> DataFrame:
     d = daily(spark, sf_dir)
     centre = d.groupBy("run", "frame").agg(F.avg("score").alias("score"))
     return aggregate.with_centroid(aggregate.per_step(d, LEVEL), centre, 50.0)
@@ -134,7 +114,7 @@ def trim_common_range(spark, sf):
 
 @query(f"with {BEADS} select run, cast(frame as bigint) as frame, cast(count(distinct step) as bigint) as n_steps, arg_min(bead, step) as bead from b group by run, frame having count(distinct step) > 1")
 def step_alignment_check(spark, sf):
-    return _bead_frames(spark, sf).groupBy("run", "frame").agg(F.count_distinct("step").alias("n_steps"), F.min_by("bead", "step").alias("bead")).where("n_steps > 1")
+    return aggregate.misaligned(_bead_frames(spark, sf)).select("run", "frame", "n_steps", "bead")
 
 
 @query(f"with {DAILY}, emb as (select run, step, max(score) as emb_bead_max, sum(case when score > 70 then 1 else 0 end) / cast(count(*) as double) as emb_bead_frac_ood from d where step % 2 = 0 group by run, step) select steps.run, steps.frame, cast(steps.step as bigint) as step, round(emb_bead_max, 6) as emb_bead_max, round(emb_bead_frac_ood, 6) as emb_bead_frac_ood from steps left join emb on steps.run = emb.run and steps.step = emb.step")
@@ -201,8 +181,7 @@ def stable_segment_autocorrelation(spark, sf):
 
 @query(f"with {TRAJECTORY}, {LAG.format(src='t')} select run, cast(greatest(1, round_even(round(500 * (1 - rho) / (1 + rho), 6), 0)) as bigint) as trials from cut")
 def effective_trials(spark, sf):
-    rho = F.col("rho")
-    return aggregate.lag1_autocorrelation(trajectory(spark, sf), "score").select("run", F.greatest(F.lit(1), F.bround(r6(F.lit(500.0) * (1 - rho) / (1 + rho)), 0)).cast("long").alias("trials"))
+    return aggregate.lag1_autocorrelation(trajectory(spark, sf), "score").select("run", false_alarm.trials(F.col("rho"), 500).alias("trials"))
 
 
 CASES = ((500, 0.0, 0.2), (500, 0.4, 0.06), (500, 0.37, 0.0565), (100, 0.0, 0.1), (10, 0.0, 0.5))
@@ -285,10 +264,10 @@ def bin_edges_digitise(spark, sf):
     return o.groupBy(evaluation.digitise(F.col("score"), edges).alias("bin")).agg(F.count("*").alias("n"), r6(F.min("score")).alias("score_min"), r6(F.max("score")).alias("score_max"))
 
 
-@query(f"with b as (select o_orderkey as frame, cast(o_orderkey % 7 as int) as bin from orders), n as (select bin, frame, row_number() over (partition by bin order by frame) as k from b) select bin, cast(count(*) as bigint) as n from n where k <= 5 group by bin")
+@query("with b as (select o_orderkey as frame, cast(o_orderkey % 7 as int) as bin from orders), n as (select bin, frame, row_number() over (partition by bin order by (frame * 2654435761) % 4294967296, frame) as k from b) select bin, frame from n where k <= 5")
 def stratified_sample(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("frame"), (F.col("o_orderkey") % 7).cast("int").alias("bin"))
-    return select.stratified(o, 5).groupBy("bin").agg(F.count("*").alias("n"))
+    return select.stratified(o, 5, lot=F.col("frame") * F.lit(2654435761) % F.lit(4294967296)).select("bin", "frame")
 
 
 @query(f"with {TRAJECTORY} select run, cast(sum(case when frame % 2 = 0 then 1 else 0 end) as bigint) as calibration, cast(sum(case when frame % 2 = 0 then 0 else 1 end) as bigint) as evaluation from t group by run")
@@ -341,172 +320,186 @@ def mahalanobis_2d(spark, sf):
 EMB2 = "v as (select vec_id, label as atom, embedding[1]::double as x, embedding[2]::double as y from embeddings)"
 
 
+@query()
+def mahalanobis_per_atom(spark, sf):
+    """All 64 components; a fit of so many needs a matrix that SQL has no inverse for."""
+    x = _atoms(spark, sf).drop("features").join(_embedding_rows(spark, sf).withColumnRenamed("vec_id", "step"), "step")
+    return models.PerAtom.fit(x).score_atoms(x).select(F.col("step").alias("vec_id"), "atom", F.round("score", 4).alias("score"))
+
+
 def _atoms(spark, sf):
     return table(spark, sf, "embeddings").select(F.lit("r").alias("run"), F.lit(0).alias("bead"), F.col("vec_id").alias("step"), F.col("label").alias("atom"), F.slice(F.col("embedding").cast("array<double>"), 1, 2).alias("features"))
 
 
 @query(f"with {EMB2}, f as (select atom, avg(x) as mx, avg(y) as my, var_samp(x) + 1e-8 as sxx, var_samp(y) + 1e-8 as syy, covar_samp(x, y) as sxy from v group by atom), s as (select vec_id, v.atom, x - mx as dx, y - my as dy, sxx, syy, sxy from v join f on v.atom = f.atom) select vec_id, atom, round({MAHA}, 5) as score from s")
-def mahalanobis_per_atom(spark, sf):
+def mahalanobis_per_atom_2d(spark, sf):
     x = _atoms(spark, sf)
     return models.PerAtom.fit(x).score_atoms(x).select(F.col("step").alias("vec_id"), "atom", F.round("score", 5).alias("score"))
 
 
 @query(f"with {EMB2}, f as (select atom, avg(x) as mx, avg(y) as my, var_samp(x) + 1e-8 as sxx, var_samp(y) + 1e-8 as syy, covar_samp(x, y) as sxy from v group by atom), s as (select vec_id // 10 as step, x - mx as dx, y - my as dy, sxx, syy, sxy from v join f on v.atom = f.atom) select step, round(max({MAHA}), 5) as score from s group by step")
-def max_over_atoms(spark, sf):
+def max_over_atoms_2d(spark, sf):
     x = _atoms(spark, sf)
     return models.PerAtom.fit(x).score(x.withColumn("step", F.floor(F.col("step") / 10).cast("long"))).select("step", F.round("score", 5).alias("score"))
 
 
-# --- geometry: four points of an embedding's first twelve components -----------------
+# --- selection and graphs --------------------------------------------------------------
 
 
-def _points(spark, sf):
+@query("select vec_id, round(sqrt(((embedding[1]::double - 0.1) ** 2 + (embedding[2]::double - 0.2) ** 2) / 0.09::double + ((embedding[3]::double - 0.3) ** 2 + (embedding[4]::double - 0.4) ** 2) / 0.25::double), 6) as distance from embeddings where ((embedding[1]::double - 0.1) ** 2 + (embedding[2]::double - 0.2) ** 2) / 0.09::double + ((embedding[3]::double - 0.3) ** 2 + (embedding[4]::double - 0.4) ** 2) / 0.25::double <= 1")
+def ellipse_filter(spark, sf):
     v = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    return v.select("vec_id", *[F.slice("e", 3 * k + 1, 3).alias(f"p{k}") for k in range(5)])
-
-
-POINTS = "e as (select vec_id, embedding::double[] as v from embeddings), p as (select vec_id, " + ", ".join(f"v[{3 * k + i + 1}] as {c}{k}" for k in range(5) for i, c in enumerate("xyz")) + " from e)"
-
-
-def _norm_sql(a: int, b: int) -> str:
-    return "sqrt(" + " + ".join(f"({c}{a} - {c}{b}) ** 2" for c in "xyz") + ")"
-
-
-@query(f"with {POINTS} select vec_id, round({_norm_sql(0, 1)}, 6) as d01, round({_norm_sql(1, 2)}, 6) as d12, round({_norm_sql(2, 3)}, 6) as d23 from p")
-def bond_lengths(spark, sf):
-    return _points(spark, sf).select("vec_id", *[r6(G.distance(F.col(f"p{i}"), F.col(f"p{i + 1}"))).alias(f"d{i}{i + 1}") for i in range(3)])
-
+    d = v.select("vec_id", select.ellipse_distance(F.col("e"), [0.1, 0.2, 0.3, 0.4], [0.3, 0.5]).alias("distance"))
+    return d.where("distance <= 1").select("vec_id", r6("distance").alias("distance"))
 
-@query(f"with {POINTS} select vec_id, round(acos(greatest(-1, least(1, ((x0 - x1) * (x2 - x1) + (y0 - y1) * (y2 - y1) + (z0 - z1) * (z2 - z1)) / ({_norm_sql(0, 1)} * {_norm_sql(2, 1)} + 1e-12)))), 6) as angle from p")
-def bond_angles(spark, sf):
-    return _points(spark, sf).select("vec_id", r6(G.angle(F.col("p0"), F.col("p1"), F.col("p2"))).alias("angle"))
 
+@query("with recursive v as (select vec_id, embedding::double[] as e from embeddings), d as (select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as d from v), r as (select 0 as rank, arg_max(struct_pack(vec_id, e), struct_pack(d := d, n := -vec_id)) as pick, list(struct_pack(vec_id, d)) as ds from d union all select rank + 1, (select arg_max(struct_pack(vec_id := q.vec_id, e := q.e), struct_pack(d := q.d, n := -q.vec_id)) from (select v.vec_id, v.e, least(u.d, sqrt(list_sum(list_transform(list_zip(v.e, r.pick.e), lambda x: (x[1] - x[2]) ** 2)))) as d from (select unnest(r.ds) as u) join v on v.vec_id = u.vec_id) q), (select list(struct_pack(vec_id := v.vec_id, d := least(u.d, sqrt(list_sum(list_transform(list_zip(v.e, r.pick.e), lambda x: (x[1] - x[2]) ** 2)))))) from (select unnest(r.ds) as u) join v on v.vec_id = u.vec_id) from r where rank < 9) select cast(rank as int) as rank, pick.vec_id as frame from r")
+def farthest_points(spark, sf):
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame"), F.col("embedding").cast("array<double>").alias("features"))
+    return select.farthest_points(v, [0.0] * 64, 10)
 
-DIHEDRAL = f"""{POINTS}, b as (select vec_id, x0 - x1 as ax, y0 - y1 as ay, z0 - z1 as az, (x2 - x1) / ({_norm_sql(2, 1)} + 1e-12) as hx, (y2 - y1) / ({_norm_sql(2, 1)} + 1e-12) as hy, (z2 - z1) / ({_norm_sql(2, 1)} + 1e-12) as hz, x3 - x2 as cx, y3 - y2 as cy, z3 - z2 as cz from p),
-s as (select *, ax * hx + ay * hy + az * hz as da, cx * hx + cy * hy + cz * hz as dc from b),
-q as (select vec_id, hx, hy, hz, ax - da * hx as vx, ay - da * hy as vy, az - da * hz as vz, cx - dc * hx as wx, cy - dc * hy as wy, cz - dc * hz as wz from s),
-t as (select vec_id, atan2((hy * vz - hz * vy) * wx + (hz * vx - hx * vz) * wy + (hx * vy - hy * vx) * wz, vx * wx + vy * wy + vz * wz) as d from q)"""
 
+KINDS = "case l_returnflag when 'A' then 'rattle' when 'N' then 'stretch' else 'torsion_scan' end"
 
-@query(f"with {DIHEDRAL} select vec_id, round(sin(d), 6) as sine, round(cos(d), 6) as cosine, round(degrees(d), 5) as degrees from t")
-def dihedrals(spark, sf):
-    d = _points(spark, sf).select("vec_id", G.dihedral(*[F.col(f"p{i}") for i in range(4)]).alias("d"))
-    return d.select("vec_id", r6(F.sin("d")).alias("sine"), r6(F.cos("d")).alias("cosine"), F.round(F.degrees("d"), 5).alias("degrees"))
 
+def _rates(spark, sf):
+    """lineitem as a benchmark table: kind, size, detection rate of each row."""
+    kind = F.expr(KINDS)
+    return table(spark, sf, "lineitem").select(kind.alias("distortion"), F.col("l_linenumber").cast("int").alias("magnitude"), (F.col("l_quantity") > 25).cast("double").alias("detection_rate"), F.when(kind == "torsion_scan", F.col("l_suppkey") % 5).cast("long").alias("train_count_at_target"))
 
-@query(f"with {DIHEDRAL}, h as (select least(cast(floor((degrees(d) + 180) / 30) as bigint), 11) as bin, count(*) as n from t group by 1) select g.bin, g.bin * 30.0::double - 180 as angle_low, g.bin * 30.0::double - 150 as angle_high, g.bin * 30.0::double - 165 as angle_centre, coalesce(n, 0) as train_count, n is not null as visited from generate_series(0, 11) g(bin) left join h on g.bin = h.bin")
-def torsion_histogram(spark, sf):
-    d = _points(spark, sf).select(F.degrees(G.dihedral(*[F.col(f"p{i}") for i in range(4)])).alias("degrees"))
-    return perturb.histogram(d, F.col("degrees"))
 
+@query(f"with x as (select {KINDS} as d, cast(l_linenumber as int) as magnitude, case when l_quantity > 25 then 1.0 else 0.0 end as hit from lineitem) select magnitude, round(avg(case when d = 'rattle' then hit end), 6) as rattle, round(avg(case when d = 'stretch' then hit end), 6) as stretch, round(avg(case when d = 'torsion_scan' then hit end), 6) as torsion_scan from x group by magnitude")
+def distortion_pivot(spark, sf):
+    out = studies.rate_pivot(_rates(spark, sf))
+    return out.select("magnitude", *[r6(c).alias(c) for c in ("rattle", "stretch", "torsion_scan")])
 
-RINGED = "c as (select vec_id, v.k, v.x - avg(v.x) over w as x, v.y - avg(v.y) over w as y, v.z - avg(v.z) over w as z from (select vec_id, k, e.v[3 * k + 1] as x, e.v[3 * k + 2] as y, e.v[3 * k + 3] as z from e, generate_series(0, 4) g(k)) v window w as (partition by vec_id)), m as (select vec_id, sum(x * x) as xx, sum(y * y) as yy, sum(z * z) as zz, sum(x * y) as xy, sum(x * z) as xz, sum(y * z) as yz from c group by vec_id), q as (select *, (xx + yy + zz) / 3 as q from m), s as (select *, sqrt(((xx - q) ** 2 + (yy - q) ** 2 + (zz - q) ** 2 + 2 * (xy * xy + xz * xz + yz * yz)) / 6) as p from q), d as (select *, greatest(-1, least(1, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * p * p * p))) as r from s)"
 
+@query(f"with x as (select {KINDS} as d, l_suppkey % 5 as n, case when l_quantity > 25 then 1.0 else 0.0 end as hit from lineitem) select round(avg(case when n = 0 then hit end), 6) as unvisited, round(avg(case when n >= 2 then hit end), 6) as dense from x where d = 'torsion_scan'")
+def slice_means(spark, sf):
+    out = studies.slice_rates(_rates(spark, sf).where("distortion = 'torsion_scan'"), 2)
+    return out.select(r6("unvisited").alias("unvisited"), r6("dense").alias("dense"))
 
-@query(f"with {POINTS}, {RINGED} select vec_id, round(sqrt(greatest(0, q + 2 * p * cos(acos(r) / 3 + 2 * pi() / 3)) / 5), 5) as planarity from d")
-def planarity(spark, sf):
-    p = _points(spark, sf)
-    mean = [sum((F.col(f"p{k}")[i] for k in range(1, 5)), F.col("p0")[i]) / 5.0 for i in range(3)]
-    c = p.select("vec_id", *[(F.col(f"p{k}")[i] - mean[i]).alias(f"c{k}{i}") for k in range(5) for i in range(3)])
-    gram = lambda a, b: sum((F.col(f"c{k}{a}") * F.col(f"c{k}{b}") for k in range(1, 5)), F.col(f"c0{a}") * F.col(f"c0{b}"))
-    g = c.select("vec_id", *[gram(a, b).alias(n) for n, a, b in (("xx", 0, 0), ("yy", 1, 1), ("zz", 2, 2), ("xy", 0, 1), ("xz", 0, 2), ("yz", 1, 2))])
-    least = G.eigen_planarity(*[F.col(n) for n in ("xx", "yy", "zz", "xy", "xz", "yz")])
-    return g.select("vec_id", F.round(F.sqrt(F.greatest(F.lit(0.0), least) / 5.0), 5).alias("planarity"))
 
+@query(f"with {TRAJECTORY} select run, cast(frame as bigint) as frame, step from t where frame in (0, 3, 7, 20)")
+def frame_semi_join(spark, sf):
+    return xyz.select_frames(trajectory(spark, sf), [0, 3, 7, 20]).select("run", "frame", "step")
 
-PAIRS = "x as (select vec_id, i.i, j.j, sqrt((v[3 * i.i + 1] - v[3 * j.j + 1]) ** 2 + (v[3 * i.i + 2] - v[3 * j.j + 2]) ** 2 + (v[3 * i.i + 3] - v[3 * j.j + 3]) ** 2) as d from e, generate_series(0, 4) i(i), generate_series(0, 4) j(j) where i.i < j.j)"
 
+@query(f"with {DAILY}, b as (select run, cast(floor(bead_max / 20) as int) as bin, bead_max from steps) select bin, cast(count(*) as bigint) as n_frames, round(min(bead_max), 6) as score_min, round(max(bead_max), 6) as score_max from b group by bin")
+def bin_report(spark, sf):
+    s = daily_steps(spark, sf)
+    out = evaluation.bin_report(s.select(F.floor(F.col("bead_max") / 20).cast("int").alias("bin"), F.col("bead_max").alias("score")))
+    return out.select("bin", "n_frames", r6("score_min").alias("score_min"), r6("score_max").alias("score_max"))
 
-def _pair_table(spark, sf):
-    from driftmark.operators.chemistry import pair_distances
 
-    p = _points(spark, sf).select("vec_id", F.array(*[f"p{k}" for k in range(5)]).alias("positions"))
-    return lambda chosen: p.select("vec_id", F.explode(pair_distances(F.col("positions"), chosen)).alias("s")).select("vec_id", "s.*")
+REPORTS = ((0.05, 500, 50, 20_000, 0.06, 0.4, 1), (0.01, 500, 50, 200_000, 0.038, 0.0, 1), (0.01, 100, 10, 5_000, 0.2, 0.25, 4), (0.05, 10, 5, 8, 0.5, 0.0, 1))
+NUMBERS = "alpha, w, s, n, f, rho, beads"
 
 
-@query(f"with {POINTS}, {PAIRS} select vec_id, cast(i as int) as i, cast(j as int) as j, round(d, 6) as d from x where j - i > 1 and d < 0.2")
-def close_contacts(spark, sf):
-    far = [(i, j) for i in range(5) for j in range(i + 2, 5)]
-    return _pair_table(spark, sf)(far).where("d < 0.2").select("vec_id", "i", "j", r6("d").alias("d"))
+@query(f"""with c as (select * from (values {', '.join('(' + ', '.join(f'cast({x} as {"double" if isinstance(x, float) else "bigint"})' for x in r) + ')' for r in REPORTS)}) v({NUMBERS})),
+k as (select *, case when n < w then 0 else (n - w) // s + 1 end as windows, greatest(1, n // w) as disjoint, greatest(1, cast(round_even(w * (1 - rho) / (1 + rho) * beads, 0) as bigint)) as trials from c),
+m as (select *, least(greatest(cast(ceil(f * trials - 1e-9) as bigint), 1), trials) as needed from k),
+p as (select *, (select sum(exp(lgamma(trials + 1) - lgamma(i + 1) - lgamma(trials - i + 1) + i * ln(alpha) + (trials - i) * ln(1 - alpha))) from generate_series(1, 2000) g(i) where i >= needed and i <= trials) as tail from m)
+select w as window_frames, windows as n_windows_tested, disjoint as n_disjoint_windows, trials as effective_trials_per_window, needed as flags_needed_per_window, round(alpha * n, 6) as expected_false_flags_per_frame_series, round(1 / alpha, 6) as frames_to_first_false_flag,
+round(least(1, tail), 9) as false_alarm_probability_per_window, round(least(1, tail * greatest(windows, 1)), 9) as false_alarm_probability_per_run, round(least(1, tail * disjoint), 9) as false_alarm_probability_per_run_nonoverlapping from p""")
+def design_report(spark, sf):
+    keys = ("window_frames", "n_windows_tested", "n_disjoint_windows", "effective_trials_per_window", "flags_needed_per_window", "expected_false_flags_per_frame_series", "frames_to_first_false_flag", "false_alarm_probability_per_window", "false_alarm_probability_per_run", "false_alarm_probability_per_run_nonoverlapping")
+    rows = []
+    for a, w, s, n, f, rho, beads in REPORTS:
+        r = false_alarm.design_report(a, w, s, n, f, rho, beads)
+        rows.append(tuple(r[k] if k in keys[:5] else round(float(r[k]), 9 if k in keys[7:] else 6) for k in keys))
+    return spark.createDataFrame(rows, ", ".join(f"{k} {'long' if k in keys[:5] else 'double'}" for k in keys))
 
 
-@query(f"with {POINTS}, {PAIRS} select vec_id, cast(i as int) as i, cast(j as int) as j, round(d, 6) as d from x where j - i = 1 and d > 0.5")
-def broken_bonds(spark, sf):
-    return _pair_table(spark, sf)([(i, i + 1) for i in range(4)]).where("d > 0.5").select("vec_id", "i", "j", r6("d").alias("d"))
+# the standardised matrix of all 64 components, and its principal components
+STANDARD = "e as (select vec_id, embedding::double[] as v from embeddings), u as (select vec_id, i.i, v[i.i + 1] as x from e, generate_series(0, 63) i(i)), z as (select vec_id, i, (x - avg(x) over (partition by i)) / stddev_pop(x) over (partition by i) as z from u)"
 
 
-@query(f"with {POINTS}, {PAIRS}, f as (select vec_id, max(case when (j - i = 1 and d > 0.5) or (j - i > 1 and d < 0.2) then 1.0 else 0.0 end) as flag from x group by vec_id) select round(avg(flag), 6) as flag_rate from f")
-def chem_flag_rate(spark, sf):
-    pairs_ = [(i, j) for i in range(5) for j in range(i + 1, 5)]
-    x = _pair_table(spark, sf)(pairs_).withColumn("bad", F.expr("(j - i = 1 and d > 0.5) or (j - i > 1 and d < 0.2)"))
-    return x.groupBy("vec_id").agg(F.max(F.col("bad").cast("double")).alias("f")).agg(r6(F.avg("f")).alias("flag_rate"))
+def _embedding_rows(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"))
 
 
-PAIRED = "a as (select vec_id, embedding::double[] as v from embeddings), z as (select a.vec_id, g.k, b.v[g.k] - a.v[g.k] as d from a join a b on b.vec_id = a.vec_id + 1, generate_series(1, 12) g(k)), n as (select vec_id, (k - 1) // 3 as atom, sqrt(sum(d * d)) as r from z group by all), x as (select vec_id, max(r) as m from n group by vec_id)"
+@query(f"with {STANDARD}, r as (select a.i, b.i as j, avg(a.z * b.z) as r from z a join z b using (vec_id) group by a.i, b.i) select cast(64 as bigint) as components, round(sum(case when i = j then r end) / 64, 6) as total, round(sum(r * r) / 4096, 6) as squares from r")
+def pca_spectrum(spark, sf):
+    """What the ratios of all components have to sum up to: 1, and the mean square of the correlations."""
+    pca = models.ScalerPCA.fit(_embedding_rows(spark, sf), 1.0)
+    return spark.createDataFrame([(pca.n_components, round(float(pca.ratio.sum()), 6), round(float((pca.ratio**2).sum()), 6))], "components long, total double, squares double")
 
 
-@query(f"with {PAIRED} select z.vec_id, round(avg(abs(d)), 6) as mae, round(sqrt(avg(d * d)), 6) as rmse, round(any_value(x.m), 6) as max from z join x on z.vec_id = x.vec_id group by z.vec_id")
-def force_error(spark, sf):
-    p = _points(spark, sf).select("vec_id", F.array("p0", "p1", "p2", "p3").alias("f"))
-    pred = p.select((F.col("vec_id") - 1).alias("vec_id"), F.col("f").alias("pred"))
-    both = p.join(pred, "vec_id")
-    return both.select("vec_id", *[r6(evaluation.force_error(F.col("f"), F.col("pred"), m)).alias(m) for m in ("mae", "rmse", "max")])
+@query(f"with {STANDARD} select vec_id, round(sum(z * z), 5) as squares, 0.0::double as residual from z group by vec_id")
+def pca_rows(spark, sf):
+    """All components keep a row's squares and leave no residual."""
+    x = _embedding_rows(spark, sf)
+    pca = models.ScalerPCA.fit(x, 1.0)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
+    both = pca.residual(pca.transform(x))
+    return both.select("vec_id", F.round(total(F.transform("reduced", lambda v: v * v)), 5).alias("squares"), (F.round(total("residual"), 5) + F.lit(0.0)).alias("residual"))
 
 
-@query("select vec_id, round(embedding[1]::double * 51.4221, 5) as fx from embeddings")
-def unit_conversion(spark, sf):
-    p = _points(spark, sf).select("vec_id", G.scaled(F.array("p0")).alias("f"))
-    return p.select("vec_id", F.round(F.col("f")[0][0], 5).alias("fx"))
+@query(f"with {STANDARD}, r as (select a.i, b.i as j, avg(a.z * b.z) as r from z a join z b using (vec_id) group by a.i, b.i) select cast(i as int) as i, cast(j as int) as j, round(r, 6) as correlation from r")
+def pca_reconstruction(spark, sf):
+    """Components and their variances give the correlation matrix back."""
+    pca = models.ScalerPCA.fit(_embedding_rows(spark, sf), 1.0)
+    r = pca.components.T @ (pca.ratio[:, None] * len(pca.mean) * pca.components)
+    return spark.createDataFrame([(i, j, round(float(v), 6) + 0.0) for i, row in enumerate(r) for j, v in enumerate(row)], "i int, j int, correlation double")
 
 
-@query("select o_orderkey, cast(o_orderkey % 1000 as bigint) as step, printf('%.6f 0.000000 0.000000 %.6f %.6f 0.000000 0.000000 0.000000 %.6f', 10.0 + o_orderkey % 7, (12.0 * cos(radians(60.0 + o_orderkey % 3)))::double, (12.0 * sin(radians(60.0 + o_orderkey % 3)))::double, 14.0) as lattice from orders")
-def cell_lattice(spark, sf):
-    comment = F.format_string("# CELL(abcABC): %.1f 12.0 14.0 90.0 90.0 %.1f Step: %d Bead: 0", F.lit(10.0) + F.col("o_orderkey") % 7, F.lit(60.0) + F.col("o_orderkey") % 3, F.col("o_orderkey") % 1000)
-    o = table(spark, sf, "orders").select("o_orderkey", comment.alias("comment"))
-    tidy = F.regexp_replace(G.lattice(G.cell_of(F.col("comment"))), "-0.000000", "0.000000")
-    return o.select("o_orderkey", F.regexp_extract("comment", r"Step:\s*(\d+)", 1).cast("long").alias("step"), tidy.alias("lattice"))
+@query(f"with {DAILY}, {windows_sql('sum(frac) over o as x, sum(case when centroid_score > 45 then 1.0 else 0.0 end) over o as y', 'true', 'again')}, k as (select run, min(case when x >= 2 - 1e-9 then frame end) as p, min(case when y >= 2 - 1e-9 then frame end) as c from w where n = {W} and frame % {S} = 0 group by run) select a.run, cast(min(case when frac > 0 then a.frame end) as bigint) as first_bead_anomaly_frame, cast(any_value(k.p) as bigint) as persistent_bead_anomaly_frame, cast(any_value(k.c) as bigint) as centroid_anomaly_frame from again a left join k on a.run = k.run group by a.run".replace("w as (select", "again as (select run, frame, min(step) as step, sum(case when score > 45 then 1 else 0 end) / cast(count(*) as double) as frac, avg(score) as centroid_score from d group by run, frame), w as (select", 1))
+def redetected(spark, sf):
+    """Onsets of saved scores at another threshold."""
+    d = daily(spark, sf)
+    centre = d.groupBy("run", "frame").agg(F.avg("score").alias("score"))
+    out = studies.redetect(d, centre, 45.0, {"window_frames": W, "step_frames": S}, 0.2)
+    return out.select("run", "first_bead_anomaly_frame", "persistent_bead_anomaly_frame", "centroid_anomaly_frame")
 
 
-# --- selection and graphs --------------------------------------------------------------
+@query(f"with l as ({LINE}), f as (select avg(x) as mx, avg(y) as my, var_samp(x) + 1e-8 as sxx, var_samp(y) + 1e-8 as syy, covar_samp(x, y) as sxy from l where l_orderkey % 2 = 0), s as (select l.*, x - mx as dx, y - my as dy, sxx, syy, sxy from l, f), m as (select l_orderkey, {MAHA} as score from s), t as (select quantile_cont(score, 0.9) as bead, quantile_cont(score, 0.99) as centroid from m where l_orderkey % 2 = 0) select cast(sum(case when score > bead then 1 else 0 end) as bigint) as bead, cast(sum(case when score > centroid then 1 else 0 end) as bigint) as centroid from m, t where l_orderkey % 2 = 1")
+def calibrated_flags(spark, sf):
+    """Scores above thresholds calibrated for two tracks on the fitting half, counted on the other."""
+    x = table(spark, sf, "lineitem").select("l_orderkey", F.array(F.col("l_quantity").cast("double"), F.col("l_extendedprice") / 1000).alias("reduced"))
+    train, rest = x.where("l_orderkey % 2 = 0"), x.where("l_orderkey % 2 = 1")
+    model = models.Mahalanobis.fit(train)
+    scored = model.score(train)
+    for track, percentile in (("bead", 90.0), ("centroid", 99.0)):
+        model.calibrate(scored, percentile, track)
+    new = model.score(rest)
+    n = lambda track: model.is_ood(new, track).agg(F.sum(F.col("ood").cast("long")).alias(track))
+    return n("bead").crossJoin(n("centroid"))  # one row each
 
 
-@query("select vec_id, round(sqrt(((embedding[1]::double - 0.1) ** 2 + (embedding[2]::double - 0.2) ** 2) / 0.09::double + ((embedding[3]::double - 0.3) ** 2 + (embedding[4]::double - 0.4) ** 2) / 0.25::double), 6) as distance from embeddings where ((embedding[1]::double - 0.1) ** 2 + (embedding[2]::double - 0.2) ** 2) / 0.09::double + ((embedding[3]::double - 0.3) ** 2 + (embedding[4]::double - 0.4) ** 2) / 0.25::double <= 1")
-def ellipse_filter(spark, sf):
-    v = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    d = v.select("vec_id", select.ellipse_distance(F.col("e"), [0.1, 0.2, 0.3, 0.4], [0.3, 0.5]).alias("distance"))
-    return d.where("distance <= 1").select("vec_id", r6("distance").alias("distance"))
+@query("with x as (select o_totalprice as score, case when o_orderkey % 11 = 0 then null when o_orderkey % 13 = 0 then 'nan'::double when o_orderkey % 17 = 0 then 'inf'::double else o_custkey::double end as error from orders), f as (select * from x where error is not null and not isnan(error) and not isinf(error)) select cast(count(*) as bigint) as n, round(corr(score, error), 6) as pearson from f")
+def finite_pairs(spark, sf):
+    """Pairs with a null, NaN or infinite side are left out of a correlation."""
+    k = F.col("frame")
+    odd = F.when(k % 11 == 0, F.lit(None)).when(k % 13 == 0, F.lit(float("nan"))).when(k % 17 == 0, F.lit(float("inf"))).otherwise(F.col("error"))
+    m = evaluation.correlation(pairs(spark, sf).withColumn("error", odd), "score", "error")
+    return spark.createDataFrame([(m["n"], round(m["pearson"], 6))], "n long, pearson double")
 
 
-@query("with recursive v as (select vec_id, embedding::double[] as e from embeddings), d as (select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as d from v), r as (select 0 as rank, arg_max(struct_pack(vec_id, e), struct_pack(d := d, n := -vec_id)) as pick, list(struct_pack(vec_id, d)) as ds from d union all select rank + 1, (select arg_max(struct_pack(vec_id := q.vec_id, e := q.e), struct_pack(d := q.d, n := -q.vec_id)) from (select v.vec_id, v.e, least(u.d, sqrt(list_sum(list_transform(list_zip(v.e, r.pick.e), lambda x: (x[1] - x[2]) ** 2)))) as d from (select unnest(r.ds) as u) join v on v.vec_id = u.vec_id) q), (select list(struct_pack(vec_id := v.vec_id, d := least(u.d, sqrt(list_sum(list_transform(list_zip(v.e, r.pick.e), lambda x: (x[1] - x[2]) ** 2)))))) from (select unnest(r.ds) as u) join v on v.vec_id = u.vec_id) from r where rank < 9) select cast(rank as int) as rank, pick.vec_id as frame from r")
-def farthest_points(spark, sf):
-    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame"), F.col("embedding").cast("array<double>").alias("features"))
-    return select.farthest_points(v, [0.0] * 64, 10)
+@query(f"with {ORDERS}, b as (select *, ntile(10) over (order by score, frame) - 1 as bin from o), m as (select bin, avg(error) as e from b group by bin) select round(max(case when bin = 9 then e end) / max(case when bin = 0 then e end), 6) as ratio from m")
+def decile_ratio(spark, sf):
+    return spark.createDataFrame([(round(evaluation.top_over_bottom(evaluation.error_bins(pairs(spark, sf), 10)), 6),)], "ratio double")
 
 
-@query("with recursive g as (select n_nationkey as a, n_regionkey + 100 as b from nation union all select n_regionkey + 100, n_nationkey from nation), r as (select a as node, a as reach, 0 as depth from (select distinct a from g) union all select r.node, g.b, depth + 1 from r join g on g.a = r.reach where depth < 2) select cast(node as bigint) as node, cast(min(reach) as bigint) as component from r group by node")
-def connected_components(spark, sf):
-    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("a"), (F.col("n_regionkey") + 100).cast("long").alias("b"))
-    n.createOrReplaceTempView("driftmark_edges")
-    return spark.sql("""
-        with recursive g as (select a, b from driftmark_edges union all select b, a from driftmark_edges),
-        r as (select a as node, a as reach, 0 as depth from (select distinct a from g)
-              union all select r.node, g.b, depth + 1 from r join g on g.a = r.reach where depth < 2)
-        select node, min(reach) as component from r group by node""")
+RULES = (("fixed", None, 0.3, 0.0), ("budget", 0.01, None, 0.25))
 
 
-@query("select cast(l_linenumber as int) as magnitude, round(avg(case when l_returnflag = 'A' then case when l_quantity > 25 then 1.0 else 0.0 end end), 6) as A, round(avg(case when l_returnflag = 'N' then case when l_quantity > 25 then 1.0 else 0.0 end end), 6) as N, round(avg(case when l_returnflag = 'R' then case when l_quantity > 25 then 1.0 else 0.0 end end), 6) as R from lineitem group by l_linenumber")
-def distortion_pivot(spark, sf):
-    x = table(spark, sf, "lineitem").select(F.col("l_linenumber").cast("int").alias("magnitude"), "l_returnflag", (F.col("l_quantity") > 25).cast("double").alias("hit"))
-    return x.groupBy("magnitude").pivot("l_returnflag", ["A", "N", "R"]).agg(F.round(F.avg("hit"), 6))
+@query(f"with c as (select * from (values ('fixed', cast(null as double), cast(0.3 as double), cast(0.0 as double)), ('budget', 0.01, null, 0.25)) v(rule, budget, fraction, rho)), a as (select c.*, x.alpha from c, (values (cast(0.05 as double)), (cast(0.01 as double))) x(alpha)), n as (select *, greatest(1, cast(round_even(100 * (1 - rho) / (1 + rho), 0) as bigint)) as trials from a), p as (select n.*, m.m, least(1.0, 491 * (select sum(exp(lgamma(trials + 1) - lgamma(k + 1) - lgamma(trials - k + 1) + k * ln(alpha) + (trials - k) * ln(1 - alpha))) from generate_series(1, 500) g(k) where k >= m.m and k <= trials)) as bound from n, generate_series(1, 500) m(m) where m.m <= trials), b as (select rule, alpha, min(m) / cast(any_value(trials) as double) as f from p where bound <= budget group by rule, alpha) select n.rule, round(max(coalesce(b.f, n.fraction)), 9) as fraction from n left join b on n.rule = b.rule and n.alpha = b.alpha group by n.rule")
+def two_track_rule(spark, sf):
+    """The stricter of two tracks' fractions, fixed or from a budget, over 5000 frames."""
+    rows = []
+    for name, budget, fraction, rho in RULES:
+        config = {"window_frames": 100, "step_frames": 10, "false_alarm_budget": budget, "fraction_threshold": fraction, "frame_autocorrelation": rho}
+        rows.append((name, round(false_alarm.two_track_rule(config, 95.0, 99.0, 5000)[0], 9)))
+    return spark.createDataFrame(rows, "rule string, fraction double")
 
 
-@query(f"with {TRAJECTORY} select run, cast(frame as bigint) as frame, step from t where frame in (0, 3, 7, 20)")
-def frame_semi_join(spark, sf):
-    t = trajectory(spark, sf)
-    return t.join(F.broadcast(spark.createDataFrame([(0,), (3,), (7,), (20,)], "frame long")), "frame", "left_semi").select("run", "frame", "step")
+@query("select cast(count(*) as bigint) as n, round(64 * (count(*) - 1) / cast(count(*) as double), 3) as mean_square from embeddings")
+def mahalanobis_trace(spark, sf):
+    """Squared distances of the rows of the fit, in all 64 dimensions, average to the dimension."""
+    x = _embedding_rows(spark, sf)
+    s = models.Mahalanobis.fit(x, "features").score(x, "features")
+    return s.agg(F.count("*").alias("n"), F.round(F.avg(F.col("score") * F.col("score")), 3).alias("mean_square"))
 
 
-@query(f"with {DAILY} select cast(count(distinct run) as bigint) as runs, round(avg(case when bead_frac_ood >= 0.2 then bead_max end), 6) as dense_mean, round(avg(case when bead_frac_ood < 0.2 then bead_max end), 6) as sparse_mean from steps")
-def slice_means(spark, sf):
-    s = daily_steps(spark, sf)
-    return s.agg(F.count_distinct("run").alias("runs"), r6(F.avg(F.when(F.col("bead_frac_ood") >= 0.2, F.col("bead_max")))).alias("dense_mean"), r6(F.avg(F.when(F.col("bead_frac_ood") < 0.2, F.col("bead_max")))).alias("sparse_mean"))
+from driftmark.plans import catalogue_geometry  # noqa: E402, F401

@@ -45,7 +45,7 @@ def benchmark(spark: SparkSession, config: dict, alpha: float | None = None, spl
     table = named.join(out, "setting").withColumn("target_visited_in_training", F.col("train_count_at_target") > 0).persist()
     dense = max(1, int(0.01 * fitted.n_train))
     scan = table.where("distortion = 'torsion_scan'")
-    ends = scan.agg(F.avg(F.when(F.col("train_count_at_target") == 0, F.col("detection_rate"))).alias("unvisited"), F.avg(F.when(F.col("train_count_at_target") >= dense, F.col("detection_rate"))).alias("dense")).first()
+    ends = slice_rates(scan, dense).first()
     rho = evaluation.correlation(scan.withColumn("n", F.col("train_count_at_target").cast("double")), "n", "detection_rate")["spearman"]
     label = "-".join(f"{fitted.topo.atom_types[a]}{a}" for a in quad)
     summary = {"false_flag_rate": alpha, "threshold": threshold, "n_train": fitted.n_train, "pca_n_components": fitted.pca.n_components, "n_features": fitted.topo.n_features, "seed": seed, "torsion": list(quad), "torsion_label": label, "dense_slice_min_train_count": dense, "detection_rate_unvisited_slices": ends.unvisited, "detection_rate_dense_slices": ends.dense, "spearman_train_count_vs_detection_rate": rho}
@@ -70,6 +70,12 @@ def separations(normal: DataFrame, scored: DataFrame, threshold: float) -> DataF
     return found.join(rates, "setting").crossJoin(F.broadcast(middle))
 
 
+def slice_rates(scan: DataFrame, dense: int) -> DataFrame:
+    """One row: mean detection rate of the slices that training never visited, and of those with at least ``dense`` frames."""
+    n, rate = F.col("train_count_at_target"), F.col("detection_rate")
+    return scan.agg(F.avg(F.when(n == 0, rate)).alias("unvisited"), F.avg(F.when(n >= dense, rate)).alias("dense"))
+
+
 def rate_pivot(table: DataFrame) -> DataFrame:
     """Detection rate by size (rows) and kind (columns)."""
     return table.groupBy("magnitude").pivot("distortion", ["rattle", "stretch", "torsion_scan"]).agg(F.avg("detection_rate"))
@@ -116,10 +122,15 @@ def force_path(path: str) -> str:
     return str(other)
 
 
+def around(frames: DataFrame, at: int, before: int, after: int) -> DataFrame:
+    """Frames at - before to at + after, as far as there are any."""
+    return frames.where((F.col("frame") >= max(0, at - before)) & (F.col("frame") <= at + after))
+
+
 def around_onset(spark: SparkSession, pos: str, forces: str | None, at: int, before: int, after: int, symbols: list[str]) -> DataFrame:
     """Frames at - before to at + after as writer rows, with forces in eV per angstrom."""
     p = xyz.read_ipi(spark, pos)
-    near = p.where((F.col("frame") >= max(0, at - before)) & (F.col("frame") <= at + after))
+    near = around(p, at, before, after)
     rows = near.select("frame", F.array(*map(F.lit, symbols)).alias("symbols"), "positions", "step", "bead", G.lattice(G.cell_of(F.col("comment"))).alias("lattice"))
     if forces is None:
         return rows.withColumn("forces", F.lit(None).cast("array<array<double>>")).orderBy("frame")
