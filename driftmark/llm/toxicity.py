@@ -39,6 +39,7 @@ operator's own replace any of the same name.
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import sys
 from collections import Counter, defaultdict
@@ -54,11 +55,11 @@ from pyspark.sql import types as T
 from driftmark.llm.common import column, columns, free, mapped
 
 ORDER, DECAY, POWER = 4, 0.8, 3
-CHUNK, STEP = 10, 3
+CHUNK, STEP = 12, 5
 #: Parts whose values a worker remembers; beyond, it starts anew, which changes no score.
 KNOWN_PARTS = 200_000
 #: Strings whose kernels are taken at a time.
-BLOCK = 2048
+BLOCK, ROWS = 8192, 384
 
 
 @dataclass(frozen=True)
@@ -69,7 +70,7 @@ class Config:
     longest: int = 10
     cover: int = 3  # landmarks wanted in each toxic sentence
     chance: float = 0.01  # words that may pass for telling by chance, in all
-    confusable: int = 2  # parts of clean sentences that join the landmarks for each of them
+    confusable: int = 1  # parts of clean sentences that join the landmarks for each of them
     altered: int = 1  # altered copies of each toxic sentence
     altered_cost: float = 0.2  # what an error on such a copy counts
     penalty: float = 1e-3
@@ -93,7 +94,7 @@ class Model:
 
 def normalise(token: str) -> str:
     """The letters and digits of a word between a mark of its start and one of its end."""
-    return f"<{token if token.isalnum() else ''.join(c for c in token if c.isalnum())}>"
+    return f"<{token if token.isalnum() else ''.join(filter(str.isalnum, token))}>"
 
 
 def sentence_words(text: str) -> set[str]:
@@ -129,18 +130,68 @@ def _codes(words: list[str], width: int) -> np.ndarray:
     return out
 
 
-def _fold(width: int, other: int, same, shape: tuple) -> np.ndarray:
-    """The subsequence kernel by prefixes of both strings; ``same(i, j)`` tells where letters i and j agree."""
-    zero, one = np.zeros(shape, np.float32), np.ones(shape, np.float32)
-    decay, twice = np.float32(DECAY), np.float32(DECAY**2)
-    rows = [[one] * (other + 1)] + [[zero] * (other + 1) for _ in range(ORDER - 1)]
-    out = np.zeros(shape, np.float32)
-    for i in range(width):
-        run, now = [zero] * ORDER, [[one] * (other + 1)] + [[zero] * (other + 1) for _ in range(ORDER - 1)]
-        for j in range(other):
-            met = same(i, j)
+class Marks:
+    """Strings of like length, laid out for the kernels of many words at a time.
+
+    A common subsequence is a chain of cells (i, j) where letter i of a word is
+    letter j of a mark, and its weight is that of its last cell, DECAY^(i + j), over
+    that of its first. So chains of each length are plain sums over the cells before:
+    over rows as they come, over columns by one product with a triangle.
+    """
+
+    def __init__(self, marks: list[str]):
+        codes = _codes(marks, max(map(len, marks)))
+        self.shape = codes.shape
+        self.letters = np.unique(codes[codes > 0])
+        self.table = np.zeros((len(self.letters) + 1, codes.size), np.float32)
+        for k, letter in enumerate(self.letters, 1):
+            self.table[k] = (codes == letter).reshape(-1)
+        self.before = np.triu(np.ones((codes.shape[1],) * 2, np.float32), 1)
+        self.last = np.tile(DECAY ** np.arange(codes.shape[1], dtype=np.float32), len(marks))
+
+    def kernels(self, words: np.ndarray) -> np.ndarray:
+        """(words, marks) of rows of codes; 0 pads and matches nothing.
+
+        Words that begin alike share the work on what they have in common: letters
+        that no mark has are all one letter here, and rows go in order.
+        """
+        place = np.minimum(np.searchsorted(self.letters, words), len(self.letters) - 1)
+        place = np.where(self.letters[place] == words, place + 1, 0).astype(np.uint8 if len(self.letters) < 255 else np.int32)
+        rows, back = np.unique(np.ascontiguousarray(place).view(f"V{place.shape[1] * place.itemsize}").reshape(-1), return_inverse=True)
+        rows = rows.view(place.dtype).reshape(-1, place.shape[1])
+        out = np.concatenate([self._chains(rows[at : at + ROWS]) for at in range(0, len(rows), ROWS)]) if len(rows) else np.zeros((0, self.shape[0]), np.float32)
+        return out[back] * np.float32(DECAY**2)
+
+    def _chains(self, rows: np.ndarray) -> np.ndarray:
+        n, width = len(rows), self.shape[1]
+        # where each row first differs from the one before
+        first = np.r_[0, (rows[1:] != rows[:-1]).argmax(1)] if n else np.zeros(0, int)
+        node, chains = np.zeros(n, np.int64), [np.zeros((1, len(self.last)), np.float32)] * ORDER
+        for i in range(rows.shape[1]):
+            new = first <= i
+            at = np.flatnonzero(new)
+            here, weight = self.table[rows[at, i]], np.float32(DECAY**i)
+            now = [c[node[at]] for c in chains]
+            now[-1] += here * now[-2] * weight
+            for k in range(ORDER - 2, 0, -1):  # the longest first: it needs the rows before this one
+                now[k] += ((here * now[k - 1]).reshape(-1, width) @ self.before).reshape(len(at), -1)
+            now[0] += ((here * (1 / (weight * self.last))).reshape(-1, width) @ self.before).reshape(len(at), -1)
+            node, chains = np.cumsum(new) - 1, now
+        return (chains[-1] * self.last).reshape(len(chains[-1]), -1, width).sum(2)[node]
+
+
+def own_kernel(words: np.ndarray) -> np.ndarray:
+    """The kernel of every row of codes with itself."""
+    w, size = np.ascontiguousarray(words.T), words.shape[1]
+    decay, twice, zero = np.float32(DECAY), np.float32(DECAY**2), np.zeros(len(words), np.float32)
+    rows = [[zero + 1] * (size + 1)] + [[zero] * (size + 1) for _ in range(ORDER - 1)]
+    out = np.zeros(len(words), np.float32)
+    for i in range(size):
+        run, now = [zero] * ORDER, [[zero + 1] * (size + 1)] + [[zero] * (size + 1) for _ in range(ORDER - 1)]
+        for j in range(size):
+            met = ((w[i] == w[j]) & (w[i] != 0)).astype(np.float32)
             out += met * rows[ORDER - 1][j]
-            met = met * twice
+            met *= twice
             for k in range(1, ORDER):
                 run[k] = decay * run[k] + met * rows[k - 1][j]
                 now[k][j + 1] = decay * rows[k][j + 1] + run[k]
@@ -148,25 +199,17 @@ def _fold(width: int, other: int, same, shape: tuple) -> np.ndarray:
     return out * twice
 
 
-def string_kernel(words: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Kernels of every row of ``words`` with every row of ``marks`` (codes; 0 pads and matches nothing): (marks, words)."""
-    w, z = np.ascontiguousarray(words.T), marks.T
-    return _fold(len(w), len(z), lambda i, j: ((w[i][None, :] == z[j][:, None]) & (w[i] != 0)[None, :]).astype(np.float32), (len(marks), len(words)))
-
-
-def own_kernel(words: np.ndarray) -> np.ndarray:
-    """The kernel of every row with itself."""
-    w = np.ascontiguousarray(words.T)
-    return _fold(len(w), len(w), lambda i, j: ((w[i] == w[j]) & (w[i] != 0)).astype(np.float32), (len(words),))
-
-
 class Kernel:
     """Values of strings with the landmarks."""
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
-        self.codes = _codes(landmarks, max(map(len, landmarks), default=1))
-        self.own = np.sqrt(own_kernel(self.codes)) if landmarks else np.zeros(0, np.float32)
+        self.groups = []
+        for low, high in ((0, 7), (7, 10**6)):
+            at = [i for i, z in enumerate(landmarks) if low < len(z) <= high]
+            if at:
+                own = own_kernel(_codes([landmarks[i] for i in at], max(len(landmarks[i]) for i in at)))
+                self.groups.append((at, Marks([landmarks[i] for i in at]), np.where(own > 0, np.sqrt(own), 1)))
 
     def values(self, words: list[str]) -> np.ndarray:
         """(words, landmarks), to the power of ``POWER``."""
@@ -180,8 +223,9 @@ class Kernel:
                 some = places[at : at + BLOCK]
                 codes = _codes([words[k] for k in some], width)
                 own = np.sqrt(own_kernel(codes))
-                value = string_kernel(codes, self.codes) / (np.where(own > 0, own, 1)[None] * np.where(self.own > 0, self.own, 1)[:, None])
-                out[some] = (np.minimum(value, 1) ** POWER).T
+                for at_marks, marks, root in self.groups:
+                    value = marks.kernels(codes) / (np.where(own > 0, own, 1)[:, None] * root)
+                    out[np.ix_(some, at_marks)] = np.minimum(value, 1) ** POWER
         return out
 
 
@@ -189,20 +233,28 @@ class Sentences:
     """Kernel values of sentences with landmarks; remembers the parts it has seen, up to a bound."""
 
     def __init__(self, landmarks: list[str]):
-        self.kernel, self.known, self.held = Kernel(landmarks), {}, np.zeros((0, len(landmarks)), np.float32)
+        self.kernel = Kernel(landmarks)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words: dict[str, tuple[int, ...]] = {}  # a raw word's parts
+        self.known: dict[str, int] = {}  # a part's row
+        self.held = np.zeros((0, len(self.kernel.landmarks)), np.float32)
 
     def features(self, texts: list[str]) -> np.ndarray:
-        sets = [parts(t) for t in texts]
+        sets = [sentence_words(t) for t in texts]
         if len(self.known) > KNOWN_PARTS:
-            self.known.clear()
-            self.held = self.held[:0]
-        new = list(set().union(*sets) - self.known.keys()) if sets else []
-        self.known.update(zip(new, range(len(self.held), len(self.held) + len(new)), strict=True))
+            self._forget()
+        known, words = self.known, self.words
+        for w in set().union(*sets) - words.keys() if sets else ():
+            words[w] = tuple([known.setdefault(x, len(known)) for x in windows(normalise(w))])
+        new = list(itertools.islice(known, len(self.held), None))
         self.held = np.concatenate([self.held, self.kernel.values(new)])
         out = np.zeros((len(texts), len(self.kernel.landmarks)))
-        for row, words in enumerate(sets):
-            if words:
-                out[row] = self.held[np.sort([self.known[w] for w in words])].sum(0, dtype=np.float64)
+        for row, some in enumerate(sets):
+            if some:
+                at = np.unique(np.fromiter(itertools.chain.from_iterable(map(words.__getitem__, some)), np.int64))
+                out[row] = self.held[at].sum(0, dtype=np.float64)
         return out
 
 

@@ -220,11 +220,11 @@ def brute_kernel(a, b):
 def test_string_kernel_equals_definition():
     words = ["<idiot>", "<idxiot>", "<clown>", "<i>", "abcab", "aaaaaa"]
     codes = toxicity._codes(words, 10)
-    got, own = toxicity.string_kernel(codes, codes), toxicity.own_kernel(codes)
+    got, own = toxicity.Marks(words).kernels(codes), toxicity.own_kernel(codes)
     for i, a in enumerate(words):
         assert abs(own[i] - brute_kernel(a, a)) < 1e-4
         for j, b in enumerate(words):
-            assert abs(got[j, i] - brute_kernel(a, b)) < 1e-4
+            assert abs(got[i, j] - brute_kernel(a, b)) < 1e-4
 
 
 def brute_parts(text):
@@ -239,8 +239,9 @@ def brute_parts(text):
     out = set()
     for w in words:
         w = "<" + "".join(c for c in w if c.isalnum()) + ">"
-        starts = {0} if len(w) <= 10 else {*range(0, len(w) - 10, 3), len(w) - 10}
-        out |= {w[s : s + 10] for s in starts}
+        n = toxicity.CHUNK
+        starts = {0} if len(w) <= n else {*range(0, len(w) - n, toxicity.STEP), len(w) - n}
+        out |= {w[s : s + n] for s in starts}
     return out
 
 
