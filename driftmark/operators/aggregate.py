@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftmark.operators import ranks
 from driftmark.schema import flagged, time_ps
 
 
 def percentile_threshold(scores: DataFrame, percentile: float, column: str = "score") -> float:
     """The interpolated percentile of in-distribution scores."""
-    value = scores.agg(F.percentile(column, F.lit(percentile / 100.0))).first()[0]
+    (value,) = ranks.percentiles(scores, column, [percentile / 100.0])
     if value is None:
         raise ValueError("no scores to calibrate on")
     return value
@@ -86,9 +87,9 @@ def with_embedding(steps: DataFrame, beads: DataFrame, centroid: DataFrame, thre
 def summary(scores: DataFrame, threshold: float) -> DataFrame:
     """One row over all beads and frames."""
     s = F.col("score")
-    return scores.agg(
-        F.avg(s).alias("mean"), F.percentile(s, F.lit(0.5)).alias("median"), F.percentile(s, F.lit(0.95)).alias("p95"), F.percentile(s, F.lit(0.99)).alias("p99"), F.max(s).alias("max"), F.avg(flagged(s, threshold).cast("double")).alias("frac_ood")
-    )
+    mean, most, flags = scores.agg(F.avg(s), F.max(s), F.avg(flagged(s, threshold).cast("double"))).first()
+    row = (mean, *ranks.percentiles(scores, "score", [0.5, 0.95, 0.99]), most, flags)
+    return scores.sparkSession.createDataFrame([row], "mean double, median double, p95 double, p99 double, max double, frac_ood double")
 
 
 def first_flag(scores: DataFrame, threshold: float) -> DataFrame:
@@ -98,16 +99,25 @@ def first_flag(scores: DataFrame, threshold: float) -> DataFrame:
 
 def stable_segment(steps: DataFrame, fraction: float = 0.1, least: int = 3) -> DataFrame:
     """The first ``max(3, int(n * fraction))`` frames of each run."""
-    n = F.count("*").over(Window.partitionBy("run"))
-    return steps.withColumn("n0", F.greatest(F.lit(least), F.floor(n * F.lit(float(fraction))))).where(F.col("frame") < F.col("n0")).drop("n0")
+    n0 = steps.groupBy("run").agg(F.greatest(F.lit(least), F.floor(F.count("*") * F.lit(float(fraction)))).alias("n0"))
+    return steps.join(n0, "run").where(F.col("frame") < F.col("n0")).drop("n0")
+
+
+#: Frames of a run that one task walks through.
+STRETCH = 1 << 16
 
 
 def lag1_autocorrelation(steps: DataFrame, column: str = "centroid_score") -> DataFrame:
     """Per run the lag-1 autocorrelation of the finite values, cut to [0, 0.99]; 0 below three values."""
     x = F.col(column)
     fine = steps.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    whole = Window.partitionBy("run")
-    d = fine.select("run", "frame", (x - F.avg(x).over(whole)).alias("d")).withColumn("after", F.lead("d").over(Window.partitionBy("run").orderBy("frame")))
-    rho = F.try_divide(F.avg(F.col("d") * F.col("after")), F.avg(F.col("d") * F.col("d")))
-    out = d.groupBy("run").agg(F.count("*").alias("n"), rho.alias("raw"))
+    mean = fine.groupBy("run").agg(F.avg(x).alias("mean"))
+    d = fine.select("run", "frame", x.alias("x")).join(mean, "run").select("run", "frame", (F.col("x") - F.col("mean")).alias("d"), F.floor(F.col("frame") / STRETCH).alias("stretch"))
+    d = d.withColumn("after", F.lead("d").over(Window.partitionBy("run", "stretch").orderBy("frame")))
+    # a long run falls into stretches, whose ends meet in a table of one row each
+    ends = d.groupBy("run", "stretch").agg(F.count("*").alias("n"), F.sum(F.col("d") * F.col("after")).alias("p"), F.sum(F.col("d") * F.col("d")).alias("s"), F.min_by("d", "frame").alias("first"), F.max_by("d", "frame").alias("last"))
+    ends = ends.withColumn("next", F.lead("first").over(Window.partitionBy("run").orderBy("stretch")))
+    n = F.sum("n")
+    products = F.coalesce(F.sum("p"), F.lit(0.0)) + F.coalesce(F.sum(F.col("last") * F.col("next")), F.lit(0.0))
+    out = ends.groupBy("run").agg(n.alias("n"), F.when(n > 1, F.try_divide(products / (n - 1), F.sum("s") / n)).alias("raw"))
     return out.select("run", F.when((F.col("n") < 3) | F.col("raw").isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(0.99), F.col("raw")))).alias("rho"))

@@ -11,16 +11,17 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftmark.operators import ranks
+
 
 def conformal_threshold(scores: DataFrame, alpha: float, column: str = "score") -> float:
-    """The k-th largest score, k = ceil((n + 1) alpha) within 1 and n: a top-k, not a sort."""
+    """The k-th largest score, k = ceil((n + 1) alpha) within 1 and n; nulls and NaN are no scores."""
     if not 0 < alpha < 1:
         raise ValueError(f"alpha must be between 0 and 1, not {alpha}")
-    n = scores.count()
+    n = scores.where(F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double")).isNotNull()).count()
     if n == 0:
         raise ValueError("no scores")
-    k = min(max(math.ceil((n + 1) * alpha), 1), n)
-    return scores.select(column).orderBy(F.desc(column)).limit(k).agg(F.min(column)).first()[0]
+    return ranks.largest(scores, column, min(max(math.ceil((n + 1) * alpha), 1), n), n)
 
 
 PARTS = 64
@@ -68,8 +69,7 @@ def separation(df: DataFrame) -> DataFrame:
 
 def detection_metrics(normal: DataFrame, abnormal: DataFrame, alpha: float = 0.01) -> dict:
     """Separation of two score columns, and the rate detected at the conformal threshold."""
-    half = F.percentile("score", F.lit(0.5))
-    (n0, m0), (n1, m1) = (tuple(d.agg(F.count("*"), half).first()) for d in (normal, abnormal))
+    (n0, m0), (n1, m1) = ((d.count(), ranks.percentiles(d, "score", [0.5])[0]) for d in (normal, abnormal))
     out = {"n_in_distribution": n0, "n_abnormal": n1, "median_score_in_distribution": m0, "median_score_abnormal": m1, "false_flag_rate": alpha, "auroc": None, "average_precision": None, "detection_rate": None, "threshold": None}
     if n0 and n1:
         both = normal.select("score", F.lit(0).alias("label")).unionAll(abnormal.select("score", F.lit(1).alias("label")))
@@ -143,9 +143,12 @@ def correlation_p(r: float, n: int) -> float:
 
 def correlation(df: DataFrame, x: str, y: str) -> dict:
     """Spearman and Pearson over finite pairs, with p-values; at least three pairs."""
-    pairs = finite(df.select(x, y), x, y)
-    ranked = mid_ranks(mid_ranks(pairs, x, "__rx"), y, "__ry")
-    n, rho, r = ranked.agg(F.count("*"), F.corr("__rx", "__ry"), F.corr(x, y)).first()
+    pairs = finite(df.select(x, y), x, y).persist()
+    try:
+        ranked = mid_ranks(mid_ranks(pairs, x, "__rx"), y, "__ry")
+        n, rho, r = ranked.agg(F.count("*"), F.corr("__rx", "__ry"), F.corr(x, y)).first()
+    finally:
+        pairs.unpersist()
     if n < 3:
         raise ValueError(f"at least 3 finite pairs are needed, not {n}")
     return {"n": n, "spearman": rho, "spearman_p": correlation_p(rho, n), "pearson": r, "pearson_p": correlation_p(r, n)}
@@ -160,9 +163,12 @@ def error_bins(df: DataFrame, n_bins: int = 10, order: str = "frame") -> DataFra
     big, size = n % n_bins, n // n_bins  # the first ``big`` bins hold one more
     at = F.col("__at") - 1
     binned = rows.withColumn("bin", F.when(at < big * (size + 1), F.floor(at / (size + 1))).otherwise(big + F.floor((at - big * (size + 1)) / max(size, 1))).cast("int"))
-    return binned.groupBy("bin").agg(
-        F.count("*").alias("n"), F.min("score").alias("score_min"), F.max("score").alias("score_max"), F.avg("error").alias("error_mean"), F.percentile("error", F.lit(0.5)).alias("error_median"), F.percentile("error", F.lit(0.95)).alias("error_p95")
-    )
+    plain = [F.count("*").alias("n"), F.min("score").alias("score_min"), F.max("score").alias("score_max"), F.avg("error").alias("error_mean")]
+    if size <= ranks.ONE_TASK_ROWS:  # a bin fits into a task
+        return binned.groupBy("bin").agg(*plain, F.percentile("error", F.lit(0.5)).alias("error_median"), F.percentile("error", F.lit(0.95)).alias("error_p95"))
+    spark, binned = df.sparkSession, binned.persist()
+    middle = spark.createDataFrame([(b, *ranks.percentiles(binned.where(F.col("bin") == b), "error", [0.5, 0.95])) for b in range(min(n_bins, n))], "bin int, error_median double, error_p95 double")
+    return binned.groupBy("bin").agg(*plain).join(middle, "bin")
 
 
 def bin_report(binned: DataFrame) -> DataFrame:
@@ -186,7 +192,7 @@ def bin_edges(scores: DataFrame, n_bins: int, scheme: str = "quantile", tail_fro
         at += [tail_from + (1 - tail_from) * i / tail for i in range(tail + 1)]
     else:
         raise ValueError(f"scheme is 'quantile' or 'tail-enriched', not {scheme!r}")
-    return scores.agg(F.percentile("score", F.array(*[F.lit(float(min(q, 1.0))) for q in at]))).first()[0]
+    return ranks.percentiles(scores, "score", [min(q, 1.0) for q in at])
 
 
 def digitise(score: Column, edges: list[float]) -> Column:

@@ -1,18 +1,22 @@
 """Onset: the first full hopping window whose flagged share reaches a fraction.
 
 Windows start at frames 0, s, 2s, ... and count only if all w frames are there.
-A run has one row a frame; where ``w`` is a multiple of ``s`` the window sums are
-built from sums over blocks of ``s`` frames, one partial aggregation before any
-sort, so a window function sees n/s rows a run instead of n.
+A run has one row a frame. Window sums are built from sums over blocks of as many
+frames as divide both ``w`` and ``s``, one partial aggregation before any sort, so
+a window function sees a row a block instead of a row a frame.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Shares are compared as sums, with room for the last bit.
 EPS = 1e-9
+#: Frames of a run that are numbered in one task.
+STRETCH = 1 << 16
 
 
 def window_count(n: Column, window: int, step: int) -> Column:
@@ -24,14 +28,10 @@ def window_sums(frames: DataFrame, signals: dict[str, Column], window: int, step
     """(run, frame, step, one sum a signal) for each full window, at its first frame."""
     names = list(signals)
     rows = frames.select("run", "frame", "step", *[c.cast("double").alias(n) for n, c in signals.items()])
-    if window % step == 0:
-        rows = rows.groupBy("run", F.floor(F.col("frame") / step).alias("block")).agg(F.min("frame").alias("frame"), F.min_by("step", "frame").alias("step"), F.count("*").alias("n"), *[F.sum(n).alias(n) for n in names])
-        span, per = window // step, step
-    else:
-        rows, span, per = rows.withColumn("n", F.lit(1).cast("long")), window, 1
-    w = Window.partitionBy("run").orderBy("frame").rowsBetween(0, span - 1)
+    per = math.gcd(window, step)
+    rows = rows.groupBy("run", F.floor(F.col("frame") / per).alias("block")).agg(F.min("frame").alias("frame"), F.min_by("step", "frame").alias("step"), F.count("*").alias("n"), *[F.sum(n).alias(n) for n in names])
+    w = Window.partitionBy("run").orderBy("frame").rowsBetween(0, window // per - 1)
     sums = rows.select("run", "frame", "step", F.sum("n").over(w).alias("n"), *[F.sum(n).over(w).alias(n) for n in names])
-    del per
     return sums.where((F.col("n") == window) & (F.col("frame") % step == 0)).drop("n")
 
 
@@ -46,10 +46,14 @@ def windowed_onset(frames: DataFrame, signals: dict[str, Column], window: int, s
 
 def sparse_onset(frames: DataFrame, signal: Column, window: int, step: int, fraction: float) -> DataFrame:
     """The same over the rows where ``signal`` is not null, numbered anew; the frame returned is the original."""
-    scored = frames.withColumn("__x", signal.cast("double")).where("__x is not null")
-    order = Window.partitionBy("run").orderBy("frame")
-    again = scored.select("run", (F.row_number().over(order) - 1).cast("long").alias("frame"), F.struct(F.col("frame").alias("at"), "step").alias("step"), "__x")
-    found = windowed_onset(again, {"x": F.col("__x")}, window, step, fraction)
+    scored = frames.select("run", "frame", "step", signal.cast("double").alias("x"), F.floor(F.col("frame") / STRETCH).alias("stretch")).where("x is not null")
+    # numbers within a stretch, and how many rows the stretches before hold
+    before = scored.groupBy("run", "stretch").agg(F.count("*").alias("c"))
+    before = before.select("run", "stretch", (F.sum("c").over(Window.partitionBy("run").orderBy("stretch")) - F.col("c")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("run", "stretch").orderBy("frame")) - 1
+    again = scored.withColumn("place", place).join(before, ["run", "stretch"])
+    again = again.select("run", (F.col("place") + F.col("before")).cast("long").alias("frame"), F.struct(F.col("frame").alias("at"), "step").alias("step"), "x")
+    found = windowed_onset(again, {"x": F.col("x")}, window, step, fraction)
     return found.select("run", F.col("step.at").alias("frame"), F.col("step.step").alias("step"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import warnings
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ from driftmark.operators.models import ScalerPCA, matrix
 from driftmark.operators.topology import Topology
 
 #: Candidates of up to so many numbers are ordered in one task; beyond, in rounds over the cluster.
-ONE_TASK_NUMBERS = 50_000_000
+ONE_TASK_NUMBERS = 5_000_000
 
 
 def farthest(x: np.ndarray, reference: np.ndarray, k: int) -> np.ndarray:
@@ -55,6 +56,8 @@ def farthest_points(df: DataFrame, reference: list[float], k: int, column: str =
         out.append(best.frame)
         state = state.withColumn("d", F.least("d", gap(list(best.x))))
         if len(out) % 16 == 0:
+            if spark.sparkContext.getCheckpointDir() is None:
+                spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="driftmark-"))
             state = state.checkpoint()
     rows.unpersist()
     return spark.createDataFrame(list(enumerate(out)), "rank int, frame bigint")

@@ -35,7 +35,7 @@ def daily(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("run"), F.to_date("ts").alias("day"), "event_id", "user_id", "value")
     days = e.select("run", "day").distinct().withColumn("frame", (F.row_number().over(Window.partitionBy("run").orderBy("day")) - 1).cast("long"))
     first = e.groupBy("run", "day", F.col("user_id").alias("bead")).agg(F.min_by("value", "event_id").alias("score"))
-    return first.join(F.broadcast(days), ["run", "day"]).select("run", "bead", "frame", F.datediff("day", F.lit("2000-01-01")).cast("long").alias("step"), "score")
+    return first.join(days, ["run", "day"]).select("run", "bead", "frame", F.datediff("day", F.lit("2000-01-01")).cast("long").alias("step"), "score")
 
 
 DAILY = """
@@ -64,12 +64,15 @@ f as (select run, min(frame) as frame from w where n = {W} and frame % {S} = 0 a
 
 @query("select round(quantile_cont(value, 0.95), 6) as threshold from events")
 def threshold_percentile(spark, sf):
-    return table(spark, sf, "events").agg(r6(F.percentile("value", F.lit(0.95))).alias("threshold"))
+    value = aggregate.percentile_threshold(table(spark, sf, "events"), 95.0, "value")
+    return spark.createDataFrame([(round(value, 6),)], "threshold double")
 
 
 @query("select round(quantile_cont(value, 0.99), 6) as bead, round(quantile_cont(value, 0.95), 6) as centroid from events")
 def threshold_tracks(spark, sf):
-    return table(spark, sf, "events").agg(r6(F.percentile("value", F.lit(0.99))).alias("bead"), r6(F.percentile("value", F.lit(0.95))).alias("centroid"))
+    percentiles = aggregate.track_percentiles({"percentile": 95.0, "bead_percentile": 99.0})
+    row = tuple(round(aggregate.percentile_threshold(table(spark, sf, "events"), p, "value"), 6) for p in percentiles)
+    return spark.createDataFrame([row], "bead double, centroid double")
 
 
 @query(f"with {DAILY} select run, frame, cast(step as bigint) as step, round(bead_max, 6) as bead_max, round(bead_p95, 6) as bead_p95, round(bead_frac_ood, 6) as bead_frac_ood, round(centroid_score, 6) as centroid_score, centroid_score > 50 as centroid_ood from steps")

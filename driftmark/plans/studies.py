@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmark.functions import geometry as G
-from driftmark.operators import aggregate, chemistry, evaluation, onset, perturb, select
+from driftmark.operators import aggregate, chemistry, evaluation, onset, perturb, ranks, select
 from driftmark.plans import detect
 from driftmark.schema import flagged
 from driftmark.sources import xyz
@@ -54,8 +54,9 @@ def benchmark(spark: SparkSession, config: dict, alpha: float | None = None, spl
 
 def separations(normal: DataFrame, scored: DataFrame, threshold: float) -> DataFrame:
     """Per setting: AUROC, average precision, detection rate and medians against one set of normal scores."""
-    settings = scored.select("setting").distinct()
-    zero = settings.join(F.broadcast(normal.groupBy("score").agg(F.count("*").alias("neg"))))  # settings x distinct normal scores
+    # each distinct normal score stands once for every setting; there are as many settings as the caller made
+    numbers = sorted(r.setting for r in scored.select("setting").distinct().collect())
+    zero = normal.groupBy("score").agg(F.count("*").alias("neg")).withColumn("setting", F.explode(F.array(*map(F.lit, numbers))))
     counts = scored.groupBy("setting", "score").agg(F.count("*").alias("pos"))
     both = counts.select("setting", "score", "pos", F.lit(0).alias("neg")).unionByName(zero.select("setting", "score", F.lit(0).cast("long").alias("pos"), "neg")).groupBy("setting", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     from pyspark.sql import Window
@@ -66,8 +67,8 @@ def separations(normal: DataFrame, scored: DataFrame, threshold: float) -> DataF
     found = run.groupBy("setting").agg((wins / (F.sum("pos") * F.sum("neg"))).alias("auroc"), (F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.sum("pos")).alias("average_precision"), F.sum("neg").alias("n_negatives"), F.sum("pos").alias("n_positives"))
     half = F.lit(0.5)
     rates = scored.groupBy("setting").agg(F.avg(flagged(F.col("score"), threshold).cast("double")).alias("detection_rate"), F.percentile("score", half).alias("median_score_distorted"))
-    middle = normal.agg(F.percentile("score", half).alias("median_score_normal"))
-    return found.join(rates, "setting").crossJoin(F.broadcast(middle))
+    (middle,) = ranks.percentiles(normal, "score", [0.5])
+    return found.join(rates, "setting").withColumn("median_score_normal", F.lit(middle))
 
 
 def slice_rates(scan: DataFrame, dense: int) -> DataFrame:
