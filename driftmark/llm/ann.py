@@ -1,18 +1,21 @@
 """Approximate nearest neighbours: a graph by NN-descent, searched greedily.
 
-Equal vectors collapse to one node that remembers its smallest ids. Nodes are
+Equal vectors collapse to one node that remembers its ``k + 1`` smallest ids: no
+search for up to ``k`` neighbours can need more of them, whatever row asks. Nodes are
 dealt by a hash into shards of bounded size; each round of NN-descent is a
 Spark join of every node's neighbours with their neighbours, after which each
 shard compares its nodes with the candidates that the join brought and keeps the
 nearest. Rounds go on until few lists change, each written to the shared
 folder. A query walks the graph of each shard from node to better node with a
-beam, and its best finds of all shards are ranked by the exact cosine in double
-precision. Queries come in blocks, so a task holds one shard and one block.
+beam, and all that the beams of all shards hold is ranked by the exact cosine in
+double precision. Queries come in blocks, so a task holds one shard and one block.
+Every shard is asked, so the work of a search grows with the queries times the shards.
 
 Edge cases: vectors that are null, zero or hold null or non-finite components
 take no part, neither as queries nor as candidates; vectors of different lengths
 never meet; rows that repeat an id and a vector count once, rows that repeat an
-id with other vectors are all candidates; ties go to the smaller id; an empty
+id with other vectors are all candidates; a query id with several vectors asks
+with the smallest of them, number by number; ties go to the smaller id; an empty
 table gives no rows; extra columns are not read.
 """
 
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftmark.llm.common import written
+from driftmark.llm.common import column, written
 
 SHARD_ROWS = 8192
 NEIGHBOURS, REVERSE = 14, 10
@@ -197,7 +200,7 @@ def _search(k: int):
             links = both_ways(near, v, NEIGHBOURS + REVERSE)
             ids = index.column("ids").to_pylist()
             asked = _matrix(queries, "vector")
-            places = greedy(v, links, _unit(asked))[:, : 2 * k + 8]
+            places = greedy(v, links, _unit(asked), max(BEAM, 2 * k))
             norm = np.sqrt((exact * exact).sum(1))
             for qid, q, found in zip(queries.column("query_id").to_pylist(), asked, places, strict=True):
                 s = (exact[found] @ q) / (norm[found] * np.sqrt(q @ q))
@@ -211,22 +214,19 @@ def _search(k: int):
     return run
 
 
-def build(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", keep: int = 6) -> DataFrame:
-    """The index: (shard, place, node, vector, ids, near) for every vector that takes part."""
-    rows = df.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v")).where(sound(F.col("v")) & F.col("id").isNotNull())
+def build(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", k: int = 5, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """The index for up to ``k`` neighbours: (shard, place, node, vector, ids, keep, near) for every vector that takes part."""
+    keep = k + 1
+    rows = df.select(column(df, vec_id).cast("long").alias("id"), column(df, vector).cast("array<double>").alias("v")).where(sound(F.col("v")) & F.col("id").isNotNull())
     partial = rows.mapInArrow(_distinct(keep), "dim int, vector array<double>, ids array<long>")
     ids = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep)
     nodes = written(partial.groupBy("dim", "vector").agg(ids.alias("ids")), "nodes")
-    shards = {r.dim: -(-r.n // SHARD_ROWS) for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     # vectors of one length share shards; no shard holds two lengths
-    base, first = 0, {}
-    for d in sorted(shards):
-        first[d], base = base, base + shards[d]
-    number = F.lit(0)
-    for d, n in shards.items():
-        number = F.when(F.col("dim") == d, first[d] + F.pmod(F.xxhash64(F.col("ids")[0], F.lit(d)), F.lit(n)).cast("int")).otherwise(number)
+    lengths = nodes.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("n"))
+    lengths = lengths.select("dim", "n", (F.sum("n").over(Window.orderBy("dim")) - F.col("n")).cast("int").alias("first"))
     place = F.row_number().over(Window.partitionBy("shard").orderBy("node", "vector")) - 1
-    nodes = nodes.select(number.cast("int").alias("shard"), F.col("ids")[0].alias("node"), "vector", "ids")
+    number = F.col("first") + F.pmod(F.xxhash64(F.col("ids")[0], "dim"), F.col("n")).cast("int")
+    nodes = nodes.join(lengths, "dim").select(number.alias("shard"), F.col("ids")[0].alias("node"), "vector", "ids", F.lit(keep).alias("keep"))
     nodes = written(nodes.withColumn("place", place), "placed")
     graph = written(nodes.groupBy("shard").applyInArrow(_start, GRAPH), "graph")
     total = nodes.count()
@@ -247,30 +247,26 @@ def build(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", keep
 
 def search(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest found for (query_id, vector)."""
-    spark = index.sparkSession
+    kept = index.agg(F.min("keep")).first()[0]
+    if kept is not None and k >= kept:
+        raise ValueError(f"the index was built for up to {kept - 1} neighbours, not {k}")
     n = max(1, -(-queries.count() // QUERY_BLOCK))
-    q = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).where(sound(F.col("vector")) & F.col("query_id").isNotNull()).dropDuplicates(["query_id"])
+    q = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).where(sound(F.col("vector")) & F.col("query_id").isNotNull()).groupBy("query_id").agg(F.min("vector").alias("vector"))
     q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int"))
     # a row for each shard: its number and the length of its vectors
-    shards = [(r.shard, r.dim) for r in index.select("shard", F.size("vector").alias("dim")).distinct().collect()]
-    by_dim: dict[int, list[int]] = {}
-    for s, d in shards:
-        by_dim.setdefault(d, []).append(s)
-    if not by_dim:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    where = F.create_map(*[x for d, s in sorted(by_dim.items()) for x in (F.lit(d), F.array(*[F.lit(i) for i in sorted(s)]))])
-    q = q.withColumn("shard", F.explode(where[F.size("vector")]))
+    shards = index.select((F.col("shard") + 0).alias("shard"), F.size("vector").alias("dim")).distinct()
+    q = q.withColumn("dim", F.size("vector")).join(shards, "dim").drop("dim")
     blocks = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     found = q.groupBy("shard", "block").cogroup(blocks.groupBy("shard", "block")).applyInArrow(_search(k), FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def recall(found: DataFrame, index: DataFrame, queries: DataFrame, k: int = 5) -> float:
-    """The part of the true ``k`` nearest, by brute force, that ``found`` holds."""
+def recall(found: DataFrame, rows_of: DataFrame, queries: DataFrame, k: int = 5) -> float:
+    """The part of the true ``k`` nearest of the rows (vec_id, vector), by brute force, that ``found`` holds; for tests."""
     rows = {r.query_id: set(r.ids) for r in found.groupBy("query_id").agg(F.collect_list("vec_id").alias("ids")).collect()}
     asked = [(r.query_id, np.array(r.vector)) for r in queries.collect()]
-    all_rows = [(i, np.array(r.vector)) for r in index.collect() for i in r.ids]
+    all_rows = [(r.vec_id, np.array(r.vector)) for r in rows_of.collect()]
     ids, m = np.array([i for i, _ in all_rows]), np.array([v for _, v in all_rows])
     norm, hit, total = np.linalg.norm(m, axis=1), 0, 0
     for qid, q in asked:

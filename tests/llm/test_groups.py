@@ -186,11 +186,33 @@ def test_neighbours(spark, tmp_path):
     assert ann.search(ann.build(df.limit(0)), asked).count() == 0
 
 
-def test_neighbour_recall_on_embeddings(spark):
-    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
-    index = ann.build(v)
-    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    assert ann.recall(ann.search(index, asked), index, asked) >= 0.9
+def test_neighbour_recall_over_several_shards(spark):
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    for rows in (ann.SHARD_ROWS, 500):
+        index = ann.build(v, vector="vector", shard_rows=rows)
+        assert index.select("shard").distinct().count() == -(-2000 // rows)
+        assert ann.recall(ann.search(index, asked), v, asked) >= 0.9
+
+
+def test_copies_and_repeated_queries(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(60, 8)))] + [(100 + i, [1.0] * 8) for i in range(40)] + [(200 + i, [float(2 ** (i % 8))] * 8) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = ann.build(df, k=15)
+    asked = spark.createDataFrame([(100, [1.0] * 8), (7, [1.0] * 8), (7, rows[7][1])], "query_id long, vector array<double>")
+    for _ in range(2):
+        by = collections.defaultdict(list)
+        for r in ann.search(index, asked, 15).orderBy("query_id", "rank").collect():
+            by[r.query_id].append(r.vec_id)
+        assert by[100] == list(range(101, 116))
+        first = min([1.0] * 8, rows[7][1])
+        m = np.array([x for _, x in rows])
+        s = np.round(m @ np.array(first) / np.linalg.norm(m, axis=1) / np.linalg.norm(first), 12)
+        order = [rows[i][0] for i in np.lexsort(([i for i, _ in rows], -s)) if rows[i][0] != 7][:15]
+        assert by[7] == order
+    with pytest.raises(ValueError, match="built for"):
+        ann.search(index, asked, 16)
 
 
 def test_chat_round_trip(spark, sf):
