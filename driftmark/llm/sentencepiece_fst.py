@@ -1,11 +1,17 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-Three machines are compiled from a model file: the normaliser (dummy prefix,
-white space marks), the lexicon of pieces as a trie whose arcs emit ids with
-weights, and the byte fallback. A text is composed with them and the shortest
-path in the tropical semiring (minus, plus) is its encoding.
-
-For a unigram model an arc weighs minus its piece's score. A byte-pair model
+Three machines are compiled from a model file. The normaliser rewrites the longest
+match of the model's character map at each place, joins white space if the model
+says so, and adds the dummy prefix and white space marks. The lexicon is a trie of
+pieces whose arcs emit ids with weights. The byte fallback has an arc for every
+letter without a piece of its own, which emits the letter's bytes, or the unknown
+id where the model has no bytes; neighbouring unknown ids are one. A text is
+composed with them and the shortest path in the tropical semiring (minus, plus) is
+its encoding.
+
+For a unigram model an arc weighs minus its piece's score, a fallback arc the worst
+score's and a penalty, and a user-defined piece less than anything it could be cut
+into. A byte-pair model cuts user-defined pieces out first. It
 ranks merges, which no sum of piece weights can express; there the lexicon is
 composed with an acceptor over pairs of neighbouring pieces, whose arcs weigh 0
 where merging the two pieces' letters ends in just these two pieces and infinity
@@ -19,10 +25,11 @@ position at a time, in arrays. What a worker remembers of cuts is bounded.
 
 Edge cases: null texts have null ids, empty texts no ids; letters outside the
 vocabulary become byte pieces (or the unknown id, if the model has no bytes);
-decoding restores the text except for U+2581, which is the white space mark
-itself, and for ids that are no valid UTF-8, which give U+FFFD; repeated rows are
-encoded alike; extra columns pass through and the operator's own replace any of
-the same name.
+decoding restores the normalised text except for U+2581, which is the white space
+mark itself, for unknown ids, and for ids that are no valid UTF-8, which give
+U+FFFD; repeated rows are encoded alike; extra columns pass through, whatever their
+names, and the operator's own replace any of the same name. Models that put white
+space marks behind words are refused.
 """
 
 from __future__ import annotations
@@ -45,16 +52,97 @@ PAIR_SLOTS = 1 << 21
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
+#: What a fallback arc weighs more than the worst piece.
+PENALTY = 10.0
+
+
+def read_charsmap(blob: bytes) -> dict[str, str]:
+    """The rewriting rules in a model's character map: a double array of the sources' bytes, then the targets."""
+    if not blob:
+        return {}
+    size = int.from_bytes(blob[:4], "little")
+    units, targets = np.frombuffer(blob[4 : 4 + size], "<u4").astype(np.int64), blob[4 + size :]
+    step = lambda u: (u >> 10) << ((u & 512) >> 6)
+    base, names = np.array([step(units[0])]), [b""]
+    out: dict[str, str] = {}
+    labels = np.arange(1, 256)
+    while len(base):
+        at = base[:, None] ^ labels
+        fits = (at < len(units)) & ((units[np.minimum(at, len(units) - 1)] & 0x800000FF) == labels)
+        parent, c = np.nonzero(fits)
+        here = at[parent, c]
+        unit = units[here]
+        base = here ^ step(unit)
+        names = [names[p] + bytes([x + 1]) for p, x in zip(parent.tolist(), c.tolist(), strict=True)]
+        for k in np.flatnonzero(unit >> 8 & 1).tolist():
+            start = int(units[base[k]] & 0x7FFFFFFF)
+            out[names[k].decode()] = targets[start : targets.index(b"\0", start)].decode()
+    return out
+
+
+def _any_of(letters: set[str]) -> str:
+    return f"[{''.join(re.escape(c) for c in sorted(letters))}]" if letters else "(?!)"
+
+
+class Normaliser:
+    """Longest matches of rules are rewritten; user-defined pieces stay as they are; white space is joined or kept."""
+
+    def __init__(self, charsmap: bytes = b"", collapse: bool = False, keep: list[str] = []):  # noqa: B006
+        self.rules, self.collapse = read_charsmap(charsmap), collapse
+        self.longest = max(map(len, self.rules), default=0)
+        self.keep = re.compile("|".join(re.escape(x) for x in sorted(keep, key=lambda x: (-len(x), x)))) if keep else None
+        many = [k for k in self.rules if len(k) > 1]
+        alone = _any_of({k for k in self.rules if len(k) == 1})
+        begun = f"{_any_of({k[0] for k in many})}(?={_any_of({k[1] for k in many})})"
+        self.active = re.compile(f"{begun}|{alone}", re.S) if self.rules else None
+
+    def _rewrite(self, text: str) -> str:
+        if self.active is None or self.active.search(text) is None:
+            return text
+        out, at = [], 0
+        while m := self.active.search(text, at):
+            out.append(text[at : m.start()])
+            at = m.start()
+            for n in range(min(self.longest, len(text) - at), 0, -1):
+                if text[at : at + n] in self.rules:
+                    out.append(self.rules[text[at : at + n]])
+                    at += n
+                    break
+            else:
+                out.append(text[at])
+                at += 1
+        return "".join([*out, text[at:]])
+
+    def __call__(self, text: str) -> str:
+        if self.keep is None:
+            text = self._rewrite(text)
+        else:
+            out, at = [], 0
+            for m in self.keep.finditer(text):
+                out += [self._rewrite(text[at : m.start()]), m[0]]
+                at = m.end()
+            text = "".join([*out, self._rewrite(text[at:])])
+        return re.sub(" +", " ", text).strip(" ") if self.collapse else text
+
+
 class Lexicon:
     """The compiled machines."""
 
-    def __init__(self, pieces: list[tuple[str, float, int]], bpe: bool, add_prefix: bool = True):
-        self.pieces, self.bpe, self.add_prefix = pieces, bpe, add_prefix
+    def __init__(self, pieces: list[tuple[str, float, int]], bpe: bool, add_prefix: bool = True, charsmap: bytes = b"", collapse: bool = False):
+        self.pieces, self.bpe, self.add_prefix, self.collapse = pieces, bpe, add_prefix, collapse
+        user = [p[0] for p in pieces if p[2] == USER]
+        self.plain = Normaliser(charsmap, collapse, user)
+        self.frozen = self.plain.keep if bpe else None
+        if bpe and any(p[2] == UNUSED for p in pieces):
+            raise ValueError("byte-pair models with unused pieces are not compiled")
         self.unknown = next((i for i, p in enumerate(pieces) if p[2] == UNKNOWN), 0)
         self.byte = {int(p[0][3:5], 16): i for i, p in enumerate(pieces) if p[2] == BYTE}
         self.rank = {p[0]: (p[1], i) for i, p in enumerate(pieces) if p[2] in (NORMAL, USER)}
-        self.weight = np.array([-p[1] for p in pieces])
-        long = [p for p in self.rank if len(p) > 1]
+        normal = [p[1] for p in pieces if p[2] == NORMAL] or [0.0]
+        worth = lambda p: len(p[0].encode()) * np.float32(max(normal)) - np.float32(0.1) if p[2] == USER else np.float32(p[1])
+        self.weight = np.array([-worth(p) for p in pieces], np.float32)
+        self.penalty = np.float32(-(np.float32(min(normal)) - np.float32(PENALTY)))
+        long = [p for p in self.rank if len(p) > 1 and not (bpe and p in user)]
         inner = set("".join(long))
         lone = [c for c in inner if c not in self.rank]
         if bpe and lone:
@@ -90,6 +178,7 @@ class Lexicon:
                 for n in range(1, len(p) + 1):
                     nodes.setdefault(p[:n], len(nodes) + 1)
         self.longest = max((len(p) for p in nodes), default=1)
+        self.own = np.array([False] + [c in self.rank for c in sorted(self.letters)])
         self.next = np.zeros((len(nodes) + 1, len(self.letters) + 1), np.int32)
         self.piece = np.full(len(nodes) + 1, -1, np.int32)
         for p, k in nodes.items():
@@ -133,7 +222,7 @@ class Lexicon:
         return out
 
     def shortest_paths(self, segments: list[str]) -> list[np.ndarray]:
-        """Ids along the shortest path of each segment, all of known letters."""
+        """Ids along the shortest path of each segment, all of letters that pieces hold; -2 - letter for a fallback arc."""
         out: list = [None] * len(segments)
         by_size: dict[int, list[int]] = {}
         for i, s in enumerate(segments):
@@ -150,7 +239,7 @@ class Lexicon:
         points = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32).reshape(n, size)
         found, code = np.unique(points, return_inverse=True)
         code = np.array([self.letters.get(chr(c), 0) for c in found], np.int32)[code.reshape(n, size)]
-        cost = np.full((size + 1, n), np.inf)
+        cost = np.full((size + 1, n), np.inf, np.float32)
         last = np.full((size + 1, n), -1, np.int32)
         back = np.zeros((size + 1, n), np.int32)
         cost[0] = 0
@@ -169,12 +258,18 @@ class Lexicon:
                 if self.bpe:
                     ok = self.fits(last[i, r], p)
                     r, p = r[ok], p[ok]
-                    total = np.zeros(len(r))
+                    total = np.zeros(len(r), np.float32)
                 else:
                     total = cost[i, r] + self.weight[p]
                     ok = total < cost[j, r]
                     r, p, total = r[ok], p[ok], total[ok]
                 cost[j, r], last[j, r], back[j, r] = total, p, i
+            if not self.bpe:  # the fallback, where the letter is no piece
+                rows = np.flatnonzero(np.isfinite(cost[i]) & ~self.own[code[:, i]])
+                total = cost[i, rows] + self.penalty
+                ok = total < cost[i + 1, rows]
+                rows, total = rows[ok], total[ok]
+                cost[i + 1, rows], last[i + 1, rows], back[i + 1, rows] = total, -2 - points[rows, i].astype(np.int32), i
         # read the paths backwards, all at a time
         ids = np.zeros((size, n), np.int32)
         count = np.zeros(n, np.int64)
@@ -194,16 +289,31 @@ class Lexicon:
             return np.array([self.byte[b] for b in letter.encode("utf-8", "surrogatepass")], np.int32).tobytes()
         return np.int32(self.unknown).tobytes()
 
+    def resolved(self, ids: np.ndarray) -> bytes:
+        """A path's ids with its fallback arcs written out."""
+        if (ids >= -1).all():
+            return ids.tobytes()
+        return b"".join(np.int32(i).tobytes() if i >= -1 else self.fallback(chr(-2 - i)) for i in ids.tolist())
+
     def normalise(self, text: str) -> str:
+        text = self.plain(text)
         return (MARK if self.add_prefix and text else "") + text.replace(" ", MARK)
 
     def chunks(self, text: str) -> list[str]:
         """Parts that no piece crosses; a part may still hold lone letters."""
+        text = self.plain(text)
         if not text:
             return []
+        if self.frozen is not None and (self.frozen.search(text) or self.frozen.search(text.replace(" ", MARK))):
+            text = (MARK if self.add_prefix else "") + text.replace(" ", MARK)
+            out, at = [], 0
+            for m in self.frozen.finditer(text):
+                out += [*self.cut.findall(text[at : m.start()]), m[0]]
+                at = m.end()
+            return [*out, *self.cut.findall(text[at:])]
         if self.by_word and self.add_prefix and "  " not in text and MARK not in text and text[0] != " " and text[-1] != " ":
             return (MARK + text.replace(" ", " " + MARK)).split(" ")
-        return self.cut.findall(self.normalise(text))
+        return self.cut.findall((MARK if self.add_prefix else "") + text.replace(" ", MARK))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as 32-bit integers."""
@@ -212,37 +322,47 @@ class Lexicon:
             self.known.clear()
             self.cuts.clear()
         new = list(set().union(*parts) - self.known.keys()) if parts else []
-        inner = [self.cut.findall(c) for c in new]
+        whole = lambda c: self.frozen is not None and self.frozen.fullmatch(c) is not None
+        inner = [[c] if whole(c) else self.cut.findall(c) for c in new]
         segments = list({s for cut in inner for s in cut} - self.cuts.keys())
-        lone = [s for s in segments if len(s) == 1 and s not in self.letters]
+        lone = [s for s in segments if (len(s) == 1 and s not in self.letters) or whole(s)]
         for s in lone:
             self.cuts[s] = self.fallback(s)
         known = [s for s in segments if s not in self.cuts]
         for s, ids in zip(known, self.shortest_paths(known), strict=True):
-            self.cuts[s] = ids.tobytes()
+            self.cuts[s] = self.resolved(ids)
         for c, cut in zip(new, inner, strict=True):
             self.known[c] = self.cuts[cut[0]] if len(cut) == 1 else b"".join([self.cuts[s] for s in cut])
         get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        found = [b"".join(map(get, p)) for p in parts]
+        if self.byte:
+            return found
+        once = []
+        for x in found:  # a run of unknown letters is one
+            ids = np.frombuffer(x, np.int32)
+            odd = ids == self.unknown
+            twice = odd[1:] & odd[:-1]
+            once.append(ids[np.r_[True, ~twice]].tobytes() if twice.any() else x)
+        return once
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join([self.bytes_of[i] for i in ids.tolist()]).decode("utf-8", "replace")
-        return text[1:] if self.add_prefix and text[:1] == " " else text
+        return text[1:] if (self.add_prefix or self.collapse) and text[:1] == " " else text
 
 
-def read_model(path: str) -> tuple[list[tuple[str, float, int]], bool, bool]:
-    """Pieces (text, score, type), whether it is a byte-pair model, and the dummy prefix."""
+def read_model(path: str) -> tuple[list[tuple[str, float, int]], bool, bool, bytes, bool]:
+    """Pieces (text, score, type), whether it is a byte-pair model, the dummy prefix, the character map, and whether white space is joined."""
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     m = pb.ModelProto()
     with open(path, "rb") as f:
         m.ParseFromString(f.read())
     n = m.normalizer_spec
-    if n.precompiled_charsmap or n.remove_extra_whitespaces or not n.escape_whitespaces or m.trainer_spec.treat_whitespace_as_suffix:
-        raise ValueError("only identity normalisers that keep white space are compiled")
+    if not n.escape_whitespaces or m.trainer_spec.treat_whitespace_as_suffix:
+        raise ValueError("only models with white space marks before words are compiled")
     if m.trainer_spec.model_type not in (1, 2):
         raise ValueError("only unigram and byte-pair models are compiled")
-    return [(p.piece, p.score, p.type) for p in m.pieces], m.trainer_spec.model_type == 2, n.add_dummy_prefix
+    return [(p.piece, p.score, p.type) for p in m.pieces], m.trainer_spec.model_type == 2, n.add_dummy_prefix, n.precompiled_charsmap, n.remove_extra_whitespaces
 
 
 def _lexicon(model: tuple) -> Lexicon:
@@ -309,7 +429,7 @@ def round_trip(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
                 lists, texts = part.column(part.num_columns - 1), batch.column(batch.num_columns - 1).slice(at, part.num_rows).to_pylist()
                 at += part.num_rows
                 offsets, values = np.asarray(lists.offsets), np.asarray(lists.values)
-                same = [None if t is None else fst.decode(values[a:b]) == t.replace(MARK, " ") for a, b, t in zip(offsets[:-1], offsets[1:], texts, strict=True)]
+                same = [None if t is None else fst.decode(values[a:b]) == fst.plain(t).replace(MARK, " ") for a, b, t in zip(offsets[:-1], offsets[1:], texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(same, pa.bool_())], names=[*part.schema.names, "same"])
 
     out = mapped(rows, run, T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("same", T.BooleanType()))

@@ -76,6 +76,68 @@ def test_unigram_shortest_path_equals_brute_force():
     assert np.frombuffer(fst.encode(["z"])[0], np.int32).tolist() == [6, 0]
 
 
+def other_model(tmp_path, kind: str, rule: str, bytes_too: bool, user: tuple = ()):
+    """A model file of the public pieces with made-up scores and a normaliser of the library's."""
+    spm = pytest.importorskip("sentencepiece")
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    m.ParseFromString(open(MODEL, "rb").read())
+    kept = [p for p in m.pieces if bytes_too or p.type != sentencepiece_fst.BYTE]
+    if kind == "unigram":  # some letters lose their own piece
+        kept = [p for p in kept if p.type != 1 or len(p.piece) > 1 or p.piece not in "qxzß"]
+    made = pb.ModelProto()
+    made.CopyFrom(m)
+    del made.pieces[:]
+    rng = np.random.default_rng(3)
+    for p in kept:
+        q = made.pieces.add()
+        q.CopyFrom(p)
+        if kind == "unigram" and p.type == 1:
+            q.score = -float(rng.integers(24, 96) + 2 * len(p.piece)) / 8  # sums of eighths are exact, so the library's are too
+    for x in user:
+        made.pieces.add(piece=x, score=0.0, type=sentencepiece_fst.USER)
+    made.trainer_spec.model_type = 1 if kind == "unigram" else 2
+    made.trainer_spec.byte_fallback = bytes_too
+    made.trainer_spec.vocab_size = len(made.pieces)
+    spec = pb.NormalizerSpec()
+    if rule != "identity":
+        whole = pb.ModelProto()
+        whole.ParseFromString(spm.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+        spec.CopyFrom(whole.normalizer_spec)
+        spec.remove_extra_whitespaces = True
+    spec.add_dummy_prefix = True
+    spec.escape_whitespaces = True
+    if rule == "identity":
+        spec.remove_extra_whitespaces = False
+    made.normalizer_spec.CopyFrom(spec)
+    path = tmp_path / f"{kind}-{rule}-{bytes_too}.model"
+    path.write_bytes(made.SerializeToString())
+    return str(path)
+
+
+ODD = [
+    "", " ", "  a  b ", "Hello  world\n\n\t\r\n", "é世界世界\U0001f600\x00", "ﬁne ＡＢＣ ½ ㍿ e\u0301 a\u0308o\u0308 \u1100\u1161\u11a8", "xqz quiz ßxß", "\u3000x\u00a0y\u200bz ", "tag<u>in the</u> middle <u>", "世 界 世", "▁▁ a▁b", "ｶﾞ①Ⅷ", "q" * 50,
+]
+
+
+@pytest.mark.parametrize(
+    "kind,rule,bytes_too,user",
+    [("unigram", "identity", True, ()), ("unigram", "identity", False, ()), ("unigram", "nmt_nfkc", False, ("<u>", "</u>")), ("unigram", "nfkc_cf", True, ()), ("bpe", "nmt_nfkc", True, ()), ("bpe", "nmt_nfkc", False, ("<u>",))],
+)
+def test_other_models_equal_the_library(tmp_path, sf, kind, rule, bytes_too, user):
+    import pyarrow.parquet as pq
+
+    path = other_model(tmp_path, kind, rule, bytes_too, user)
+    sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=path)
+    texts = ODD + [t for t in pq.read_table(f"{sf}/documents.parquet", columns=["text"]).column(0).to_pylist() if t][:120]
+    fst = sentencepiece_fst.Lexicon(*sentencepiece_fst.read_model(path))
+    for text, raw in zip(texts, fst.encode(texts), strict=True):
+        ids = np.frombuffer(raw, np.int32)
+        assert ids.tolist() == sp.encode(text), text[:80]
+        assert fst.decode(ids) == sp.decode(ids.tolist()), text[:80]
+
+
 def base_spans(x):
     found = [(m.start(), 0, m.end(), "assign") for m in re.finditer(secrets.BASE_RULES[0].pattern, x, re.A) if len(m[2]) >= 6]
     found += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", x) if len(m[0]) >= 20]
