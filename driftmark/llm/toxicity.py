@@ -55,11 +55,11 @@ from pyspark.sql import types as T
 from driftmark.llm.common import column, columns, free, mapped
 
 ORDER, DECAY, POWER = 4, 0.8, 3
-CHUNK, STEP = 12, 5
+CHUNK, STEP = 14, 6
 #: Parts whose values a worker remembers; beyond, it starts anew, which changes no score.
 KNOWN_PARTS = 200_000
 #: Strings whose kernels are taken at a time.
-BLOCK, ROWS = 8192, 384
+BLOCK, ROWS = 8192, 768
 
 
 @dataclass(frozen=True)
@@ -72,7 +72,7 @@ class Config:
     chance: float = 0.01  # words that may pass for telling by chance, in all
     confusable: int = 1  # parts of clean sentences that join the landmarks for each of them
     altered: int = 1  # altered copies of each toxic sentence
-    altered_cost: float = 0.2  # what an error on such a copy counts
+    altered_cost: float = 0.1  # what an error on such a copy counts
     penalty: float = 1e-3
 
 
@@ -148,6 +148,8 @@ class Marks:
             self.table[k] = (codes == letter).reshape(-1)
         self.before = np.triu(np.ones((codes.shape[1],) * 2, np.float32), 1)
         self.last = np.tile(DECAY ** np.arange(codes.shape[1], dtype=np.float32), len(marks))
+        # what a letter alone adds to the chains of one cell
+        self.ones = ((self.table / self.last).reshape(-1, codes.shape[1]) @ self.before).reshape(self.table.shape)
 
     def kernels(self, words: np.ndarray) -> np.ndarray:
         """(words, marks) of rows of codes; 0 pads and matches nothing.
@@ -170,12 +172,17 @@ class Marks:
         for i in range(rows.shape[1]):
             new = first <= i
             at = np.flatnonzero(new)
-            here, weight = self.table[rows[at, i]], np.float32(DECAY**i)
-            now = [c[node[at]] for c in chains]
-            now[-1] += here * now[-2] * weight
+            letter, parent = rows[at, i], node[at]
+            here = self.table[letter]
+            now = [c[parent] for c in chains]
+            step = here * now[-2]
+            step *= np.float32(DECAY**i)
+            now[-1] += step
             for k in range(ORDER - 2, 0, -1):  # the longest first: it needs the rows before this one
-                now[k] += ((here * now[k - 1]).reshape(-1, width) @ self.before).reshape(len(at), -1)
-            now[0] += ((here * (1 / (weight * self.last))).reshape(-1, width) @ self.before).reshape(len(at), -1)
+                np.multiply(here, now[k - 1], out=step)
+                now[k] += (step.reshape(-1, width) @ self.before).reshape(step.shape)
+            np.multiply(self.ones[letter], np.float32(DECAY**-i), out=step)
+            now[0] += step
             node, chains = np.cumsum(new) - 1, now
         return (chains[-1] * self.last).reshape(len(chains[-1]), -1, width).sum(2)[node]
 
