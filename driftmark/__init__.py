@@ -6,3 +6,4 @@ from pyspark import cloudpickle
 
 # Executors need no copy of this package: its functions travel with the tasks.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+__version__ = "0.2.0"

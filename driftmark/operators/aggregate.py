@@ -40,15 +40,14 @@ def check_alignment(scores: DataFrame) -> None:
 
 
 def frame_report(scores: DataFrame) -> DataFrame:
-    """Per run: frames used, least and most of any bead, frames dropped, whether any were."""
+    """Per run: frames used, those of each bead in order, frames that the longest bead loses, whether any does."""
     counts = scores.groupBy("run", "bead").agg(F.count("*").alias("n"))
     return counts.groupBy("run").agg(
         F.min("n").alias("n_frames_used"),
         F.max("n").alias("n_frames_most"),
-        F.sum("n").alias("total"),
         F.count("*").alias("n_beads"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("bead", "n")))).alias("frame_counts"),
-    ).select("run", "n_beads", "n_frames_used", "frame_counts", (F.col("n_frames_used") < F.col("n_frames_most")).alias("truncated_to_common_range"), (F.col("total") - F.col("n_frames_used") * F.col("n_beads")).alias("n_frames_dropped"))
+        F.transform(F.array_sort(F.collect_list(F.struct("bead", "n"))), lambda x: x["n"]).alias("frame_counts"),
+    ).select("run", "n_beads", "n_frames_used", "frame_counts", (F.col("n_frames_used") < F.col("n_frames_most")).alias("truncated_to_common_range"), (F.col("n_frames_most") - F.col("n_frames_used")).alias("n_frames_dropped"))
 
 
 def trim_common(scores: DataFrame) -> DataFrame:

@@ -134,7 +134,7 @@ def _beta_tail(a: float, b: float, x: float) -> float:
 
 def correlation_p(r: float, n: int) -> float:
     """Two-sided p-value of a correlation of n pairs, from Student's t."""
-    if n < 3 or math.isnan(r):
+    if n < 3 or r is None or math.isnan(r):
         return math.nan
     if abs(r) >= 1:
         return 0.0
@@ -142,11 +142,11 @@ def correlation_p(r: float, n: int) -> float:
 
 
 def correlation(df: DataFrame, x: str, y: str) -> dict:
-    """Spearman and Pearson over finite pairs, with p-values; at least three pairs."""
+    """Spearman and Pearson over finite pairs, with p-values; at least three pairs. None of a constant side."""
     pairs = finite(df.select(x, y), x, y).persist()
     try:
         ranked = mid_ranks(mid_ranks(pairs, x, "__rx"), y, "__ry")
-        n, rho, r = ranked.agg(F.count("*"), F.corr("__rx", "__ry"), F.corr(x, y)).first()
+        n, rho, r = ranked.agg(F.count("*"), *[F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)) for a, b in (("__rx", "__ry"), (x, y))]).first()
     finally:
         pairs.unpersist()
     if n < 3:

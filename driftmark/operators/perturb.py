@@ -129,6 +129,14 @@ def drifting(positions: np.ndarray, topo: Topology, quad: tuple, n_frames: int,
     return np.einsum("ijf,faj->fai", turn, base - centre) + centre
 
 
+def basin(positions: np.ndarray, topo: Topology, n_frames: int, seed: int, sigma: float = 0.03, turn: float = 12.0) -> np.ndarray:
+    """Frames about one geometry: the balanced torsion and every atom vary a little."""
+    rng = np.random.default_rng(seed)
+    base = np.repeat(np.asarray(positions, float)[None], n_frames, 0)
+    base = rotate(base, topo, rng.normal(0, turn, n_frames))
+    return base + rng.normal(0, sigma, base.shape)
+
+
 def ipi_text(p: np.ndarray, symbols: list[str], first_step: int = 0, stride: int = 50, bead: int = 0) -> str:
     """A trajectory in the i-PI layout."""
     out = []

@@ -97,7 +97,7 @@ def scan_range(spark, sf):
     return t.select("run", "frame", "step", flagged(F.col("score"), LEVEL).alias("ood"), r6(time_ps(F.col("step"), 0.2, 50)).alias("time_ps"))
 
 
-@query(f"with {TRAJECTORY}, c as (select run, bead, count(*) as n from t group by run, bead) select run, cast(min(n) as bigint) as n_frames_used, cast(count(*) as bigint) as n_beads, min(n) < max(n) as truncated_to_common_range, cast(sum(n) - min(n) * count(*) as bigint) as n_frames_dropped from c group by run")
+@query(f"with {TRAJECTORY}, c as (select run, bead, count(*) as n from t group by run, bead) select run, cast(min(n) as bigint) as n_frames_used, cast(count(*) as bigint) as n_beads, min(n) < max(n) as truncated_to_common_range, cast(max(n) - min(n) as bigint) as n_frames_dropped from c group by run")
 def frame_report(spark, sf):
     return aggregate.frame_report(trajectory(spark, sf)).drop("frame_counts")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import logging
 import time
 from dataclasses import dataclass
 from pathlib import Path
@@ -14,12 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftmark import __version__
 from driftmark.functions import geometry as G
 from driftmark.operators import aggregate, chemistry, false_alarm, models, onset, topology
 from driftmark.schema import MoleculeSpec
 from driftmark.sources import xyz
 
 
+log = logging.getLogger(__name__)
+
+
 @dataclass
 class Fitted:
     topo: topology.Topology
@@ -99,9 +104,13 @@ def cache_key(config: dict, fitted: Fitted, runs: list[dict]) -> str:
     return hashlib.sha256(said.encode()).hexdigest()[:16]
 
 
+def scores_path(config: dict, fitted: Fitted, out: Path) -> Path:
+    return out / f"scores-{cache_key(config, fitted, config['runs'])}"
+
+
 def scores_of(spark: SparkSession, config: dict, fitted: Fitted, out: Path) -> DataFrame:
     """Scores of all runs, tracks and beads, kept as Parquet partitioned by run and track."""
-    path = out / f"scores-{cache_key(config, fitted, config['runs'])}"
+    path = scores_path(config, fitted, out)
     if config.get("io", {}).get("force_recompute") or not (path / "_SUCCESS").exists():
         parts = None
         spec = MoleculeSpec(fitted.topo.n_atoms, tuple(fitted.topo.atom_types))
@@ -151,22 +160,37 @@ def run(spark: SparkSession, config: dict) -> DataFrame:
             beads = beads.where("bead = 0")
         flags = chemistry.flag_rows(chemistry.with_flags(beads, fitted.topo, chem["bond_break_cutoff"], chem["close_contact_cutoff"]))
         flags.orderBy("bead", "frame").coalesce(1).write.mode("overwrite").option("header", True).csv(str(folder / "chemistry_flags_bead00.csv"))
-        report = aggregate.frame_report(scores.where((F.col("run") == r["name"]) & (F.col("track") == "bead"))).drop("run").first().asDict()
+        report = alignment(scores.where(F.col("run") == r["name"]))
         manifest = {
-            "config": config, "run": r["name"], "bead_ood_threshold": fitted.scorer.threshold("bead"), "centroid_ood_threshold": fitted.scorer.threshold("centroid"),
+            "version": __version__, "config": config, "run": r["name"], "ood_threshold": fitted.scorer.threshold("bead"), "bead_ood_threshold": fitted.scorer.threshold("bead"), "centroid_ood_threshold": fitted.scorer.threshold("centroid"),
             "bead_percentile": fitted.bead_percentile, "centroid_percentile": fitted.centroid_percentile, "pca_n_components": fitted.pca.n_components,
-            "pca_variance_explained": float(fitted.pca.ratio.sum()), "n_features": fitted.topo.n_features, "n_train": fitted.n_train,
-            "molecule": {"n_atoms": fitted.topo.n_atoms, "atom_types": fitted.topo.atom_types, "ring_atoms": fitted.topo.ring},
+            "scores": str(scores_path(config, fitted, out)), "pca_variance_explained": float(fitted.pca.ratio.sum()), "n_features": fitted.topo.n_features, "n_train": fitted.n_train,
+            "molecule": {"n_atoms": fitted.topo.n_atoms, "atom_types": fitted.topo.atom_types, "ring_atoms": fitted.topo.ring, "initial_xyz": str(config["runs"][0]["initial_xyz"])},
             "onset_design": design, "frame_alignment": report, "timestamp": time.strftime("%Y-%m-%dT%H:%M:%S"),
         }
         (folder / "manifest.json").write_text(json.dumps(manifest, indent=2, default=str))
-        plot(steps, folder)
+        row = found.first()
+        marks = [row[c] for c in ("persistent_bead_anomaly_frame", "centroid_anomaly_frame") if row and row[c] is not None]
+        plot(steps, folder, fitted.scorer.threshold("bead"), fitted.scorer.threshold("centroid"), fraction, marks)
         steps.unpersist()
         rows = found if rows is None else rows.unionByName(found)
     rows.coalesce(1).write.mode("overwrite").option("header", True).csv(str(out / "onset_summary.csv"))
     return rows
 
 
+def alignment(scores: DataFrame) -> dict:
+    """How many frames a run's results rest on, and how many its files hold."""
+    report = aggregate.frame_report(scores.where("track = 'bead'")).drop("run", "n_beads").first().asDict()
+    report["centroid_frame_count"] = scores.where("track = 'centroid'").count()
+    if report["truncated_to_common_range"]:
+        log.warning("bead frame counts differ: %s; the first %d frames are used", report["frame_counts"], report["n_frames_used"])
+    if report["centroid_frame_count"] != report["n_frames_used"]:
+        n = min(report["centroid_frame_count"], report["n_frames_used"])
+        log.warning("beads have %d frames, the centroid %d; the first %d are used", report["n_frames_used"], report["centroid_frame_count"], n)
+        report |= {"n_frames_used": n, "truncated_to_common_range": True}
+    return report
+
+
 def with_embedding_track(spark: SparkSession, steps: DataFrame, run: dict, config: dict) -> DataFrame:
     """Per-atom models on the train embeddings, calibrated on valid, joined by step."""
     emb = config["embedding"]
@@ -177,19 +201,41 @@ def with_embedding_track(spark: SparkSession, steps: DataFrame, run: dict, confi
     return aggregate.with_embedding(steps, scored.where("bead is not null"), scored.where("bead is null"), value)
 
 
-def plot(steps: DataFrame, folder: Path) -> bool:
-    """Three panels, where matplotlib is there; a failure harms nothing."""
+PLOT_POINTS = 2000
+
+
+def thin(steps: DataFrame):
+    """(rows for a picture, how many frames each stands for): the largest values of each stretch of frames."""
+    last = steps.agg(F.max("frame")).first()[0] or 0
+    each = max(1, -(-(last + 1) // PLOT_POINTS))
+    names = ("bead_max", "bead_frac_ood", "centroid_score")
+    rows = steps.groupBy(F.floor(F.col("frame") / each).alias("part")).agg(F.min("frame").alias("frame"), F.min("time_ps").alias("time_ps"), *[F.max(n).alias(n) for n in names])
+    return rows.orderBy("part").toPandas(), each
+
+
+def plot(steps: DataFrame, folder: Path, threshold: float = 0.0, centroid_threshold: float = 0.0, fraction: float = 0.0, onsets: list[int] = []) -> bool:  # noqa: B006
+    """Six panels, where matplotlib is there; a failure harms nothing.
+
+    A long run is thinned to ``PLOT_POINTS`` stretches of time; each shows its largest
+    values, and the figure says so.
+    """
     try:
         import matplotlib
 
         matplotlib.use("Agg")
         from matplotlib import pyplot as plt
 
-        rows = steps.select("time_ps", "bead_max", "bead_frac_ood", "centroid_score").orderBy("time_ps").limit(20_000).toPandas()
-        fig, axes = plt.subplots(3, sharex=True)
-        for ax, name in zip(axes, ("bead_max", "bead_frac_ood", "centroid_score"), strict=True):
-            ax.plot(rows.time_ps, rows[name])
-            ax.set_ylabel(name)
+        rows, thinned = thin(steps)
+        fig, axes = plt.subplots(3, 2, sharex="col", figsize=(11, 8))
+        for (left, right), (name, level) in zip(axes, (("bead_max", threshold), ("bead_frac_ood", fraction), ("centroid_score", centroid_threshold)), strict=True):
+            left.plot(rows.time_ps, rows[name])
+            left.set_ylabel(name)
+            left.axhline(level, linestyle="--")
+            for frame in onsets:
+                left.axvline(float(rows.time_ps[(rows.frame - frame).abs().idxmin()]), linestyle=":")
+            right.hist(rows[name], bins=50)
+            right.axvline(level, linestyle="--")
+        fig.suptitle(f"largest of each {thinned} frames" if thinned > 1 else "every frame")
         fig.savefig(folder / "onset.png")
         plt.close(fig)
     except Exception:  # noqa: BLE001

@@ -6,6 +6,7 @@ import json
 import warnings
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,10 +83,15 @@ def rate_pivot(table: DataFrame) -> DataFrame:
     return table.groupBy("magnitude").pivot("distortion", ["rattle", "stretch", "torsion_scan"]).agg(F.avg("detection_rate"))
 
 
-def sample_by_score(spark: SparkSession, config: dict, trajectory: str, n_bins: int = 10, n_per_bin: int = 20, scan_stride: int = 10, scheme: str = "quantile", tail_from: float = 0.9, seed: int = 42, initial: str | None = None) -> DataFrame:
+def sample_by_score(spark: SparkSession, config: dict, trajectory: str, n_bins: int = 10, n_per_bin: int = 20, scan_stride: int = 10, scheme: str = "quantile", tail_from: float = 0.9, seed: int = 42, initial: str | None = None, reuse: str | None = None, index_dir: str | None = None) -> DataFrame:
     """Frames drawn equally from bins of the score: (frame, step, score, bin), by frame."""
-    fitted = detect.fit(spark, config, initial)
-    scored = fitted.score(xyz.read_ipi(spark, trajectory).where(F.col("frame") % scan_stride == 0)).persist()
+    if reuse and Path(reuse).exists():
+        scored = spark.read.parquet(reuse)
+    else:
+        fitted = detect.fit(spark, config, initial)
+        scored = fitted.score(xyz.read_ipi(spark, trajectory, index_dir=index_dir, columns="positions", frame_stride=scan_stride)).persist()
+        if reuse:
+            scored.write.parquet(reuse)
     edges = evaluation.bin_edges(scored, n_bins, scheme, tail_from)
     drawn = select.stratified(scored.withColumn("bin", evaluation.digitise(F.col("score"), edges)), n_per_bin, seed)
     by_bin = {r.bin: r.n for r in drawn.groupBy("bin").agg(F.count("*").alias("n"), F.min("score"), F.max("score")).collect()}
@@ -95,6 +101,94 @@ def sample_by_score(spark: SparkSession, config: dict, trajectory: str, n_bins:
     return drawn.select("frame", "step", "score", "bin").orderBy("frame")
 
 
+def write_sample(
+    spark: SparkSession, config: dict, trajectory: str, out: Path, n_bins: int = 10, n_per_bin: int = 30, scan_stride: int = 10, scheme: str = "quantile", tail_from: float = 0.99, seed: int = 0,
+    initial: str | None = None, predicted: str | None = None, predicted_unit: str = "hartree_bohr", reuse: str | None = None, index_dir: str | None = None,
+) -> dict:
+    """Sampled geometries with their index and, if there are any, the forces that a model gave them.
+
+    At most ``n_bins * n_per_bin`` frames, so the files are written by the driver.
+    """
+    drawn = sample_by_score(spark, config, trajectory, n_bins, n_per_bin, scan_stride, scheme, tail_from, seed, initial, reuse, index_dir).persist()
+    rows = drawn.collect()
+    ids = [r.frame for r in rows]
+    symbols = xyz.first_frame(initial or config["runs"][0]["initial_xyz"])[0]
+    frames = {r.frame: r for r in xyz.select_frames(xyz.read_ipi(spark, trajectory, index_dir=index_dir, columns="positions"), ids).collect()}
+    said = lambda r: {"frame": r.frame, "step": r.step, "ood_score": f"{r.score:.6f}", "score_bin": r.bin}
+    (out / "sample_geometries.extxyz").write_text("".join(xyz.format_frame({"symbols": symbols, "positions": frames[r.frame].positions, "info": said(r)}) for r in rows))
+    lines = [f"{i},{r.frame},{r.step},{r.score!r},{r.bin}" for i, r in enumerate(rows)]
+    (out / "sample_index.csv").write_text("\n".join(["sample_index,frame,step,ood_score,score_bin", *lines]) + "\n")
+    report = {"bins": [r.asDict() for r in evaluation.bin_report(drawn).orderBy("bin").collect()]}
+    if predicted:
+        forces = xyz.select_frames(xyz.read_ipi(spark, predicted, index_dir=index_dir, columns="positions"), ids)
+        if predicted_unit == "hartree_bohr":
+            forces = forces.withColumn("positions", G.scaled(F.col("positions"), G.HARTREE_BOHR_EXACT))
+        found = {r.frame: r for r in forces.collect()}
+        wrong = [r.frame for r in rows if r.frame not in found or found[r.frame].step != r.step]
+        if wrong:
+            raise ValueError(f"step mismatch between {trajectory} and {predicted} at frame {wrong[0]}")
+        np.savez(out / "sample_predicted.npz", forces=np.array([found[i].positions for i in ids]), frame=np.array(ids), step=np.array([r.step for r in rows]))
+        report["forces"] = evaluation.force_magnitudes(forces, "positions").first().asDict()
+    print(json.dumps(report, indent=2))
+    return report
+
+
+def onset_frame(spark: SparkSession, config: dict, run: str, kind: str, threshold: float | None = None) -> int | None:
+    """The frame of a run's onset, from its saved table or detected again at another threshold from saved scores."""
+    column = {"persistent": "persistent_bead_anomaly_frame", "first": "first_bead_anomaly_frame"}[kind]
+    out = Path(config["io"]["output_dir"])
+    if threshold is None:
+        found = spark.read.option("header", True).csv(str(out / run / "onset_table.csv")).first()
+    else:
+        manifest = json.loads((out / run / "manifest.json").read_text())
+        design = manifest["onset_design"]
+        fraction = design.get("fraction_threshold_used", design.get("fraction_threshold"))
+        scores = spark.read.parquet(manifest["scores"]).where(F.col("run") == run)
+        found = redetect(scores.where("track = 'bead'"), scores.where("track = 'centroid'"), threshold, config["onset"], fraction).first()
+    return None if found is None or found[column] is None else int(found[column])
+
+
+def _figure(draw, path: Path) -> bool:
+    """A picture where matplotlib is there; a failure harms nothing."""
+    try:
+        import matplotlib
+
+        matplotlib.use("Agg")
+        from matplotlib import pyplot as plt
+
+        fig, axes = plt.subplots(1, 3, figsize=(13, 4))
+        draw(axes)
+        fig.savefig(path)
+        plt.close(fig)
+    except Exception:  # noqa: BLE001
+        return False
+    return True
+
+
+def plot_benchmark(rows, out: Path) -> bool:
+    def draw(axes) -> None:
+        for ax, (kind, part) in zip(axes, rows.groupby("distortion"), strict=False):
+            ax.plot(part.magnitude, part.detection_rate, marker="o")
+            ax.set_title(kind)
+
+    return _figure(draw, out / "detection_benchmark.png")
+
+
+def plot_errors(frames: DataFrame, bins: DataFrame, out: Path) -> bool:
+    """Means by bin, and where the frames lie on a grid of score and error."""
+
+    def draw(axes) -> None:
+        b = bins.orderBy("bin").toPandas()
+        axes[0].plot(b.score_min, b.error_mean, marker="o")
+        axes[1].plot(b.bin, b.error_p95, marker="o")
+        lo, hi, elo, ehi = frames.agg(F.min("score"), F.max("score"), F.min("error"), F.max("error")).first()
+        cell = lambda c, a, z: F.least(F.lit(49), F.floor((F.col(c) - a) / max(z - a, 1e-12) * 50))
+        g = frames.groupBy(cell("score", lo, hi).alias("x"), cell("error", elo, ehi).alias("y")).count().toPandas()
+        axes[2].scatter(g.x, g.y, s=g["count"])
+
+    return _figure(draw, out / "score_vs_error.png")
+
+
 def score_against_error(spark: SparkSession, config: dict, reference: DataFrame, predicted: DataFrame, metric: str = "mae", n_bins: int = 10, reference_unit: str = "ev_a", predicted_unit: str = "ev_a", initial: str | None = None) -> tuple[DataFrame, DataFrame, dict]:
     """(frames, bins, summary): reference (frame, positions, forces), predicted (frame, forces)."""
     fitted = detect.fit(spark, config, initial)

@@ -413,6 +413,7 @@ def register(spark: SparkSession) -> None:
 
 def _load(spark: SparkSession, kind: str, path: str, options: dict) -> DataFrame:
     register(spark)
+    options = {k: v for k, v in options.items() if v is not None}
     ranges = [asdict(r) for r in count_ranges(spark, path, int(options.pop("range_bytes", RANGE_BYTES)), options.pop("index_dir", None))]
     if len(ranges) <= INLINE_RANGES:
         told = json.dumps(ranges)

@@ -208,6 +208,49 @@ def test_selection(spark, chain):
         select.strided_split(df.limit(5))
 
 
+def command_lines(spark, tmp_path, config):
+    """main() with each job, over the files of the end-to-end test."""
+    import yaml
+
+    from driftmark.__main__ import main, parser
+
+    said = tmp_path / "config.yaml"
+    said.write_text(yaml.safe_dump(config))
+    out = tmp_path / "out"
+    main(["run", "-c", str(said), "-v"])
+    main(["extract", "--config", str(said), "--onset-type", "first", "--n-before", "2", "--n-after", "1"])
+    first = int(spark.read.option("header", True).csv(str(out / "m/onset_table.csv")).first().first_bead_anomaly_frame)
+    text = (out / "m/onset_frames/m.pos_00.extxyz").read_text()
+    assert text.count("Properties=") == min(first, 2) + 2 and "forces_unit=eV/Ang" in text
+    main(["extract", "--config", str(said), "--threshold", "1.0", "--n-before", "0", "--n-after", "0"])
+    with pytest.raises(SystemExit):
+        main(["extract", "--config", str(said), "--threshold", "1e9"])
+    traj = str(tmp_path / "m.xc.xyz")
+    main(["select", "--reference", config["runs"][0]["initial_xyz"], "--trajectory", traj, "--pimd", "--radius", "1.0", "--n-configs", "3", "--primary-dihedrals", "0", "1", "2", "3", "--output", str(tmp_path / "s/sel.extxyz")])
+    assert (tmp_path / "s/sel.extxyz").read_text().count("Properties=") == 4
+    args = ["score-error", "--mode", "sample", "--config", str(said), "--trajectory", traj, "--initial-xyz", config["runs"][0]["initial_xyz"], "--n-bins", "2", "--n-per-bin", "3", "--scan-stride", "2", "--output-dir", str(tmp_path / "sample")]
+    forces = tmp_path / "m.force.xyz"
+    forces.write_text(perturb.ipi_text(np.ones((24, 5, 3)), CHAIN, 1000))
+    main([*args, "--predicted-trajectory", str(forces), "--reuse-scan", str(tmp_path / "scan")])
+    geometry, index = xyz.scan_index(str(tmp_path / "sample/sample_geometries.extxyz")), (tmp_path / "sample/sample_index.csv").read_text().splitlines()
+    assert len(geometry) == 6 and len(index) == 7 and index[0] == "sample_index,frame,step,ood_score,score_bin"
+    kept = np.load(tmp_path / "sample/sample_predicted.npz")
+    assert np.allclose(kept["forces"], 51.42208619083232) and kept["frame"].tolist() == [int(x.split(",")[1]) for x in index[1:]]
+    assert xyz.comment_values(geometry[0].comment)["ood_score"] == f"{float(index[1].split(',')[3]):.6f}"
+    forces.write_text(perturb.ipi_text(np.ones((24, 5, 3)), CHAIN, 1050))
+    with pytest.raises(ValueError, match="step mismatch"):
+        main([*args, "--predicted-trajectory", str(forces), "--reuse-scan", str(tmp_path / "scan")])
+    main(["score-error", "--config", str(said), "--reference-xyz", config["reference"]["valid"], "--predicted", config["reference"]["valid"], "--n-bins", "4", "--output-dir", str(tmp_path / "errors")])
+    assert json.loads((tmp_path / "errors/score_vs_error.json").read_text())["n_frames"] == 40
+    main(["demo", "--initial", config["runs"][0]["initial_xyz"], "--output-dir", str(tmp_path / "demo")])
+    assert [len(xyz.scan_index(str(tmp_path / "demo" / x))) for x in ("train.extxyz", "valid.extxyz", "demo.xc.xyz", "demo.pos_00.xyz")] == [64, 32, 24, 24]
+    assert (tmp_path / "demo/demo.xc.xyz").read_text() != (tmp_path / "demo/demo.pos_00.xyz").read_text()
+    e = parser().parse_args(["extract", "-c", "x"])
+    assert (e.n_before, e.n_after, e.onset_type) == (100, 100, "persistent")
+    rows, each = detect.thin(spark.range(5000).selectExpr("id as frame", "id * 0.1 as time_ps", "double(id) as bead_max", "0D as bead_frac_ood", "0D as centroid_score"))
+    assert each == 3 and rows.bead_max.max() == 4999
+
+
 def test_jobs_end_to_end(spark, tmp_path):
     topo = topology.build(CHAIN, SPINE)
     init = extxyz(tmp_path / "initial.xyz", np.asarray([SPINE], float))
@@ -234,6 +277,11 @@ def test_jobs_end_to_end(spark, tmp_path):
     assert [x.frame for x in near] == list(range(8, 14)) and abs(near[0].forces[0][0] - 51.4221) < 1e-9 and near[0].lattice.startswith("100.000000 0")
     ref = xyz.read_extxyz(spark, valid)
     pred = ref.select("frame", F.expr("transform(forces, v -> transform(v, x -> x + frame))").alias("forces"))
+    assert manifest["frame_alignment"]["frame_counts"] == [24, 20] and manifest["frame_alignment"]["n_frames_dropped"] == 4 and manifest["frame_alignment"]["centroid_frame_count"] == 24
+    assert manifest["ood_threshold"] == manifest["bead_ood_threshold"] and manifest["molecule"]["initial_xyz"] == init
+    flags = spark.read.option("header", True).csv(str(tmp_path / "out/m/chemistry_flags_bead00.csv"))
+    assert flags.count() == 24 and flags.columns[-1] == "ring_planarity_rmsd_Å"
+    command_lines(spark, tmp_path, config)
     frames, bins, s = studies.score_against_error(spark, config, ref, pred, n_bins=4)
     assert frames.count() == 40 and bins.count() == 4 and s["n"] == 40 and -1 <= s["spearman"] <= 1
     drawn = studies.sample_by_score(spark, config, str(tmp_path / "m.xc.xyz"), n_bins=3, n_per_bin=4, scan_stride=2)
