@@ -154,7 +154,7 @@ _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _PLACES = 64
 _BYTES = mix(np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(_PLACES, 256)
 #: Bytes of text whose words are hashed at a time.
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 
 def _piece_hashes(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -258,7 +258,7 @@ def band_hashes(key: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nda
 
 def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``PIECE`` bytes; a longer text is a run of its own."""
-    size = np.cumsum(np.r_[0, pc.binary_length(texts.fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64)])
+    size = np.cumsum(np.r_[0, pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)])
     at = 0
     while at < len(texts):
         to = max(at + 1, min(len(texts), at + 4000, int(np.searchsorted(size, size[at] + PIECE, side="right")) - 1))

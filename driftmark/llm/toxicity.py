@@ -41,7 +41,6 @@ from __future__ import annotations
 import heapq
 import itertools
 import math
-import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -56,8 +55,8 @@ from driftmark.llm.common import column, columns, free, mapped
 
 ORDER, DECAY, POWER = 4, 0.8, 3
 CHUNK, STEP = 14, 6
-#: Parts whose values a worker remembers; beyond, it starts anew, which changes no score.
-KNOWN_PARTS = 200_000
+#: Parts whose values a task remembers; beyond, it starts anew, which changes no score.
+KNOWN_PARTS = 150_000
 #: Strings whose kernels are taken at a time.
 BLOCK, ROWS = 8192, 768
 
@@ -422,18 +421,13 @@ def fit(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Model:
 
 def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a worker runs many tasks: it keeps what it knows of the parts under one model
-        key = tuple(model.landmarks)
-        kept = sys.__dict__.setdefault("_driftmark_sentences", {})
-        if key not in kept:
-            kept.clear()
-            kept[key] = Sentences(model.landmarks)
+        reader = Sentences(model.landmarks)  # for this task alone: what later stages run in the worker finds its memory free
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             scores = []
             for at in range(0, batch.num_rows, 256):
                 part = [t or "" for t in texts.slice(at, 256).to_pylist()]
-                scores.append(model.probability(kept[key].features(part)))
+                scores.append(model.probability(reader.features(part)))
             score = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], names=[*batch.schema.names[:-1], "score"])
 
