@@ -52,7 +52,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftmark.llm.common import BROADCAST_BYTES, column, free, mapped, text_of, written
+from driftmark.llm.common import BROADCAST_BYTES, column, free, mapped, scope, text_of, written
 from driftmark.llm.common import columns as columns_of
 
 SHINGLE = 5
@@ -413,58 +413,59 @@ def _stubborn(members: DataFrame, sizes: DataFrame, threshold: float) -> DataFra
 
 def classes(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, weighted: bool = True, carry: list[Column] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (carry, id, k1, k2), distinct texts (node, k1, k2, id: the smallest, n: their rows) and (node, label) of those that are not alone."""
-    number = column(df, "doc_id").cast("long").alias("id")
-    signed = _mapped(df.select(*(carry or []), number, text_of(df, text).alias("text")), _sign(weighted), "bands")
-    signed = written(signed, "signed")
-    # equal texts have equal bands: any of them will do
-    nodes = signed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("bands").alias("bands"))
-    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    filed = nodes.select("node", F.explode("bands").alias("band"))
-    lot = F.xxhash64("band", "node")
-    shared = written(filed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    members = written(filed.join(shared, "band"), "members")
-    # the text that meets most others leads: in a group of edited copies that is the one nearest to their origin
-    met = members.groupBy("node").agg(F.sum("n").alias("met"))
-    members = written(members.join(met, "node").select("band", "node", F.struct("met", lot.alias("lot"), "node").alias("rank")), "members")
-    heads = written(members.groupBy("band").agg(F.max("rank")["node"].alias("head")), "heads")
-    members = written(members.join(heads, "band").select("band", "node", "rank", (F.col("node") == F.col("head")).alias("led"), "head"), "members")
-    asked = members.select("node").distinct().join(nodes.select("node", "k1", "k2", "id"), "node")
-    asked = written(asked, "asked")
-    hint = F.broadcast if asked.count() * 64 <= BROADCAST_BYTES else lambda x: x
-    # one copy of each text is read again, by its smallest id; other texts of that id fall to the keys
-    reread = df.select(number, text_of(df, text).alias("text"))
-    ids = asked.select(F.col("id").alias("asked")).distinct()
-    reread = reread.join(hint(ids), F.col("id").eqNullSafe(F.col("asked")), "left_semi").select("text")
-    shingles = _mapped(reread, _elements(weighted), "bits", "s").join(hint(asked.select("node", "k1", "k2")), ["k1", "k2"]).groupBy("node").agg(F.first("s").alias("s"), F.first("bits").alias("bits"))
-    shingles = written(shingles, "shingles")
-    links = written(_links(members.where("not led").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), shingles, threshold), "links")
-    labels = components(links)
-    # what is left: buckets that hold more than one class, without the leaders, who have met all others
-    now = members.join(labels, "node", "left").select("band", "node", "led", F.coalesce("label", "node").alias("label"))
-    mixed = written(now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band"), "mixed")
-    members = written(now.where("not led").join(mixed, "band").select("band", "node"), "members")
-    pairs, sizes = _rare(members, labels, shingles, threshold)
-    links = written(links.union(_links(pairs, shingles, threshold)), "links")
-    labels = components(links)
-    members = written(_stubborn(members, sizes, threshold), "members")
-    leaders = 1
-    while True:
-        leaders *= 4
-        now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        # the largest class of a bucket has nothing to ask of itself: only members of the others lead
-        each = now.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"))
-        mixed = written(each.where("n > most.n").select("band", F.col("most.label").alias("most"), (F.col("n") - F.col("most.n")).alias("n")), "mixed")
-        if mixed.isEmpty():
-            break
-        chosen = (F.col("label") != F.col("most")) & (F.pmod(F.xxhash64("band", "node", F.lit(leaders)), F.col("n")) < leaders)
-        now = written(now.join(mixed, "band").select("band", "node", "size", "bits", "common", "label", chosen.alias("leads")), "members")
-        heads = now.where("leads").select("band", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("sb"), F.col("common").alias("cb"), F.col("bits").alias("bb"))
-        able = _reach(F.least("common", "cb"), F.col("size") + F.col("sb"), threshold) & _within((F.col("size"), F.col("sb")), (F.col("bits"), F.col("bb")), threshold)
-        pairs = now.join(heads, "band").where((F.col("label") != F.col("lb")) & (~F.col("leads") | (F.col("node") < F.col("b"))) & able).select(F.col("node").alias("a"), "b").distinct()
+    with scope(df.sparkSession):
+        number = column(df, "doc_id").cast("long").alias("id")
+        signed = _mapped(df.select(*(carry or []), number, text_of(df, text).alias("text")), _sign(weighted), "bands")
+        signed = written(signed, "signed", keep=True)
+        # equal texts have equal bands: any of them will do
+        nodes = signed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("bands").alias("bands"))
+        nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes", keep=True)
+        filed = nodes.select("node", F.explode("bands").alias("band"))
+        lot = F.xxhash64("band", "node")
+        shared = written(filed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+        members = written(filed.join(shared, "band"), "members")
+        # the text that meets most others leads: in a group of edited copies that is the one nearest to their origin
+        met = members.groupBy("node").agg(F.sum("n").alias("met"))
+        members = written(members.join(met, "node").select("band", "node", F.struct("met", lot.alias("lot"), "node").alias("rank")), "members")
+        heads = written(members.groupBy("band").agg(F.max("rank")["node"].alias("head")), "heads")
+        members = written(members.join(heads, "band").select("band", "node", "rank", (F.col("node") == F.col("head")).alias("led"), "head"), "members")
+        asked = members.select("node").distinct().join(nodes.select("node", "k1", "k2", "id"), "node")
+        asked = written(asked, "asked")
+        hint = F.broadcast if asked.count() * 64 <= BROADCAST_BYTES else lambda x: x
+        # one copy of each text is read again, by its smallest id; other texts of that id fall to the keys
+        reread = df.select(number, text_of(df, text).alias("text"))
+        ids = asked.select(F.col("id").alias("asked")).distinct()
+        reread = reread.join(hint(ids), F.col("id").eqNullSafe(F.col("asked")), "left_semi").select("text")
+        shingles = _mapped(reread, _elements(weighted), "bits", "s").join(hint(asked.select("node", "k1", "k2")), ["k1", "k2"]).groupBy("node").agg(F.first("s").alias("s"), F.first("bits").alias("bits"))
+        shingles = written(shingles, "shingles")
+        links = written(_links(members.where("not led").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), shingles, threshold), "links")
+        labels = components(links)
+        # what is left: buckets that hold more than one class, without the leaders, who have met all others
+        now = members.join(labels, "node", "left").select("band", "node", "led", F.coalesce("label", "node").alias("label"))
+        mixed = written(now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band"), "mixed")
+        members = written(now.where("not led").join(mixed, "band").select("band", "node"), "members")
+        pairs, sizes = _rare(members, labels, shingles, threshold)
         links = written(links.union(_links(pairs, shingles, threshold)), "links")
         labels = components(links)
-        members = now.where("not leads").select("band", "node", "size", "bits", "common")
-    return signed.drop("bands"), nodes.select("node", "k1", "k2", "id", "n"), labels
+        members = written(_stubborn(members, sizes, threshold), "members")
+        leaders = 1
+        while True:
+            leaders *= 4
+            now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            # the largest class of a bucket has nothing to ask of itself: only members of the others lead
+            each = now.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"))
+            mixed = written(each.where("n > most.n").select("band", F.col("most.label").alias("most"), (F.col("n") - F.col("most.n")).alias("n")), "mixed")
+            if mixed.isEmpty():
+                break
+            chosen = (F.col("label") != F.col("most")) & (F.pmod(F.xxhash64("band", "node", F.lit(leaders)), F.col("n")) < leaders)
+            now = written(now.join(mixed, "band").select("band", "node", "size", "bits", "common", "label", chosen.alias("leads")), "members")
+            heads = now.where("leads").select("band", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("size").alias("sb"), F.col("common").alias("cb"), F.col("bits").alias("bb"))
+            able = _reach(F.least("common", "cb"), F.col("size") + F.col("sb"), threshold) & _within((F.col("size"), F.col("sb")), (F.col("bits"), F.col("bb")), threshold)
+            pairs = now.join(heads, "band").where((F.col("label") != F.col("lb")) & (~F.col("leads") | (F.col("node") < F.col("b"))) & able).select(F.col("node").alias("a"), "b").distinct()
+            links = written(links.union(_links(pairs, shingles, threshold)), "links")
+            labels = components(links)
+            members = now.where("not leads").select("band", "node", "size", "bits", "common")
+        return signed.drop("bands"), nodes.select("node", "k1", "k2", "id", "n"), written(labels, "labels", keep=True)
 
 
 def _named(nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -474,14 +475,16 @@ def _named(nodes: DataFrame, labels: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, text: str = "text", threshold: float = THRESHOLD, weighted: bool = True) -> DataFrame:
     """One row for each row of ``df``: doc_id, class_id (the class's smallest id), class_texts (its distinct texts)."""
-    signed, nodes, labels = classes(df, text, threshold, weighted)
-    named = written(_named(nodes, labels), "named")
-    least = named.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("class_texts"))
-    named = written(named.join(least, "label").select("k1", "k2", "class_id", "class_texts"), "classes")
-    alone = F.col("class_texts").isNull()
-    return signed.join(named, ["k1", "k2"], "left").select(
-        F.col("id").alias("doc_id"), F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_texts", F.lit(1).cast("long")).alias("class_texts")
-    )
+    with scope(df.sparkSession):
+        signed, nodes, labels = classes(df, text, threshold, weighted)
+        named = written(_named(nodes, labels), "named")
+        least = named.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("class_texts"))
+        named = written(named.join(least, "label").select("k1", "k2", "class_id", "class_texts"), "classes")
+        alone = F.col("class_texts").isNull()
+        out = signed.join(named, ["k1", "k2"], "left").select(
+            F.col("id").alias("doc_id"), F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_texts", F.lit(1).cast("long")).alias("class_texts")
+        )
+        return written(out, "near", keep=True)
 
 
 def with_cluster(df: DataFrame, columns: list[Column], text: str = "text", threshold: float = THRESHOLD, weighted: bool = True) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmark.llm import minhash
-from driftmark.llm.common import column, text_of, written
+from driftmark.llm.common import column, scope, text_of, written
 
 CAPACITY = 16384
 SHARD_ROWS = 2048
@@ -157,6 +157,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Documents by the bytes of their texts; near duplicates are one cluster, and so are equal texts without words."""
     t = text_of(docs)
     columns = [column(docs, "doc_id").alias("doc_id"), F.octet_length(t).alias("size"), column(docs, "source").alias("source"), F.when(F.length(t) > 0, F.xxhash64(t)).alias("equal")]
-    rows = minhash.with_cluster(docs, columns)
-    rows = written(rows.select("doc_id", "size", "source", F.coalesce("cluster", "equal").alias("cluster")), "clustered")
+    with scope(docs.sparkSession):
+        rows = minhash.with_cluster(docs, columns)
+        rows = written(rows.select("doc_id", "size", "source", F.coalesce("cluster", "equal").alias("cluster")), "clustered", keep=True)
     return pack(rows, rows["doc_id"], rows["size"], rows["source"], rows["cluster"], capacity)
