@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftmark.llm import minhash, packing, quality, secrets, toxicity
-from driftmark.llm.common import veiled, written
+from driftmark.llm.common import scope, veiled, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -66,5 +66,6 @@ STAGES: list[tuple[str, Stage]] = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scope(spark):  # what a stage has written besides its result goes
+            docs = written(stage(spark, docs, sf_dir), name, keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
