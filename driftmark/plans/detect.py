@@ -19,7 +19,7 @@ from driftmark import __version__
 from driftmark.functions import geometry as G
 from driftmark.operators import aggregate, chemistry, false_alarm, models, onset, topology
 from driftmark.schema import MoleculeSpec
-from driftmark.sources import xyz
+from driftmark.sources import embeddings, xyz
 
 
 log = logging.getLogger(__name__)
@@ -47,6 +47,11 @@ class Fitted:
 
         return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())]))
 
+    def score_features(self, described: DataFrame) -> DataFrame:
+        """The same from descriptors that are there already."""
+        scored = models.mapped(described, lambda x: self.scorer.apply(self.pca.apply(x)), "features", "score", T.DoubleType())
+        return scored.drop("features")
+
     def score_array(self, p: np.ndarray) -> np.ndarray:
         return self.scorer.apply(self.pca.apply(G.descriptors(p, self.topo)))
 
@@ -104,6 +109,17 @@ def cache_key(config: dict, fitted: Fitted, runs: list[dict]) -> str:
     return hashlib.sha256(said.encode()).hexdigest()[:16]
 
 
+def features_of(spark: SparkSession, config: dict, fitted: Fitted, frames: DataFrame, out: Path, run: str) -> DataFrame:
+    """Descriptors kept as Parquet for the same inputs and topology, whatever the models."""
+    track = frames.first()
+    files = [(str(k), Path(p).stat().st_size, Path(p).stat().st_mtime) for r in config["runs"] if r["name"] == run for k in ("bead_glob", "centroid_xyz") if k in r for p in xyz.matches(r[k])]
+    said = json.dumps([files, run, track.track if track else "", fitted.topo.atom_types, fitted.topo.bonds, fitted.topo.ring], default=str)
+    path = out / f"descriptors-{hashlib.sha256(said.encode()).hexdigest()[:16]}"
+    if config.get("io", {}).get("force_recompute") or not (path / "_SUCCESS").exists():
+        G.with_descriptors(frames, fitted.topo).write.mode("overwrite").parquet(str(path))
+    return spark.read.parquet(str(path))
+
+
 def scores_path(config: dict, fitted: Fitted, out: Path) -> Path:
     return out / f"scores-{cache_key(config, fitted, config['runs'])}"
 
@@ -116,7 +132,8 @@ def scores_of(spark: SparkSession, config: dict, fitted: Fitted, out: Path) -> D
         spec = MoleculeSpec(fitted.topo.n_atoms, tuple(fitted.topo.atom_types))
         for run in config["runs"]:
             for track in frames_of(spark, run):
-                one = fitted.score(spec.checked(track, elements=False))
+                checked = spec.checked(track, elements=False)
+                one = fitted.score_features(features_of(spark, config, fitted, checked, out, run["name"])) if config.get("io", {}).get("cache_descriptors") else fitted.score(checked)
                 parts = one if parts is None else parts.unionByName(one)
         parts.write.mode("overwrite").partitionBy("run", "track").parquet(str(path))
     return spark.read.parquet(str(path))
@@ -194,9 +211,9 @@ def alignment(scores: DataFrame) -> dict:
 def with_embedding_track(spark: SparkSession, steps: DataFrame, run: dict, config: dict) -> DataFrame:
     """Per-atom models on the train embeddings, calibrated on valid, joined by step."""
     emb = config["embedding"]
-    model = models.PerAtom.fit(xyz.read_embeddings(spark, emb["train"]))
-    value = model.calibrate(xyz.read_embeddings(spark, emb["valid"]), emb.get("percentile", config["threshold"].get("percentile")))
-    scored = model.score(xyz.read_embeddings(spark, run["embedding"]).withColumn("run", F.lit(run["name"])))
+    model = models.PerAtom.fit(embeddings.read(spark, emb["train"]))
+    value = model.calibrate(embeddings.read(spark, emb["valid"]), emb.get("percentile", config["threshold"].get("percentile")))
+    scored = model.score(embeddings.read(spark, run["embedding"]).withColumn("run", F.lit(run["name"])))
     scored = scored.withColumn("frame", F.col("step"))
     return aggregate.with_embedding(steps, scored.where("bead is not null"), scored.where("bead is null"), value)
 

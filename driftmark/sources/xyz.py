@@ -452,26 +452,42 @@ def read_forces_npz(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(k, f.tolist()) for k, f in enumerate(x)], "frame bigint, forces array<array<double>>")
 
 
-def import_hdf5(spark: SparkSession, path: str, run: str = "run") -> DataFrame:
-    """Frames of an HDF5 file with ``bead_positions`` and ``positions``; steps count frames."""
+def _open_hdf5(path: str):
     try:
         import h5py
     except ImportError as e:
         raise ImportError("HDF5 trajectories need h5py; convert them to Parquet frames where it is installed") from e
-    rows = []
-    with h5py.File(path) as f:
-        beads, centroid = f["bead_positions"], f["positions"]
-        if centroid.shape != (beads.shape[0], *beads.shape[2:]):
-            raise ValueError(f"centroid shape {centroid.shape} does not fit bead shape {beads.shape}")
-        force = f.get("bead_forces")
-        for k in range(beads.shape[0]):
-            for b in range(beads.shape[1]):
-                rows.append((run, "bead", b, k, k, beads.shape[2], None, beads[k, b].tolist(), force[k, b].tolist() if force is not None else None, None, None))
-            rows.append((run, "centroid", None, k, k, beads.shape[2], None, centroid[k].tolist(), None, None, None))
-    return spark.createDataFrame(rows, FRAMES)
-
-
-def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
-    """(run, bead, step, atom, features) from Parquet; features widen to doubles."""
-    df = spark.read.parquet(path)
-    return df.withColumn("features", df["features"].cast("array<double>"))
+    return h5py.File(path)
+
+
+def import_hdf5(spark: SparkSession, path: str, run: str = "run", frames_per_task: int = 1000, opened=_open_hdf5) -> DataFrame:
+    """Frames of a file with ``bead_positions`` and ``positions``, and ``bead_forces``, ``forces`` and ``potential`` if there are any; steps count frames.
+
+    The driver reads shapes alone; each task opens the file and reads its own frames.
+    """
+    with opened(path) as f:
+        shape, centroid = f["bead_positions"].shape, f["positions"].shape
+    if centroid != (shape[0], *shape[2:]):
+        raise ValueError(f"centroid shape {centroid} does not fit bead shape {shape}")
+    n, beads, atoms = shape[:3]
+
+    def pull(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with opened(path) as f:
+            for rows in batches:
+                for first in rows.column(0).to_pylist():
+                    to = min(n, first + frames_per_task)
+                    held = {k: np.asarray(f[k][first:to], np.float64) for k in ("bead_positions", "positions", "bead_forces", "forces", "potential") if k in f}
+                    out = []
+                    for k in range(to - first):
+                        energy = float(held["potential"][k]) if "potential" in held else None
+                        base = {"run": run, "frame": first + k, "step": first + k, "n_atoms": atoms, "symbols": None, "comment": None, "energy": energy}
+                        for b in range(beads):
+                            out.append(base | {"track": "bead", "bead": b, "positions": held["bead_positions"][k, b], "forces": held["bead_forces"][k, b] if "bead_forces" in held else None})
+                        out.append(base | {"track": "centroid", "bead": None, "positions": held["positions"][k], "forces": held["forces"][k] if "forces" in held else None})
+                        if len(out) >= 512:
+                            yield _Reader.batch(out)
+                            out = []
+                    if out:
+                        yield _Reader.batch(out)
+
+    return spark.range(0, n, frames_per_task, max(1, -(-n // frames_per_task))).mapInArrow(pull, FRAMES)

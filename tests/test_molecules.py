@@ -271,6 +271,9 @@ def test_jobs_end_to_end(spark, tmp_path):
     manifest = json.loads((tmp_path / "out/m/manifest.json").read_text())
     assert manifest["frame_alignment"]["n_frames_used"] == 20 and manifest["frame_alignment"]["truncated_to_common_range"]
     assert detect.run(spark, config).first() == r  # from the kept scores
+    kept = config | {"io": {"output_dir": str(tmp_path / "kept"), "cache_descriptors": True}}
+    assert detect.run(spark, kept).first() == r and len(list((tmp_path / "kept").glob("descriptors-*"))) == 2
+    assert detect.run(spark, kept | {"io": kept["io"] | {"force_recompute": True}}).first() == r
     table, summary = studies.benchmark(spark, config, least_fragment=2)
     assert table.count() == 24 and 0 <= summary["detection_rate_unvisited_slices"] <= 1
     near = studies.around_onset(spark, str(tmp_path / "m.pos_00.xyz"), studies.force_path(str(tmp_path / "m.pos_00.xyz")), 10, 2, 3, CHAIN).collect()
@@ -289,3 +292,38 @@ def test_jobs_end_to_end(spark, tmp_path):
     chosen = select.select_by_dihedrals(xyz.read_ipi(spark, str(tmp_path / "m.xc.xyz")), topo, SPINE, [(0, 1, 2, 3)], [1.0], 3).collect()
     assert len(chosen) == 3 and all(x.distance <= 1 for x in chosen)
     assert select.select_by_descriptor(xyz.read_ipi(spark, str(tmp_path / "m.xc.xyz")), topo, SPINE, 50.0, 3).count() == 3
+
+
+def test_array_imports(spark, tmp_path):
+    from driftmark.sources import embeddings
+
+    class Arrays(dict):
+        """An open file of arrays, as HDF5 libraries give them."""
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            return None
+
+    rng = np.random.default_rng(1)
+    held = Arrays(bead_positions=rng.normal(size=(7, 2, 5, 3)), positions=rng.normal(size=(7, 5, 3)), bead_forces=rng.normal(size=(7, 2, 5, 3)), potential=np.arange(7.0))
+    df = xyz.import_hdf5(spark, "x", "r", 3, lambda _: held)
+    rows = df.orderBy("frame", F.col("bead").asc_nulls_last()).collect()
+    assert len(rows) == 21 and [r.bead for r in rows[:3]] == [0, 1, None] and rows[4].energy == 1.0 and rows[2].forces is None
+    assert np.allclose(rows[4].positions, held["bead_positions"][1, 1]) and np.allclose(rows[4].forces, held["bead_forces"][1, 1]) and np.allclose(rows[5].positions, held["positions"][1])
+    with pytest.raises(ValueError, match="centroid shape"):
+        xyz.import_hdf5(spark, "x", opened=lambda _: Arrays(bead_positions=np.zeros((2, 2, 5, 3)), positions=np.zeros((3, 5, 3))))
+    with pytest.raises(ImportError, match="h5py"):
+        xyz.import_hdf5(spark, "x.h5")
+    x = rng.normal(size=(10, 5, 4)).astype(np.float32)
+    np.savez(tmp_path / "e.npz", inv_features=x, steps=np.arange(10) * 50)
+    embeddings.write(embeddings.import_arrays(spark, str(tmp_path / "e.npz"), "r", 0, 3).unionByName(embeddings.import_arrays(spark, str(tmp_path / "e.npz"), "r", None, 4)), str(tmp_path / "emb"))
+    back = embeddings.read(spark, str(tmp_path / "emb"))
+    assert back.count() == 100 and back.where("bead is null").count() == 50
+    one = back.where("bead = 0 and step = 150 and atom = 2").first()
+    assert np.array_equal(np.array(one.features, np.float32), x[3, 2])
+    made = embeddings.embed(df.where("track = 'bead'"), lambda: lambda p: np.concatenate([p, p.sum(-1, keepdims=True)], -1), batch=4)
+    got = made.where("bead = 1 and step = 6 and atom = 4").first()
+    want = held["bead_positions"][6, 1, 4]
+    assert made.count() == 70 and np.allclose(got.features, [*want, want.sum()], atol=1e-6)
