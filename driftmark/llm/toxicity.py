@@ -56,7 +56,7 @@ from driftmark.llm.common import column, columns, free, mapped
 ORDER, DECAY, POWER = 4, 0.8, 3
 CHUNK, STEP = 14, 6
 #: Parts whose values a task remembers; beyond, it starts anew, which changes no score.
-KNOWN_PARTS = 150_000
+KNOWN_PARTS = 60_000
 #: Strings whose kernels are taken at a time.
 BLOCK, ROWS = 8192, 768
 
@@ -71,7 +71,7 @@ class Config:
     chance: float = 0.01  # words that may pass for telling by chance, in all
     confusable: int = 1  # parts of clean sentences that join the landmarks for each of them
     altered: int = 1  # altered copies of each toxic sentence
-    altered_cost: float = 0.1  # what an error on such a copy counts
+    altered_cost: float = 0.2  # what an error on such a copy counts
     penalty: float = 1e-3
 
 
@@ -135,7 +135,8 @@ class Marks:
     A common subsequence is a chain of cells (i, j) where letter i of a word is
     letter j of a mark, and its weight is that of its last cell, DECAY^(i + j), over
     that of its first. So chains of each length are plain sums over the cells before:
-    over rows as they come, over columns by one product with a triangle.
+    over rows as they come, over columns by products with a triangle, each too
+    small to start threads of its own.
     """
 
     def __init__(self, marks: list[str]):
@@ -148,7 +149,7 @@ class Marks:
         self.before = np.triu(np.ones((codes.shape[1],) * 2, np.float32), 1)
         self.last = np.tile(DECAY ** np.arange(codes.shape[1], dtype=np.float32), len(marks))
         # what a letter alone adds to the chains of one cell
-        self.ones = ((self.table / self.last).reshape(-1, codes.shape[1]) @ self.before).reshape(self.table.shape)
+        self.ones = ((self.table / self.last).reshape(len(self.table), *codes.shape) @ self.before).reshape(self.table.shape)
 
     def kernels(self, words: np.ndarray) -> np.ndarray:
         """(words, marks) of rows of codes; 0 pads and matches nothing.
@@ -179,7 +180,7 @@ class Marks:
             now[-1] += step
             for k in range(ORDER - 2, 0, -1):  # the longest first: it needs the rows before this one
                 np.multiply(here, now[k - 1], out=step)
-                now[k] += (step.reshape(-1, width) @ self.before).reshape(step.shape)
+                now[k] += (step.reshape(len(at), -1, width) @ self.before).reshape(step.shape)
             np.multiply(self.ones[letter], np.float32(DECAY**-i), out=step)
             now[0] += step
             node, chains = np.cumsum(new) - 1, now
@@ -248,19 +249,28 @@ class Sentences:
         self.held = np.zeros((0, len(self.kernel.landmarks)), np.float32)
 
     def features(self, texts: list[str]) -> np.ndarray:
+        """Parts of words that several of the texts have are remembered, those of others only here."""
         sets = [sentence_words(t) for t in texts]
         if len(self.known) > KNOWN_PARTS:
             self._forget()
-        known, words = self.known, self.words
-        for w in set().union(*sets) - words.keys() if sets else ():
-            words[w] = tuple([known.setdefault(x, len(known)) for x in windows(normalise(w))])
+        seen = Counter(itertools.chain.from_iterable(sets))
+        parts_of = lambda w, at: tuple([at.setdefault(x, len(at)) for x in windows(normalise(w))])
+        for w, n in seen.items():
+            if n > 1 and w not in self.words:
+                self.words[w] = parts_of(w, self.known)
+        lasting = len(self.known)
+        known, words = dict(self.known), {}
+        for w, n in seen.items():
+            if n == 1 and w not in self.words:
+                words[w] = parts_of(w, known)
         new = list(itertools.islice(known, len(self.held), None))
-        self.held = np.concatenate([self.held, self.kernel.values(new)])
+        held = np.concatenate([self.held, self.kernel.values(new)])
+        self.held = held[:lasting].copy()
         out = np.zeros((len(texts), len(self.kernel.landmarks)))
         for row, some in enumerate(sets):
             if some:
-                at = np.unique(np.fromiter(itertools.chain.from_iterable(map(words.__getitem__, some)), np.int64))
-                out[row] = self.held[at].sum(0, dtype=np.float64)
+                ids = [i for w in some for i in (self.words.get(w) or words[w])]
+                out[row] = held[np.unique(ids)].sum(0, dtype=np.float64)
         return out
 
 
