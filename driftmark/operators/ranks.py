@@ -34,7 +34,9 @@ def _at(rows: DataFrame, n: int, wanted: set[int], limit: int) -> dict[int, floa
         hits = upto.where(F.exists(F.array(*[F.lit(k) for k in sorted(wanted)]), lambda k: (k < F.col("upto")) & (k >= F.col("upto") - F.col("c"))))
         return {k: r.v for r in hits.collect() for k in wanted if r.upto - r.c <= k < r.upto}
     edges = sorted(set(rows.agg(F.percentile_approx("v", F.array(*[F.lit(i / PARTS) for i in range(1, PARTS)]), F.lit(10_000))).first()[0]))
-    part = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("v")))
+    # values equal to an edge are a range of their own, so every range is smaller than the whole
+    marks = F.array(*map(F.lit, edges))
+    part = F.size(F.filter(marks, lambda e: e <= F.col("v"))) + F.size(F.filter(marks, lambda e: e < F.col("v")))
     found, before = {}, 0
     for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("part").collect():
         inside = {k for k in wanted if before <= k < before + r.n}
