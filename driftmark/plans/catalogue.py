@@ -8,10 +8,10 @@ descriptor matrix, ``orders`` score and error pairs, ``labels`` a binary truth.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftmark.operators import aggregate, evaluation, false_alarm, models, onset, perturb, select
+from driftmark.operators import aggregate, evaluation, false_alarm, models, onset, select
 from driftmark.plans import studies
 from driftmark.plans.registry import ORACLE_SQL, QUERIES, query, r6, table
 from driftmark.schema import flagged, time_ps

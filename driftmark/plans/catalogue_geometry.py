@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from driftmark.functions import geometry as G
 from driftmark.operators import chemistry, evaluation, models, perturb, select, topology
 from driftmark.plans import studies
-from driftmark.plans.registry import query, r6, table
+from driftmark.plans.registry import no_negative_zero, r6, table
+from driftmark.plans.registry import query as listed
 from driftmark.schema import LEGACY_TYPES, MoleculeSpec, one_atom_count
 from driftmark.sources import xyz
 
@@ -24,6 +25,10 @@ MOLECULE = topology.from_bonds(list(LEGACY_TYPES), sorted([(i, i + 1) for i in r
 QUAD = MOLECULE.balanced_dihedral()
 
 
+def query(sql: str):
+    return listed(no_negative_zero(sql))
+
+
 def frames(spark, sf, scale: float = 1.0) -> DataFrame:
     """(vec_id, frame, positions)."""
     v = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
