@@ -307,7 +307,7 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], config: Confi
     against.clear()
     cover = [0] * len(toxic)
     chosen: list[str] = []
-    gain = lambda g: score[g] * sum(0.5 ** cover[d] for d in held[g])
+    gain = lambda g: score[g] * sum(0.1 ** cover[d] for d in held[g])
     heap = [(-gain(g), g) for g in sorted(score)]
     heapq.heapify(heap)
     near = lambda a, b: any(a[i : i + size - 1] in b for i in range(2))
@@ -319,7 +319,7 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], config: Confi
         if heap and (-now, best) > heap[0]:
             heapq.heappush(heap, (-now, best))
             continue
-        if now < 0.01 * nt:
+        if now < 0.02 * nt:
             break
         holders = held[best]
         while len(best) < config.longest:
@@ -330,8 +330,9 @@ def choose_landmarks(toxic: list[set[str]], clean: list[set[str]], config: Confi
             if n < 0.9 * len(holders):
                 break
             best = x
-        if best not in chosen:
-            chosen.append(best)
+        if any(z.strip("<>") in best or best.strip("<>") in z for z in chosen):  # it grew into what another landmark tells already
+            continue
+        chosen.append(best)
         for d in holders:
             cover[d] += 1
     return chosen
