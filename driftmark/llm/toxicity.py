@@ -100,7 +100,7 @@ def sentence_words(text: str) -> set[str]:
     """Distinct raw words of a text, with spelled-out words joined."""
     tokens = text.lower().split()
     words = set(tokens)
-    if sum(len(w) == 1 for w in words) >= 3:
+    if len([w for w in words if len(w) == 1]) >= 3:
         run: list[str] = []
         for t in [*tokens, ".."]:
             if len(t) == 1 and t.isalnum():
@@ -221,13 +221,12 @@ class Kernel:
     def values(self, words: list[str]) -> np.ndarray:
         """(words, landmarks), to the power of ``POWER``."""
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        groups: dict[int, list[int]] = defaultdict(list)
-        for k, w in enumerate(words):
-            if len(w) >= ORDER:
-                groups[max(6, len(w) + len(w) % 2)].append(k)
-        for width, places in groups.items():
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        widths = np.where(size >= ORDER, np.maximum(6, size + size % 2), 0)
+        for width in np.unique(widths[widths > 0]).tolist():
+            places = np.flatnonzero(widths == width)
             for at in range(0, len(places), BLOCK):
-                some = places[at : at + BLOCK]
+                some = places[at : at + BLOCK].tolist()
                 codes = _codes([words[k] for k in some], width)
                 own = np.sqrt(own_kernel(codes))
                 for at_marks, marks, root in self.groups:
@@ -255,21 +254,24 @@ class Sentences:
             self._forget()
         seen = Counter(itertools.chain.from_iterable(sets))
         parts_of = lambda w, at: tuple([at.setdefault(x, len(at)) for x in windows(normalise(w))])
+        now, once = {}, []
         for w, n in seen.items():
-            if n > 1 and w not in self.words:
-                self.words[w] = parts_of(w, self.known)
-        lasting = len(self.known)
-        known, words = dict(self.known), {}
-        for w, n in seen.items():
-            if n == 1 and w not in self.words:
-                words[w] = parts_of(w, known)
-        new = list(itertools.islice(known, len(self.held), None))
-        held = np.concatenate([self.held, self.kernel.values(new)])
+            found = self.words.get(w)
+            if found is not None:
+                now[w] = found
+            elif n > 1:
+                now[w] = self.words[w] = parts_of(w, self.known)
+            else:
+                once.append(w)
+        lasting, known = len(self.known), dict(self.known)
+        for w in once:
+            now[w] = parts_of(w, known)
+        held = np.concatenate([self.held, self.kernel.values(list(itertools.islice(known, len(self.held), None)))])
         self.held = held[:lasting].copy()
         out = np.zeros((len(texts), len(self.kernel.landmarks)))
         for row, some in enumerate(sets):
             if some:
-                ids = [i for w in some for i in (self.words.get(w) or words[w])]
+                ids = np.fromiter(itertools.chain.from_iterable(map(now.__getitem__, some)), np.int64)
                 out[row] = held[np.unique(ids)].sum(0, dtype=np.float64)
         return out
 
