@@ -322,15 +322,14 @@ class Lexicon:
             self.known.clear()
             self.cuts.clear()
         new = list(set().union(*parts) - self.known.keys()) if parts else []
-        whole = lambda c: self.frozen is not None and self.frozen.fullmatch(c) is not None
-        inner = [[c] if whole(c) else self.cut.findall(c) for c in new]
+        inner = [self.cut.findall(c) if self.frozen is None or not self.frozen.fullmatch(c) else [c] for c in new]
         segments = list({s for cut in inner for s in cut} - self.cuts.keys())
-        lone = [s for s in segments if (len(s) == 1 and s not in self.letters) or whole(s)]
+        lone = [s for s in segments if (len(s) == 1 and s not in self.letters) or (self.frozen is not None and self.frozen.fullmatch(s))]
         for s in lone:
             self.cuts[s] = self.fallback(s)
         known = [s for s in segments if s not in self.cuts]
         for s, ids in zip(known, self.shortest_paths(known), strict=True):
-            self.cuts[s] = self.resolved(ids)
+            self.cuts[s] = ids.tobytes() if self.bpe else self.resolved(ids)
         for c, cut in zip(new, inner, strict=True):
             self.known[c] = self.cuts[cut[0]] if len(cut) == 1 else b"".join([self.cuts[s] for s in cut])
         get = self.known.__getitem__
