@@ -347,7 +347,7 @@ def folder(spark) -> str:
     return f"{root.removeprefix('file://').rstrip('/')}/xyz-{uuid.uuid4().hex}"
 
 
-@query(f"with {PTS} select vec_id as step, cast(pts.k as int) as atom, round(round(x, 10), 6) as x, round(round(y, 10), 6) as y, round(round(z, 10), 6) as z, round(round(2 * x, 10), 6) as fx, round(vec_id / cast(8 as double), 6) as energy, s as symbol from pts join {SYMBOL} sym on sym.k = pts.k")
+@query(f"with {PTS} select vec_id as step, cast(pts.k as int) as atom, round(x, 10) as x, round(y, 10) as y, round(z, 10) as z, round(2 * x, 10) as fx, round(vec_id / cast(8 as double), 6) as energy, s as symbol from pts join {SYMBOL} sym on sym.k = pts.k")
 def extxyz_round_trip(spark, sf):
     """Frames written as extended XYZ and read back through byte ranges."""
     path = folder(spark)
@@ -356,13 +356,13 @@ def extxyz_round_trip(spark, sf):
     out.write.format("extxyz").mode("overwrite").save(path)
     f = xyz.read_extxyz(spark, path, range_bytes=100_000)
     f = f.select("step", "energy", F.posexplode(F.arrays_zip("symbols", "positions", "forces")).alias("atom", "a"))
-    return f.select("step", "atom", *[(F.round(F.col("a.positions")[i], 6) + F.lit(0.0)).alias(c) for i, c in enumerate("xyz")], (F.round(F.col("a.forces")[0], 6) + F.lit(0.0)).alias("fx"), r6("energy").alias("energy"), F.col("a.symbols").alias("symbol"))
+    return f.select("step", "atom", *[(F.round(F.col("a.positions")[i], 10) + F.lit(0.0)).alias(c) for i, c in enumerate("xyz")], (F.round(F.col("a.forces")[0], 10) + F.lit(0.0)).alias("fx"), r6("energy").alias("energy"), F.col("a.symbols").alias("symbol"))
 
 
 NUMBERED = "o as (select vec_id, vec_id % 2 as bead, row_number() over (partition by vec_id % 2 order by vec_id) - 1 as frame from embeddings)"
 
 
-@query(f"with {PTS}, {NUMBERED} select cast(bead as int) as bead, cast(frame as bigint) as frame, cast(o.vec_id * 50 as bigint) as step, cast(k as int) as atom, round(round(x, 8), 5) as x, round(round(y, 8), 5) as y, round(round(z, 8), 5) as z from o join pts on pts.vec_id = o.vec_id where frame >= 3 and (frame - 3) % 2 = 0")
+@query(f"with {PTS}, {NUMBERED} select cast(bead as int) as bead, cast(frame as bigint) as frame, cast(o.vec_id * 50 as bigint) as step, cast(k as int) as atom, round(x, 8) as x, round(y, 8) as y, round(z, 8) as z from o join pts on pts.vec_id = o.vec_id where frame >= 3 and (frame - 3) % 2 = 0")
 def ipi_strided_scan(spark, sf):
     """Two bead files in the i-PI layout, scanned from the fourth frame on by a stride that the source applies."""
     path = folder(spark)
@@ -373,7 +373,7 @@ def ipi_strided_scan(spark, sf):
         frames(spark, sf).where(F.col("vec_id") % 2 == bead).repartition(1).sortWithinPartitions("vec_id").select(text.alias("value")).write.text(f"{path}/b{bead}")
     f = xyz.read_ipi(spark, f"{path}/b*/part-*.txt", range_bytes=50_000, columns="positions", frame_start=3, frame_stride=2)
     f = f.select("bead", "frame", "step", F.posexplode("positions").alias("atom", "p"))
-    return f.select("bead", "frame", "step", "atom", *[(F.round(F.col("p")[i], 5) + F.lit(0.0)).alias(c) for i, c in enumerate("xyz")])
+    return f.select("bead", "frame", "step", "atom", *[(F.round(F.col("p")[i], 8) + F.lit(0.0)).alias(c) for i, c in enumerate("xyz")])
 
 
 @query(f"with {PTS}, {NUMBERED}, pick as (select bead, frame, vec_id from o where frame in (2, 5)) select cast(bead as int) as bead, cast(frame as bigint) as frame, cast(vec_id as bigint) as step, {ATOMS} as n_atoms from pick")
