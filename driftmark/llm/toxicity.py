@@ -436,13 +436,10 @@ def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Sentences(model.landmarks)  # for this task alone: what later stages run in the worker finds its memory free
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            scores = []
-            for at in range(0, batch.num_rows, 256):
-                part = [t or "" for t in texts.slice(at, 256).to_pylist()]
-                scores.append(model.probability(reader.features(part)))
-            score = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], names=[*batch.schema.names[:-1], "score"])
+            for at in range(0, batch.num_rows, 256):  # small batches go back, whatever the columns hold
+                part = batch.slice(at, 256)
+                score = model.probability(reader.features([t or "" for t in part.column(part.num_columns - 1).to_pylist()]))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score, pa.float64())], names=[*part.schema.names[:-1], "score"])
 
     return run
 
