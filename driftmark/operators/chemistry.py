@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from driftmark.functions import geometry as G
 from driftmark.operators.topology import Topology
 
+#: What written tables call planarity.
 PLANARITY = "ring_planarity_rmsd_Å"
 PAIR = "array<struct<i:int,j:int,d:double>>"
 
@@ -64,7 +65,7 @@ def flag_rows(flags: DataFrame) -> DataFrame:
     return flags.select(
         *[c for c in flags.columns if c not in ("broken", "close", "planarity")],
         (F.size("broken") > 0).alias("broken_bond"), F.size("broken").alias("n_broken_bonds"),
-        (F.size("close") > 0).alias("close_contact"), F.size("close").alias("n_close_contacts"), F.col("planarity").alias(PLANARITY),
+        (F.size("close") > 0).alias("close_contact"), F.size("close").alias("n_close_contacts"), "planarity",
     )
 
 

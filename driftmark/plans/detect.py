@@ -175,7 +175,7 @@ def run(spark: SparkSession, config: dict) -> DataFrame:
         chem = config["chemistry"]
         if not chem.get("all_beads"):
             beads = beads.where("bead = 0")
-        flags = chemistry.flag_rows(chemistry.with_flags(beads, fitted.topo, chem["bond_break_cutoff"], chem["close_contact_cutoff"]))
+        flags = chemistry.flag_rows(chemistry.with_flags(beads, fitted.topo, chem["bond_break_cutoff"], chem["close_contact_cutoff"])).withColumnRenamed("planarity", chemistry.PLANARITY)
         flags.orderBy("bead", "frame").coalesce(1).write.mode("overwrite").option("header", True).csv(str(folder / "chemistry_flags_bead00.csv"))
         report = alignment(scores.where(F.col("run") == r["name"]))
         manifest = {

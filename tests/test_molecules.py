@@ -191,6 +191,14 @@ def test_chemistry(spark, chain):
     assert [(r.b, r.c) for r in sql] == [(r.n_broken_bonds, r.n_close_contacts) for r in rows]
 
 
+def test_flag_columns(spark, chain):
+    """Rows say planarity; only written tables carry the unit in the name."""
+    df = spark.createDataFrame([(0, walk(1, 1)[0].tolist())], "frame long, positions array<array<double>>")
+    flags = chemistry.flag_rows(chemistry.with_flags(df, chain))
+    assert flags.columns == ["frame", "broken_bond", "n_broken_bonds", "close_contact", "n_close_contacts", "planarity"]
+    assert flags.withColumnRenamed("planarity", chemistry.PLANARITY).columns[-1] == "ring_planarity_rmsd_Å"
+
+
 def test_selection(spark, chain):
     x = np.random.default_rng(1).normal(size=(50, 3))
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "frame long, features array<double>")
