@@ -356,12 +356,20 @@ def components(links: DataFrame, small: int = SMALL_LINKS) -> DataFrame:
 
 
 def _links(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) that are similar enough, from all elements of both."""
+    """The pairs (a, b) that are similar enough, from all elements of both.
+
+    Elements are the largest table here: where the counted pairs are few enough to
+    be broadcast, those of a stay where they are and of b only the wanted texts move.
+    """
+    pairs = written(pairs, "pairs")
+    few = pairs.count() * 32 <= BROADCAST_BYTES
     x, y = shingles.select(F.col("node").alias("a"), F.col("s").alias("x")), shingles.select(F.col("node").alias("b"), F.col("s").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     # sizes alone rule out most unlike pairs before any set is built
     near = (F.least(F.size("x"), F.size("y")) >= threshold * F.greatest(F.size("x"), F.size("y"))) & (both >= threshold * (F.size("x") + F.size("y") - both))
-    return pairs.join(x, "a").join(y, "b").where(near).select("a", "b")
+    if few:
+        y = y.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
+    return x.join(F.broadcast(pairs) if few else pairs, "a").join(y, "b").where(near).select("a", "b")
 
 
 def _reach(common: Column, sizes: Column, threshold: float) -> Column:
@@ -386,7 +394,9 @@ def _rare(members: DataFrame, labels: DataFrame, shingles: DataFrame, threshold:
     only be similar if the common shingles of both suffice.
     """
     some = members.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    some = written(some.join(shingles, "node").select("node", "label", F.size("s").alias("size"), "bits", "s"), "some")
+    some = written(some, "asked")
+    hint = F.broadcast if some.count() * 32 <= BROADCAST_BYTES else lambda x: x
+    some = written(shingles.join(hint(some), "node").select("node", "label", F.size("s").alias("size"), "bits", "s"), "some")
     tokens = some.select("node", "label", "size", F.explode("s").alias("t"))
     seen = tokens.groupBy("t").agg(F.count("*").alias("c"), F.min("node").alias("node"))
     seen = written(seen.where(F.col("c") <= RARE), "seen")

@@ -94,6 +94,26 @@ def test_signatures_estimate_weighted_similarity(n, part):
     assert len(set(e.tolist())) == 11 and len(set(minhash.shingle_hashes(words, np.array([0, 15]))[0].tolist())) == 5
 
 
+def test_elements_stay_where_pairs_are_few(spark, monkeypatch):
+    """Links are the same by either way, and few pairs do not move the elements of both sides."""
+    rng = np.random.default_rng(3)
+    sets = [sorted(set(rng.integers(0, 12, 9).tolist())) for _ in range(40)]
+    shingles = spark.createDataFrame(list(enumerate(sets)), "node long, s array<long>").repartition(3)
+    pairs = [(i, j) for i in range(40) for j in range(i)]
+    want = sorted((i, j) for i, j in pairs if len({*sets[i]} & {*sets[j]}) >= 0.7 * len({*sets[i]} | {*sets[j]}))
+    moved = []
+    for size in (minhash.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(minhash, "BROADCAST_BYTES", size)
+        links = minhash._links(spark.createDataFrame(pairs, "a long, b long"), shingles, 0.7)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            moved.append(links._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin"))
+            assert sorted(map(tuple, links.collect())) == want and want
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert moved == [1, 2]
+
+
 def test_components_by_label_passing(spark):
     rng = np.random.default_rng(2)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 200, (120, 2))] + [(1000 + i, 1001 + i) for i in range(40)]
