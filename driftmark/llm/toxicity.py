@@ -165,26 +165,28 @@ class Marks:
         return out[back] * np.float32(DECAY**2)
 
     def _chains(self, rows: np.ndarray) -> np.ndarray:
-        n, width = len(rows), self.shape[1]
+        n, width, last = len(rows), self.shape[1], rows.shape[1] - 1
         # where each row first differs from the one before
         first = np.r_[0, (rows[1:] != rows[:-1]).argmax(1)] if n else np.zeros(0, int)
         node, chains = np.zeros(n, np.int64), [np.zeros((1, len(self.last)), np.float32)] * ORDER
-        for i in range(rows.shape[1]):
+        for i in range(last + 1):
             new = first <= i
             at = np.flatnonzero(new)
             letter, parent = rows[at, i], node[at]
             here = self.table[letter]
-            now = [c[parent] for c in chains]
+            low = max(0, ORDER - 1 - (last - i))  # shorter chains than this find too few letters to come to ORDER
+            now = [c[parent] if k >= low - 1 else c for k, c in enumerate(chains)]
             step = here * now[-2]
             step *= np.float32(DECAY**i)
             now[-1] += step
-            for k in range(ORDER - 2, 0, -1):  # the longest first: it needs the rows before this one
+            for k in range(min(ORDER - 2, i), max(low, 1) - 1, -1):  # the longest first: it needs the rows before this one
                 np.multiply(here, now[k - 1], out=step)
                 now[k] += (step.reshape(len(at), -1, width) @ self.before).reshape(step.shape)
-            np.multiply(self.ones[letter], np.float32(DECAY**-i), out=step)
-            now[0] += step
+            if low == 0:
+                np.multiply(self.ones[letter], np.float32(DECAY**-i), out=step)
+                now[0] += step
             node, chains = np.cumsum(new) - 1, now
-        return (chains[-1] * self.last).reshape(len(chains[-1]), -1, width).sum(2)[node]
+        return (chains[-1].reshape(len(chains[-1]), -1, width) @ self.last[:width])[node]
 
 
 def own_kernel(words: np.ndarray) -> np.ndarray:
@@ -222,7 +224,7 @@ class Kernel:
         """(words, landmarks), to the power of ``POWER``."""
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
         size = np.fromiter(map(len, words), np.int64, len(words))
-        widths = np.where(size >= ORDER, np.maximum(6, size + size % 2), 0)
+        widths = np.where(size >= ORDER, size, 0)
         for width in np.unique(widths[widths > 0]).tolist():
             places = np.flatnonzero(widths == width)
             for at in range(0, len(places), BLOCK):
@@ -253,7 +255,11 @@ class Sentences:
         if len(self.known) > KNOWN_PARTS:
             self._forget()
         seen = Counter(itertools.chain.from_iterable(sets))
-        parts_of = lambda w, at: tuple([at.setdefault(x, len(at)) for x in windows(normalise(w))])
+
+        def parts_of(w: str, at: dict[str, int]) -> tuple[int, ...]:
+            x = normalise(w)
+            return (at.setdefault(x, len(at)),) if len(x) <= CHUNK else tuple([at.setdefault(y, len(at)) for y in windows(x)])
+
         now, once = {}, []
         for w, n in seen.items():
             found = self.words.get(w)

@@ -307,6 +307,19 @@ def brute_parts(text):
     return out
 
 
+def test_words_are_not_padded(monkeypatch):
+    """Kernels are taken over as many columns as a word has letters: a padded one costs as much as a letter."""
+    seen = []
+    taken = toxicity.Marks.kernels
+    monkeypatch.setattr(toxicity.Marks, "kernels", lambda self, words: seen.append(words) or taken(self, words))
+    words = [w for n in range(1, 14) for w in (f"<{'idiot' * 3}"[:n], f"{'moron' * 3}"[:n])]
+    got = toxicity.Kernel(["<idiot>", "<mo"]).values(words)
+    assert seen and all((codes > 0).all() for codes in seen)
+    roots = [brute_kernel(w, w) ** 0.5 for w in words]
+    want = [[(brute_kernel(w, z) / (r * brute_kernel(z, z) ** 0.5)) ** toxicity.POWER if r and len(z) >= toxicity.ORDER else 0 for z in ("<idiot>", "<mo")] for w, r in zip(words, roots, strict=True)]
+    assert np.allclose(got, want, atol=1e-4)
+
+
 def test_toxicity_scores_equal_brute_force():
     rng = np.random.default_rng(2)
     insults = ["idiot", "trash", "clown", "pathetic"]
