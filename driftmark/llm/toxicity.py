@@ -47,6 +47,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,6 +60,8 @@ CHUNK, STEP = 14, 6
 KNOWN_PARTS = 60_000
 #: Strings whose kernels are taken at a time.
 BLOCK, ROWS = 8192, 768
+#: Texts read at a time, which share the work on words they have in common, and about how many bytes of them.
+TEXTS, TEXT_BYTES = 512, 2 << 20
 
 
 @dataclass(frozen=True)
@@ -438,14 +441,27 @@ def fit(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Model:
     return train([r.text or "" for r in rows], [r.toxic for r in rows], config)
 
 
-def _scorer(model: Model):
+def _runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of up to ``TEXTS`` texts and about ``TEXT_BYTES`` bytes; a longer text is a run of its own."""
+    size = np.cumsum(np.r_[0, pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)])
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, min(len(texts), at + TEXTS, int(np.searchsorted(size, size[at] + TEXT_BYTES, side="right")) - 1))
+        yield at, to
+        at = to
+
+
+def _scorer(model: Model, whole: bool = False):
+    """Rows with a score instead of their last column, a text; ``whole``: behind it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Sentences(model.landmarks)  # for this task alone: what later stages run in the worker finds its memory free
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # small batches go back, whatever the columns hold
-                part = batch.slice(at, 256)
+            for at, to in _runs(batch.column(batch.num_columns - 1)):  # small batches go back, whatever the columns hold
+                part = batch.slice(at, to - at)
                 score = model.probability(reader.features([t or "" for t in part.column(part.num_columns - 1).to_pylist()]))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score, pa.float64())], names=[*part.schema.names[:-1], "score"])
+                n = part.num_columns - (not whole)
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(score, pa.float64())], names=[*part.schema.names[:n], "score"])
 
     return run
 
@@ -453,7 +469,13 @@ def _scorer(model: Model):
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all by default) with ``score`` and ``predicted``."""
     keep = [c for c in keep or docs.columns if c.lower() not in ("score", "predicted")]
+    value = T.StructField("score", T.DoubleType())
     (said,) = free(docs, "said")
-    rows = docs.select(*columns(docs, keep), column(docs, text).cast("string").alias(said))
-    out = mapped(rows, _scorer(model), T.StructField("score", T.DoubleType()))
+    if keep.count(text) == 1 and dict(docs.dtypes).get(text) == "string":  # a text that is kept travels once
+        rows = docs.select(*columns(docs, [c for c in keep if c != text]), column(docs, text).alias(said))
+        out = mapped(rows, _scorer(model, whole=True), T.StructField(said, T.StringType()), value)
+        out = out.select(*[column(out, said).alias(text) if c == text else column(out, c) for c in keep], "score")
+    else:
+        rows = docs.select(*columns(docs, keep), column(docs, text).cast("string").alias(said))
+        out = mapped(rows, _scorer(model), value)
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -6,10 +6,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from driftmark.llm import packing, quality, queries, secrets, sentencepiece_fst, toxicity
+from driftmark.llm.common import mapped
 
 MODEL = queries.PIECE_MODEL
 
@@ -431,6 +433,22 @@ def test_toxicity_tolerates_two_inserted_and_one_replaced():
         assert p(say(*altered))[0] > max(0.5, clean.max())
 
 
+def test_toxicity_reads_bounded_runs(spark, monkeypatch):
+    """No run of texts grows with their length, a kept text travels once, and both change no row."""
+    texts = pa.array(["word " * 200_000] * 5 + [None] + ["short"] * 1100)
+    runs = list(toxicity._runs(texts))
+    assert [a for a, _ in runs] == [0, *(b for _, b in runs[:-1])] and runs[-1][1] == len(texts)
+    assert all(b - a <= toxicity.TEXTS and (b - a == 1 or sum(len(t or "") for t in texts[a:b].to_pylist()) <= toxicity.TEXT_BYTES) for a, b in runs)
+    df = spark.createDataFrame([(i, t, i) for i, t in enumerate(["ab", None, "é cd"])], "doc_id long, text string, `odd.name` long")
+    out = toxicity.score(df, toxicity.Model(rate=0.25))
+    assert out.columns == [*df.columns, "score", "predicted"]
+    assert out.orderBy("doc_id").collect() == [(0, "ab", 0, 0.25, 0), (1, None, 1, 0.25, 0), (2, "é cd", 2, 0.25, 0)]
+    sent = []
+    monkeypatch.setattr(toxicity, "mapped", lambda rows, *how: sent.append(rows.columns) or mapped(rows, *how))
+    toxicity.score(df, toxicity.Model(rate=0.25))
+    assert len(sent[0]) == 3
+
+
 def test_packing_keeps_near_copies_apart(spark):
     base = [f"t{i}" for i in range(60)]
     texts = [" ".join([*base[:k], f"e{k}", *base[k + 1 :]]) for k in (0, 59)] + [" ".join(base), "  ".join(base), "one two", "one  two"]
