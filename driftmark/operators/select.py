@@ -84,8 +84,8 @@ def ellipse_distance(values: Column, reference: list[float], radii: list[float])
     return F.sqrt(total)
 
 
-def select_by_dihedrals(frames: DataFrame, topo: Topology, reference, primary: list[tuple], radii: list[float], k: int) -> DataFrame:
-    """Frames inside the ellipse, spread out over the other coordinates: (rank, frame, distance)."""
+def within_dihedrals(frames: DataFrame, reference, primary: list[tuple], radii: list[float]) -> DataFrame:
+    """Every frame inside the ellipse, in one pass: (frame, positions, distance)."""
     ref = np.asarray(reference, float)[None]
     radii = list(radii) * len(primary) if len(radii) == 1 else list(radii)
     rows = frames.select("frame", "positions")
@@ -97,23 +97,38 @@ def select_by_dihedrals(frames: DataFrame, topo: Topology, reference, primary: l
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(v.tolist(), pa.list_(pa.float64()))], names=["frame", "positions", "pairs"])
 
     schema = T.StructType([*rows.schema.fields, T.StructField("pairs", T.ArrayType(T.DoubleType()))])
+    near = rows.mapInArrow(pairs, schema).withColumn("distance", ellipse_distance(F.col("pairs"), G.primary_pairs(ref, primary)[0].tolist(), radii))
+    return near.where("distance <= 1").select("frame", "positions", "distance")
+
+
+def select_by_dihedrals(frames: DataFrame, topo: Topology, reference, primary: list[tuple], radii: list[float], k: int) -> DataFrame:
+    """``k`` frames inside the ellipse, spread out over the other coordinates: (rank, frame, distance).
+
+    Each pick passes over all frames inside, so ``k`` of as many as there are is
+    quadratic; ``within_dihedrals`` has them all without ranks.
+    """
     # the cheap distance filters before any full descriptor is made
-    inside = rows.mapInArrow(pairs, schema).withColumn("distance", ellipse_distance(F.col("pairs"), G.primary_pairs(ref, primary)[0].tolist(), radii)).where("distance <= 1").persist()
+    inside = within_dihedrals(frames, reference, primary, radii).persist()
     keep = chosen_columns(topo, primary)
     rest = G.with_descriptors(inside, topo, ["frame", "distance"]).withColumn("features", F.transform(F.array(*map(F.lit, keep)), lambda i: F.get("features", i)))
-    order = farthest_points(rest, G.descriptors(ref, topo)[0][keep].tolist(), k)
+    order = farthest_points(rest, G.descriptors(np.asarray(reference, float)[None], topo)[0][keep].tolist(), k)
     return order.join(inside.select("frame", "distance"), "frame").select("rank", "frame", "distance")
 
 
-def select_by_descriptor(frames: DataFrame, topo: Topology, reference, radius: float, k: int, variance: float = 0.95) -> DataFrame:
-    """Frames within ``radius`` in principal components fitted on the trajectory: (rank, frame, distance)."""
+def within_descriptor(frames: DataFrame, topo: Topology, reference, radius: float, variance: float = 0.95) -> tuple[DataFrame, list[float]]:
+    """Every frame within ``radius`` in principal components fitted on the trajectory, (frame, reduced, distance), and the reduced reference."""
     described = G.with_descriptors(frames, topo, ["frame"]).persist()
     pca = ScalerPCA.fit(described, variance)
-    ref = pca.apply(G.descriptors(np.asarray(reference, float)[None], topo))[0]
-    reduced = pca.transform(described)
-    gap = F.sqrt(F.aggregate(F.zip_with("reduced", F.array(*map(F.lit, ref.tolist())), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-    near = reduced.withColumn("distance", gap).where(F.col("distance") <= radius).persist()
-    order = farthest_points(near, ref.tolist(), k, "reduced")
+    ref = pca.apply(G.descriptors(np.asarray(reference, float)[None], topo))[0].tolist()
+    gap = F.sqrt(F.aggregate(F.zip_with("reduced", F.array(*map(F.lit, ref)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    return pca.transform(described).withColumn("distance", gap).where(F.col("distance") <= radius), ref
+
+
+def select_by_descriptor(frames: DataFrame, topo: Topology, reference, radius: float, k: int, variance: float = 0.95) -> DataFrame:
+    """``k`` frames of ``within_descriptor``, spread out: (rank, frame, distance)."""
+    near, ref = within_descriptor(frames, topo, reference, radius, variance)
+    near = near.persist()
+    order = farthest_points(near, ref, k, "reduced")
     return order.join(near.select("frame", "distance"), "frame").select("rank", "frame", "distance")
 
 

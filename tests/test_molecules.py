@@ -335,3 +335,14 @@ def test_array_imports(spark, tmp_path):
     got = made.where("bead = 1 and step = 6 and atom = 4").first()
     want = held["bead_positions"][6, 1, 4]
     assert made.count() == 70 and np.allclose(got.features, [*want, want.sum()], atol=1e-6)
+
+
+def test_selections_without_ranks_order_nothing(spark, sf, monkeypatch):
+    from driftmark.plans import catalogue
+
+    def never(*_):
+        raise AssertionError("every frame within the radius is wanted, in no order")
+
+    monkeypatch.setattr(select, "farthest_points", never)
+    for name in ("dihedral_selection", "descriptor_selection"):
+        assert catalogue.QUERIES[name](spark, sf).count() > 0
