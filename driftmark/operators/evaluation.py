@@ -154,21 +154,36 @@ def correlation(df: DataFrame, x: str, y: str) -> dict:
     return {"n": n, "spearman": rho, "spearman_p": correlation_p(rho, n), "pearson": r, "pearson_p": correlation_p(r, n)}
 
 
-def error_bins(df: DataFrame, n_bins: int = 10, order: str = "frame") -> DataFrame:
-    """Errors by equal-count bins of the score (score, error); ties by ``order``."""
+def _plain() -> list[Column]:
+    return [F.count("*").alias("n"), F.min("score").alias("score_min"), F.max("score").alias("score_max"), F.avg("error").alias("error_mean")]
+
+
+def _binned(df: DataFrame, n_bins: int, order: str) -> tuple[DataFrame, int]:
+    """(bin, score, error) in equal-count bins of the score, and the rows of the smallest bin; ties by ``order``."""
     if n_bins < 2:
         raise ValueError("at least 2 bins are needed")
     rows = running(df.withColumn("__one", F.lit(1).cast("long")), "score", ["score", order], {"__at": "__one"})
     n = df.count()
     big, size = n % n_bins, n // n_bins  # the first ``big`` bins hold one more
     at = F.col("__at") - 1
-    binned = rows.withColumn("bin", F.when(at < big * (size + 1), F.floor(at / (size + 1))).otherwise(big + F.floor((at - big * (size + 1)) / max(size, 1))).cast("int"))
-    plain = [F.count("*").alias("n"), F.min("score").alias("score_min"), F.max("score").alias("score_max"), F.avg("error").alias("error_mean")]
+    place = F.when(at < big * (size + 1), F.floor(at / (size + 1))).otherwise(big + F.floor((at - big * (size + 1)) / max(size, 1))).cast("int")
+    return rows.select(place.alias("bin"), "score", "error"), size
+
+
+def bin_means(df: DataFrame, n_bins: int = 10, order: str = "frame") -> DataFrame:
+    """``error_bins`` without the median and the percentile."""
+    return _binned(df, n_bins, order)[0].groupBy("bin").agg(*_plain())
+
+
+def error_bins(df: DataFrame, n_bins: int = 10, order: str = "frame") -> DataFrame:
+    """Errors by equal-count bins of the score (score, error); ties by ``order``."""
+    binned, size = _binned(df, n_bins, order)
     if size <= ranks.ONE_TASK_ROWS:  # a bin fits into a task
-        return binned.groupBy("bin").agg(*plain, F.percentile("error", F.lit(0.5)).alias("error_median"), F.percentile("error", F.lit(0.95)).alias("error_p95"))
-    spark, binned = df.sparkSession, binned.persist()
-    middle = spark.createDataFrame([(b, *ranks.percentiles(binned.where(F.col("bin") == b), "error", [0.5, 0.95])) for b in range(min(n_bins, n))], "bin int, error_median double, error_p95 double")
-    return binned.groupBy("bin").agg(*plain).join(middle, "bin")
+        return binned.groupBy("bin").agg(*_plain(), F.percentile("error", F.lit(0.5)).alias("error_median"), F.percentile("error", F.lit(0.95)).alias("error_p95"))
+    binned = binned.persist()
+    found = ranks.percentiles_by(binned, "bin", "error", [0.5, 0.95], ranks.ONE_TASK_ROWS)
+    middle = df.sparkSession.createDataFrame([(b, *found.get(b, (None, None))) for b in range(n_bins)], "bin int, error_median double, error_p95 double")
+    return binned.groupBy("bin").agg(*_plain()).join(F.broadcast(middle), "bin")
 
 
 def bin_report(binned: DataFrame) -> DataFrame:

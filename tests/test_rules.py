@@ -189,3 +189,21 @@ def test_long_runs_fall_into_stretches(spark, monkeypatch):
     for module in (aggregate, onset):
         monkeypatch.setattr(module, "STRETCH", 7)
     assert say() == whole and whole[1]
+
+
+def test_bins_share_the_passes_of_their_percentiles(spark, monkeypatch):
+    from driftmark.operators import ranks
+
+    rng = np.random.default_rng(6)
+    score, error = rng.normal(size=4000), rng.normal(size=4000).round(2)
+    df = spark.createDataFrame([(k, float(s), float(e)) for k, (s, e) in enumerate(zip(score, error, strict=True))], "frame long, score double, error double")
+    monkeypatch.setattr(ranks, "ONE_TASK_ROWS", 60)
+    jobs = []
+    for n_bins in (4, 20):
+        spark.sparkContext.setJobGroup(f"bins-{n_bins}", "")
+        got = {r.bin: (r.n, r.error_median, r.error_p95) for r in evaluation.error_bins(df, n_bins).collect()}
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"bins-{n_bins}")))
+        for b, at in enumerate(np.array_split(np.argsort(score, kind="stable"), n_bins)):
+            assert np.allclose(got[b], (len(at), *np.percentile(error[at], [50, 95])), rtol=0, atol=1e-12)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] <= jobs[0] + 5
