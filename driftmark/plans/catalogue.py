@@ -481,7 +481,7 @@ def finite_pairs(spark, sf):
 
 @query(f"with {ORDERS}, b as (select *, ntile(10) over (order by score, frame) - 1 as bin from o), m as (select bin, avg(error) as e from b group by bin) select round(max(case when bin = 9 then e end) / max(case when bin = 0 then e end), 6) as ratio from m")
 def decile_ratio(spark, sf):
-    return spark.createDataFrame([(round(evaluation.top_over_bottom(evaluation.error_bins(pairs(spark, sf), 10)), 6),)], "ratio double")
+    return spark.createDataFrame([(round(evaluation.top_over_bottom(evaluation.bin_means(pairs(spark, sf), 10)), 6),)], "ratio double")
 
 
 RULES = (("fixed", None, 0.3, 0.0), ("budget", 0.01, None, 0.25))
