@@ -346,3 +346,27 @@ def test_selections_without_ranks_order_nothing(spark, sf, monkeypatch):
     monkeypatch.setattr(select, "farthest_points", never)
     for name in ("dihedral_selection", "descriptor_selection"):
         assert catalogue.QUERIES[name](spark, sf).count() > 0
+
+
+def test_graphs_leave_in_small_batches(spark):
+    import itertools
+
+    import pyarrow as pa
+
+    held = {}
+
+    class Frames:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            held["run"] = run
+
+    spots = [[[0.0, 0.0, 1.2 * k] for k in range(5)]] * 3000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array(spots)], names=["frame", "positions"])
+    topology.graphs(Frames(), ["C"] * 5)
+    out = list(held["run"](iter([batch])))
+    assert max(b.num_rows for b in out) <= 10_000 and len(out) > 1
+    whole = list(itertools.chain.from_iterable(zip(*(b.column(i).to_pylist() for i in range(4)), strict=True) for b in out))
+    one = list(held["run"](iter([batch.slice(7, 1)])))[0].to_pydict()
+    assert [r for r in whole if r[0] == 7] == list(zip(*one.values(), strict=True)) and {r[0] for r in whole} == set(range(3000))
